@@ -92,3 +92,14 @@ def bartlett_sum(values, n, lags) -> Column:
         return acc + weight * lagged_dot(values, n, k)
 
     return F.aggregate(F.sequence(F.lit(0), lags), F.lit(0.0), term)
+
+
+def ordered_list(order, body) -> Column:
+    """Aggregate: `body` values as an array in `order`. Only for groups whose
+    size is bounded, such as one value per trading date."""
+    pairs = F.collect_list(F.struct(col(order).alias("o"), col(body).alias("b")))
+    by_order = F.array_sort(
+        pairs,
+        lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0),
+    )
+    return F.transform(by_order, lambda e: e["b"])

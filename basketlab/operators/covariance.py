@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import dot, finite, ratio
+from basketlab.functions.exprs import dot, finite, ordered_list, ratio
 from basketlab.operators.prices import coverage, tail_dates
-from basketlab.operators.risk import as_array
 from basketlab.params import Params
 
 
@@ -51,7 +50,7 @@ def vectors(rows: DataFrame, p: Params, method: str | None = None) -> DataFrame:
     names = rows.select("security").distinct().agg(F.count(F.lit(1))).scalar()
     base = (
         rows.groupBy("security")
-        .agg(as_array(F.col("ret")).alias("x"))
+        .agg(ordered_list("date", "ret").alias("x"))
         .withColumn("n", F.size("x"))
         .where((F.col("n") >= p.min_cov_obs) & (names >= 2))
     )

@@ -28,19 +28,22 @@ def calendar(bars: DataFrame) -> DataFrame:
     return dates.select(F.posexplode("c").alias("t", "date"))
 
 
-def with_ordinal(bars: DataFrame) -> DataFrame:
-    # One row per trading date, however many securities there are: safe to broadcast.
-    return bars.join(F.broadcast(calendar(bars)), "date")
+def with_ordinal(bars: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Adds the calendar ordinal `t`. `dates` names the panel whose calendar
+    counts, where `bars` is only a part of it."""
+    cal = calendar(bars if dates is None else dates)
+    # one row per trading date, however many securities there are
+    return bars.join(F.broadcast(cal), "date")
 
 
-def calendar_grid(bars: DataFrame) -> DataFrame:
+def calendar_grid(bars: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Every security on every date; missing bars have null close and volume."""
-    cal = calendar_array(bars)
+    cal = calendar_array(bars if dates is None else dates)
     own = Window.partitionBy("security").orderBy("t")
     first = F.lag("t").over(own).isNull()
     next_t = F.lead("t").over(own)
     return (
-        with_ordinal(bars)
+        with_ordinal(bars, dates)
         .withColumn("lo", F.when(first, F.lit(0)).otherwise(F.col("t")))
         .withColumn("next_t", next_t)
         .withColumn("hi", F.coalesce("next_t", F.size(cal)) - 1)
@@ -62,7 +65,7 @@ def forward_fill(grid: DataFrame) -> DataFrame:
     return grid.withColumn("filled", F.last("close", ignorenulls=True).over(own))
 
 
-def daily_returns(bars: DataFrame) -> DataFrame:
+def daily_returns(bars: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """close / previous close - 1 where the previous *calendar* row has a close.
 
     Rows without a return are left out; on the panel they are the nulls.
@@ -70,16 +73,18 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     own = Window.partitionBy("security").orderBy("t")
     back_to_back = F.lag("t").over(own) == F.col("t") - 1
     return (
-        with_ordinal(bars)
+        with_ordinal(bars, dates)
         .withColumn("prev", F.when(back_to_back, F.lag("close").over(own)))
         .select("security", "date", "t", finite(ratio("close", "prev") - 1.0).alias("ret"))
         .where("ret IS NOT NULL")
     )
 
 
-def clean_returns(bars: DataFrame, bound: float = 0.5) -> DataFrame:
+def clean_returns(
+    bars: DataFrame, dates: DataFrame | None = None, bound: float = 0.5
+) -> DataFrame:
     """Daily returns with +-inf dropped and clipped to +-bound."""
-    return daily_returns(bars).withColumn("ret", clip("ret", -bound, bound))
+    return daily_returns(bars, dates).withColumn("ret", clip("ret", -bound, bound))
 
 
 def trailing_returns(bars: DataFrame, p: Params, positive_base: bool = False) -> DataFrame:

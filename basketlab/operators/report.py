@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import iso
+from basketlab.functions.exprs import iso, ordered_list
 from basketlab.operators.forward import ARM_LABELS, arm_ordinal
 from basketlab.params import Params
 
@@ -59,13 +59,6 @@ def nav_overlay(nav: DataFrame, forward: DataFrame) -> DataFrame:
     )
 
 
-def _rows(df: DataFrame, key: str, columns: list, order: Column, out: str) -> DataFrame:
-    """Bounded rows of a key as an ordered array of structs."""
-    body = F.struct(*columns)
-    packed = F.array_sort(F.collect_list(F.struct(order.alias("o"), body.alias("b"))))
-    return df.groupBy(key).agg(F.transform(packed, lambda e: e["b"]).alias(out))
-
-
 def fund_records(
     weights: DataFrame, blended: DataFrame, windows: DataFrame, nav: DataFrame,
     sectors: DataFrame, p: Params, name: str, weighting: str,
@@ -81,15 +74,15 @@ def fund_records(
             for y in p.fund_windows
         ]
     )
-    points = _rows(
-        nav, key,
-        [iso("date").alias("date"), F.round("fund", 4).alias("fund"),
-         F.round("benchmark", 4).alias("benchmark")],
-        F.col("date"), "navSeries",
+    point = F.struct(
+        iso("date").alias("date"),
+        F.round("fund", 4).alias("fund"),
+        F.round("benchmark", 4).alias("benchmark"),
     )
-    by_sector = _rows(
-        sectors, key, ["sector", "weight"],
-        F.struct((-F.col("weight")).alias("w"), F.col("sector").alias("s")), "sectorBreakdown",
+    points = nav.groupBy(key).agg(ordered_list("date", point).alias("navSeries"))
+    heaviest = F.struct((-F.col("weight")).alias("w"), F.col("sector").alias("s"))
+    by_sector = sectors.groupBy(key).agg(
+        ordered_list(heaviest, F.struct("sector", "weight")).alias("sectorBreakdown")
     )
     blend = blended.select(
         key, F.struct("pe", "fcfYield", "revenueGrowth", "returnOnEquity", "netMargin").alias("blended")
@@ -133,9 +126,7 @@ def research_block(
     one = arm_rows.sparkSession.range(1).select(F.lit(1).alias("schemaVersion"))
 
     def listed(df: DataFrame, order: str) -> Column:
-        body = F.struct(*df.columns)
-        packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), body.alias("b"))))
-        return df.agg(F.transform(packed, lambda e: e["b"])).scalar()
+        return df.agg(ordered_list(order, F.struct(*df.columns))).scalar()
 
     sides = only.groupBy("pair").agg(
         *[
@@ -147,12 +138,8 @@ def research_block(
     compared = overlaps.join(sides, "pair", "left").withColumn(
         "onlyA", F.coalesce("onlyA", empty)
     ).withColumn("onlyB", F.coalesce("onlyB", empty))
-    ordered = arm_rows.withColumn("_o", arm_ordinal("key"))
-    arms = ordered.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.struct("key", "label", "isQuantum", "selection").alias("b")))),
-            lambda e: e["b"],
-        )
+    arms = arm_rows.agg(
+        ordered_list(arm_ordinal("key"), F.struct(*arm_rows.columns))
     ).scalar()
     return one.select(
         "schemaVersion",

@@ -10,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import bartlett_sum, half_up, lagged_dot, newey_west_lags, ratio
+from basketlab.functions.exprs import (
+    bartlett_sum,
+    half_up,
+    lagged_dot,
+    newey_west_lags,
+    ordered_list,
+    ratio,
+)
 from basketlab.params import Params
 
 
@@ -156,12 +163,6 @@ def metrics_summary(series: DataFrame, keys: list[str], p: Params) -> DataFrame:
 
 # --- autocorrelation-robust statistics ------------------------------------------------
 
-def as_array(column, date: str = "date") -> Column:
-    """A group's values in date order; its length is the number of dates."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), column.alias("v"))))
-    return F.transform(pairs, lambda e: e["v"])
-
-
 def alpha_newey_west(aligned: DataFrame, keys: list[str], p: Params, min_n: int = 60) -> DataFrame:
     """OLS alpha of excess on excess with a Bartlett HAC t-statistic.
 
@@ -192,7 +193,7 @@ def alpha_newey_west(aligned: DataFrame, keys: list[str], p: Params, min_n: int
     grouped = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("int").alias("n"),
         F.first("_a").alias("alpha_daily"),
-        as_array(F.col("_z")).alias("_zs"),
+        ordered_list("date", "_z").alias("_zs"),
     )
     lags = newey_west_lags("n")
     v = F.greatest(bartlett_sum("_zs", "n", lags), F.lit(0.0))
@@ -211,7 +212,7 @@ def newey_west_mean(series: DataFrame, keys: list[str], value: str) -> DataFrame
     grouped = series.groupBy(*keys).agg(
         F.count(value).cast("int").alias("n"),
         F.avg(value).alias("mean"),
-        as_array(F.col(value)).alias("_xs"),
+        ordered_list("date", value).alias("_xs"),
     )
     centred = grouped.withColumn("_xs", F.expr("transform(_xs, x -> x - mean)"))
     lags = F.least(newey_west_lags("n", 1), F.greatest(F.col("n") - 1, F.lit(0)))
@@ -226,7 +227,7 @@ def autocov_lags(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     grouped = series.groupBy(*keys).agg(
         F.count(value).cast("int").alias("n"),
         F.avg(value).alias("mean"),
-        as_array(F.col(value)).alias("_xs"),
+        ordered_list("date", value).alias("_xs"),
     )
     return (
         grouped.withColumn("_xs", F.expr("transform(_xs, x -> x - mean)"))
