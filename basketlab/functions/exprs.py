@@ -45,9 +45,9 @@ def gated_growth(c) -> Column:
     return F.when(c <= GROWTH_CAP, c)
 
 
-def half_up(c, digits: int) -> Column:
-    """Decimal rounding; the inner round absorbs summation-order noise first."""
-    return F.round(F.round(col(c), digits + 6), digits)
+def half_even(c, digits: int) -> Column:
+    """Banker's rounding; the inner round absorbs summation-order noise first."""
+    return F.bround(F.round(col(c), digits + 6), digits)
 
 
 def iso(c) -> Column:

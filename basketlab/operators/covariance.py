@@ -8,7 +8,7 @@ length of sum_i w_i a_i.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import dot, finite, ordered_list, ratio
@@ -34,37 +34,44 @@ def estimation_rows(returns: DataFrame, calendar: DataFrame, p: Params) -> DataF
     return complete_rows(inside, kept)
 
 
-def ewma_weights(n: Column, halflife: int) -> Column:
-    """Weights by row age, oldest first, summing to 1."""
-    raw = F.transform(
-        F.sequence(F.lit(1), n), lambda k: F.pow(F.lit(0.5), (n - k) / F.lit(float(halflife)))
-    )
-    total = F.aggregate(raw, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(raw, lambda v: v / total)
+def window_rows(rows: DataFrame, p: Params, method: str | None = None) -> DataFrame:
+    """(date, k, n, w): the complete dates numbered from the oldest, their
+    number, and the weight each date has in the mean.
+
+    EWMA weights halve every `ewma_halflife` rows and sum to 1; their total is
+    a geometric series. Bounded by the estimation window.
+    """
+    dates = rows.select("date").distinct().agg(F.array_sort(F.collect_set("date")).alias("d"))
+    numbered_dates = dates.select(F.size("d").alias("n"), F.posexplode("d").alias("k", "date"))
+    if (method or p.cov_method) == "ewma":
+        q = 0.5 ** (1.0 / p.ewma_halflife)
+        w = F.pow(F.lit(q), F.col("n") - 1 - F.col("k")) * (1.0 - q) / (1.0 - F.pow(F.lit(q), F.col("n")))
+    else:
+        w = 1.0 / F.col("n")
+    return numbered_dates.select("date", "k", "n", w.alias("w"))
 
 
 def vectors(rows: DataFrame, p: Params, method: str | None = None) -> DataFrame:
-    """(security, n, a): one array per name. Names or rows below the minimum
-    give no vectors, since any estimate would be noise."""
+    """(security, k, n, v): one entry per name and complete date.
+
+    Names or rows below the minimum give no vectors, since any estimate would
+    be noise.
+    """
     method = method or p.cov_method
     names = rows.select("security").distinct().agg(F.count(F.lit(1))).scalar()
-    base = (
-        rows.groupBy("security")
-        .agg(ordered_list("date", "ret").alias("x"))
-        .withColumn("n", F.size("x"))
+    mean = F.sum(F.col("w") * F.col("ret")).over(Window.partitionBy("security"))
+    scale = {
+        "ewma": F.sqrt("w"),
+        "ledoit": 1.0 / F.sqrt("n"),
+        "sample": 1.0 / F.sqrt(F.col("n") - 1),
+    }[method]
+    # one row per date of the window
+    return (
+        rows.join(F.broadcast(window_rows(rows, p, method)), "date")
         .where((F.col("n") >= p.min_cov_obs) & (names >= 2))
+        .withColumn("mu", mean)
+        .select("security", "k", "n", (scale * (F.col("ret") - F.col("mu"))).alias("v"))
     )
-    if method == "ewma":
-        weighted = base.withColumn("w", ewma_weights(F.col("n"), p.ewma_halflife)).withColumn(
-            "mu", dot("w", "x")
-        )
-        a = F.zip_with("x", "w", lambda v, w: F.sqrt(w) * (v - F.col("mu")))
-    else:
-        ones = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
-        divisor = F.col("n") if method == "ledoit" else F.col("n") - 1
-        weighted = base.withColumn("mu", ones / F.col("n"))
-        a = F.transform("x", lambda v: (v - F.col("mu")) / F.sqrt(divisor))
-    return weighted.select("security", "n", a.alias("a"))
 
 
 def numbered(names: DataFrame, order: str) -> DataFrame:
@@ -97,9 +104,11 @@ def pair_index(pool: DataFrame, diagonal: bool = True) -> DataFrame:
 
 
 def pair_products(vecs: DataFrame, pool: DataFrame) -> DataFrame:
-    """(i, j, security_i, security_j, c) for i <= j."""
-    left = vecs.select(F.col("security").alias("security_i"), F.col("a").alias("_ai"))
-    right = vecs.select(F.col("security").alias("security_j"), F.col("a").alias("_aj"))
+    """(i, j, security_i, security_j, c) for i <= j: a name's entries become one
+    array as long as the window, so a pair is one row, not one per date."""
+    arrays = vecs.groupBy("security").agg(ordered_list("k", "v").alias("a"))
+    left = arrays.select(F.col("security").alias("security_i"), F.col("a").alias("_ai"))
+    right = arrays.select(F.col("security").alias("security_j"), F.col("a").alias("_aj"))
     return (
         pair_index(pool)
         .join(left, "security_i")
@@ -118,8 +127,7 @@ def shrinkage(vecs: DataFrame, pool: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("trace"),
     )
     per_row = (
-        vecs.select("n", F.posexplode("a").alias("k", "v"))
-        .groupBy("k")
+        vecs.groupBy("k")
         .agg(F.sum(F.col("v") * F.col("v")).alias("q"), F.first("n").alias("n"))
         .agg(
             # vectors carry 1/sqrt(n), so q * n is the row's squared length
@@ -127,7 +135,7 @@ def shrinkage(vecs: DataFrame, pool: DataFrame) -> DataFrame:
             F.first("n").alias("n"),
         )
     )
-    size = vecs.agg(F.count(F.lit(1)).alias("p"))
+    size = vecs.agg(F.count_distinct("security").alias("p"))
     row = (
         pairs.withColumn("p", size.scalar())
         .withColumn("n", per_row.select("n").scalar())
@@ -165,8 +173,8 @@ def covariance(rows: DataFrame, pool: DataFrame, p: Params, method: str | None =
 
 
 def risk_factors(rows: DataFrame, pool: DataFrame, p: Params) -> DataFrame:
-    """(security, k, v, ridge): the vectors in long form, with the diagonal
-    addition that a shrunk estimate carries."""
+    """(security, k, v, ridge): the vectors, with the diagonal addition that a
+    shrunk estimate carries."""
     vecs = vectors(rows, p)
     if p.cov_method == "ledoit":
         shrunk = shrinkage(vecs, pool)
@@ -175,8 +183,8 @@ def risk_factors(rows: DataFrame, pool: DataFrame, p: Params) -> DataFrame:
     else:
         keep, ridge = F.lit(1.0), F.lit(0.0)
     return vecs.select(
-        "security", F.posexplode("a").alias("k", "v"), ridge.alias("ridge")
-    ).withColumn("v", F.col("v") * keep)
+        "security", "k", (F.col("v") * keep).alias("v"), ridge.alias("ridge")
+    )
 
 
 def variances(factors: DataFrame) -> DataFrame:

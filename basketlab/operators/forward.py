@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import half_up, normal_cdf, ratio
+from basketlab.functions.exprs import normal_cdf, ratio
 from basketlab.operators.risk import newey_west_mean, with_drawdown
 from basketlab.params import Params
 
@@ -103,7 +103,7 @@ def jaccard(selections: DataFrame) -> DataFrame:
         membership(selections)
         .groupBy("pair")
         .agg(
-            half_up(
+            F.round(
                 ratio(F.count_if(a & b), F.count_if(a | b)), 4
             ).alias("jaccard"),
             F.count_if(a & b).alias("overlapCount"),
@@ -124,15 +124,24 @@ def selection_diff(selections: DataFrame) -> DataFrame:
 
 # --- statistics ------------------------------------------------------------------------
 
-def prob_sharpe(x: str, min_n: int = 3) -> Column:
+def moments(x: str, prefix: str) -> list[Column]:
+    """Aggregates from which the Sharpe statistics of a column follow."""
+    sd = F.stddev_samp(x)
+    return [
+        F.count(x).alias(f"{prefix}_n"),
+        ratio(F.avg(x), F.when(sd != 0, sd)).alias(f"{prefix}_sr"),
+        F.skewness(x).alias(f"{prefix}_g3"),
+        (F.kurtosis(x) + 3.0).alias(f"{prefix}_g4"),
+    ]
+
+
+def prob_sharpe(prefix: str, min_n: int = 3) -> Column:
     """Probability that the true Sharpe ratio is positive, from the observed
-    one, the sample length and its third and fourth moments."""
-    n = F.count(x)
-    sr = ratio(F.avg(x), F.when(F.stddev_samp(x) != 0, F.stddev_samp(x)))
-    g3, g4 = F.skewness(x), F.kurtosis(x) + 3.0
-    den = 1.0 - g3 * sr + (g4 - 1.0) / 4.0 * sr * sr
+    one, the sample length and its third and fourth moments (`moments`)."""
+    n, sr = F.col(f"{prefix}_n"), F.col(f"{prefix}_sr")
+    den = 1.0 - F.col(f"{prefix}_g3") * sr + (F.col(f"{prefix}_g4") - 1.0) / 4.0 * sr * sr
     z = sr * F.sqrt(n - 1) / F.sqrt(F.when(den > 0, den))
-    return F.when(n >= min_n, F.when(z.isNotNull(), normal_cdf(z)))
+    return F.when((n >= min_n) & z.isNotNull(), normal_cdf(z))
 
 
 def sharpe_excess(x: str, td: int) -> Column:
@@ -140,18 +149,15 @@ def sharpe_excess(x: str, td: int) -> Column:
     return ratio(F.avg(x), F.when(sd != 0, sd)) * F.lit(float(td) ** 0.5)
 
 
+def growth_annual(ret: str, td: int) -> Column:
+    return F.pow(F.product(1.0 + F.col(ret)), F.lit(float(td)) / F.count(ret)) - 1.0
+
+
 def forward_sortino(ret: str, rf: str, td: int) -> Column:
     """Null, not 0, when nothing fell below the target."""
     gap = F.col(ret) - F.col(rf)
     dev = F.sqrt(F.avg(F.when(gap < 0, gap * gap))) * F.lit(float(td) ** 0.5)
-    ann = F.pow(F.product(1.0 + F.col(ret)), F.lit(float(td)) / F.count(ret)) - 1.0
-    return ratio(ann - F.avg(rf) * td, F.when(dev != 0, dev))
-
-
-def forward_calmar(ret: str, drawdown: str, td: int) -> Column:
-    ann = F.pow(F.product(1.0 + F.col(ret)), F.lit(float(td)) / F.count(ret)) - 1.0
-    worst = F.abs(F.min(drawdown))
-    return ratio(ann, F.when(worst != 0, worst))
+    return ratio(growth_annual(ret, td) - F.avg(rf) * td, F.when(dev != 0, dev))
 
 
 def gated(stat: Column, n: Column, minimum: int) -> Column:
@@ -186,40 +192,57 @@ def with_both_drawdowns(rows: DataFrame, keys: list[str]) -> DataFrame:
 def comparison_stats(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
     """The gated panel per group of rows (ret, base, active, daily `rf`)."""
     td = p.trading_days
-    n = F.count("ret")
-    te = F.stddev_samp("active") * F.lit(float(td) ** 0.5)
-    ann = F.avg("active") * td
+    year = float(td) ** 0.5
     prepared = (
         with_both_drawdowns(rows, keys)
         .withColumn("_xa", F.col("ret") - F.col("rf"))
         .withColumn("_xb", F.col("base") - F.col("rf"))
     )
+    raw = prepared.groupBy(*keys).agg(
+        F.count("ret").alias("nDays"),
+        F.product(1.0 + F.col("active")).alias("_growth"),
+        (F.avg("active") * td).alias("_ann"),
+        (F.stddev_samp("active") * F.lit(year)).alias("_te"),
+        *moments("_xa", "a"),
+        *moments("_xb", "b"),
+        F.min("dd_arm").alias("_dda"),
+        F.min("dd_base").alias("_ddb"),
+        growth_annual("ret", td).alias("_ga"),
+        growth_annual("base", td).alias("_gb"),
+        forward_sortino("ret", "rf", td).alias("_sa"),
+        forward_sortino("base", "rf", td).alias("_sb"),
+    )
+    n = F.col("nDays")
+
+    def nonzero(c: str) -> Column:
+        return F.when(F.col(c) != 0, F.abs(F.col(c)))
 
     def annualised(stat: Column, digits: int, name: str) -> Column:
-        return half_up(gated(stat, n, p.min_annualise_days), digits).alias(name)
+        return F.round(gated(stat, n, p.min_annualise_days), digits).alias(name)
 
     def late(stat: Column, digits: int, name: str) -> Column:
-        return half_up(gated(stat, n, p.min_calmar_days), digits).alias(name)
-
-    panel = prepared.groupBy(*keys).agg(
-        n.alias("nDays"),
-        half_up(F.product(1.0 + F.col("active")) - 1.0, 4).alias("activeReturnCumulative"),
-        annualised(ann, 4, "activeReturnAnnualised"),
-        annualised(te, 4, "trackingError"),
-        annualised(ratio(ann, F.when(te != 0, te)), 3, "informationRatio"),
-        annualised(sharpe_excess("_xa", td), 3, "sharpe_arm"),
-        annualised(sharpe_excess("_xb", td), 3, "sharpe_baseline"),
-        half_up(F.min("dd_arm"), 4).alias("maxDrawdown_arm"),
-        half_up(F.min("dd_base"), 4).alias("maxDrawdown_baseline"),
-        annualised(forward_sortino("ret", "rf", td), 3, "sortino_arm"),
-        annualised(forward_sortino("base", "rf", td), 3, "sortino_baseline"),
-        late(forward_calmar("ret", "dd_arm", td), 3, "calmar_arm"),
-        late(forward_calmar("base", "dd_base", td), 3, "calmar_baseline"),
-        annualised(prob_sharpe("_xa"), 3, "probSharpe_arm"),
-        annualised(prob_sharpe("_xb"), 3, "probSharpe_baseline"),
+        return F.round(gated(stat, n, p.min_calmar_days), digits).alias(name)
+
+    panel = raw.select(
+        *keys,
+        "nDays",
+        F.round(F.col("_growth") - 1.0, 4).alias("activeReturnCumulative"),
+        annualised(F.col("_ann"), 4, "activeReturnAnnualised"),
+        annualised(F.col("_te"), 4, "trackingError"),
+        annualised(ratio("_ann", nonzero("_te")), 3, "informationRatio"),
+        annualised(F.col("a_sr") * year, 3, "sharpe_arm"),
+        annualised(F.col("b_sr") * year, 3, "sharpe_baseline"),
+        F.round("_dda", 4).alias("maxDrawdown_arm"),
+        F.round("_ddb", 4).alias("maxDrawdown_baseline"),
+        annualised(F.col("_sa"), 3, "sortino_arm"),
+        annualised(F.col("_sb"), 3, "sortino_baseline"),
+        late(ratio("_ga", nonzero("_dda")), 3, "calmar_arm"),
+        late(ratio("_gb", nonzero("_ddb")), 3, "calmar_baseline"),
+        annualised(prob_sharpe("a"), 3, "probSharpe_arm"),
+        annualised(prob_sharpe("b"), 3, "probSharpe_baseline"),
     )
     hac = newey_west_mean(rows, keys, "active").select(
-        *keys, half_up("t_stat", 3).alias("neweyWestT")
+        *keys, F.round("t_stat", 3).alias("neweyWestT")
     )
     return panel.join(hac, keys)
 
@@ -285,10 +308,10 @@ def block_bootstrap(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
     return observed.join(summary, keys, "left").select(
         *keys,
         "n",
-        half_up(F.when(F.col("n") >= p.min_bootstrap_days, F.col("observed")), 4).alias("difference"),
-        half_up("ci_low", 4).alias("ci_low"),
-        half_up("ci_high", 4).alias("ci_high"),
-        half_up(F.when(F.col("half_p").isNotNull(), F.least(F.lit(1.0), 2.0 * F.col("half_p"))), 4).alias("pValue"),
+        F.round(F.when(F.col("n") >= p.min_bootstrap_days, F.col("observed")), 4).alias("difference"),
+        F.round("ci_low", 4).alias("ci_low"),
+        F.round("ci_high", 4).alias("ci_high"),
+        F.round(F.when(F.col("half_p").isNotNull(), F.least(F.lit(1.0), 2.0 * F.col("half_p"))), 4).alias("pValue"),
     )
 
 

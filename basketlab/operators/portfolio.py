@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import half_up, ratio
+from basketlab.functions.exprs import ratio
 from basketlab.operators.prices import calendar_array
 from basketlab.params import Params
 
@@ -121,11 +121,11 @@ def weighted_mean(field: str) -> Column:
 
 def blended(holdings: DataFrame) -> DataFrame:
     return holdings.groupBy(*KEY).agg(
-        half_up(weighted_mean("peRatio"), 2).alias("pe"),
-        half_up(weighted_mean("fcfYield"), 4).alias("fcfYield"),
-        half_up(weighted_mean("revenueGrowth"), 4).alias("revenueGrowth"),
-        half_up(weighted_mean("returnOnEquity"), 4).alias("returnOnEquity"),
-        half_up(weighted_mean("netMargin"), 4).alias("netMargin"),
+        F.round(weighted_mean("peRatio"), 2).alias("pe"),
+        F.round(weighted_mean("fcfYield"), 4).alias("fcfYield"),
+        F.round(weighted_mean("revenueGrowth"), 4).alias("revenueGrowth"),
+        F.round(weighted_mean("returnOnEquity"), 4).alias("returnOnEquity"),
+        F.round(weighted_mean("netMargin"), 4).alias("netMargin"),
         weighted_mean("dividendYield").alias("weightedDividendYield"),
         F.count("netMargin").alias("coverage"),
     )
@@ -133,7 +133,7 @@ def blended(holdings: DataFrame) -> DataFrame:
 
 def sector_breakdown(holdings: DataFrame) -> DataFrame:
     return holdings.groupBy(*KEY, F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(
-        half_up(F.sum("weight"), 4).alias("weight")
+        F.round(F.sum("weight"), 4).alias("weight")
     )
 
 

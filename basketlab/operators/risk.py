@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import (
     bartlett_sum,
-    half_up,
     lagged_dot,
     newey_west_lags,
     ordered_list,
@@ -267,17 +266,17 @@ def window_metrics(aligned: DataFrame, p: Params) -> DataFrame:
     td, keys = p.trading_days, ["portfolio", "years"]
     rows = window_rows(aligned, p)
     main = with_drawdown(rows, keys).groupBy(*keys).agg(
-        half_up(geometric_annual("ret", td), 4).alias("annualReturn"),
-        half_up(annual_vol("ret", td), 4).alias("annualVolatility"),
-        half_up(sharpe(p), 3).alias("sharpeRatio"),
-        half_up(sortino(p), 3).alias("sortinoRatio"),
-        half_up(F.min("drawdown"), 4).alias("maximumDrawdown"),
-        half_up(calmar(p), 3).alias("calmarRatio"),
-        half_up(capm_alpha(td), 4).alias("alpha"),
-        half_up(beta(), 3).alias("beta"),
-        half_up(geometric_annual("bench", td), 4).alias("benchmarkReturn"),
+        F.round(geometric_annual("ret", td), 4).alias("annualReturn"),
+        F.round(annual_vol("ret", td), 4).alias("annualVolatility"),
+        F.round(sharpe(p), 3).alias("sharpeRatio"),
+        F.round(sortino(p), 3).alias("sortinoRatio"),
+        F.round(F.min("drawdown"), 4).alias("maximumDrawdown"),
+        F.round(calmar(p), 3).alias("calmarRatio"),
+        F.round(capm_alpha(td), 4).alias("alpha"),
+        F.round(beta(), 3).alias("beta"),
+        F.round(geometric_annual("bench", td), 4).alias("benchmarkReturn"),
     )
     hac = alpha_newey_west(rows, keys, p).select(
-        *keys, half_up("alphaTStat", 2).alias("alphaTStat")
+        *keys, F.round("alphaTStat", 2).alias("alphaTStat")
     )
     return main.join(hac, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import half_up, ratio
+from basketlab.functions.exprs import half_even, ratio
 from basketlab.functions.ranking import average_rank_pct, exact_median, value_ranks
 from basketlab.operators.facts import HEALTH_FIELDS
 from basketlab.params import Params
@@ -154,7 +154,7 @@ def score_universe(names: DataFrame, p: Params) -> DataFrame:
         for factor in members:
             mine = F.col("factor") == factor
             wide.append(
-                half_up(F.max(F.when(mine, F.col("pctl"))), 1).alias(f"{factor}_pctl")
+                half_even(F.max(F.when(mine, F.col("pctl"))), 1).alias(f"{factor}_pctl")
             )
             if pillar in SECTOR_NEUTRAL:
                 wide.append(
@@ -167,10 +167,10 @@ def score_universe(names: DataFrame, p: Params) -> DataFrame:
     )
     return rows.select(
         "security",
-        half_up("health", 2).alias("healthScore"),
-        half_up("valuation", 2).alias("valuationScore"),
-        half_up("momentum", 2).alias("momentumScore"),
-        half_up(composite(p), 2).alias("score"),
+        half_even("health", 2).alias("healthScore"),
+        half_even("valuation", 2).alias("valuationScore"),
+        half_even("momentum", 2).alias("momentumScore"),
+        half_even(composite(p), 2).alias("score"),
         *[c for c in rows.columns if c.endswith("_pctl") or c.endswith("_sectorRanked")],
     )
 
@@ -182,7 +182,7 @@ def sector_pe_median(names: DataFrame) -> DataFrame:
 
 def _fixed(c: Column, digits: int) -> Column:
     """Fixed decimals without thousands separators."""
-    return half_up(c, digits).cast(f"decimal(38,{digits})").cast("string")
+    return half_even(c, digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 def strengths() -> Column:
@@ -191,7 +191,7 @@ def strengths() -> Column:
     for factor, label in STRENGTH_LABELS.items():
         pctl, value = F.col(f"{factor}_pctl"), F.col(factor)
         scope = F.when(F.col(f"{factor}_sectorRanked"), "its sector").otherwise("the universe")
-        share = F.greatest(F.lit(1), half_up(100.0 - pctl, 0).cast("int"))
+        share = F.greatest(F.lit(1), half_even(100.0 - pctl, 0).cast("int"))
         band = F.when(pctl >= 99.5, F.concat(F.lit("the highest in "), scope)).otherwise(
             F.concat(F.lit("top "), share.cast("string"), F.lit("% of "), scope)
         )

@@ -46,7 +46,9 @@ def tidy(df: DataFrame, *columns) -> DataFrame:
     for f in df.schema.fields:
         c, t = F.col(f"`{f.name}`"), f.dataType
         if isinstance(t, T.DoubleType):
-            c = F.round(c, DIGITS)
+            # prices are cents over shares and can end in an exact half, which
+            # summation order would round either way
+            c = F.round(c + 1e-9, DIGITS)
         elif isinstance(t, T.DateType):
             c = c.cast("string")
         elif isinstance(t, (T.IntegerType, T.LongType, T.ShortType)):
@@ -679,7 +681,8 @@ def newey_west_mean(s: Screen) -> DataFrame:
 @query
 def prob_sharpe(s: Screen) -> DataFrame:
     rows = s.series.withColumn("x", F.col("ret") - F.col("rf_annual") / s.p.trading_days)
-    return tidy(rows.groupBy("portfolio").agg(forward.prob_sharpe("x").alias("prob_sharpe")))
+    found = rows.groupBy("portfolio").agg(*forward.moments("x", "x"))
+    return tidy(found, "portfolio", forward.prob_sharpe("x").alias("prob_sharpe"))
 
 
 @query
@@ -849,9 +852,7 @@ def tail_rows(s: Screen) -> DataFrame:
 
 @query
 def ewma_weights(s: Screen) -> DataFrame:
-    n = s.panel_rows.groupBy("security").agg(F.count(F.lit(1)).cast("int").alias("n")).agg(F.max("n").alias("n"))
-    w = n.select(F.posexplode(covariance.ewma_weights(F.col("n"), s.p.ewma_halflife)).alias("row", "weight"))
-    return tidy(w)
+    return tidy(covariance.window_rows(s.panel_rows, s.p, "ewma"), F.col("k").alias("row"), F.col("w").alias("weight"))
 
 
 @query
