@@ -38,6 +38,7 @@ LINE_ITEMS = {
 MERGED_BY_MAX = ("revenue", "capex")
 INSTANT = ("equity", "lt_debt")
 PER_SHARE = ("eps", "dps")
+SHARES = "shares"
 SHARES_CONCEPT = "EntityCommonStockSharesOutstanding"
 
 # fixed values: days a fiscal year may span, and the growth anchor's distance
@@ -52,66 +53,82 @@ RATIOS = [
 
 
 def line_item_table(spark: SparkSession) -> DataFrame:
-    """concept -> item, priority, unit, instant, merged (a couple of dozen rows)."""
+    """concept -> item, priority, unit, instant, merged (a couple of dozen rows).
+
+    Share counts are listed too, so one pass over the facts serves every item;
+    they come from any form (`annual` false).
+    """
     rows = [
-        (c, item, i, "USD/shares" if item in PER_SHARE else "USD",
-         item in INSTANT, item in MERGED_BY_MAX)
+        ("us-gaap", c, item, i, "USD/shares" if item in PER_SHARE else "USD",
+         item in INSTANT, item in MERGED_BY_MAX, True)
         for item, concepts in LINE_ITEMS.items()
         for i, c in enumerate(concepts)
     ]
+    rows.append(("dei", SHARES_CONCEPT, SHARES, 0, "shares", True, True, False))
     return spark.createDataFrame(
         rows,
-        "concept STRING, item STRING, priority INT, unit STRING, instant BOOLEAN, merged BOOLEAN",
+        "taxonomy STRING, concept STRING, item STRING, priority INT, unit STRING, "
+        "instant BOOLEAN, merged BOOLEAN, annual BOOLEAN",
     )
 
 
-def annual_filter(facts: DataFrame) -> DataFrame:
-    """Facts of annual filings; flow facts must span a fiscal year."""
+def usable_facts(facts: DataFrame) -> DataFrame:
+    """Facts of a known line item: annual filings, flow facts spanning a fiscal
+    year; share counts of any form."""
     span = F.datediff("end", "start")
     items = F.broadcast(line_item_table(facts.sparkSession))
+    is_annual = F.coalesce(F.col("form").startswith("10-K"), F.lit(False))
     return (
-        facts.where(
-            (F.col("taxonomy") == "us-gaap")
-            & F.col("form").startswith("10-K")
-            & F.col("val").isNotNull()
-            & F.col("end").isNotNull()
-        )
-        .join(items, ["concept", "unit"])
+        facts.where(F.col("val").isNotNull() & F.col("end").isNotNull())
+        .join(items, ["taxonomy", "concept", "unit"])
+        .where(~F.col("annual") | is_annual)
         .where(F.col("instant") | span.between(ANNUAL_MIN_DAYS, ANNUAL_MAX_DAYS))
     )
 
 
-def concept_series(facts: DataFrame) -> DataFrame:
-    """Per (entity, item, concept, end): the value filed last; among equal
-    filing dates the later `seq`, and a missing filing date sorts first."""
-    order = F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.col("seq"))
-    return (
-        annual_filter(facts)
-        .groupBy("entity", "item", "concept", "priority", "merged", "end")
-        .agg(F.max_by("val", order).alias("val"))
-    )
+def annual_filter(facts: DataFrame) -> DataFrame:
+    return usable_facts(facts).where("annual")
 
 
-def annual_series(facts: DataFrame) -> DataFrame:
-    """(entity, item, end, val).
+def latest_filed(usable: DataFrame) -> DataFrame:
+    """Per (entity, item, concept, end): the value filed last; among equal
+    filing dates the later `seq`, and a missing filing date sorts first. Share
+    counts take the largest value of an end date instead.
 
-    Merged items take the largest concept per year; others use the first
-    concept, in order of preference, that has any data for the entity.
+    Rows combine before the shuffle, so an entity with very many facts sends
+    one row per cell and task.
     """
+    order = F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.col("seq"))
+    last, largest = F.max_by("val", order), F.max("val")
+    return usable.groupBy(
+        "entity", "item", "concept", "priority", "merged", "annual", "end"
+    ).agg(F.when(F.col("annual"), last).otherwise(largest).alias("val"))
+
+
+def first_concept(values: DataFrame) -> DataFrame:
+    """(entity, item, end, val): merged items take the largest concept per year;
+    others use the first concept, in order of preference, with any data."""
     of_item = Window.partitionBy("entity", "item")
     return (
-        concept_series(facts)
-        .withColumn("best", F.min("priority").over(of_item))
+        values.withColumn("best", F.min("priority").over(of_item))
         .where("merged OR priority = best")
         .groupBy("entity", "item", "end")
         .agg(F.max("val").alias("val"))
     )
 
 
+def concept_series(facts: DataFrame) -> DataFrame:
+    return latest_filed(annual_filter(facts))
+
+
+def annual_series(facts: DataFrame) -> DataFrame:
+    return first_concept(concept_series(facts))
+
+
 def years_wide(series: DataFrame) -> DataFrame:
     """One row per (entity, end) with every line item as a column."""
     return series.groupBy("entity", "end").agg(
-        *[F.max(F.when(F.col("item") == i, F.col("val"))).alias(i) for i in LINE_ITEMS]
+        *[F.max(F.when(F.col("item") == i, F.col("val"))).alias(i) for i in (*LINE_ITEMS, SHARES)]
     )
 
 
@@ -190,30 +207,21 @@ def matched_fcf(wide: DataFrame) -> DataFrame:
 
 
 def shares_outstanding(facts: DataFrame) -> DataFrame:
-    return (
-        facts.where(
-            (F.col("taxonomy") == "dei")
-            & (F.col("concept") == SHARES_CONCEPT)
-            & (F.col("unit") == "shares")
-            & F.col("val").isNotNull()
-        )
-        .groupBy("entity")
-        .agg(F.max(F.struct("end", "val")).alias("s"))
-        .select("entity", F.col("s.val").alias("shares"))
-    )
+    """The largest share count of the latest date."""
+    rows = latest_filed(usable_facts(facts).where("NOT annual"))
+    return rows.groupBy("entity").agg(F.max_by("val", "end").alias("shares"))
 
 
 def fundamental_items(facts: DataFrame) -> DataFrame:
     """Latest line items, growth anchor and matched cash flow, one row per entity."""
-    items = [latest(i).alias(i) for i in LINE_ITEMS if i not in ("cfo", "capex")]
-    wide = with_anchors(years_wide(annual_series(facts)))
-    per_entity = wide.groupBy("entity").agg(*items, *growth_anchor_aggs(), *fcf_aggs())
-    return per_entity.join(shares_outstanding(facts), "entity", "full_outer")
+    items = [latest(i).alias(i) for i in (*LINE_ITEMS, SHARES) if i not in ("cfo", "capex")]
+    wide = with_anchors(years_wide(first_concept(latest_filed(usable_facts(facts)))))
+    return wide.groupBy("entity").agg(*items, *growth_anchor_aggs(), *fcf_aggs())
 
 
 def fundamental_ratios(facts: DataFrame, prices: DataFrame) -> DataFrame:
-    """Eleven ratios per security of `prices` (security, price); a security
-    without filings keeps a row of nulls."""
+    """Eleven ratios per security of `prices` (security, price, ...), whose other
+    columns pass through; a security without filings keeps a row of nulls."""
     rows = prices.join(
         fundamental_items(facts).withColumnRenamed("entity", "security"), "security", "left"
     )
@@ -226,8 +234,7 @@ def fundamental_ratios(facts: DataFrame, prices: DataFrame) -> DataFrame:
     shares = F.coalesce(implied, F.when(c("shares") != 0, c("shares")))
     cap = c("price") * shares
     return rows.select(
-        "security",
-        "price",
+        *prices.columns,
         ratio("price", eps).alias("peRatio"),
         ratio("dps", "price").alias("dividendYield"),
         gated_margin(gross, revenue).alias("grossMargin"),

@@ -87,14 +87,8 @@ def clean_returns(
     return daily_returns(bars, dates).withColumn("ret", clip("ret", -bound, bound))
 
 
-def trailing_returns(bars: DataFrame, p: Params, positive_base: bool = False) -> DataFrame:
-    """Return over each window at the last date, on forward-filled closes.
-
-    The filled close at a date is the last close on or before it, so one
-    aggregate with partial combine replaces the panel, the fill and the lags.
-    `positive_base` is the daily job's extra test on the base price.
-    """
-    cal = calendar_array(bars)
+def _trailing_aggs(bars: DataFrame, p: Params, dates: DataFrame | None) -> list[Column]:
+    cal = calendar_array(bars if dates is None else dates)
     days = F.size(cal)
     known = F.col("close").isNotNull()
     exprs = [F.max_by("close", F.when(known, F.col("date"))).alias("price")]
@@ -102,14 +96,30 @@ def trailing_returns(bars: DataFrame, p: Params, positive_base: bool = False) ->
         anchor = F.when(days > k, F.element_at(cal, F.greatest(days - k, F.lit(1))))
         upto = F.when(known & (F.col("date") <= anchor), F.col("date"))
         exprs.append(F.max_by("close", upto).alias(f"_{name}"))
-    out = bars.groupBy("security").agg(*exprs)
-    cols = []
+    return exprs
+
+
+def _trailing_columns(p: Params, positive_base: bool) -> list[Column]:
+    out = []
     for name, _ in p.return_windows:
         base = F.col(f"_{name}")
         if positive_base:
             base = F.when(base > 0, base)
-        cols.append((ratio("price", base) - 1.0).alias(name))
-    return out.select("security", "price", *cols)
+        out.append((ratio("price", base) - 1.0).alias(name))
+    return out
+
+
+def trailing_returns(
+    bars: DataFrame, p: Params, positive_base: bool = False, dates: DataFrame | None = None
+) -> DataFrame:
+    """Return over each window at the last date, on forward-filled closes.
+
+    The filled close at a date is the last close on or before it, so one
+    aggregate with partial combine replaces the panel, the fill and the lags.
+    `positive_base` is the daily job's extra test on the base price.
+    """
+    rows = bars.groupBy("security").agg(*_trailing_aggs(bars, p, dates))
+    return rows.select("security", "price", *_trailing_columns(p, positive_base))
 
 
 def screen_reason(p: Params) -> Column:
@@ -121,21 +131,38 @@ def screen_reason(p: Params) -> Column:
     )
 
 
+def _screen_aggs() -> list[Column]:
+    known = F.when(F.col("close").isNotNull(), F.col("date"))
+    return [
+        F.count("close").alias("n_obs"),
+        F.avg("volume").alias("avg_volume"),
+        F.max_by("close", known).alias("last_price"),
+    ]
+
+
 def liquidity_screen(bars: DataFrame, p: Params) -> DataFrame:
     """One row per security with its measures and the first failing rule."""
-    known = F.when(F.col("close").isNotNull(), F.col("date"))
     return (
         bars.groupBy("security")
-        .agg(
-            F.count("close").alias("n_obs"),
-            F.avg("volume").alias("avg_volume"),
-            F.max_by("close", known).alias("last_price"),
-        )
+        .agg(*_screen_aggs())
         .where("n_obs > 0")
         .withColumn("reason", screen_reason(p))
     )
 
 
+def security_measures(bars: DataFrame, p: Params) -> DataFrame:
+    """Screen measures and trailing returns from one pass over the bars."""
+    return (
+        bars.groupBy("security")
+        .agg(*_screen_aggs(), *_trailing_aggs(bars, p, None))
+        .where("n_obs > 0")
+        .select(
+            "security", "n_obs", "avg_volume", "last_price", screen_reason(p).alias("reason"),
+            *_trailing_columns(p, False),
+        )
+    )
+
+
 def benchmark_returns(returns: DataFrame) -> DataFrame:
     """Equal-weight mean of the clean returns per date."""
     return returns.groupBy("date").agg(F.avg("ret").alias("bench"))

@@ -92,7 +92,7 @@ def universe_load(s: Screen) -> DataFrame:
 @query
 def bars_load(s: Screen) -> DataFrame:
     asia = s.securities.where("sector = 'ASIA'")
-    return tidy(bar_source.load_bars(s.bars, asia, "2001-07-01", 3))
+    return tidy(bar_source.load_bars(s.raw_bars, asia, "2001-07-01", 3))
 
 
 @query
@@ -244,20 +244,21 @@ def annual_span_filter(s: Screen) -> DataFrame:
 @query
 def liquidity_screen(s: Screen) -> DataFrame:
     return tidy(
-        s.screened.where("reason IS NULL"), "security", "n_obs", "avg_volume", "last_price"
+        prices.liquidity_screen(s.raw_bars, s.p).where("reason IS NULL"),
+        "security", "n_obs", "avg_volume", "last_price",
     )
 
 
 @query
 def screen_reason(s: Screen) -> DataFrame:
-    return tidy(s.screened, "security", "reason")
+    return tidy(prices.liquidity_screen(s.raw_bars, s.p), "security", "reason")
 
 
 @query
 def health_data_filter(s: Screen) -> DataFrame:
     # an early price date leaves some names without a single usable fact
     early = s.facts.where(F.col("end") <= "1995-12-31")
-    ratios = facts.fundamental_ratios(early, s.survivors)
+    ratios = facts.fundamental_ratios(early, s.survivors.select("security", "price"))
     return tidy(facts.with_health_data(ratios), "security", *facts.HEALTH_FIELDS)
 
 
@@ -286,7 +287,7 @@ def growth_gate(s: Screen) -> DataFrame:
 
 @query
 def clean_returns(s: Screen) -> DataFrame:
-    return tidy(s.returns, "security", "date", "ret")
+    return tidy(prices.clean_returns(s.raw_bars), "security", "date", "ret")
 
 
 @query
@@ -354,7 +355,7 @@ def risk_flags(s: Screen) -> DataFrame:
 
 @query
 def calendar_grid(s: Screen) -> DataFrame:
-    return tidy(prices.calendar_grid(s.bars), "security", "date", "close", "volume")
+    return tidy(prices.calendar_grid(s.raw_bars), "security", "date", "close", "volume")
 
 
 @query
@@ -369,7 +370,7 @@ def score_join(s: Screen) -> DataFrame:
 def sector_lookup(s: Screen) -> DataFrame:
     """Bars' securities with their sector; a missing entry is `Unknown`."""
     known = s.securities.where("sub_industry <> 'NATION_7'").select("security", "sector")
-    priced = s.bars.select("security").distinct()
+    priced = s.raw_bars.select("security").distinct()
     return tidy(
         priced.join(known, "security", "left"),
         "security", F.coalesce("sector", F.lit("Unknown")).alias("sector"),
@@ -807,18 +808,19 @@ def pct_rank_sector(s: Screen) -> DataFrame:
 
 @query
 def ffill_prices(s: Screen) -> DataFrame:
-    return tidy(prices.forward_fill(prices.calendar_grid(s.bars)), "security", "date", "filled")
+    return tidy(prices.forward_fill(prices.calendar_grid(s.raw_bars)), "security", "date", "filled")
 
 
 @query
 def trailing_returns(s: Screen) -> DataFrame:
-    daily = prices.trailing_returns(s.bars, s.p, positive_base=True)
-    return tidy(s.trailing.join(daily.select("security", F.col("return1Y").alias("return1Y_daily")), "security"))
+    weekly = prices.trailing_returns(s.raw_bars, s.p)
+    daily = prices.trailing_returns(s.raw_bars, s.p, positive_base=True)
+    return tidy(weekly.join(daily.select("security", F.col("return1Y").alias("return1Y_daily")), "security"))
 
 
 @query
 def daily_returns(s: Screen) -> DataFrame:
-    return tidy(prices.daily_returns(s.bars), "security", "date", "ret")
+    return tidy(prices.daily_returns(s.raw_bars), "security", "date", "ret")
 
 
 @query

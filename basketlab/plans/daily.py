@@ -15,7 +15,8 @@ def refreshed_stocks(stocks: DataFrame, bars: DataFrame, p: Params) -> DataFrame
     keeps what it had."""
     names = [name for name, _ in p.return_windows]
     fresh = prices.trailing_returns(
-        bars.join(stocks.select("security"), "security", "left_semi"), p, positive_base=True
+        bars.join(stocks.select("security"), "security", "left_semi"), p,
+        positive_base=True, dates=bars,
     ).select("security", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in ["price", *names]])
     joined = stocks.join(fresh, "security", "left")
     new = {"price": F.coalesce("_price", "price")}

@@ -1,7 +1,7 @@
 """The weekly screen as one lazily built set of tables.
 
 Each attribute is a DataFrame; nothing runs until an action. The few tables
-that many branches share (`scored`, `arms`, `panel_factors`) are written once
+that many branches share (bars, measures, names, scores, arms) are written once
 and read back, so a plan that uses them several times neither recomputes them
 nor guesses their size.
 """
@@ -45,9 +45,15 @@ class Screen:
         )
 
     @cached_property
-    def bars(self) -> DataFrame:
+    def raw_bars(self) -> DataFrame:
+        """Bars derived on the fly: for jobs that pass over them once."""
         return warehouse.bars(self.table("lineitem"))
 
+    @cached_property
+    def bars(self) -> DataFrame:
+        """Bars kept as a table, a fraction of the lines they come from."""
+        return materialize(self.raw_bars, "bars")
+
     @cached_property
     def facts(self) -> DataFrame:
         return warehouse.facts(self.table("lineitem"))
@@ -79,17 +85,20 @@ class Screen:
         return prices.benchmark_returns(self.returns)
 
     @cached_property
-    def trailing(self) -> DataFrame:
-        return prices.trailing_returns(self.bars, self.p)
+    def measures(self) -> DataFrame:
+        return materialize(prices.security_measures(self.bars, self.p), "measures")
 
     @cached_property
     def screened(self) -> DataFrame:
-        return prices.liquidity_screen(self.bars, self.p)
+        return self.measures.select(
+            "security", "n_obs", "avg_volume", "last_price", "reason"
+        )
 
     @cached_property
     def survivors(self) -> DataFrame:
-        return self.screened.where("reason IS NULL").select(
-            "security", F.col("last_price").alias("price")
+        windows = [name for name, _ in self.p.return_windows]
+        return self.measures.where("reason IS NULL").select(
+            "security", F.col("last_price").alias("price"), *windows
         )
 
     # --- fundamentals and scores ----------------------------------------------------------
@@ -105,20 +114,17 @@ class Screen:
     def names(self) -> DataFrame:
         """Scorable names: ratios, trailing returns and sector, one row each."""
         looked_up = self.securities.select("security", "name", "sector", "sub_industry")
-        momentum = self.trailing.drop("price")
-        return (
+        rows = (
             facts.with_health_data(self.ratios)
-            .join(momentum, "security", "left")
             .join(looked_up, "security", "left")
             .withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
         )
+        return materialize(rows, "names")
 
     @cached_property
     def scored(self) -> DataFrame:
-        names = materialize(self.names, "names")
-        return materialize(
-            names.join(scoring.score_universe(names, self.p), "security"), "scored"
-        )
+        scores = scoring.score_universe(self.names, self.p)
+        return materialize(self.names.join(scores, "security"), "scored")
 
     @cached_property
     def medians(self) -> DataFrame:
@@ -189,7 +195,8 @@ class Screen:
     @cached_property
     def stocks(self) -> DataFrame:
         """Published rows: the top names with their weight in the baseline fund."""
-        fund = self.arms.where(F.col("portfolio") == self.p.baseline_arm).select(
+        picked = self.top.select(F.lit(self.p.baseline_arm).alias("portfolio"), "security", "score")
+        fund = portfolio.capped_weights(picked, self.p.max_weight).select(
             "security", F.round("weight", 5).alias("fundWeight")
         )
         return self.top.join(fund, "security", "left")
