@@ -90,6 +90,14 @@ def annual_filter(facts: DataFrame) -> DataFrame:
     return usable_facts(facts).where("annual")
 
 
+def filing_order() -> Column:
+    """Filing date, then `seq` (an integer below 10^33), as one number: a fixed
+    width key keeps the aggregate on hash maps, where a struct would sort."""
+    days = F.datediff(F.coalesce("filed", F.lit("1900-01-01").cast("date")), F.lit("1900-01-01").cast("date"))
+    shift = F.lit("1" + "0" * 33).cast("decimal(34,0)")
+    return (days.cast("decimal(5,0)") * shift).cast("decimal(38,0)") + F.col("seq").cast("decimal(33,0)")
+
+
 def latest_filed(usable: DataFrame) -> DataFrame:
     """Per (entity, item, concept, end): the value filed last; among equal
     filing dates the later `seq`, and a missing filing date sorts first. Share
@@ -98,8 +106,7 @@ def latest_filed(usable: DataFrame) -> DataFrame:
     Rows combine before the shuffle, so an entity with very many facts sends
     one row per cell and task.
     """
-    order = F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")), F.col("seq"))
-    last, largest = F.max_by("val", order), F.max("val")
+    last, largest = F.max_by("val", filing_order()), F.max("val")
     return usable.groupBy(
         "entity", "item", "concept", "priority", "merged", "annual", "end"
     ).agg(F.when(F.col("annual"), last).otherwise(largest).alias("val"))

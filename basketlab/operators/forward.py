@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketlab.functions.exprs import normal_cdf, ratio
 from basketlab.operators.risk import newey_west_mean, with_drawdown
 from basketlab.params import Params
+from basketlab.sources.rates import mean_filled
 
 # fixed values: arm registry, in display order
 ARM_LABELS = {
@@ -315,13 +316,17 @@ def block_bootstrap(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
     )
 
 
-def forward_stats(marks: DataFrame, rf_daily: DataFrame, p: Params) -> DataFrame:
-    """One row per arm other than the baseline. `rf_daily` is (date, rf)."""
-    from basketlab.sources.rates import mean_filled
-
+def compared(marks: DataFrame, rf_daily: DataFrame, p: Params) -> DataFrame:
+    """`against_baseline` with the daily rate of each date. `rf_daily` is
+    (date, rf); a date it lacks takes its mean."""
     rows = against_baseline(marks, p)
-    rates = mean_filled(rows.select("date").distinct(), rf_daily)
-    rows = rows.join(F.broadcast(rates), "date")
+    filled = mean_filled(rows.select("date").distinct(), rf_daily)
+    # one row per logged date
+    return rows.join(F.broadcast(filled), "date")
+
+
+def forward_stats(rows: DataFrame, p: Params) -> DataFrame:
+    """One row per arm other than the baseline, from `compared` rows."""
     boot = block_bootstrap(rows, ["arm"], p).drop("n")
     return (
         comparison_stats(rows, ["arm"], p)

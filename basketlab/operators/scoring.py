@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import half_even, ratio
 from basketlab.functions.ranking import average_rank_pct, exact_median, value_ranks
-from basketlab.operators.facts import HEALTH_FIELDS
 from basketlab.params import Params
 
 # fixed values: pillar -> factor -> which direction is good
@@ -283,26 +282,25 @@ def top_by_score(names: DataFrame, n: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def screen_funnel(securities: DataFrame, screened: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Universe, screened, scored, excluded and the count per reason, one row."""
-    universe = securities.agg(F.count(F.lit(1)).alias("universe_size"))
-    by_reason = screened.agg(
+def screen_funnel(securities: DataFrame, screened: DataFrame, names: DataFrame) -> DataFrame:
+    """Universe, screened, scored, excluded and the count per reason, one row.
+
+    `names` are the survivors with health data; the others are the last reason.
+    """
+    counts = screened.agg(
         *[
             F.count(F.when(F.col("reason") == r, 1)).alias(r)
             for r in ("insufficientHistory", "lowLiquidity", "lowPrice")
         ],
         F.count(F.when(F.col("reason").isNull(), 1)).alias("screened_count"),
     )
-    healthy = ratios.agg(
-        F.count(F.coalesce(*HEALTH_FIELDS)).alias("scored_count"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    row = by_reason.withColumn("universe_size", universe.scalar())
-    row = row.withColumn("scored_count", healthy.select("scored_count").scalar())
-    row = row.withColumn("noHealthData", healthy.select(F.col("n") - F.col("scored_count")).scalar())
+    row = counts.withColumn(
+        "universe_size", securities.agg(F.count(F.lit(1))).scalar()
+    ).withColumn("scored_count", names.agg(F.count(F.lit(1))).scalar())
     return row.select(
         "universe_size", "screened_count", "scored_count",
         (F.col("universe_size") - F.col("scored_count")).alias("excluded_count"),
         "insufficientHistory", "lowLiquidity", "lowPrice",
-        F.lit(0).cast("bigint").alias("missingFundamentals"), "noHealthData",
+        F.lit(0).cast("bigint").alias("missingFundamentals"),
+        (F.col("screened_count") - F.col("scored_count")).alias("noHealthData"),
     )

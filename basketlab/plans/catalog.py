@@ -98,8 +98,7 @@ def bars_load(s: Screen) -> DataFrame:
 @query
 def facts_flatten(s: Screen) -> DataFrame:
     path = scratch_path(s.spark, "filings")
-    by_order = s.facts.withColumn("order", F.col("seq.l_orderkey"))
-    filings.nest_facts(by_order, ["order"]).write.json(path)
+    filings.nest_facts(s.facts, ["filing"]).write.json(path)
     flat = filings.flatten_filings(filings.read_filings(s.spark, path))
     return tidy(flat, "entity", "taxonomy", "concept", "unit", "start", "end", "val", "filed", "form")
 
@@ -532,7 +531,7 @@ def composite_score(s: Screen) -> DataFrame:
 
 @query
 def screen_funnel(s: Screen) -> DataFrame:
-    return tidy(scoring.screen_funnel(s.securities, s.screened, s.ratios))
+    return tidy(scoring.screen_funnel(s.securities, s.screened, s.names))
 
 
 @query
@@ -699,7 +698,7 @@ def cumulative_active(s: Screen) -> DataFrame:
 
 @query
 def forward_stats(s: Screen) -> DataFrame:
-    return tidy(forward.forward_stats(s.marks, s.rf_daily, s.p))
+    return tidy(forward.forward_stats(s.compared, s.p))
 
 
 @query
@@ -952,7 +951,7 @@ def aligned_dates(s: Screen) -> DataFrame:
 
 @query
 def block_bootstrap_sharpe(s: Screen) -> DataFrame:
-    return tidy(forward.block_bootstrap(s.against_baseline, ["arm"], s.p))
+    return tidy(forward.block_bootstrap(s.compared, ["arm"], s.p))
 
 
 @query

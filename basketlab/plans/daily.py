@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketlab.operators import forward, portfolio, prices
 from basketlab.params import Params
 from basketlab.sources import forward_log
+from basketlab.sources.scratch import materialize
 
 
 def refreshed_stocks(stocks: DataFrame, bars: DataFrame, p: Params) -> DataFrame:
@@ -35,5 +36,6 @@ def refreshed_log(
 
 def refreshed_stats(log: DataFrame, rf_daily: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """Forward statistics and NAV, both recomputed from the log."""
-    marks = forward_log.explode_marks(log)
-    return forward.forward_stats(marks, rf_daily, p), forward.forward_nav(marks)
+    marks = forward_log.explode_marks(log).withColumn("date", F.col("date").cast("date"))
+    rows = materialize(forward.compared(marks, rf_daily, p), "compared")
+    return forward.forward_stats(rows, p), forward.forward_nav(marks)

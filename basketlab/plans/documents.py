@@ -66,7 +66,7 @@ def research_document(s: Screen) -> DataFrame:
         materialize(arm_rows, "arm_rows"),
         forward.jaccard(s.selections),
         forward.selection_diff(s.selections),
-        forward.forward_stats(s.marks, s.rf_daily, s.p),
+        forward.forward_stats(s.compared, s.p),
         forward.nav_points(forward.forward_nav(s.marks)),
         s.marks,
         s.bars.agg(F.max("date")).scalar(),
@@ -91,10 +91,10 @@ def stock_rows(s: Screen, stocks: DataFrame) -> DataFrame:
 def screen_document(s: Screen, stocks: DataFrame) -> DataFrame:
     """The whole result as one row. Only top-n rows, arms and per-date series
     go in; the universe enters as counts."""
-    rows = stock_rows(s, stocks)
+    rows = materialize(stock_rows(s, stocks), "stocks")
     listed = rows.agg(ordered_list("rank", F.struct(*rows.columns))).scalar()
     research = materialize(research_document(s), "research")
-    funnel = scoring.screen_funnel(s.securities, s.screened, s.ratios)
+    funnel = scoring.screen_funnel(s.securities, s.screened, s.names)
     last = s.bars.agg(F.max("date")).scalar()
     newest = s.gauges.agg(F.max("date")).scalar()
     conditions = market.market_summary(

@@ -270,7 +270,6 @@ class Screen:
         )
 
     @cached_property
-    def against_baseline(self) -> DataFrame:
-        rows = forward.against_baseline(self.marks, self.p)
-        dates = rates.mean_filled(rows.select("date").distinct(), self.rf_daily)
-        return rows.join(F.broadcast(dates), "date")
+    def compared(self) -> DataFrame:
+        """Arms against the baseline: arms x logged dates rows."""
+        return materialize(forward.compared(self.marks, self.rf_daily, self.p), "compared")

@@ -26,7 +26,8 @@ def explode_marks(log: DataFrame) -> DataFrame:
 
 def record(marks: DataFrame, run_type: str, run_seq: int) -> DataFrame:
     """Marks (date, arm, ret) -> one log record per date."""
-    rounded = F.round(finite("ret"), 6)
+    # the inner round absorbs summation-order noise
+    rounded = F.round(F.round(finite("ret"), 12), 6)
     return marks.groupBy(F.col("date").cast("string").alias("date")).agg(
         F.lit(run_type).alias("runType"),
         F.map_from_entries(

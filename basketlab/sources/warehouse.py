@@ -7,7 +7,7 @@ as yield prints, events as realised forward returns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.sources.schemas import TABLES
@@ -46,77 +46,76 @@ def bars(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _fact(concept: str, unit: str, scale: float, taxonomy: str = "us-gaap",
-          instant: bool = False, when: Column | None = None) -> Column:
-    row = F.struct(
-        F.lit(taxonomy).alias("taxonomy"), F.lit(concept).alias("concept"),
-        F.lit(unit).alias("unit"), F.lit(instant).alias("instant"),
-        F.lit(scale).alias("scale"),
-    )
-    return row if when is None else F.when(when, row)
-
-
-def _facts_of_line() -> Column:
-    """Which facts a shipped line stands for, by its line number."""
-    key = F.col("l_suppkey")
-    by_line = {
-        1: [_fact("Revenues", "USD", 1.0)],
-        2: [_fact("SalesRevenueNet", "USD", 1.0)],
-        3: [
-            _fact("NetIncomeLoss", "USD", 0.1),
-            _fact("EarningsPerShareDiluted", "USD/shares", 0.0001),
-            _fact("CommonStockDividendsPerShareDeclared", "USD/shares", 0.00002,
-                  when=key % 3 == 0),
-        ],
-        4: [
-            _fact("StockholdersEquity", "USD", 0.5, instant=True),
-            _fact("LongTermDebt", "USD", 0.2, instant=True, when=key % 2 == 1),
-        ],
-        5: [
-            _fact("OperatingIncomeLoss", "USD", 0.2),
-            _fact("GrossProfit", "USD", 0.35, when=key % 3 == 1),
-            _fact("CostOfRevenue", "USD", 0.6, when=key % 3 == 2),
-        ],
-        6: [_fact("NetCashProvidedByUsedInOperatingActivities", "USD", 0.3)],
-        7: [
-            _fact("PaymentsToAcquirePropertyPlantAndEquipment", "USD", 0.1,
-                  when=F.year("l_shipdate") < 1999),
-            _fact("PaymentsToAcquireProductiveAssets", "USD", 0.1,
-                  when=F.year("l_shipdate") >= 1998),
-            _fact("EntityCommonStockSharesOutstanding", "shares", 0.01, taxonomy="dei",
-                  instant=True),
-        ],
-    }
-    out = None
-    for number, rows in by_line.items():
-        test = F.col("l_linenumber") == number
-        out = F.when(test, F.array(*rows)) if out is None else out.when(test, F.array(*rows))
-    return F.array_compact(out)
+# fixed values: shipped line number -> the facts it stands for
+# (line, taxonomy, concept, unit, instant, share of the line's price, when)
+FACTS_OF_LINE = [
+    (1, "us-gaap", "Revenues", "USD", False, 1.0, "always"),
+    (2, "us-gaap", "SalesRevenueNet", "USD", False, 1.0, "always"),
+    (3, "us-gaap", "NetIncomeLoss", "USD", False, 0.1, "always"),
+    (3, "us-gaap", "EarningsPerShareDiluted", "USD/shares", False, 0.0001, "always"),
+    (3, "us-gaap", "CommonStockDividendsPerShareDeclared", "USD/shares", False, 0.00002, "third"),
+    (4, "us-gaap", "StockholdersEquity", "USD", True, 0.5, "always"),
+    (4, "us-gaap", "LongTermDebt", "USD", True, 0.2, "odd"),
+    (5, "us-gaap", "OperatingIncomeLoss", "USD", False, 0.2, "always"),
+    (5, "us-gaap", "GrossProfit", "USD", False, 0.35, "third+1"),
+    (5, "us-gaap", "CostOfRevenue", "USD", False, 0.6, "third+2"),
+    (6, "us-gaap", "NetCashProvidedByUsedInOperatingActivities", "USD", False, 0.3, "always"),
+    (7, "us-gaap", "PaymentsToAcquirePropertyPlantAndEquipment", "USD", False, 0.1, "to 1998"),
+    (7, "us-gaap", "PaymentsToAcquireProductiveAssets", "USD", False, 0.1, "from 1998"),
+    (7, "dei", "EntityCommonStockSharesOutstanding", "shares", True, 0.01, "always"),
+]
 
 
 def facts(lineitem: DataFrame) -> DataFrame:
-    """Long filing facts. `seq` keeps the order of equal filing dates unique."""
+    """Long filing facts, each shipped line standing for up to three of them.
+
+    `seq` keeps the order of equal filing dates unique: order, line, part and
+    quantity side by side in one decimal, which aggregates by hash where a
+    struct would need a sort.
+    """
+    kinds = lineitem.sparkSession.createDataFrame(
+        FACTS_OF_LINE,
+        "line INT, taxonomy STRING, concept STRING, unit STRING, instant BOOLEAN, "
+        "scale DOUBLE, kind STRING",
+    )
     shipped = F.to_date("l_shipdate")
-    end = F.make_date(F.year(shipped), F.lit(12), F.lit(31))
+    year = F.year(shipped)
+    end = F.make_date(year, F.lit(12), F.lit(31))
+    applies = (
+        F.when(F.col("kind") == "always", True)
+        .when(F.col("kind") == "odd", F.col("l_suppkey") % 2 == 1)
+        .when(F.col("kind") == "third", F.col("l_suppkey") % 3 == 0)
+        .when(F.col("kind") == "third+1", F.col("l_suppkey") % 3 == 1)
+        .when(F.col("kind") == "third+2", F.col("l_suppkey") % 3 == 2)
+        .when(F.col("kind") == "to 1998", year < 1999)
+        .otherwise(year >= 1998)
+    )
+    low = (
+        F.col("l_linenumber").cast("bigint") * 10**14
+        + F.col("l_partkey") * 100
+        + F.col("l_quantity").cast("bigint")
+    )
+    seq = F.col("l_orderkey").cast("decimal(18,0)") * F.lit(10**15).cast("decimal(16,0)") + low.cast(
+        "decimal(18,0)"
+    )
     return (
-        lineitem.select("*", F.explode(_facts_of_line()).alias("f"))
+        lineitem.join(F.broadcast(kinds), F.col("l_linenumber") == F.col("line"))
+        .where(applies)
         .select(
             F.col("l_suppkey").cast("string").alias("entity"),
-            F.col("f.taxonomy"),
-            F.col("f.concept"),
-            F.col("f.unit"),
+            "taxonomy",
+            "concept",
+            "unit",
             F.when(
-                ~F.col("f.instant"),
+                ~F.col("instant"),
                 F.date_sub(end, (300 + 3 * F.col("l_quantity")).cast("int")),
             ).alias("start"),
             end.alias("end"),
-            (F.col("l_extendedprice") * F.col("f.scale")).alias("val"),
+            (F.col("l_extendedprice") * F.col("scale")).alias("val"),
             shipped.alias("filed"),
             F.when(F.col("l_linestatus") == "F", "10-K").otherwise("10-Q").alias("form"),
-            F.struct(
-                F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"),
-                F.col("l_quantity").cast("int").alias("l_quantity"),
-            ).alias("seq"),
+            seq.cast("decimal(33,0)").alias("seq"),
+            F.col("l_orderkey").alias("filing"),
         )
     )
 

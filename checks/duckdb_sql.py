@@ -814,11 +814,17 @@ SQL["rf_fallback"] = f"""
 select 'primary' as source, count(*) as n, {day('min(date)')} as first_date, {r('avg(rf_annual)')} as mean_rf from v_rf
 union all select 'cached', count(*), {day('min(date)')}, {r('avg(rf_annual + 0.01)')} from v_rf
 union all select 'constant', 1, '1990-01-01', {P.risk_free}"""
+def logged(expr: str) -> str:
+    """Six decimals as the log stores them: exact halves away from zero."""
+    return f"cast(round(cast({expr} as decimal(24, 12)), 6) as double)"
+
+
 SQL["log_read"] = f"""
-select {day('date')} as date, arm, {r('ret')} as ret from v_marks where day(date) % 7 <> 3"""
+select {day('date')} as date, arm, {logged('ret')} as ret from v_marks where day(date) % 7 <> 3"""
+
 SQL["log_upsert"] = f"""
 select {day('date')} as date, case when date >= date '2024-01-10' then 'daily' else 'weekly' end as "runType", arm,
-  case when date < date '2024-01-10' then {r('ret')} when day(date) % 9 <> 0 then {r('ret * 1.5')} end as ret
+  case when date < date '2024-01-10' then {logged('ret')} when day(date) % 9 <> 0 then {logged('ret * 1.5')} end as ret
 from v_marks"""
 SQL["snapshot_write"] = f"""
 select true as success, 'weekly' as run_type, pos as rank, security as ticker, sector, score,
@@ -1164,7 +1170,7 @@ join (select portfolio, sum(weight) as total from v_book group by 1) t on b.port
 group by b.portfolio, q.date"""
 SQL["stream_log_upsert"] = f"""
 select {day('date')} as date, case when date >= date '2024-01-05' then 'daily' else 'weekly' end as "runType", arm,
-  {r("ret * case when date >= date '2024-01-08' then 2.0 when date >= date '2024-01-05' then 1.5 else 1.0 end")} as ret
+  {logged("ret * case when date >= date '2024-01-08' then 2.0 when date >= date '2024-01-05' then 1.5 else 1.0 end")} as ret
 from v_marks"""
 
 
