@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import half_even, ratio
+from basketlab.functions.exprs import finite, half_even, ratio
 from basketlab.functions.ranking import average_rank_pct, exact_median, value_ranks
 from basketlab.params import Params
 
@@ -59,7 +59,7 @@ def factor_rows(names: DataFrame, factors: dict = FACTORS) -> DataFrame:
                     F.lit(factor).alias("factor"),
                     F.lit(direction).alias("direction"),
                     F.lit(pillar in SECTOR_NEUTRAL).alias("neutral"),
-                    value.cast("double").alias("value"),
+                    finite(value).alias("value"),
                 )
             )
     sector = F.coalesce("sector", F.lit("Unknown"))

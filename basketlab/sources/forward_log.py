@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import finite
@@ -39,12 +39,12 @@ def record(marks: DataFrame, run_type: str, run_seq: int) -> DataFrame:
 
 def upsert(log: DataFrame, new: DataFrame) -> DataFrame:
     """One record per date: the one of the latest run. Both carry `run_seq`."""
-    latest = Window.partitionBy("date").orderBy(F.desc("run_seq"))
+    both = log.unionByName(new, allowMissingColumns=True)
+    body = [c for c in both.columns if c != "date"]
     return (
-        log.unionByName(new, allowMissingColumns=True)
-        .withColumn("rn", F.row_number().over(latest))
-        .where("rn = 1")
-        .drop("rn")
+        both.groupBy("date")
+        .agg(F.max_by(F.struct(*body), "run_seq").alias("r"))
+        .select("date", "r.*")
     )
 
 

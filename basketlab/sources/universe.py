@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,14 @@ def load_universe(lists: list[DataFrame]) -> DataFrame:
     rows = reduce(lambda a, b: a.unionByName(b), tagged).withColumn(
         "ticker", F.upper(F.trim("ticker"))
     )
-    latest = Window.partitionBy("ticker").orderBy(F.desc("priority"), F.desc("line"))
-    return (
-        rows.withColumn("rn", F.row_number().over(latest))
-        .where("rn = 1")
-        .select(
-            "ticker",
-            F.coalesce(F.trim("name"), F.col("ticker")).alias("name"),
-            F.coalesce("sector", F.lit("Unknown")).alias("sector"),
-            F.coalesce(F.trim("sub_industry"), F.lit("")).alias("sub_industry"),
-            F.col("cik").try_cast("bigint").alias("cik"),
-        )
+    # combines before the shuffle, however often a ticker is listed
+    newest = F.max_by(
+        F.struct("name", "sector", "sub_industry", "cik"), F.struct("priority", "line")
+    )
+    return rows.groupBy("ticker").agg(newest.alias("r")).select(
+        "ticker",
+        F.coalesce(F.trim("r.name"), F.col("ticker")).alias("name"),
+        F.coalesce("r.sector", F.lit("Unknown")).alias("sector"),
+        F.coalesce(F.trim("r.sub_industry"), F.lit("")).alias("sub_industry"),
+        F.col("r.cik").try_cast("bigint").alias("cik"),
     )
