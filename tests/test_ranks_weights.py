@@ -114,7 +114,8 @@ def test_capped_weights_match_the_loop(spark, cap):
 
 def test_group_limit_comes_before_the_shuffle(spark):
     df = spark.range(1000).select(
-        F.lit("p").alias("portfolio"), F.col("id").cast("string").alias("security"), F.rand(1).alias("score")
+        (F.col("id") % 3).alias("portfolio"), F.col("id").cast("string").alias("security"),
+        F.hash("id").cast("double").alias("score"),
     )
     plan = portfolio.capped_weights(df, 0.04)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
