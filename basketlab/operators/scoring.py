@@ -209,6 +209,9 @@ def relative_pe() -> Column:
     return ratio("peRatio", med) - 1.0
 
 
+# fixed values: the wording of reasons and flags, and their thresholds, below
+
+
 def reasons() -> Column:
     debt = F.col("debtToEquity")
     low_debt = F.when(

@@ -136,7 +136,7 @@ class Screen:
 
     @cached_property
     def top(self) -> DataFrame:
-        return scoring.top_by_score(self.scored, self.p.top_n)
+        return materialize(scoring.top_by_score(self.scored, self.p.top_n), "top")
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -221,7 +221,7 @@ class Screen:
             nav,
             portfolio.sector_breakdown(self.arms),
             self.p,
-            name="US Quality-Tilted Fund",
+            name="Screened fund",
             weighting="score-weighted",
         )
 

@@ -1055,7 +1055,7 @@ from ({returns_of('v_arms')}) a join v_bench b on a.date = b.date join v_rfcal f
 VIEWS["v_armnav"] = VIEWS["v_nav"].replace("v_al)", "v_armal)")
 VIEWS["v_armwin"] = VIEWS["v_win"].replace("v_al)", "v_armal)")
 SQL["arm_fund_report"] = f"""
-select w.portfolio, 'US Quality-Tilted Fund' as name, 'score-weighted' as weighting, '{P.benchmark}' as benchmark,
+select w.portfolio, 'Screened fund' as name, 'score-weighted' as weighting, '{P.benchmark}' as benchmark,
   w.constituents, b.pe, {r('m3.s', 3)} as sharpe_3y, {r('m5.a', 4)} as alpha_5y, n.points as nav_points,
   n.last_nav, s.n_sectors, s.largest as largest_sector
 from (select portfolio, count(*) as constituents from v_arms group by 1) w
