@@ -103,3 +103,9 @@ def ordered_list(order, body) -> Column:
         lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0),
     )
     return F.transform(by_order, lambda e: e["b"])
+
+
+def draw(*parts: Column | str | int) -> Column:
+    """Repeatable independent draw below 2^32: the first 8 digits of a hash of the parts."""
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")

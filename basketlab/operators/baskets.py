@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import ratio
+from basketlab.functions.exprs import draw, ratio
 from basketlab.operators.covariance import pair_index, quadratic_form, variances
 from basketlab.operators.portfolio import capped_weights, equal_weights
 from basketlab.params import Params
@@ -48,12 +48,6 @@ def objective_terms(cov: DataFrame, pool: DataFrame, p: Params, k: int) -> DataF
     )
 
 
-def mixed(a: Column, b: Column) -> Column:
-    """Repeatable pseudo-random integer of two integers."""
-    m = F.lit(2147483647)
-    return F.pmod(F.pmod(a * 48271 + b * 69621 + 11, m) * 16807, m)
-
-
 def candidate_baskets(pool: DataFrame, k: int, n_mixed: int = 20) -> DataFrame:
     """(basket, security): the k best, the best per sector, and repeatable
     random subsets of size k, all drawn from the bounded pool."""
@@ -69,7 +63,7 @@ def candidate_baskets(pool: DataFrame, k: int, n_mixed: int = 20) -> DataFrame:
     drawn = names.select(
         "security", "pos", F.explode(F.sequence(F.lit(1), F.lit(n_mixed))).alias("rep")
     )
-    order = Window.partitionBy("rep").orderBy(mixed(F.col("rep").cast("bigint"), F.col("pos").cast("bigint")), "pos")
+    order = Window.partitionBy("rep").orderBy(draw(F.col("rep"), F.col("pos"), "basket"), "pos")
     subsets = (
         drawn.withColumn("_r", F.row_number().over(order))
         .where(F.col("_r") <= k)
@@ -172,8 +166,9 @@ def weight_schemes(selection: DataFrame, factors: DataFrame, p: Params) -> DataF
 
     by_score = capped_weights(tagged(rows, "score_capped"), p.max_weight)
     equal = equal_weights(tagged(rows, "equal"))
+    # a name without a variance keeps its row, at weight 0
     by_vol = capped_weights(
-        tagged(rows.join(vol.select("security", "inv_vol"), "security"), "inverse_vol"),
+        tagged(rows.join(vol.select("security", "inv_vol"), "security", "left"), "inverse_vol"),
         p.max_weight, score="inv_vol",
     ).drop("inv_vol")
     return by_score.unionByName(equal).unionByName(by_vol).withColumnRenamed("portfolio", "scheme")
@@ -181,12 +176,16 @@ def weight_schemes(selection: DataFrame, factors: DataFrame, p: Params) -> DataF
 
 def weight_report(schemes: DataFrame, factors: DataFrame, p: Params) -> DataFrame:
     """Per scheme: variance, largest weight, names at the cap, effective number
-    of names, objective value, and whether the cap can be met at all."""
+    of names, objective value, and whether the scheme can be used: the cap can be
+    met and every name has a variance. Else the whole selection falls back to its
+    score weights; no part of it is optimised alone."""
     biggest = variances(factors).agg(F.max("var")).scalar()
     scale = F.when(biggest != 0, biggest).otherwise(1.0)
     w, cap = F.col("weight"), p.max_weight
-    sums = schemes.groupBy("scheme").agg(
+    known = schemes.join(variances(factors).select("security", F.lit(1).alias("_v")), "security", "left")
+    sums = known.groupBy("scheme").agg(
         F.count(F.lit(1)).alias("names"),
+        F.count("_v").alias("covered"),
         F.sum(w).alias("total"),
         F.max(w).alias("maxWeight"),
         F.count(F.when(w >= cap - 1e-9, 1)).alias("namesAtCap"),
@@ -194,11 +193,12 @@ def weight_report(schemes: DataFrame, factors: DataFrame, p: Params) -> DataFram
         F.sum(w * F.greatest(F.col("score"), F.lit(0.0)) / 100.0).alias("quality"),
     )
     form = quadratic_form(schemes, factors, "scheme")
-    return sums.join(form, "scheme").select(
+    return sums.join(form, "scheme", "left").select(
         "*",
         (p.l2 * F.col("wCw") / scale - p.l1 * F.col("quality")).alias("objective"),
         (
             (F.col("names") * cap >= 1.0 - 1e-12)
+            & (F.col("names") == F.col("covered"))
             & (F.abs(F.col("total") - 1.0) <= 1e-8)
             & (F.col("maxWeight") <= cap + 1e-9)
         ).alias("feasible"),

@@ -74,14 +74,6 @@ def vectors(rows: DataFrame, p: Params, method: str | None = None) -> DataFrame:
     )
 
 
-def numbered(names: DataFrame, order: str) -> DataFrame:
-    """Names with `pos` 1..N; `order` must be unique and the pool bounded."""
-    ordered = names.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "security"))).alias("l"))
-    return ordered.select(F.posexplode("l").alias("p", "e")).select(
-        (F.col("p") + 1).alias("pos"), F.col("e.security").alias("security")
-    )
-
-
 def pair_index(pool: DataFrame, diagonal: bool = True) -> DataFrame:
     """(i, j, security_i, security_j) with i < j, or i <= j, over a numbered pool.
 

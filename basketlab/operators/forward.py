@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.exprs import normal_cdf, ratio
+from basketlab.functions.exprs import draw, normal_cdf, ratio
 from basketlab.operators.risk import newey_west_mean, with_drawdown
 from basketlab.params import Params
 from basketlab.sources.rates import mean_filled
@@ -249,11 +249,9 @@ def comparison_stats(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
 
 
 def block_start(rep: Column, block: Column, starts: Column) -> Column:
-    """Start of a resampled block: two rounds of a multiplicative generator, so
-    a re-run task draws the same blocks and SQL can repeat them."""
-    modulus = F.lit(2147483647)
-    mixed = F.pmod(rep * 48271 + block * 69621 + 7, modulus)
-    return F.pmod(F.pmod(mixed * 16807, modulus), starts)
+    """Start of a resampled block: a hash of replicate and block, so draws are
+    independent, a re-run task draws the same ones and SQL can repeat them."""
+    return F.pmod(draw(rep, block, "block"), starts)
 
 
 def block_bootstrap(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:

@@ -51,11 +51,13 @@ def top_sectors(breakdown: DataFrame, n: int = 3) -> DataFrame:
 
 
 def nav_overlay(nav: DataFrame, forward: DataFrame) -> DataFrame:
-    """In-sample NAV and realised forward NAV on one date axis."""
-    return (
-        nav.select("date", "fund", "benchmark")
-        .join(forward.select("date", F.col("nav").alias("forward")), "date", "full_outer")
-        .orderBy("date")
+    """In-sample NAV of every portfolio and realised forward NAV on one date axis."""
+    # portfolios: a few rows; a forward date stands beside each of them
+    each = nav.select("portfolio").distinct()
+    names = each.agg(F.array_sort(F.collect_set("portfolio")).alias("names")).scalar()
+    ahead = forward.select("date", F.col("nav").alias("forward"), F.explode(names).alias("portfolio"))
+    return nav.select("portfolio", "date", "fund", "benchmark").join(
+        ahead, ["portfolio", "date"], "full_outer"
     )
 
 

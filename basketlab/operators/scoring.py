@@ -75,16 +75,18 @@ def directed(pct: Column) -> Column:
 def rank_universe(rows: DataFrame) -> DataFrame:
     """Average-tie percentile over all names, per factor.
 
-    Missing values have no rank and no row, so a mostly empty factor does not
-    pile its nulls onto one join key.
+    Missing values keep their row without a rank; they pass by the join, so a mostly
+    empty factor does not pile its nulls onto one key.
     """
     known = rows.where(F.col("value").isNotNull())
     ranks = value_ranks(known, ["factor"], "value")
-    return (
+    ranked = (
         known.join(ranks, ["factor", "value"])
         .withColumn("pctl", directed(average_rank_pct()))
         .drop("ties", "below", "n")
     )
+    missing = rows.where(F.col("value").isNull()).withColumn("pctl", F.lit(None).cast("double"))
+    return ranked.unionByName(missing)
 
 
 def rank_in_scope(rows: DataFrame, p: Params) -> DataFrame:
@@ -92,7 +94,7 @@ def rank_in_scope(rows: DataFrame, p: Params) -> DataFrame:
     sectors and for factors that are not sector-neutral; `sectorRanked` says which.
 
     Each observation counts in both populations but is looked up only in the
-    one that applies to it.
+    one that applies to it. A missing value keeps its row without a rank.
     """
     known = rows.where(F.col("value").isNotNull())
     sizes = (
@@ -111,14 +113,16 @@ def rank_in_scope(rows: DataFrame, p: Params) -> DataFrame:
         "factor", "value", F.explode(F.array(F.lit(UNIVERSE), F.col("sector"))).alias("scope")
     )
     ranks = value_ranks(populations, ["factor", "scope"], "value")
-    return (
-        scoped.join(ranks, ["factor", "scope", "value"])
-        .withColumn("pctl", directed(average_rank_pct()))
-        .select(
-            "security", "sector", "pillar", "factor", "direction", "value", "pctl",
-            "sectorRanked",
-        )
+    ranked = scoped.join(ranks, ["factor", "scope", "value"]).withColumn(
+        "pctl", directed(average_rank_pct())
+    )
+    missing = rows.where(F.col("value").isNull()).withColumns(
+        {"pctl": F.lit(None).cast("double"), "sectorRanked": F.lit(False)}
     )
+    shown = [
+        "security", "sector", "pillar", "factor", "direction", "value", "pctl", "sectorRanked",
+    ]
+    return ranked.select(*shown).unionByName(missing.select(*shown))
 
 
 def pillar_aggs(factors: dict = FACTORS) -> list[Column]:

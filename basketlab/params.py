@@ -12,6 +12,7 @@ class Params:
     # fixed values: screening, weighting and estimation defaults
     top_n: int = 100
     pool_size: int = 150
+    basket_size: int = 30  # names of a candidate basket, fewer than the pool at any scale
     min_history_years: float = 3.0
     weight_health: float = 0.70
     weight_valuation: float = 0.20
@@ -85,8 +86,6 @@ DAILY = Params()
 # The supplied tables make one bar per week, so a year has 52 rows, and their
 # prices and volumes need floors of their own to split the universe.
 WEEKLY_BARS = Params(
-    top_n=30,
-    pool_size=45,
     min_history_years=5.47,
     trading_days=52,
     return_windows=(
@@ -96,3 +95,9 @@ WEEKLY_BARS = Params(
     min_avg_volume_iex=50.0,
     min_price=900.0,
 )
+
+# Covariance needs dates on which the whole pool has unfilled returns: its bars span
+# `COVARIANCE_DAYS` days, twelve rows make a year.
+COVARIANCE_DAYS = 30
+COVARIANCE_YEARS = 7
+COVARIANCE_ROWS = 12

@@ -33,6 +33,7 @@ from basketlab.sources.scratch import materialize, scratch_path
 CATALOG: dict[str, Callable[[Screen], DataFrame]] = {}
 
 DIGITS = 6
+WHOLE = 1_000_000  # a horizon longer than any calendar
 
 
 def query(fn):
@@ -255,10 +256,7 @@ def screen_reason(s: Screen) -> DataFrame:
 
 @query
 def health_data_filter(s: Screen) -> DataFrame:
-    # an early price date leaves some names without a single usable fact
-    early = s.facts.where(F.col("end") <= "1995-12-31")
-    ratios = facts.fundamental_ratios(early, s.survivors.select("security", "price"))
-    return tidy(facts.with_health_data(ratios), "security", *facts.HEALTH_FIELDS)
+    return tidy(facts.with_health_data(s.ratios), "security", *facts.HEALTH_FIELDS)
 
 
 @query
@@ -311,12 +309,11 @@ def regime_label(s: Screen) -> DataFrame:
 
 @query
 def stat_gate(s: Screen) -> DataFrame:
-    """The gated panel on prefixes of each series around the gates."""
+    """The gated panel on the whole series and on its beginnings around the gates."""
     own = F.row_number().over(risk.Window.partitionBy("portfolio").orderBy("date"))
-    horizons = F.array(*[F.lit(h) for h in (2, 3, 19, 20, 59, 60)])
+    horizons = F.array(*[F.lit(h) for h in (2, 3, 19, 20, 59, 60, WHOLE)])
     rows = (
         s.aligned.withColumn("_i", own)
-        .where("_i <= 60")
         .select(
             "portfolio", "date", "ret", F.col("bench").alias("base"), "_i",
             (F.col("rf_annual") / s.p.trading_days).alias("rf"), F.explode(horizons).alias("horizon"),
@@ -367,8 +364,8 @@ def score_join(s: Screen) -> DataFrame:
 
 @query
 def sector_lookup(s: Screen) -> DataFrame:
-    """Bars' securities with their sector; a missing entry is `Unknown`."""
-    known = s.securities.where("sub_industry <> 'NATION_7'").select("security", "sector")
+    """Bars' securities with their sector; one without an entry would be `Unknown`."""
+    known = s.securities.select("security", "sector")
     priced = s.raw_bars.select("security").distinct()
     return tidy(
         priced.join(known, "security", "left"),
@@ -450,8 +447,7 @@ def holdings_detail(s: Screen) -> DataFrame:
 @query
 def nav_overlay(s: Screen) -> DataFrame:
     # the forward record starts after the last bar, so it is moved back to overlap
-    aligned = s.aligned.where("portfolio = 'ASIA'")
-    nav = portfolio.nav_series(aligned)
+    nav = portfolio.nav_series(s.aligned)
     back = forward.forward_nav(s.marks).where("arm = 'greedy'").withColumn(
         "date", F.date_sub("date", 9135)
     )
@@ -707,7 +703,7 @@ def selection_jaccard(s: Screen) -> DataFrame:
 
 
 def _cov(s: Screen, method: str) -> DataFrame:
-    rows = covariance.covariance(s.panel_rows, s.numbered_pool, s.p, method)
+    rows = covariance.covariance(s.panel_rows, s.numbered_pool, s.cov_p, method)
     # covariances are small: shown in units of 1e-4
     return tidy(rows, "i", "j", "security_i", "security_j", (F.col("c") * 1e4).alias("cov_bp"))
 
@@ -743,9 +739,7 @@ def market_summary(s: Screen) -> DataFrame:
 
 
 def _schemes(s: Screen) -> DataFrame:
-    chosen = s.pool.where(F.col("pos") <= s.p.top_n).join(
-        s.factors.select("security").distinct(), "security", "left_semi"
-    )
+    chosen = s.pool.where(F.col("pos") <= s.p.basket_size)
     return materialize(baskets.weight_schemes(chosen, s.factors, s.p), "schemes")
 
 
@@ -829,7 +823,7 @@ def nav_series(s: Screen) -> DataFrame:
 
 @query
 def nav_downsample(s: Screen) -> DataFrame:
-    return tidy(portfolio.downsample(portfolio.nav_series(s.aligned), 50))
+    return tidy(portfolio.downsample(portfolio.nav_series(s.aligned), s.p.nav_points))
 
 
 @query
@@ -853,7 +847,7 @@ def tail_rows(s: Screen) -> DataFrame:
 
 @query
 def ewma_weights(s: Screen) -> DataFrame:
-    return tidy(covariance.window_rows(s.panel_rows, s.p, "ewma"), F.col("k").alias("row"), F.col("w").alias("weight"))
+    return tidy(covariance.window_rows(s.panel_rows, s.cov_p, "ewma"), F.col("k").alias("row"), F.col("w").alias("weight"))
 
 
 @query
@@ -956,13 +950,13 @@ def block_bootstrap_sharpe(s: Screen) -> DataFrame:
 
 @query
 def objective_terms(s: Screen) -> DataFrame:
-    cov = materialize(covariance.covariance(s.panel_rows, s.numbered_pool, s.p), "cov")
-    return tidy(baskets.objective_terms(cov, s.pool, s.p, s.p.top_n))
+    cov = materialize(covariance.covariance(s.panel_rows, s.numbered_pool, s.cov_p), "cov")
+    return tidy(baskets.objective_terms(cov, s.pool, s.p, s.p.basket_size))
 
 
 def _components(s: Screen) -> DataFrame:
-    candidates = baskets.candidate_baskets(s.pool, s.p.top_n)
-    return baskets.basket_components(candidates, s.pool, s.factors, s.p.top_n)
+    candidates = baskets.candidate_baskets(s.pool, s.p.basket_size)
+    return baskets.basket_components(candidates, s.pool, s.factors, s.p.basket_size)
 
 
 @query

@@ -1,13 +1,14 @@
 """The weekly screen as one lazily built set of tables.
 
-Each attribute is a DataFrame; nothing runs until an action. The few tables
-that many branches share (bars, measures, names, scores, arms) are written once
-and read back, so a plan that uses them several times neither recomputes them
-nor guesses their size.
+Each attribute is a DataFrame. The few tables that many branches share (bars,
+measures, names, scores, arms, series) are written when first touched and read
+back, so a plan that uses them several times neither recomputes them nor guesses
+their size; all else runs with the action on the result.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,16 @@ from basketlab.operators import (
     risk,
     scoring,
 )
-from basketlab.params import WEEKLY_BARS, Params
+from basketlab.params import COVARIANCE_DAYS, COVARIANCE_ROWS, COVARIANCE_YEARS, WEEKLY_BARS, Params
 from basketlab.sources import rates, warehouse
 from basketlab.sources.scratch import materialize
 
 
 class Screen:
     def __init__(self, spark: SparkSession, root: str, params: Params = WEEKLY_BARS):
-        self.spark, self.root, self.p = spark, root, params
+        self.spark, self.root = spark, root
+        self.p = params.with_conf(spark)
+        self.cov_p = replace(self.p, trading_days=COVARIANCE_ROWS, lookback_years=COVARIANCE_YEARS)
 
     def table(self, name: str) -> DataFrame:
         return warehouse.table(self.spark, self.root, name)
@@ -159,11 +162,12 @@ class Screen:
 
     @cached_property
     def series(self) -> DataFrame:
-        """Return series of the book with benchmark (null on day one) and yield."""
+        """Return series of the book with benchmark (null on day one) and yield:
+        portfolios x dates rows, kept because measures branch from it."""
         rows = portfolio.portfolio_returns(self.book, self.returns, self.bars)
         # one benchmark row per trading date
         rows = rows.join(F.broadcast(self.bench), "date", "left")
-        return rates.attach(rows, self.rf, self.p.risk_free)
+        return materialize(rates.attach(rows, self.rf, self.p.risk_free), "series")
 
     @cached_property
     def aligned(self) -> DataFrame:
@@ -173,7 +177,7 @@ class Screen:
     def arms(self) -> DataFrame:
         """(portfolio, security, score, weight, sector): the baseline takes the
         best scores, the two others a sector-spread and a drawn basket."""
-        drawn = baskets.candidate_baskets(self.pool, self.p.top_n, n_mixed=1)
+        drawn = baskets.candidate_baskets(self.pool, self.p.basket_size, n_mixed=1)
         arm = (
             F.when(F.col("basket") == "top", "greedy")
             .when(F.col("basket") == "sector", "qubo_classical")
@@ -228,21 +232,16 @@ class Screen:
     # --- covariance -------------------------------------------------------------------------
 
     @cached_property
-    def panel(self) -> DataFrame:
-        """Dense closes of the pool: forward-filled, with a few rows left out so
-        that incomplete dates occur."""
-        mine = self.bars.join(self.pool.select("security"), "security", "left_semi")
-        filled = prices.forward_fill(prices.calendar_grid(mine, self.bars))
-        gap = F.pmod(F.col("security").cast("bigint") * 31 + F.col("u"), F.lit(499)) == 0
-        return filled.where(F.col("filled").isNotNull() & ~gap).select(
-            "security", "date", F.col("filled").alias("close")
-        )
+    def long_bars(self) -> DataFrame:
+        return materialize(warehouse.bars(self.table("lineitem"), COVARIANCE_DAYS), "long-bars")
 
     @cached_property
     def panel_rows(self) -> DataFrame:
-        rets = prices.clean_returns(self.panel, self.bars)
+        """Unfilled returns of the pool on dates complete for the names covered."""
+        mine = self.long_bars.join(self.pool.select("security"), "security", "left_semi")
+        rets = prices.clean_returns(mine, self.long_bars)
         return materialize(
-            covariance.estimation_rows(rets, self.calendar, self.p), "panel"
+            covariance.estimation_rows(rets, prices.calendar(self.long_bars), self.cov_p), "panel"
         )
 
     @cached_property
@@ -252,22 +251,17 @@ class Screen:
     @cached_property
     def factors(self) -> DataFrame:
         return materialize(
-            covariance.risk_factors(self.panel_rows, self.numbered_pool, self.p), "factors"
+            covariance.risk_factors(self.panel_rows, self.numbered_pool, self.cov_p), "factors"
         )
 
     # --- forward record ----------------------------------------------------------------------
 
     @cached_property
     def rf_daily(self) -> DataFrame:
-        """Daily rate per logged date; every seventh date is missing from the map."""
+        """Daily rate per logged date."""
         dates = self.marks.select("date").distinct()
-        # the yields end before the marks begin, so they are moved on by 25 years
-        later = self.rf.withColumn("date", F.add_months("date", 300))
-        return (
-            rates.asof(dates, later, self.p.risk_free)
-            .where(F.dayofmonth("date") % 7 != 0)
-            .select("date", (F.col("rf_annual") / self.p.trading_days).alias("rf"))
-        )
+        dated = rates.asof(dates, warehouse.later_yields(self.rf), self.p.risk_free)
+        return dated.select("date", (F.col("rf_annual") / self.p.trading_days).alias("rf"))
 
     @cached_property
     def compared(self) -> DataFrame:

@@ -11,8 +11,9 @@ import re
 
 from basketlab.operators.facts import HEALTH_FIELDS, INSTANT, LINE_ITEMS, MERGED_BY_MAX, PER_SHARE, RATIOS
 from basketlab.operators.scoring import FACTORS, SECTOR_NEUTRAL, STRENGTH_LABELS
+from basketlab.params import COVARIANCE_DAYS, COVARIANCE_ROWS, COVARIANCE_YEARS
 from basketlab.params import WEEKLY_BARS as P
-from basketlab.plans.catalog import SWEEP
+from basketlab.plans.catalog import SWEEP, WHOLE
 
 TD = P.trading_days
 VIEWS: dict[str, str] = {}
@@ -112,8 +113,7 @@ VIEWS["v_bench"] = "select date, avg(ret) as bench from v_cret group by date"
 
 VIEWS["v_rf"] = """
 select cast(o_orderdate as date) as date, avg(o_totalprice) / 1e7 as rf_annual
-from orders where o_orderdate >= date '1996-01-01' and day(o_orderdate) % 7 <> 0
-group by 1"""
+from orders group by 1"""
 
 VIEWS["v_rfcal"] = f"""
 select c.date, coalesce(f.rf_annual, {P.risk_free}) as rf_annual
@@ -121,13 +121,10 @@ from v_cal c asof left join v_rf f on c.date >= f.date"""
 
 VIEWS["v_marks"] = """
 select cast(ts as date) as date,
-       case event_type when 'view' then 'greedy' when 'click' then 'qubo_classical'
-            else 'qubo_quantum' end as arm,
+       case when event_type in ('click', 'signup') then 'qubo_classical'
+            when event_type = 'purchase' then 'qubo_quantum' else 'greedy' end as arm,
        (avg(value) - 50.0) / 5000.0 as ret
-from events
-where event_type in ('view', 'click', 'purchase')
-  and (event_type <> 'purchase' or ts >= timestamp '2024-01-06')
-group by 1, 2"""
+from events group by 1, 2"""
 
 VIEWS["v_gauges"] = """
 select case l_returnflag when 'A' then 'S&P 500' when 'N' then 'Nasdaq Composite'
@@ -303,8 +300,6 @@ from (select security, count(close) as n_obs, avg(volume) as avg_volume,
 VIEWS["v_surv"] = "select security, last_price as price from v_screened where reason is null"
 
 fact_views("v_", "v_facts")
-VIEWS["v_early"] = "select * from v_facts where \"end\" <= date '1995-12-31'"
-fact_views("e_", "v_early")
 
 _HEALTH = "coalesce(" + ", ".join(f'"{h}"' for h in HEALTH_FIELDS) + ")"
 VIEWS["v_names"] = f"""
@@ -449,22 +444,23 @@ from v_pret r left join v_bench b on r.date = b.date join v_rfcal f on r.date =
 VIEWS["v_al"] = "select *, ret - bench as active from v_series where bench is not null"
 
 
-def mixed(a: str, b: str, c: int = 11) -> str:
-    return f"((({a} * 48271 + {b} * 69621 + {c}) % 2147483647) * 16807) % 2147483647"
+def draw(*parts: str) -> str:
+    text = " || '|' || ".join(f"cast({p} as varchar)" for p in parts)
+    return f"cast(concat('0x', substr(md5({text}), 1, 8)) as bigint)"
 
 
 VIEWS["v_cand"] = f"""
-select 'top' as basket, security from v_pool where pos <= {P.top_n}
+select 'top' as basket, security from v_pool where pos <= {P.basket_size}
 union all
 select 'sector', security from (
   select security, row_number() over (partition by sector order by pos) as k,
          (select count(distinct sector) from v_pool) as ns from v_pool)
-where k <= ceil({float(P.top_n)} / ns)
+where k <= ceil({float(P.basket_size)} / ns)
 union all
 select 'mix' || cast(rep as varchar), security from (
-  select rep, security, row_number() over (partition by rep order by {mixed('rep', 'pos')}, pos) as k
+  select rep, security, row_number() over (partition by rep order by {draw('rep', 'pos', chr(39) + 'basket' + chr(39))}, pos) as k
   from v_pool cross join (select unnest(range(1, 21)) as rep))
-where k <= {P.top_n}"""
+where k <= {P.basket_size}"""
 VIEWS["v_chosen"] = """
 select case basket when 'top' then 'greedy' when 'sector' then 'qubo_classical'
             else 'qubo_quantum' end as portfolio, c.security, p.sector, p.score
@@ -477,21 +473,28 @@ on b.security = a.security where b.pos <= {P.top_n}"""
 
 # --- covariance panel --------------------------------------------------------------------
 
+COV_WINDOW = COVARIANCE_ROWS * COVARIANCE_YEARS
+VIEWS["v_lbars"] = f"""
+select cast(l_suppkey as varchar) as security,
+       date '1970-01-01' + cast(floor(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) / {float(COVARIANCE_DAYS)}) * {COVARIANCE_DAYS} as integer) as date,
+       sum(l_extendedprice) / sum(l_quantity) as close
+from lineitem group by 1, 2"""
+VIEWS["v_lcal"] = """
+select date, row_number() over (order by date) - 1 as t, count(*) over () as n
+from (select distinct date from v_lbars)"""
 VIEWS["v_panel"] = """
-select f.security, f.date, f.t, f.filled as close from v_filled f
-where f.security in (select security from v_pool) and f.filled is not null
-  and (cast(f.security as bigint) * 31 + f.t) % 499 <> 0"""
+select security, date, close from v_lbars where security in (select security from v_pool)"""
 VIEWS["v_pdense"] = """
 select s.security, c.date, p.close from (select security from v_pool) s
-cross join v_cal c left join v_panel p on p.security = s.security and p.date = c.date"""
+cross join v_lcal c left join v_panel p on p.security = s.security and p.date = c.date"""
 VIEWS["v_paneltail"] = f"""
 select security, date, greatest(least(ret, 0.5), -0.5) as ret from (
   select security, date, close / lag(close) over (partition by security order by date) - 1 as ret
   from v_pdense)
-where ret is not null and date in (select date from v_cal where t >= n - {P.cov_window})"""
+where ret is not null and date in (select date from v_lcal where t >= n - {COV_WINDOW})"""
 VIEWS["v_pkept"] = f"""
 select security from v_paneltail group by security
-having count(ret) / cast(least({P.cov_window}, (select max(n) from v_cal)) as double) >= {P.min_coverage}"""
+having count(ret) / cast(least({COV_WINDOW}, (select max(n) from v_lcal)) as double) >= {P.min_coverage}"""
 VIEWS["v_prows"] = """
 select security, date, ret from v_paneltail
 where security in (select security from v_pkept)
@@ -530,13 +533,13 @@ select i, j, security_i, security_j,
   (1 - shrink) * c + case when i = j then shrink * mu else 0 end as c from v_covp, v_lw"""
 VIEWS["v_terms"] = f"""
 select i, j, security_i, security_j,
-  case when i = j then -{P.l1} * greatest(a.score, 0) / 100 + {P.l2} * c / m + {P.l3} * (1 - 2.0 * {P.top_n})
+  case when i = j then -{P.l1} * greatest(a.score, 0) / 100 + {P.l2} * c / m + {P.l3} * (1 - 2.0 * {P.basket_size})
        else 2 * {P.l2} * c / m + 2 * {P.l3} + case when a.sector = b.sector then {P.l4} else 0 end end as coef
 from v_cove join v_pool a on security_i = a.security join v_pool b on security_j = b.security,
 (select max(abs(c)) as m from v_cove)"""
 VIEWS["v_parts"] = f"""
 select x.basket, x.size, x.quality, coalesce(y.risk, 0) as risk,
-  x.size * x.size - 2.0 * {P.top_n} * x.size as size_term, coalesce(y.same, 0) as same_sector
+  x.size * x.size - 2.0 * {P.basket_size} * x.size as size_term, coalesce(y.same, 0) as same_sector
 from (select basket, count(*) as size, sum(greatest(p.score, 0) / 100) as quality
   from v_cand c join v_pool p on c.security = p.security
   where c.security in (select security from v_pkept) group by basket) x
@@ -548,11 +551,11 @@ left join (
   join v_pool pa on pa.security = security_i join v_pool pb on pb.security = security_j,
   (select max(abs(c)) as m from v_cove) group by a.basket) y on x.basket = y.basket"""
 VIEWS["v_selected"] = f"""
-select security, score from v_pool where pos <= {P.top_n} and security in (select security from v_pkept)"""
+select security, score from v_pool where pos <= {P.basket_size}"""
 VIEWS["v_in1"] = "select 'score_capped' as scheme, security, score from v_selected"
 VIEWS["v_in2"] = """
 select 'inverse_vol' as scheme, s.security, s.score, 1 / sqrt(c.c) as inv_vol
-from v_selected s join v_cove c on c.i = c.j and c.security_i = s.security"""
+from v_selected s left join v_cove c on c.i = c.j and c.security_i = s.security"""
 VIEWS["v_sch1"] = capped("v_in1", "scheme")
 VIEWS["v_sch2"] = capped("v_in2", "scheme", "inv_vol")
 VIEWS["v_schemes"] = """
@@ -561,13 +564,14 @@ union all select scheme, security, score, weight from v_sch2
 union all select 'equal', security, score, 1.0 / count(*) over () from v_selected"""
 VIEWS["v_wrep"] = f"""
 select x.*, y.wcw, {P.l2} * y.wcw / m - {P.l1} * quality as objective,
-  names * {P.max_weight} >= 1 - 1e-12 and abs(total - 1) <= 1e-8
+  names * {P.max_weight} >= 1 - 1e-12 and names = covered and abs(total - 1) <= 1e-8
     and maxw <= {P.max_weight} + 1e-9 as feasible
-from (select scheme, count(*) as names, sum(weight) as total, max(weight) as maxw,
+from (select scheme, count(*) as names,
+    count(*) filter (where security in (select security from v_pkept)) as covered, sum(weight) as total, max(weight) as maxw,
     count(*) filter (where weight >= {P.max_weight} - 1e-9) as at_cap,
     1 / sum(weight * weight) as eff, sum(weight * greatest(score, 0) / 100) as quality
   from v_schemes group by scheme) x
-join (select a.scheme, sum(case when i = j then 1 else 2 end * a.weight * b.weight * c) as wcw
+left join (select a.scheme, sum(case when i = j then 1 else 2 end * a.weight * b.weight * c) as wcw
   from v_schemes a join v_cove on a.security = security_i
   join v_schemes b on a.scheme = b.scheme and b.security = security_j group by a.scheme) y
 on x.scheme = y.scheme, (select max(abs(c)) as m from v_cove)"""
@@ -578,7 +582,7 @@ VIEWS["v_rfmap"] = f"""
 select d.date, coalesce(f.rf_annual, {P.risk_free}) / {TD} as rf
 from (select distinct date from v_marks) d
 asof left join (select cast(date + interval 25 year as date) as date, rf_annual from v_rf) f
-on d.date >= f.date where day(d.date) % 7 <> 0"""
+on d.date >= f.date"""
 VIEWS["v_rffill"] = """
 select d.date, coalesce(m.rf, (select avg(rf) from v_rfmap)) as rf
 from (select distinct date from v_marks) d left join v_rfmap m on d.date = m.date"""
@@ -763,7 +767,7 @@ obs as (
   from base group by arm),
 draws as (
   select o.arm, k.rep, s.b * o.block + f.o as at, o.n,
-    {mixed('k.rep', 's.b', 7)} % (o.n - o.block + 1) + f.o as i
+    {draw('k.rep', 's.b', chr(39) + 'block' + chr(39))} % (o.n - o.block + 1) + f.o as i
   from obs o, (select unnest(range(0, {P.n_boot})) as rep) k,
     lateral (select unnest(range(0, cast(ceil(o.n / cast(o.block as double)) as bigint))) as b) s,
     lateral (select unnest(range(0, o.block)) as o) f
@@ -843,7 +847,7 @@ select entity, item, concept, {day('"start"')} as "start", {day('"end"')} as "en
 SQL["liquidity_screen"] = f"""
 select security, n_obs, {_rr('avg_volume', 'last_price')} from v_screened where reason is null"""
 SQL["screen_reason"] = "select security, reason from v_screened"
-SQL["health_data_filter"] = f"select security, {_rr(*HEALTH_FIELDS)} from e_ratios where {_HEALTH} is not null"
+SQL["health_data_filter"] = f"select security, {_rr(*HEALTH_FIELDS)} from v_ratios where {_HEALTH} is not null"
 SQL["positive_pe"] = f"""
 select security, case when cast(security as bigint) % 4 <> 0 and "peRatio" > 0
   then {r('"peRatio"')} end as pe_ranked from v_ratios"""
@@ -863,10 +867,10 @@ select {day('date')} as date, {_rr('close')}, case when close < {P.vix_risk_on}
   when close > {P.vix_risk_off} then 'risk-off' else 'neutral' end as regime,
   case when close > 30 then 'high' when close > 20 then 'moderate' else 'low' end as level
 from v_gauges where gauge = 'VIX'"""
-VIEWS["v_prefix"] = """
+VIEWS["v_prefix"] = f"""
 select a.portfolio, h.horizon, a.date, a.ret, a.bench as base, a.active, a.rf from (
   select *, row_number() over (partition by portfolio order by date) as i from v_al) a,
-  (values (2), (3), (19), (20), (59), (60)) as h(horizon) where a.i <= h.horizon"""
+  (values (2), (3), (19), (20), (59), (60), ({WHOLE})) as h(horizon) where a.i <= h.horizon"""
 SQL["stat_gate"] = f"""
 select portfolio, horizon, "nDays", "activeReturnCumulative", "activeReturnAnnualised", "trackingError",
   calmar_arm, calmar_baseline, "neweyWestT" from ({panel('portfolio, horizon', 'v_prefix')})"""
@@ -887,7 +891,7 @@ select security, {_rr('netMargin', 'returnOnEquity', 'return6M', 'return3M')},
 SQL["sector_lookup"] = """
 select b.security, coalesce(s.sector, 'Unknown') as sector
 from (select distinct security from v_bars) b
-left join (select * from v_sec where sub_industry <> 'NATION_7') s on b.security = s.security"""
+left join v_sec s on b.security = s.security"""
 SQL["benchmark_align"] = f"select portfolio, {day('date')} as date, {_rr('ret', 'bench')} from v_al"
 SQL["rf_asof"] = f"""
 select {day('date')} as date, {_rr('rf_annual')}, {r(f'rf_annual / {TD} * 1000')} as rf_daily_milli from v_rfcal"""
@@ -910,9 +914,11 @@ from v_book where security in (select security from v_bars where date >= date '2
 SQL["holdings_detail"] = f"""
 select security, partial, rank, score, {_rr('weight')} from ({_DETAIL.format('qubo_quantum')})"""
 SQL["nav_overlay"] = f"""
-select {day('coalesce(a.date, b.date)')} as date, {_rr('fund', 'benchmark')}, {r('nav')} as forward
-from (select * from v_nav where portfolio = 'ASIA') a
-full outer join (select date - 9135 as date, nav from v_fnav where arm = 'greedy') b on a.date = b.date"""
+select coalesce(a.portfolio, b.portfolio) as portfolio, {day('coalesce(a.date, b.date)')} as date,
+  {_rr('fund', 'benchmark')}, {r('nav')} as forward
+from v_nav a full outer join (
+  select p.portfolio, date - 9135 as date, nav from v_fnav cross join (select distinct portfolio from v_nav) p
+  where arm = 'greedy') b on a.portfolio = b.portfolio and a.date = b.date"""
 
 SQL["annual_series"] = f'select entity, item, {day(chr(34) + "end" + chr(34))} as "end", {_rr("val")} from v_years'
 SQL["merged_annual_max"] = f"""
@@ -1048,7 +1054,7 @@ from (select max(price) filter (where gauge = 'VIX') as vix,
   max(change) filter (where gauge = 'Nasdaq Composite') as nq from ({_CHANGE}))"""
 SQL["weight_report"] = f"""
 select scheme, names, {r('total')} as total, {r('maxw')} as "maxWeight", at_cap as "namesAtCap",
-  {r('eff')} as "effectiveN", {r('objective')} as objective, feasible, {r('wcw * 1e4')} as "wCw_bp" from v_wrep"""
+  {r('eff')} as "effectiveN", {r('objective')} as objective, feasible, {r('wcw * 1e4')} as "wCw_bp", covered from v_wrep"""
 VIEWS["v_armal"] = f"""
 select a.portfolio, a.date, a.ret, b.bench, f.rf_annual, f.rf_annual / {TD} as rf
 from ({returns_of('v_arms')}) a join v_bench b on a.date = b.date join v_rfcal f on a.date = f.date"""
@@ -1079,9 +1085,13 @@ select cast(1 as bigint) as "schemaVersion", {day('(select min(date) from v_mark
   (select {r('product(1 + active) - 1', 4)} from v_fwd where arm = 'qubo_classical') as first_active,
   'greedy' as first_arm"""
 
-SQL["pct_rank_universe"] = f"select security, factor, {r('value')} as value, {r('pctl_universe')} as pctl from v_ranked"
+_ALL_OBS = "(" + " union all ".join(_OBS) + ")"
+SQL["pct_rank_universe"] = f"""
+select o.security, o.factor, {r('o.value')} as value, {r('k.pctl_universe')} as pctl
+from {_ALL_OBS} o left join v_ranked k on o.security = k.security and o.factor = k.factor"""
 SQL["pct_rank_sector"] = f"""
-select security, sector, factor, {r('pctl')} as pctl, use_sector as "sectorRanked" from v_ranked"""
+select o.security, o.sector, o.factor, {r('k.pctl')} as pctl, coalesce(k.use_sector, false) as "sectorRanked"
+from {_ALL_OBS} o left join v_ranked k on o.security = k.security and o.factor = k.factor"""
 SQL["ffill_prices"] = f"select security, {day('date')} as date, {_rr('filled')} from v_filled"
 SQL["trailing_returns"] = f"""
 select a.security, {r('a.price')} as price, {", ".join(r('a."' + n + '"') + f' as "{n}"' for n in WINDOWS)},
@@ -1093,7 +1103,7 @@ SQL["nav_downsample"] = f"""
 select portfolio, {day('date')} as date, {_rr('fund', 'benchmark')} from (
   select *, row_number() over (partition by portfolio order by date) - 1 as i,
     count(*) over (partition by portfolio) as n from v_nav)
-where i % greatest(1, n // 50) = 0 or i = n - 1"""
+where i % greatest(1, n // {P.nav_points}) = 0 or i = n - 1"""
 SQL["max_drawdown"] = per_portfolio("v_dd", max_drawdown="min(dd)")
 SQL["drawdown_duration"] = """
 select p.portfolio, max(u.len) as rows_below_peak from (select distinct portfolio from v_series) p
