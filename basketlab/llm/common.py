@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+import basketlab
 from basketlab.sources.scratch import materialize
 
 # Rows handed to a worker function at once: what it holds beside one Arrow batch.
@@ -20,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the workers, once a session, wherever it was imported from."""
+    context = spark.sparkContext
+    if not getattr(context, "_basketlab_shipped", False):
+        folder = os.path.dirname(os.path.abspath(basketlab.__file__))
+        to = os.path.join(tempfile.mkdtemp(prefix="basketlab-"), "basketlab")
+        context.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(folder), os.path.basename(folder)))
+        context._basketlab_shipped = True
+
+
 def append(df: DataFrame, text: str, added: T.StructType, make: Callable, keep_text: bool = True) -> DataFrame:
     """`df` with columns computed from its text column, one pass, no shuffle.
 
@@ -27,6 +41,7 @@ def append(df: DataFrame, text: str, added: T.StructType, make: Callable, keep_t
     as "") to one list per added column. A column of `df` that has an added name
     is replaced.
     """
+    ship(df.sparkSession)
     names = {f.name for f in added} | (set() if keep_text else {text})
     if text in added.names:
         raise ValueError(f"{text} is the input column")
@@ -52,6 +67,7 @@ def append(df: DataFrame, text: str, added: T.StructType, make: Callable, keep_t
 def explode_rows(df: DataFrame, text: str, keep: list[str], added: T.StructType, make: Callable) -> DataFrame:
     """Any number of rows per text: `make()` gives a function from a list of texts
     to (index of the text, then one list per added column), equally long."""
+    ship(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + added.fields)
     target = to_arrow_schema(added)
 

@@ -103,7 +103,8 @@ def _tables(fps: DataFrame) -> DataFrame:
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     left = pdf.loc[pdf["side"] == 0, "fp"].to_numpy(dtype=np.int64)
     right = pdf.loc[pdf["side"] == 1, "fp"].to_numpy(dtype=np.int64)
-    near = np.bitwise_count(left[:, None] ^ right[None, :]) <= MAX_BITS
+    # bits of signed numbers would be those of their absolute value
+    near = np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= MAX_BITS
     near &= left[:, None] != right[None, :]
     a, b = star_links(near, left, right)
     return pd.DataFrame({"a": a, "b": b})
@@ -112,6 +113,7 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """a, b (fingerprints): links whose components are those of all pairs at
     `MAX_BITS` or fewer. `fps` has one row per distinct fingerprint (fp)."""
+    common.ship(fps.sparkSession)
     tables, lookups = _tables(fps), _lookups(fps)
     sizes = materialize(tables.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot")
     plain = lookups.withColumnRenamed("fp", "a").join(tables.join(sizes, ["seg", "key"], "left_anti").withColumnRenamed("fp", "b"), ["seg", "key"])

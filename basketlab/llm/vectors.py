@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketlab.llm.common import ship
 from basketlab.sources.scratch import materialize
 
 
@@ -28,6 +29,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """id, vec, ok. Not ok: null, empty or zero vectors, those with a null or
     non-finite component, and those of another length than the commonest one."""
+    ship(df.sparkSession)
     v = F.col(f"`{vector}`")
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

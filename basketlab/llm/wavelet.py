@@ -162,6 +162,7 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """A written table of shards: part, shard (its number in its part), first_doc,
     doc_ids (as stored), tokens, file. Parts ascend by document id, shards within."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    common.ship(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")  # spreads a repeated id over ranges
     dealt = docs.withColumn("tie", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
@@ -203,6 +204,7 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 def read_documents(shards: DataFrame) -> DataFrame:
     """part, shard, doc_id, place (in the shard), start_in_shard, n_tokens, ids (bytes)
     of every document, decoded from the files."""
+    common.ship(shards.sparkSession)
     schema = "part int, shard int, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +242,7 @@ def occurrences(shards: DataFrame, token: int) -> DataFrame:
             counts = [Shard(f.as_py()).count(token) for f in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["part", "shard", "n"])
 
+    common.ship(shards.sparkSession)
     return shards.select("part", "shard", "file").mapInArrow(run, "part int, shard int, n long")
 
 
