@@ -121,13 +121,42 @@ def test_simhash_query(spark, hostile, nothing):
     assert op10_simhash_near_dedup(spark, nothing).count() == 0
 
 
-def test_keep_first(spark, hostile):
+def test_keep_one_of_odd_rows(spark, hostile, nothing):
     docs = spark.read.parquet(f"{hostile}/documents.parquet")
-    kept = simhash.keep_first(docs)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) + (ids.count(5) - 1 if 5 in ids else 0)
-    assert {1, 4, 8, 9, -3} <= set(ids) and not {2, 3, 7} & set(ids) and None not in ids
+    # the empty texts, the clean text and its copies, and one row each of the others
+    assert sorted(ids) == [-3, 1, 4, 5, 5, 8, 9]
+    assert simhash.keep_one(spark.read.parquet(f"{nothing}/documents.parquet")).count() == 0
+
+
+@pytest.mark.parametrize("hot,block", [(32, 1024), (4, 16)])
+def test_keep_one_by_similarity(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(simhash, "WIDE_HOT", hot)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, rows, group = fresh(60), [], {}
+    for g in range(25):
+        base = fresh(rng.randint(120, 300))
+        if g < 10:
+            base[20:80] = shared  # a passage in common makes no copy
+        for k in range(40 if g == 3 else 3):
+            copy = list(base)
+            for _ in range(0 if k == 0 else max(1, len(base) // 130)):
+                copy[rng.randrange(len(copy))] = "changed"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    assert sorted(kept) == sorted(first.values())
+
+
+def test_limit():
+    assert simhash.limit(0.999) < simhash.limit(0.9) < simhash.limit(0.8) < simhash.limit(0.5) < 192
 
 
 def brute_links(ids, x, ok):

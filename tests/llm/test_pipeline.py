@@ -1,6 +1,7 @@
 """The pipeline on odd rows, and its parts against brute force."""
 
 import corpus_pipeline
+import numpy as np
 from llm_rows import CLEAN, DOCS, EXTRA, SF, hostile, nothing, write  # noqa: F401
 
 from basketlab.llm import simhash, toxicity
@@ -24,13 +25,13 @@ def test_run_equals_brute_force(spark):
     model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     values = toxicity._Words(model)
     clean = {d["doc_id"]: d["text"] for d in docs if toxicity.score_text(d["text"] or "", values) < toxicity.THRESHOLD}
-    fps = {i: simhash.fingerprint(t or "", 3) for i, t in clean.items()}
+    prints = {i: simhash.wide(simhash.words_of(t or ""), 5) for i, t in clean.items()}
     rows = corpus_pipeline.run(spark, SF).collect()
     found = {r.doc_id for r in rows}
     assert found <= set(clean) and 0.5 * len(docs) < len(found)
     kept = sorted(found)
     for n, i in enumerate(kept):
-        assert all((fps[i] ^ fps[j]).bit_count() > simhash.MAX_BITS for j in kept[:n])
+        assert all(np.bitwise_count(prints[i] ^ prints[j]).sum() > simhash.limit(0.8) for j in kept[:n])
     from basketlab.llm import secrets
 
     encoder = Encoder(vocabulary("byte_bpe_50k.json"), False)
