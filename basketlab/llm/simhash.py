@@ -189,6 +189,12 @@ def wide(words: list[bytes], width: int) -> np.ndarray:
     return np.array([majority(_mixed(h, n)) for n in range(WIDE)], dtype=np.uint64)
 
 
+def marked_print(words: list[bytes], width: int) -> np.ndarray:
+    """The wide fingerprint and the number of different shingles."""
+    h = hashes(words, width)
+    return np.array([*(majority(_mixed(h, n)) for n in range(WIDE)), len(np.unique(h))], dtype=np.uint64).view(np.int64)
+
+
 def segments(words: list[bytes]) -> np.ndarray:
     """The search keys of a text: its fingerprint of short shingles, cut."""
     bits = np.unpackbits(wide(words, SEARCH_WIDTH).view(np.uint8), bitorder="little")
@@ -204,7 +210,7 @@ def limit(similarity: float) -> int:
     return int(n * apart + 1.5 * np.sqrt(n * apart * (1 - apart)))
 
 
-def _wide_block(most: int):
+def _wide_block(most: int, similarity: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         is_left = pdf["side"].to_numpy() == 0
         c = pdf["c"].to_numpy(dtype=np.int64)
@@ -212,19 +218,23 @@ def _wide_block(most: int):
         apart = np.zeros((is_left.sum(), (~is_left).sum()), dtype=np.uint16)
         for n in range(WIDE):
             apart += np.bitwise_count(x[is_left, n][:, None] ^ x[~is_left, n][None, :])
-        a, b = star_links((apart <= most) & (c[is_left][:, None] != c[~is_left][None, :]), c[is_left], c[~is_left])
+        n = x[:, WIDE].astype(np.float64)
+        few, many = np.minimum(n[is_left][:, None], n[~is_left][None, :]), np.maximum(n[is_left][:, None], n[~is_left][None, :])
+        a, b = star_links((apart <= most) & (few >= similarity * many) & (c[is_left][:, None] != c[~is_left][None, :]), c[is_left], c[~is_left])
         return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def wide_links(classes: DataFrame, most: int) -> DataFrame:
+def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     """a, b (class numbers): links that connect the classes which the tables bring
-    together and whose complete fingerprints differ in at most `most` bits.
+    together and whose complete fingerprints differ in at most `limit` bits. Sets of
+    very different size can't be alike and don't link.
 
     classes: c, keys (one per table), print.
     """
     common.ship(classes.sparkSession)
+    most = limit(similarity)
     tables = classes.select("c", F.col("print")[0].alias("w"), F.posexplode("keys").alias("seg", "key"))
     key = F.col("key")
     flips = F.array(*[F.when(key.bitwiseAND(F.lit(1 << b)) == 0, key.bitwiseOR(F.lit(1 << b))) for b in range(SEGMENT)])
@@ -239,7 +249,8 @@ def wide_links(classes: DataFrame, most: int) -> DataFrame:
     prints = classes.select("c", "print")
     pairs = found.join(prints.toDF("a", "pa"), "a").join(prints.toDF("b", "pb"), "b")
     apart = sum((F.bit_count(F.col("pa")[n].bitwiseXOR(F.col("pb")[n])) for n in range(WIDE)), F.lit(0))
-    plain = pairs.where(apart <= most).select("a", "b")
+    sizes_agree = F.least(F.col("pa")[WIDE], F.col("pb")[WIDE]) >= F.lit(similarity) * F.greatest(F.col("pa")[WIDE], F.col("pb")[WIDE])
+    plain = pairs.where((apart <= most) & sizes_agree).select("a", "b")
     if not sizes.take(1):
         return plain
     asked = lookups.join(sizes, ["seg", "key"])
@@ -257,7 +268,7 @@ def wide_links(classes: DataFrame, most: int) -> DataFrame:
     left = lookups.join(sized, ["seg", "key"]).select("seg", "key", dealt("m").alias("lb"), every("n").alias("rb"), F.lit(0).alias("side"), "c")
     right = tables.join(sized, ["seg", "key"]).select("seg", "key", every("m").alias("lb"), dealt("n").alias("rb"), F.lit(1).alias("side"), "c")
     both = left.unionByName(right).join(prints, "c")
-    return plain.unionByName(both.groupBy("seg", "key", "lb", "rb").applyInPandas(_wide_block(most), "a long, b long"))
+    return plain.unionByName(both.groupBy("seg", "key", "lb", "rb").applyInPandas(_wide_block(most, similarity), "a long, b long"))
 
 
 def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,7 +288,7 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str =
     def make():
         def work(texts):
             words = [words_of(t) for t in texts]
-            return [segments(w) for w in words], [wide(w, width).view(np.int64) for w in words]
+            return [segments(w) for w in words], [marked_print(w, width) for w in words]
 
         return work
 
@@ -288,7 +299,7 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str =
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = rows.groupBy("keys", "print").agg(F.min(order).alias("first"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "prints")
-    reach = components(wide_links(classes.select("c", "keys", "print"), limit(similarity))).withColumnRenamed("node", "c")
+    reach = components(wide_links(classes.select("c", "keys", "print"), similarity)).withColumnRenamed("node", "c")
     named = classes.select("c", "first").join(reach, "c", "left")
     stays = named.groupBy(F.coalesce("label", "c").alias("label")).agg(F.min("first").alias("first"))
     return marked.join(stays.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
