@@ -19,8 +19,11 @@ ARM_LABELS = {
 
 
 def arm_ordinal(c="arm") -> Column:
+    """Place in the registry; an arm that isn't registered is an error."""
     order = F.array(*[F.lit(k) for k in ARM_LABELS])
-    return F.array_position(order, F.col(c))
+    place = F.array_position(order, F.col(c))
+    unknown = F.concat(F.lit("unknown arm "), F.coalesce(F.col(c), F.lit("null")))
+    return F.when(place > 0, place).otherwise(F.raise_error(unknown).cast("bigint"))
 
 
 def aligned_marks(marks: DataFrame) -> DataFrame:

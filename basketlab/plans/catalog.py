@@ -167,19 +167,19 @@ def log_read(s: Screen) -> DataFrame:
 
 @query
 def log_upsert(s: Screen) -> DataFrame:
-    old = forward_log.record(s.marks, "weekly", 1)
+    nav = forward.forward_nav(s.marks)
+    old = forward_log.record(s.marks, "weekly", 1, nav)
     rerun = forward_log.record(
         s.marks.where("date >= '2024-01-10'").withColumn(
             "ret",
             F.when(F.dayofmonth("date") % 9 == 0, F.lit("NaN").cast("double"))
             .otherwise(F.col("ret") * 1.5),
         ),
-        "daily", 2,
+        "daily", 2, nav,
     )
     merged = forward_log.upsert(old, rerun)
-    return tidy(
-        merged.select("date", "runType", F.explode("armReturns").alias("arm", "ret"))
-    )
+    shown = merged.select("date", "runType", "armNav", F.explode("armReturns").alias("arm", "ret"))
+    return tidy(shown.withColumn("nav", F.col("armNav")[F.col("arm")]).drop("armNav"))
 
 
 def _document(s: Screen, stocks: DataFrame) -> DataFrame:
@@ -222,6 +222,8 @@ def snapshot_read(s: Screen) -> DataFrame:
         F.col("portfolio.universeSize").alias("universe_size"),
         F.col("portfolio.screenedCount").alias("screened_count"),
         F.col("portfolio.research.baselineArm").alias("baseline_arm"),
+        F.size("portfolio.research.forwardStats").alias("n_stats"),
+        F.col("portfolio.research.forwardStats")[0]["activeReturnCumulative"].alias("first_active"),
     )
     return tidy(counted)
 

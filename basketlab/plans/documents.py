@@ -33,6 +33,15 @@ FUND = (
     "navSeries: ARRAY<STRUCT<date: STRING, fund: DOUBLE, benchmark: DOUBLE>>, "
     "sectorBreakdown: ARRAY<STRUCT<sector: STRING, weight: DOUBLE>>>"
 )
+_STATS = "STRUCT<arm: STRING, vsBaseline: STRING, nDays: BIGINT, " + ", ".join(
+    f"{c}: DOUBLE"
+    for c in (
+        "activeReturnCumulative", "activeReturnAnnualised", "trackingError", "informationRatio",
+        "sharpe_arm", "sharpe_baseline", "maxDrawdown_arm", "maxDrawdown_baseline", "sortino_arm",
+        "sortino_baseline", "calmar_arm", "calmar_baseline", "probSharpe_arm", "probSharpe_baseline",
+        "neweyWestT", "difference", "ci_low", "ci_high", "pValue",
+    )
+) + ">"
 RESEARCH = (
     "STRUCT<schemaVersion: INT, asOf: STRING, inceptionDate: STRING, baselineArm: STRING, "
     "armOrder: ARRAY<STRING>, "
@@ -40,6 +49,7 @@ RESEARCH = (
     f"selection: ARRAY<STRING>, weights: MAP<STRING, DOUBLE>, fund: {FUND}>>, "
     "selectionComparison: ARRAY<STRUCT<pair: STRING, jaccard: DOUBLE, overlapCount: BIGINT, "
     "nA: BIGINT, nB: BIGINT, onlyA: ARRAY<STRING>, onlyB: ARRAY<STRING>>>, "
+    f"forwardStats: ARRAY<{_STATS}>, "
     "forwardNav: ARRAY<STRUCT<date: STRING, nav: MAP<STRING, DOUBLE>>>>"
 )
 SNAPSHOT = (

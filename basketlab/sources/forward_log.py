@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import finite
@@ -24,16 +24,36 @@ def explode_marks(log: DataFrame) -> DataFrame:
     return log.select("date", F.explode("armReturns").alias("arm", "ret"))
 
 
-def record(marks: DataFrame, run_type: str, run_seq: int) -> DataFrame:
-    """Marks (date, arm, ret) -> one log record per date."""
+def record(
+    marks: DataFrame, run_type: str, run_seq: int, nav: DataFrame | None = None,
+    rebalance: Column | None = None,
+) -> DataFrame:
+    """Marks (date, arm, ret) -> one log record per date, with NAV (date, arm, nav) and,
+    for a run that selected anew, what it selected."""
     # the inner round absorbs summation-order noise
-    rounded = F.round(F.round(finite("ret"), 12), 6)
-    return marks.groupBy(F.col("date").cast("string").alias("date")).agg(
-        F.lit(run_type).alias("runType"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.col("arm"), rounded.alias("ret"))))
-        ).alias("armReturns"),
-        F.lit(run_seq).alias("run_seq"),
+    def logged(c: str) -> Column:
+        return F.round(F.round(finite(c), 12), 6)
+
+    def by_arm(df: DataFrame, c: str, name: str) -> DataFrame:
+        entries = F.array_sort(F.collect_list(F.struct(F.col("arm"), logged(c).alias("v"))))
+        return df.groupBy(F.col("date").cast("string").alias("date")).agg(
+            F.map_from_entries(entries).alias(name)
+        )
+
+    rows = by_arm(marks, "ret", "armReturns")
+    none = F.create_map().cast("map<string,double>")
+    if nav is None:
+        rows = rows.withColumn("armNav", none)
+    else:
+        rows = rows.join(by_arm(nav, "nav", "armNav"), "date", "left").withColumn(
+            "armNav", F.coalesce("armNav", none)
+        )
+    if rebalance is None:
+        rebalance = F.lit(None)
+    kind = "struct<selectionByArm: map<string, array<string>>, diagnosticsByArm: map<string, map<string, string>>>"
+    return rows.select(
+        "date", F.lit(run_type).alias("runType"), "armReturns", "armNav",
+        rebalance.cast(kind).alias("rebalance"), F.lit(run_seq).alias("run_seq"),
     )
 
 

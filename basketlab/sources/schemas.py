@@ -34,7 +34,8 @@ YIELD_CSV = "`Date` STRING, `3 Mo` STRING"
 LOG_RECORD = (
     "date STRING, runType STRING, armReturns MAP<STRING, DOUBLE>, "
     "armNav MAP<STRING, DOUBLE>, "
-    "rebalance STRUCT<selectionByArm: MAP<STRING, ARRAY<STRING>>>"
+    "rebalance STRUCT<selectionByArm: MAP<STRING, ARRAY<STRING>>, "
+    "diagnosticsByArm: MAP<STRING, MAP<STRING, STRING>>>"
 )
 
 BARS = "security STRING, date DATE, close DOUBLE, volume DOUBLE"

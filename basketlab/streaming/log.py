@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.sources import forward_log
+from basketlab.sources.schemas import LOG_RECORD
 from basketlab.sources.scratch import materialize, scratch_path
 
-RECORD = "date STRING, runType STRING, armReturns MAP<STRING, DOUBLE>, run_seq INT"
+RECORD = f"{LOG_RECORD}, run_seq INT"
 
 
 def upsert_batch(path: str):
@@ -20,7 +21,7 @@ def upsert_batch(path: str):
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        batch = materialize(batch.select("date", "runType", "armReturns", "run_seq"), "log-batch")
+        batch = materialize(batch, "log-batch")
         old = stored_log(spark, path).join(
             batch.select("date").distinct(), "date", "left_semi"
         )

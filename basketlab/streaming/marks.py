@@ -1,10 +1,11 @@
 """Arm marks from bars that keep landing.
 
 A return needs the previous trading date, which may have come in any earlier
-batch or may still come late. So each batch is kept under its own id, and the
-marks of every date it touches, and of the date after, are computed again from
-what is stored and replace those dates. A batch that is run twice changes
-nothing.
+batch or may still come late. So bars are kept by month and batch, and the marks of
+every date a batch touches, and of the date after, are computed again from what is
+stored and replace those dates. A batch reads only the folders of the months of
+those dates and of the one before; the dates themselves are a small table of their
+own. A batch that is run twice changes nothing.
 """
 
 from __future__ import annotations
@@ -20,27 +21,35 @@ from basketlab.sources.scratch import scratch_path
 MARKS = "portfolio STRING, ret DOUBLE, date DATE"
 
 
-def stored_bars(spark: SparkSession, store: str) -> DataFrame:
-    """One bar per (security, date), the latest batch winning."""
-    rows = spark.read.schema(f"{BARS}, batch BIGINT").parquet(store)
-    return rows.groupBy("security", "date").agg(
+def stored_bars(spark: SparkSession, store: str, dates: list) -> DataFrame:
+    """One bar per (security, date) of the given dates, the latest batch winning.
+    Only the folders of their months are listed and read."""
+    paths = sorted({f"{store}/month={d:%Y-%m}" for d in dates})
+    rows = spark.read.schema(f"{BARS}, month STRING, batch BIGINT").option("basePath", store).parquet(*paths)
+    return rows.where(F.col("date").between(dates[0], dates[-1])).groupBy("security", "date").agg(
         F.max_by("close", "batch").alias("close"), F.max_by("volume", "batch").alias("volume")
     )
 
 
-def mark_dates(weights: DataFrame, bars: DataFrame, first, last) -> DataFrame:
-    """Marks for dates in [first, last] of frozen weights; missing returns are 0."""
+def mark_dates(weights: DataFrame, bars: DataFrame, dates: list) -> DataFrame:
+    """Marks of frozen weights on each of `dates`; missing returns are 0, also where a
+    portfolio has none at all."""
     totals = weights.groupBy("portfolio").agg(F.sum("weight").alias("_w"))
-    # one row per portfolio
-    share = weights.join(F.broadcast(totals), "portfolio").select(
+    share = weights.join(totals, "portfolio").select(
         "portfolio", "security", ratio("weight", "_w").alias("share")
     )
-    rets = daily_returns(bars).where(F.col("date").between(first, last))
-    return (
+    rets = daily_returns(bars).where(F.col("date").isin(dates))
+    sums = (
         share.join(rets, "security")
         .groupBy("portfolio", "date")
         .agg(F.sum(F.col("share") * F.col("ret")).alias("ret"))
     )
+    every = F.explode(F.array(*[F.lit(d) for d in dates]))
+    return (
+        totals.select("portfolio", every.alias("date"))
+        .join(sums, ["portfolio", "date"], "left")
+        .select("portfolio", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    )
 
 
 def upsert_batch(weights: DataFrame, store: str, out: str):
@@ -50,22 +59,32 @@ def upsert_batch(weights: DataFrame, store: str, out: str):
         spark = batch.sparkSession
         if batch.isEmpty():
             return
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        (
+            batch.withColumn("month", F.date_format("date", "yyyy-MM"))
+            .repartition("month")
+            .withColumn("batch", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("month", "batch")
+            .parquet(f"{store}/bars")
+        )
+        batch.select("date").distinct().coalesce(1).write.mode("overwrite").parquet(f"{store}/dates/batch={batch_id}")
+        known = spark.read.schema("date DATE, batch BIGINT").parquet(f"{store}/dates")
         touched = (
-            spark.read.schema(BARS).parquet(f"{store}/batch={batch_id}")
+            known.where(F.col("batch") == batch_id)
             .agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
             .first()
         )
-        dates = spark.read.schema(f"{BARS}, batch BIGINT").parquet(store).select("date")
-        # the neighbours of the touched range: one row of two dates
-        edge = dates.agg(
+        # the touched range and its neighbours: as many dates as the batch spans
+        edge = known.agg(
             F.max(F.when(F.col("date") < touched.lo, F.col("date"))).alias("before"),
             F.min(F.when(F.col("date") > touched.hi, F.col("date"))).alias("after"),
         ).first()
         lo, hi = edge.before or touched.lo, edge.after or touched.hi
-        near = stored_bars(spark, store).where(F.col("date").between(lo, hi))
+        near = known.where(F.col("date").between(lo, hi)).agg(F.array_sort(F.collect_set("date"))).first()[0]
+        marked = [d for d in near if d >= touched.lo]
         (
-            mark_dates(weights, near, touched.lo, hi)
+            mark_dates(weights, stored_bars(spark, f"{store}/bars", near), marked)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("date")

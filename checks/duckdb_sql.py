@@ -827,16 +827,19 @@ SQL["log_read"] = f"""
 select {day('date')} as date, arm, {logged('ret')} as ret from v_marks where day(date) % 7 <> 3"""
 
 SQL["log_upsert"] = f"""
-select {day('date')} as date, case when date >= date '2024-01-10' then 'daily' else 'weekly' end as "runType", arm,
-  case when date < date '2024-01-10' then {logged('ret')} when day(date) % 9 <> 0 then {logged('ret * 1.5')} end as ret
-from v_marks"""
+select {day('m.date')} as date, case when m.date >= date '2024-01-10' then 'daily' else 'weekly' end as "runType", m.arm,
+  case when m.date < date '2024-01-10' then {logged('m.ret')} when day(m.date) % 9 <> 0 then {logged('m.ret * 1.5')} end as ret,
+  {logged('f.nav')} as nav
+from v_marks m left join v_fnav f on m.date = f.date and m.arm = f.arm"""
 SQL["snapshot_write"] = f"""
 select true as success, 'weekly' as run_type, pos as rank, security as ticker, sector, score,
   {_rr('peRatio', 'return6M')}, "fundWeight" from v_stocks"""
 SQL["snapshot_read"] = f"""
 select {day('(select max(date) from v_cal)')} as date, 'weekly' as run_type, '1.0.0' as backend_version,
   (select count(*) from v_stocks) as n_stocks, (select count(*) from v_sec) as universe_size,
-  (select count(*) from v_surv) as screened_count, 'greedy' as baseline_arm"""
+  (select count(*) from v_surv) as screened_count, 'greedy' as baseline_arm,
+  (select count(distinct arm) from v_fwd) as n_stats,
+  (select {r('product(1 + active) - 1', 4)} from v_fwd where arm = (select min(arm) from v_fwd)) as first_active"""
 VIEWS["v_recent"] = """
 select * from v_gauges where date >= (select max(date) from v_gauges) - 10"""
 SQL["gauge_load"] = f"select gauge, {day('date')} as date, {_rr('close')} from v_recent"
@@ -1174,10 +1177,12 @@ from (select arg_min(scheme, row(round(objective, 9), scheme)) filter (where fea
   max(wcw) filter (where scheme = 'score_capped') as sw from v_wrep)"""
 
 SQL["stream_daily_marks"] = f"""
-select b.portfolio, {day('q.date')} as date, {r('sum(b.weight * q.ret) / max(t.total)')} as ret
-from v_book b join v_ret q on b.security = q.security
-join (select portfolio, sum(weight) as total from v_book group by 1) t on b.portfolio = t.portfolio
-group by b.portfolio, q.date"""
+select p.portfolio, {day('c.date')} as date, {r('coalesce(x.ret, 0.0)')} as ret
+from (select distinct portfolio from v_book) p cross join v_cal c left join (
+  select b.portfolio, q.date, sum(b.weight * q.ret) / max(t.total) as ret
+  from v_book b join v_ret q on b.security = q.security
+  join (select portfolio, sum(weight) as total from v_book group by 1) t on b.portfolio = t.portfolio
+  group by b.portfolio, q.date) x on p.portfolio = x.portfolio and c.date = x.date"""
 SQL["stream_log_upsert"] = f"""
 select {day('date')} as date, case when date >= date '2024-01-05' then 'daily' else 'weekly' end as "runType", arm,
   {logged("ret * case when date >= date '2024-01-08' then 2.0 when date >= date '2024-01-05' then 1.5 else 1.0 end")} as ret

@@ -68,7 +68,26 @@ def test_marks_with_a_late_date(spark, tmp_path):
     run(bars.where(F.col("date") == F.lit(late)), 1)  # a batch that is run again
     got = {r.date: r.ret for r in spark.read.schema(mark_stream.MARKS).parquet(out).collect()}
     rets = prices.daily_returns(bars).groupBy("date").pivot("security", ["a", "b"]).agg(F.first("ret")).collect()
-    assert got == {r.date: pytest.approx(0.75 * r.a + 0.25 * r.b) for r in rets}
+    # the first date has no return yet, and a mark of 0
+    assert got == {days[0]: 0.0} | {r.date: pytest.approx(0.75 * r.a + 0.25 * r.b) for r in rets}
+
+
+def test_a_later_batch_reads_only_months_it_touches(spark, tmp_path):
+    from datetime import date
+
+    days = [date(2024, m, 5) for m in range(1, 7)]
+    rows = [("a", d, 10.0 + i, 1.0) for i, d in enumerate(days)]
+    bars = spark.createDataFrame(rows, "security string, date date, close double, volume double")
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    weights = spark.createDataFrame([("p", "a", 1.0), ("q", "other", 1.0)], "portfolio string, security string, weight double")
+    run = mark_stream.upsert_batch(weights, store, out)
+    run(bars.where("date < '2024-06-01'"), 0)
+    near = mark_stream.stored_bars(spark, f"{store}/bars", days[4:])
+    assert {p.split("month=")[1][:7] for p in near.inputFiles()} == {"2024-05"}
+    run(bars.where("date >= '2024-06-01'"), 1)
+    marks = {(r.portfolio, r.date): r.ret for r in spark.read.schema(mark_stream.MARKS).parquet(out).collect()}
+    assert len(marks) == 12 and all(marks["q", d] == 0.0 for d in days)
+    assert marks["p", days[5]] == pytest.approx(15 / 14 - 1)
 
 
 def test_log_upsert_keeps_the_latest_run_whatever_the_order(spark, tmp_path):
@@ -77,7 +96,7 @@ def test_log_upsert_keeps_the_latest_run_whatever_the_order(spark, tmp_path):
     run = log_stream.upsert_batch(path)
 
     def rec(date, value, seq):
-        return spark.createDataFrame([(date, "daily", {"greedy": value}, seq)], log_stream.RECORD)
+        return spark.createDataFrame([(date, "daily", {"greedy": value}, {}, None, seq)], log_stream.RECORD)
 
     run(rec("2024-01-02", 0.2, 2), 0)
     run(rec("2024-01-02", 0.1, 1).union(rec("2024-01-03", 0.3, 1)), 1)
@@ -91,3 +110,26 @@ def test_parameters():
     with pytest.raises(ValueError):
         Params(cov_method="other")
     assert Params().min_history_rows == 756
+
+
+def test_whole_records_survive_upsert_and_stream(spark, tmp_path):
+    import json
+
+    line = {
+        "date": "2024-02-01", "runType": "weekly", "armReturns": {"greedy": 0.01, "qubo_quantum": None}, "armNav": {"greedy": 1.01},
+        "rebalance": {"selectionByArm": {"greedy": ["A", "B"]}, "diagnosticsByArm": {"greedy": {"energy": "-1.5"}}}, "run_seq": 1,
+    }
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "one.json").write_text(json.dumps(line) + "\n")
+    q = log_stream.start_log(spark, str(tmp_path / "landed"), str(tmp_path / "log"), str(tmp_path / "checkpoint"))
+    q.awaitTermination()
+    got = log_stream.stored_log(spark, str(tmp_path / "log")).first().asDict(recursive=True)
+    assert {**got, "date": str(got["date"])} == line
+
+
+def test_unknown_arms_are_rejected(spark):
+    from basketlab.operators import forward
+
+    frame = spark.createDataFrame([("greedy",), ("someone",)], "arm string")
+    with pytest.raises(Exception, match="unknown arm someone"):
+        forward.arm_pairs(frame).collect()
