@@ -48,17 +48,24 @@ class Encoder:
 
     def __init__(self, path: str, lower: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a word of Latin letters is one token before merging, so nothing needs to split it
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cut = _word_pieces if lower else _blank_pieces
         self.lead = "" if lower else " "
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [array("I", e.ids).tobytes() for e in found]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 300):
+            found = (tokenizer or self.tokenizer).encode_batch_fast(texts[at : at + 300], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
+        return out
 
     def _learn(self, new: list[str]) -> None:
         """Ids of pieces that aren't known; a run of marks at the end counts by itself."""
@@ -71,8 +78,10 @@ class Encoder:
                     stems[s] = None
             else:
                 stems[p] = None
-        whole = list(stems)
-        known.update(zip(whole, self._ids([p if p[:1] == "\n" else self.lead + p for p in whole])))
+        words = [p for p in stems if p.isalpha() and max(p) < "\u0250"]
+        known.update(zip(words, self._ids([self.lead + p for p in words], self.merger)))
+        rest = [p for p in stems if p not in known]
+        known.update(zip(rest, self._ids([p if p[:1] == "\n" else self.lead + p for p in rest])))
         for p, s, m in marked:
             if m not in marks:
                 if len(marks) > 10_000:
@@ -92,7 +101,7 @@ class Encoder:
         out = [h if ps is None else h + b"".join(map(known.__getitem__, ps[1:])) for h, ps in zip(heads, cut)]
         for p in new:
             if len(p) > LONGEST:
-                del known[p]
+                known.pop(p, None)
                 known.pop(p.rstrip(_MARKS), None)
         return out
 
