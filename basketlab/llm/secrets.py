@@ -236,7 +236,11 @@ def digests(df: DataFrame, column: str = "spans") -> list:
     """Counts, digest of the base spans, and all spans as text, from a column of spans."""
     s = F.col(column)
     text = lambda x: F.array_join(F.transform(x, lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"])), ",")
-    counts = [F.size(F.filter(s, lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str):
+        return F.size(F.filter(s, lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
     return [*counts, F.sha2(text(F.filter(s, lambda e: e["kind"].isin(*BASE))).cast("binary"), 256).alias("base_sha256"), text(s).alias("spans")]
 
 
