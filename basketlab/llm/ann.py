@@ -12,7 +12,8 @@ recall `AIM` or more is taken. A query that would meet fewer than k others asks
 
 Scale: only the sample is on the driver. Equal vectors are searched once and carry
 their smallest k + 1 ids, enough for any ranking. Parts and their queries are cut into
-blocks, so a hot part is many tasks, each of which returns k + 1 rows per query.
+blocks, so a hot part is many tasks, each of which returns at most k + 1 rows per
+query, and none that the sample shows to be too far.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components
 or have another length than the commonest one take no part, neither as queries nor as
@@ -162,8 +163,11 @@ def index(classes: DataFrame, router: Router) -> DataFrame:
     return classes.select("c", "least", F.col("vec").cast("array<double>")).mapInArrow(run, "c long, least long, vec array<double>, part int")
 
 
-def route(asked: DataFrame, router: Router, probes: int, sizes: np.ndarray, k: int) -> DataFrame:
-    """c, vec, part: each query once per part it asks."""
+def route(asked: DataFrame, router: Router, probes: int, sizes: np.ndarray, k: int, known: np.ndarray) -> DataFrame:
+    """c, vec, part, bound: each query once per part it asks. `bound` is the score of
+    the (k + 1)-th best of `known` (some of the vectors) in those parts, so that whatever
+    scores less can't be in the result; a query with fewer of them has none."""
+    home = router.probabilities(known).argmax(axis=1)
 
     def run(batches):
         for batch in batches:
@@ -173,24 +177,33 @@ def route(asked: DataFrame, router: Router, probes: int, sizes: np.ndarray, k: i
             met = np.cumsum(sizes[order], axis=1)
             enough = (met < k + 1).sum(axis=1) + 1  # parts until k others are met
             count = np.minimum(np.maximum(enough, probes), order.shape[1])
+            asks = np.zeros((len(order), order.shape[1]), dtype=bool)
+            for i, n in enumerate(count):
+                asks[i, order[i, :n]] = True
+            x, bound = matrix(batch.column(1)), np.full(len(order), -np.inf)
+            for at in range(0, len(x) if len(known) > k else 0, 256):
+                s = np.where(asks[at : at + 256][:, home], x[at : at + 256] @ known.T, -np.inf)
+                best = np.partition(s, len(known) - k - 1, axis=1)[:, len(known) - k - 1]
+                bound[at : at + 256] = best - 1e-9 * (1 + np.abs(best))
             rows = np.repeat(np.arange(len(order)), count)
             parts = np.concatenate([o[:n] for o, n in zip(order, count)])
             took = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(parts, pa.int32())], names=["c", "vec", "part"])
+            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(parts, pa.int32()), pa.array(bound[rows])], names=["c", "vec", "part", "bound"])
 
-    return asked.select("c", F.col("vec").cast("array<double>")).mapInArrow(run, "c long, vec array<double>, part int")
+    return asked.select("c", F.col("vec").cast("array<double>")).mapInArrow(run, "c long, vec array<double>, part int, bound double")
 
 
 def _rerank(k: int):
     def run(rows: pa.Table) -> pa.Table:
         asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         c, least, x = rows.column("c").to_numpy(), rows.column("least").to_numpy(zero_copy_only=False), matrix(rows.column("vec"))
+        bound = rows.column("bound").to_numpy(zero_copy_only=False)[asks]
         q, y, qc, yc, first = x[asks], x[~asks], c[asks], c[~asks], least[~asks].astype(np.int64)
         out = [[], [], []]
         n = min(k, len(y))
         for i in range(len(q) if n else 0):
             s = (y * q[i]).sum(axis=1)
-            at = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n])
+            at = np.flatnonzero(s >= max(bound[i], np.partition(s, len(s) - n)[len(s) - n]))
             at = at[np.lexsort((first[at], -s[at]))][:n]
             out[0].append(np.full(len(at), qc[i]))
             out[1].append(yc[at])
@@ -213,13 +226,14 @@ def search(df: DataFrame, key: str, vector: str, queries, k: int = K) -> DataFra
     if not total:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
     parts = int(min(PARTS, max(1, total // PER_PART)))
-    router, probes = learn(sample(classes, SAMPLE, SEED), parts, k)
+    known = sample(classes, SAMPLE, SEED)
+    router, probes = learn(known, parts, k)
     placed = materialize(index(classes, router), "index")
     n_parts = len(router.p[3])
     found = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
     sizes = np.array([found.get(p, 0) for p in range(n_parts)])
     query_rows = materialize(rows.where(queries).join(classes.select("vec", "c"), "vec").select("id", "c", "vec"), "queries")
-    asked = route(query_rows.groupBy("c").agg(F.any_value("vec").alias("vec")), router, probes, sizes, k)
+    asked = route(query_rows.groupBy("c").agg(F.any_value("vec").alias("vec")), router, probes, sizes, k, known)
     asked = materialize(asked, "asked")
     q_sizes = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
 
@@ -232,8 +246,8 @@ def search(df: DataFrame, key: str, vector: str, queries, k: int = K) -> DataFra
 
     deal = lambda of: F.pmod(F.xxhash64("c"), blocks(of, F.col("part"))).cast("long")
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), blocks(of, F.col("part")) - 1))
-    left = placed.select("part", deal(found).alias("yb"), every(q_sizes).alias("qb"), F.lit(False).alias("asks"), "c", "least", "vec")
-    right = asked.select("part", every(found).alias("yb"), deal(q_sizes).alias("qb"), F.lit(True).alias("asks"), "c", F.lit(None).cast("long").alias("least"), "vec")
+    left = placed.select("part", deal(found).alias("yb"), every(q_sizes).alias("qb"), F.lit(False).alias("asks"), "c", "least", "vec", F.lit(None).cast("double").alias("bound"))
+    right = asked.select("part", every(found).alias("yb"), deal(q_sizes).alias("qb"), F.lit(True).alias("asks"), "c", F.lit(None).cast("long").alias("least"), "vec", "bound")
     near = left.unionByName(right).groupBy("part", "yb", "qb").applyInArrow(_rerank(k + 1), "q long, c long, score double")
     near = near.join(classes.select("c", "least", "ids"), "c")
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1)
