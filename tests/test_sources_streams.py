@@ -82,7 +82,7 @@ def test_a_later_batch_reads_only_months_it_touches(spark, tmp_path):
     weights = spark.createDataFrame([("p", "a", 1.0), ("q", "other", 1.0)], "portfolio string, security string, weight double")
     run = mark_stream.upsert_batch(weights, store, out)
     run(bars.where("date < '2024-06-01'"), 0)
-    near = mark_stream.stored_bars(spark, f"{store}/bars", days[4:])
+    near = mark_stream.stored_bars(spark, f"{store}/bars", days[4:5])
     assert {p.split("month=")[1][:7] for p in near.inputFiles()} == {"2024-05"}
     run(bars.where("date >= '2024-06-01'"), 1)
     marks = {(r.portfolio, r.date): r.ret for r in spark.read.schema(mark_stream.MARKS).parquet(out).collect()}
