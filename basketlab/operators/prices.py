@@ -87,14 +87,22 @@ def clean_returns(
     return daily_returns(bars, dates).withColumn("ret", clip("ret", -bound, bound))
 
 
-def _trailing_aggs(bars: DataFrame, p: Params, dates: DataFrame | None) -> list[Column]:
-    cal = calendar_array(bars if dates is None else dates)
-    days = F.size(cal)
+def _with_anchors(bars: DataFrame, p: Params, dates: DataFrame | None) -> DataFrame:
+    """Adds the date at which each window begins, found once, as one struct."""
+    cal = (bars if dates is None else dates).agg(F.array_sort(F.collect_set("date")).alias("c"))
+    days = F.size("c")
+    begin = [
+        F.when(days > k, F.element_at("c", F.greatest(days - k, F.lit(1)))).alias(name)
+        for name, k in p.return_windows
+    ]
+    return bars.withColumn("_anchor", cal.select(F.struct(*begin)).scalar())
+
+
+def _trailing_aggs(p: Params) -> list[Column]:
     known = F.col("close").isNotNull()
     exprs = [F.max_by("close", F.when(known, F.col("date"))).alias("price")]
-    for name, k in p.return_windows:
-        anchor = F.when(days > k, F.element_at(cal, F.greatest(days - k, F.lit(1))))
-        upto = F.when(known & (F.col("date") <= anchor), F.col("date"))
+    for name, _ in p.return_windows:
+        upto = F.when(known & (F.col("date") <= F.col("_anchor")[name]), F.col("date"))
         exprs.append(F.max_by("close", upto).alias(f"_{name}"))
     return exprs
 
@@ -118,10 +126,17 @@ def trailing_returns(
     aggregate with partial combine replaces the panel, the fill and the lags.
     `positive_base` is the daily job's extra test on the base price.
     """
-    rows = bars.groupBy("security").agg(*_trailing_aggs(bars, p, dates))
+    rows = _with_anchors(bars, p, dates).groupBy("security").agg(*_trailing_aggs(p))
     return rows.select("security", "price", *_trailing_columns(p, positive_base))
 
 
+def trailing_variants(bars: DataFrame, p: Params) -> DataFrame:
+    """Weekly and daily (`<window>_daily`) trailing returns from one aggregate."""
+    rows = _with_anchors(bars, p, None).groupBy("security").agg(*_trailing_aggs(p))
+    daily = [c.alias(f"{n}_daily") for c, (n, _) in zip(_trailing_columns(p, True), p.return_windows)]
+    return rows.select("security", "price", *_trailing_columns(p, False), *daily)
+
+
 def screen_reason(p: Params) -> Column:
     """First failing rule; a null volume or price passes its test."""
     return (
@@ -153,8 +168,8 @@ def liquidity_screen(bars: DataFrame, p: Params) -> DataFrame:
 def security_measures(bars: DataFrame, p: Params) -> DataFrame:
     """Screen measures and trailing returns from one pass over the bars."""
     return (
-        bars.groupBy("security")
-        .agg(*_screen_aggs(), *_trailing_aggs(bars, p, None))
+        _with_anchors(bars, p, None).groupBy("security")
+        .agg(*_screen_aggs(), *_trailing_aggs(p))
         .where("n_obs > 0")
         .select(
             "security", "n_obs", "avg_volume", "last_price", screen_reason(p).alias("reason"),

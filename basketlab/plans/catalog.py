@@ -808,9 +808,8 @@ def ffill_prices(s: Screen) -> DataFrame:
 
 @query
 def trailing_returns(s: Screen) -> DataFrame:
-    weekly = prices.trailing_returns(s.raw_bars, s.p)
-    daily = prices.trailing_returns(s.raw_bars, s.p, positive_base=True)
-    return tidy(weekly.join(daily.select("security", F.col("return1Y").alias("return1Y_daily")), "security"))
+    windows = [name for name, _ in s.p.return_windows]
+    return tidy(prices.trailing_variants(s.bars, s.p), "security", "price", *windows, "return1Y_daily")
 
 
 @query

@@ -466,9 +466,11 @@ select case basket when 'top' then 'greedy' when 'sector' then 'qubo_classical'
             else 'qubo_quantum' end as portfolio, c.security, p.sector, p.score
 from v_cand c join v_pool p on c.security = p.security where basket in ('top', 'sector', 'mix1')"""
 VIEWS["v_arms"] = capped("v_chosen", "portfolio")
+VIEWS["v_topped"] = f"select 'greedy' as portfolio, security, score from v_best where pos <= {P.top_n}"
+VIEWS["v_topfund"] = capped("v_topped", "portfolio")
 VIEWS["v_stocks"] = f"""
 select b.*, a.fw as "fundWeight" from v_best b left join (
-  select security, {r('weight', 5)} as fw from v_arms where portfolio = 'greedy') a
+  select security, {r('weight', 5)} as fw from v_topfund) a
 on b.security = a.security where b.pos <= {P.top_n}"""
 
 # --- covariance panel --------------------------------------------------------------------

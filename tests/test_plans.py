@@ -43,3 +43,8 @@ def test_dates_reach_the_scan(spark, tmp_path):
     bars = spark.read.schema(BARS).parquet(str(tmp_path / "bars"))
     plan = load_bars(bars, None, "2001-07-01", 1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan.split("PartitionFilters: [")[1][:80]
+
+
+def test_trailing_returns_read_the_bars_once_for_anchors_and_once_for_values(spark):
+    plan = plan_of(spark, "trailing_returns")
+    assert "lineitem" not in plan and plan.count("Scan parquet") <= 4
