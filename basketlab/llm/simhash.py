@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,24 +235,46 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     """
     common.ship(classes.sparkSession)
     most = limit(similarity)
-    tables = classes.select("c", F.col("print")[0].alias("w"), F.posexplode("keys").alias("seg", "key"))
+    prints = classes.select("c", "print")
+
+    def tables(of: DataFrame) -> DataFrame:
+        return of.select("c", "label", F.col("print")[0].alias("w"), F.posexplode("keys").alias("seg", "key"))
+
     key = F.col("key")
     flips = F.array(*[F.when(key.bitwiseAND(F.lit(1 << b)) == 0, key.bitwiseOR(F.lit(1 << b))) for b in range(SEGMENT)])
-    lookups = tables.select("c", "w", "seg", F.explode(F.array_append(F.array_compact(flips), key)).alias("key"))
-    sizes = materialize(tables.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_HOT), "hot")
-    found = lookups.select("seg", "key", F.col("c").alias("a"), F.col("w").alias("wa")).join(
-        tables.join(sizes, ["seg", "key"], "left_anti").select("seg", "key", F.col("c").alias("b"), F.col("w").alias("wb")), ["seg", "key"]
-    )
+
+    def lookups(of: DataFrame) -> DataFrame:
+        return tables(of).select("c", "label", "w", "seg", F.explode(F.array_append(F.array_compact(flips), key)).alias("key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(prints.toDF("a", "pa"), "a").join(prints.toDF("b", "pb"), "b")
+        apart = sum((F.bit_count(F.col("pa")[n].bitwiseXOR(F.col("pb")[n])) for n in range(WIDE)), F.lit(0))
+        sizes_agree = F.least(F.col("pa")[WIDE], F.col("pb")[WIDE]) >= F.lit(similarity) * F.greatest(F.col("pa")[WIDE], F.col("pb")[WIDE])
+        return both.where((apart <= most) & sizes_agree).select("a", "b")
+
+    plain = classes.withColumn("label", F.col("c"))
+    sizes = materialize(tables(plain).groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_HOT), "hot")
+    # first, neighbours in each bucket: as many pairs as rows, and dense groups hang together
+    order = Window.partitionBy("seg", "key").orderBy("w", "c")
+    chained = tables(plain).join(sizes, ["seg", "key"], "left_anti").withColumn("b", F.lag("c").over(order))
+    near = verified(chained.where("b is not null").select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct())
+    if sizes.take(1):
+        near = near.unionByName(_hot_links(tables(plain), lookups(plain), sizes, prints, most, similarity))
+    near = materialize(near, "near")
+    # then all matches between what doesn't hang together yet
+    named = classes.join(components(near).withColumnRenamed("node", "c"), "c", "left")
+    named = materialize(named.withColumn("label", F.coalesce("label", "c")), "labelled")
+    left = lookups(named).select("seg", "key", F.col("c").alias("a"), F.col("label").alias("la"), F.col("w").alias("wa"))
+    right = tables(named).join(sizes, ["seg", "key"], "left_anti")
+    right = right.select("seg", "key", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("w").alias("wb"))
     # one word of each fingerprint is at hand and turns away nearly all chance matches
-    found = found.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= WORD_BITS))
+    found = left.join(right, ["seg", "key"]).where((F.col("la") != F.col("lb")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= WORD_BITS))
     found = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    prints = classes.select("c", "print")
-    pairs = found.join(prints.toDF("a", "pa"), "a").join(prints.toDF("b", "pb"), "b")
-    apart = sum((F.bit_count(F.col("pa")[n].bitwiseXOR(F.col("pb")[n])) for n in range(WIDE)), F.lit(0))
-    sizes_agree = F.least(F.col("pa")[WIDE], F.col("pb")[WIDE]) >= F.lit(similarity) * F.greatest(F.col("pa")[WIDE], F.col("pb")[WIDE])
-    plain = pairs.where((apart <= most) & sizes_agree).select("a", "b")
-    if not sizes.take(1):
-        return plain
+    return near.unionByName(verified(found))
+
+
+def _hot_links(tables: DataFrame, lookups: DataFrame, sizes: DataFrame, prints: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Links of the buckets in `sizes` (seg, key, n), compared in blocks."""
     asked = lookups.join(sizes, ["seg", "key"])
     sized = sizes.join(asked.groupBy("seg", "key").agg(F.count("*").alias("m")), ["seg", "key"])
 
@@ -268,7 +290,7 @@ def wide_links(classes: DataFrame, similarity: float) -> DataFrame:
     left = lookups.join(sized, ["seg", "key"]).select("seg", "key", dealt("m").alias("lb"), every("n").alias("rb"), F.lit(0).alias("side"), "c")
     right = tables.join(sized, ["seg", "key"]).select("seg", "key", every("m").alias("lb"), dealt("n").alias("rb"), F.lit(1).alias("side"), "c")
     both = left.unionByName(right).join(prints, "c")
-    return plain.unionByName(both.groupBy("seg", "key", "lb", "rb").applyInPandas(_wide_block(most, similarity), "a long, b long"))
+    return both.groupBy("seg", "key", "lb", "rb").applyInPandas(_wide_block(most, similarity), "a long, b long")
 
 
 def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
