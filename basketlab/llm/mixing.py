@@ -11,9 +11,9 @@ A leaf's budget is spent in seeded epochs: whole epochs first, then the prefix o
 next one, whose order is that of a hash of seed, epoch and document. The document at
 the boundary is taken in part (`taken` < `tokens`).
 
-Scale: budgets are windows over one row per node. Prefixes are running sums over 65536
-hash buckets per leaf, then inside one bucket, so a leaf with a third of all documents
-is spread like any other. Text is read once.
+Scale: budgets are windows over one row per node. Prefixes are running sums over 256
+coarse hash buckets per leaf, 256 buckets in each, then inside one bucket, so a leaf
+with a third of all documents is spread like any other. Text is read once.
 
 Defined cases: null text is empty (0 tokens); null language or source is ""; documents
 equal in id and text are interchangeable; leaves without tokens give nothing; an empty
@@ -105,13 +105,20 @@ def mix(df: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int =
     named = ["doc_id", *carry, *LEVELS, "tokens"]
     again = docs.where("whole > 0").select(*named, F.explode(F.sequence(F.lit(1), F.col("whole").cast("int"))).alias("epoch"), F.col("tokens").alias("taken"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest"))
-    part = docs.where("rest > 0").withColumn("key", key).withColumn("bucket", F.substring("key", 1, 4))
-    sums = part.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("n"))
-    running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    part = docs.where("rest > 0").withColumn("key", key)
+    part = part.withColumn("coarse", F.substring("key", 1, 2)).withColumn("bucket", F.substring("key", 1, 4))
+    zero, earlier = F.lit(0).cast("long"), (Window.unboundedPreceding, -1)
+
+    def running(of: list, order: list, value: str):
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*of).orderBy(*order).rowsBetween(*earlier)), zero)
+
+    sums = part.groupBy(*LEVELS, "coarse", "bucket").agg(F.sum("tokens").alias("n"))
+    coarse = sums.groupBy(*LEVELS, "coarse").agg(F.sum("n").alias("n")).withColumn("first", running([*LEVELS], ["coarse"], "n")).drop("n")
+    sums = sums.withColumn("before", running([*LEVELS, "coarse"], ["bucket"], "n")).join(coarse, [*LEVELS, "coarse"])
+    sums = sums.select(*LEVELS, "bucket", (F.col("before") + F.col("first")).alias("before"))
+    within = running([*LEVELS, "bucket"], ["key", "doc_id"], "tokens")
     part = part.join(sums, [*LEVELS, "bucket"]).where("before < rest")
-    part = part.withColumn("before", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("before < rest")
+    part = part.withColumn("before", F.col("before") + within).where("before < rest")
     last = part.select(*named, (F.col("whole") + 1).cast("int").alias("epoch"), F.least("tokens", F.col("rest") - F.col("before")).alias("taken"))
     return again.unionByName(last)
 
