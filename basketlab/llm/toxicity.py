@@ -24,6 +24,7 @@ lang, source and ids are never inputs of a score.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,12 +91,15 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     ids, starts, texts = np.concatenate(ids), np.concatenate(starts), np.concatenate(texts)
     lengths = np.diff(np.append(starts, total))
     window = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
-    bags = [subwords(w) for w in vocabulary]
-    bag_len = np.array([len(b) for b in bags])
-    grams = np.fromiter((g for b in bags for g in b), dtype=np.int32, count=int(bag_len.sum()))
+    grams, bag_len = array("i"), np.empty(len(vocabulary), dtype=np.int64)
+    for i, word in enumerate(vocabulary):  # no list per word: they would take most of the memory
+        bag = subwords(word)
+        grams.extend(bag)
+        bag_len[i] = len(bag)
+    del vocabulary
+    grams = np.frombuffer(grams, dtype=np.int32)
     bag_at = np.concatenate([[0], np.cumsum(bag_len)[:-1]])
-    of_word = np.repeat(np.arange(len(bags), dtype=np.int32), bag_len)
-    del bags, vocabulary
+    of_word = np.repeat(np.arange(len(bag_len), dtype=np.int32), bag_len)
 
     first = np.flatnonzero(np.append(True, texts[1:] != texts[:-1]))
     shown = texts[first]  # texts that have a window
