@@ -5,7 +5,8 @@ base64 or hexadecimal letters and armoured blocks are candidates only: each is d
 and its bytes must parse before it is reported.
 
 - `der_key`: DER whose nested lengths fill the data exactly and whose members are those
-  of a private key (PKCS#8, PKCS#1, SEC 1, DSA), armoured, in base64 or in hexadecimal;
+  of a private key (PKCS#8, PKCS#1, SEC 1, DSA), armoured (also with escaped line
+  ends), in base64 of either alphabet or in hexadecimal, or armour encoded once more;
 - `openssh_key`: the OpenSSH private key container, field by field to its end;
 - `signed_token`: three base64url parts, the first a JSON object that names an
   algorithm, the second a JSON object, the third empty only if the algorithm is none.
@@ -42,10 +43,14 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+# parts of a run that other letters precede or follow
+_PARTS = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"), re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{39,}={0,2}"))
 _HEXES = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([^-]*)-----END \1-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]{20,}")
+_HEAD = re.compile(r"(?<![A-Za-z0-9])e[wy][A-Za-z0-9_-]{6,}")  # a brace and what may follow it
+_ESCAPED = re.compile(r"\\+[nr]|\r")
 
 
 def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -127,12 +132,59 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
+def _armoured(text: str) -> list[tuple[str, int, int]]:
+    """Spans of armoured keys; line ends may be escaped, as in JSON."""
+    found = []
+    for m in _ARMOUR.finditer(text):
+        body = _ESCAPED.sub("\n", m[2].replace("\r\n", "\n").replace("\\r\\n", "\n")).replace("\\/", "/")
+        body = body.split("\n\n", 1)[-1] if ":" in body else body
+        kind = _key_kind(_decoded("".join(body.split())))
+        if kind:
+            found.append((kind, *m.span()))
+    return found
+
+
 def _key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
+    if b"-----BEGIN " in data:  # armour that was encoded once more
+        inside = _armoured(data.decode("latin-1"))
+        return inside[0][0] if inside else None
     return "der_key" if is_der_key(data) else "openssh_key" if is_openssh_key(data) else None
 
 
+def _base64_keys(text: str) -> list[tuple[str, int, int]]:
+    """Spans of keys in base64 of either alphabet: the whole run, else its parts."""
+    found = []
+    for m in _BASE64.finditer(text):
+        kind = _key_kind(_decoded(m[0]))
+        if kind:
+            found.append((kind, *m.span()))
+            continue
+        for x in (x for p in _PARTS for x in p.finditer(m[0])):
+            kind = _key_kind(_decoded(x[0])) if x[0] != m[0] else None
+            if kind:
+                found.append((kind, m.start() + x.start(), m.start() + x.end()))
+    return found
+
+
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """Spans of signed tokens; any part of a dotted run may be the first of one, also
+    after a hyphen or underscore."""
+    found = []
+    for run in _DOTTED.finditer(text):
+        parts, at, done = run[0].split("."), run.start(), -1
+        for i, part in enumerate(parts[:-2]):
+            for m in _HEAD.finditer(part) if at > done else ():
+                start = _decoded(part[m.start() : m.start() + 4])
+                if start and start[:1] == b"{" and start[1:2] in b'" \t\r\n' and is_signed_token(part[m.start() :], parts[i + 1], parts[i + 2]):
+                    done = at + len(part) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                    found.append(("signed_token", at + m.start(), done))
+                    break
+            at += len(part) + 1
+    return found
+
+
 def is_signed_token(head: str, body: str, signature: str) -> bool:
     parts = []
     for x in (head, body):
@@ -165,18 +217,11 @@ def scan(text: str) -> list[tuple[str, int, int]]:
                 kind = _key_kind(bytes.fromhex(m[0]))
                 if kind:
                     found.append((kind, at + m.start(), at + m.end()))
-        for m in _BASE64.finditer(text):
-            kind = _key_kind(_decoded(m[0]))
-            if kind:
-                found.append((kind, *m.span()))
-        if "eyJ" in text or "." in text:
-            found += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if "e" == m[1][:1] and is_signed_token(*m.groups())]
+        found += _base64_keys(text)
+    if "." in text and ("ey" in text or "ew" in text):
+        found += _tokens(text)
     if "-----BEGIN " in text:
-        for m in _ARMOUR.finditer(text):
-            body = m[2].split("\n\n", 1)[-1] if ":" in m[2] else m[2]
-            kind = _key_kind(_decoded("".join(body.split())))
-            if kind:
-                found.append((kind, *m.span()))
+        found += _armoured(text)
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

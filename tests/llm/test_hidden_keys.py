@@ -1,0 +1,64 @@
+"""Keys and tokens in encodings that hide them (operator 3)."""
+
+import base64
+import json
+import random
+
+from basketlab.llm.secrets import redact, scan
+
+
+def der(tag, *inside):
+    body = b"".join(inside)
+    n = len(body)
+    size = bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def rsa_key(rng, wrapped):
+    pkcs1 = der(0x30, der(2, b"\0"), *(der(2, b"\x01" + rng.randbytes(n)) for n in (255, 2, 255, 127, 127, 127, 127, 127)))
+    rsa = bytes.fromhex("300d06092a864886f70d0101010500")
+    return der(0x30, der(2, b"\0"), rsa, der(4, pkcs1)) if wrapped else pkcs1
+
+
+def armour(data, end="\n"):
+    text = base64.b64encode(data).decode()
+    return end.join(["-----BEGIN PRIVATE KEY-----", *(text[i : i + 64] for i in range(0, len(text), 64)), "-----END PRIVATE KEY-----", ""])
+
+
+def keys(text):
+    return [s for s in scan(text) if s[0] not in ("assign", "access", "hex")]
+
+
+def test_url_safe_keys():
+    rng = random.Random(3)
+    for n in range(100):
+        key = rsa_key(rng, n % 2)
+        for text in (base64.urlsafe_b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("="), base64.b64encode(key).decode()):
+            assert keys(f"a {text} b") == [("der_key", 2, 2 + len(text))]
+        plain = base64.b64encode(key).decode()
+        assert keys(f"key-{plain}") == [("der_key", 4, 4 + len(plain))]
+
+
+def test_escaped_and_encoded_armour():
+    key = rsa_key(random.Random(4), True)
+    for end in ("\n", "\r\n"):
+        for text in (json.dumps({"private_key": armour(key, end)}), json.dumps(json.dumps([armour(key, end)])), json.dumps([armour(key, end)]).replace("/", "\\/")):
+            assert [s[0] for s in keys(text)] == ["der_key"], text
+            assert "-----" not in redact(text)
+        for alphabet in (base64.b64encode, base64.urlsafe_b64encode):
+            text = alphabet(armour(key, end).encode()).decode()
+            assert keys(text) == [("der_key", 0, len(text))]
+        assert keys(armour(key, end).encode().hex()) == [("der_key", 0, 2 * len(armour(key, end)))]
+    assert keys(base64.b64encode(armour(b"no key at all" * 9).encode()).decode()) == []
+
+
+def test_tokens_after_other_parts():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2lnbmF0dXJlMTIzNA"
+    for before in ("", "session.", "example.service.", "Bearer_", "jwt-", "a.b-"):
+        for after in ("", ".", ".more"):
+            assert keys(f"x {before}{token}{after}") == [("signed_token", 2 + len(before), 2 + len(before) + len(token))]
+    assert [s[0] for s in keys(f"{token}.{token}")] == ["signed_token"] * 2
+    bare = f"{part({'alg': 'none'})}.e30."
+    assert keys(f"x {bare} y") == [("signed_token", 2, 2 + len(bare))]
+    assert keys(f"{part({'typ': 'x'})}.e30.c2ln {part({'alg': 'HS256'})}.e30.") == []
