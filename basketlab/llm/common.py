@@ -89,7 +89,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train,
     """Training rows on the driver, and how many labelled rows each class has.
 
     Bounded whatever the tables' size: at most `per_class` rows of each label, the
-    ones whose hashed id is smallest, none longer than `max_chars` characters.
+    ones whose hashed id is smallest, none longer than `max_chars` characters. Of an
+    id's texts, however many rows have it, only the smallest is taken, on Spark.
     `train` is a condition on the labels' doc_id. Null labels or ids are no rows.
     """
     rows = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("__y")).where(
@@ -102,10 +103,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train,
         drawn = part if drawn is None else drawn.unionByName(part)
     # at most 2 * per_class ids, so the broadcast has a bound
     drawn = materialize(drawn, "drawn")
-    found = (
+    drawn = drawn.withColumnRenamed("doc_id", "__id")
+    texts = (
         documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__t"))
         .where(F.length("__t") <= max_chars)
-        .join(F.broadcast(drawn.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
-        .select("__id", "__y", "__t")
+        .join(F.broadcast(drawn.select("__id").distinct()), F.col("doc_id") == F.col("__id"))
+        .groupBy("__id")
+        .agg(F.min("__t").alias("__t"))
     )
+    found = texts.join(F.broadcast(drawn), "__id").select("__id", "__y", "__t")
     return [(r["__t"], r["__y"]) for r in sorted(found.collect(), key=lambda r: (r["__id"], r["__t"]))], counts
