@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlab.llm import common
 from basketlab.llm.blocks import star_links
@@ -60,12 +61,18 @@ def choose_pivots(found: np.ndarray, wanted: int, cosine: float) -> np.ndarray:
     return x[taken + rest]
 
 
+def _held(rows: DataFrame) -> str:
+    """The type in which components are carried: the column's floats, else doubles."""
+    return "float" if isinstance(rows.schema["vec"].dataType.elementType, T.FloatType) else "double"
+
+
 def place(classes: DataFrame, pivots: np.ndarray, cosine: float) -> DataFrame:
     """`classes` with cell, ball (0 or 1), near: the other cells it is a boundary vector of."""
     chord = np.sqrt(2 - 2 * cosine)
     apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
     half = np.cos(np.arccos(cosine) / 2)
-    schema = "c long, m long, vec array<float>, cell int, ball int, near array<int>"
+    held = _held(classes)
+    schema = f"c long, m long, vec array<{held}>, cell int, ball int, near array<int>"
 
     def run(batches):
         for batch in batches:
@@ -79,7 +86,7 @@ def place(classes: DataFrame, pivots: np.ndarray, cosine: float) -> DataFrame:
                 edge[np.arange(len(s)), cell] = False
                 near = [np.flatnonzero(e).astype(np.int32) for e in edge]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2).cast(pa.list_(pa.float32())), pa.array(cell, pa.int32()), pa.array((own >= half + _SAFE).astype(np.int32)), pa.array(near, pa.list_(pa.int32()))],
+                    [part.column(0), part.column(1), part.column(2).cast(pa.list_(pa.float32() if held == "float" else pa.float64())), pa.array(cell, pa.int32()), pa.array((own >= half + _SAFE).astype(np.int32)), pa.array(near, pa.list_(pa.int32()))],
                     names=["c", "m", "vec", "cell", "ball", "near"],
                 )
 
@@ -93,7 +100,7 @@ def _deal(placed: DataFrame, blocks: dict[tuple[int, int], int]) -> DataFrame:
         for i in range(n):
             number[cell, ball, i] = len(number)
             of_cell.setdefault(cell, []).append((ball, number[cell, ball, i]))
-    schema = "a int, b int, side int, c long, m long, vec array<float>"
+    schema = f"a int, b int, side int, c long, m long, vec array<{_held(placed)}>"
 
     def run(batches):
         for batch in batches:
