@@ -9,6 +9,7 @@ from basketlab.llm.metric_join import op6_embedding_near_dedup
 from basketlab.llm.mixing import OP2_SQL, op2_mixing
 from basketlab.llm.packing import op7_packing
 from basketlab.llm.quality import op5_quality
+from basketlab.llm.repair import op13_repair
 from basketlab.llm.secrets import op3_secrets
 from basketlab.llm.simhash import op10_simhash_near_dedup
 from basketlab.llm.toxicity import op1_toxicity
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_mixing, op3_secrets, op4_chat, op5_quality, op6_embedding_near_dedup,
-        op7_packing, op8_ann, op9_wavelet, op10_simhash_near_dedup,
+        op7_packing, op8_ann, op9_wavelet, op10_simhash_near_dedup, op13_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
