@@ -8,6 +8,7 @@ from basketlab.llm.chat import OP4_SQL, op4_chat
 from basketlab.llm.metric_join import op6_embedding_near_dedup
 from basketlab.llm.mixing import OP2_SQL, op2_mixing
 from basketlab.llm.packing import op7_packing
+from basketlab.llm.periods import op11_periodic_runs
 from basketlab.llm.quality import op5_quality
 from basketlab.llm.repair import op13_repair
 from basketlab.llm.secrets import op3_secrets
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_mixing, op3_secrets, op4_chat, op5_quality, op6_embedding_near_dedup,
-        op7_packing, op8_ann, op9_wavelet, op10_simhash_near_dedup, op13_repair,
+        op7_packing, op8_ann, op9_wavelet, op10_simhash_near_dedup, op11_periodic_runs, op13_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
