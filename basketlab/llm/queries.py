@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from basketlab.llm.ann import op8_ann
 from basketlab.llm.chat import OP4_SQL, op4_chat
+from basketlab.llm.lm import op12_lm_scoring
 from basketlab.llm.metric_join import op6_embedding_near_dedup
 from basketlab.llm.mixing import OP2_SQL, op2_mixing
 from basketlab.llm.packing import op7_packing
@@ -20,7 +21,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_mixing, op3_secrets, op4_chat, op5_quality, op6_embedding_near_dedup,
-        op7_packing, op8_ann, op9_wavelet, op10_simhash_near_dedup, op11_periodic_runs, op13_repair,
+        op7_packing, op8_ann, op9_wavelet, op10_simhash_near_dedup, op11_periodic_runs, op12_lm_scoring,
+        op13_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 

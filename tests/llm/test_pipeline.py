@@ -59,4 +59,4 @@ def test_copies_and_toxic_texts_go_and_clean_ones_stay(spark, tmp_path):
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert set(QUERIES) <= set(entry.queries()) and len(QUERIES) == 13
+    assert set(QUERIES) <= set(entry.queries()) and len(QUERIES) == 14
