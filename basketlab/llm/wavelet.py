@@ -2,9 +2,9 @@
 
 Documents are tokenized in ascending id order, an end id after each, and cut into
 shards of whole documents. A shard is one compressed file: a header, the documents'
-ids and lengths, and bit-planes, most significant first, each stably partitioned by
+ids (differences; a null id is a flag) and lengths, and bit-planes, most significant first, each stably partitioned by
 the one above. A plane is cut into chunks that are compressed on their own and listed
-with the number of ones before them, so rank and select need one chunk per plane. A
+with the number of ones before them, so rank and select open one chunk per plane. A
 shard answers, without being decoded: the token at a position, how often a token
 occurs before a position, where its k-th occurrence is; or it is decoded whole.
 
@@ -44,12 +44,17 @@ MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sBIII")  # magic, planes, tokens, documents, bytes of the document list
 
 
-def build(tokens: np.ndarray, doc_lengths: np.ndarray) -> bytes:
-    """The shard's file. tokens: unsigned; doc_lengths: tokens of each document."""
+def build(tokens: np.ndarray, doc_lengths: np.ndarray, doc_ids: list[int | None] | None = None) -> bytes:
+    """The shard's file. tokens: unsigned; of each document its tokens' number and its
+    id (0, 1, ... if not given)."""
+    doc_ids = range(len(doc_lengths)) if doc_ids is None else doc_ids
     n = len(tokens)
     planes = max(1, int(tokens.max()).bit_length()) if n else 1
     pack = zstandard.ZstdCompressor(level=1).compress
-    documents = pack(doc_lengths.astype("<u4").tobytes())
+    real = np.array([d is not None for d in doc_ids], dtype=bool)
+    # differences wrap around, and so does their running sum
+    steps = np.diff(np.array([d or 0 for d in doc_ids], dtype=np.int64).view(np.uint64), prepend=np.uint64(0))
+    documents = pack(doc_lengths.astype("<u4").tobytes() + steps.astype("<u8").tobytes() + real.tobytes())
     directory, body = [], []
     row = tokens.astype(np.uint32 if planes > 16 else np.uint16)
     for p in range(planes - 1, -1, -1):
@@ -76,8 +81,12 @@ class Shard:
             raise ValueError("not a shard")
         self._open = zstandard.ZstdDecompressor().decompress
         at = _HEAD.size
-        self.doc_lengths = np.frombuffer(self._open(data[at : at + size]), dtype="<u4")
-        assert len(self.doc_lengths) == docs
+        held = self._open(data[at : at + size])
+        if len(held) != 13 * docs:
+            raise ValueError("damaged list of documents")
+        self.doc_lengths = np.frombuffer(held, dtype="<u4", count=docs)
+        self.doc_ids = np.cumsum(np.frombuffer(held, dtype="<u8", count=docs, offset=4 * docs), dtype=np.uint64).view(np.int64)
+        self.doc_known = np.frombuffer(held, dtype=bool, offset=12 * docs)
         at += size
         self.chunks = -(-self.n // CHUNK)
         listed = np.frombuffer(data, dtype="<u4", count=2 * self.planes * self.chunks, offset=at).reshape(self.planes, self.chunks, 2)
@@ -88,24 +97,31 @@ class Shard:
         self._zeros = [self.n - self._rank(p, self.n) for p in range(self.planes)]
 
     def _chunk(self, plane: int, c: int) -> np.ndarray:
+        return np.unpackbits(self._raw(plane, c), bitorder="little", count=min(CHUNK, self.n - c * CHUNK))
+
+    def _raw(self, plane: int, c: int) -> np.ndarray:
         end = int(self._ends[plane, c])
-        raw = np.frombuffer(self._open(self._data[end - int(self._sizes[plane, c]) : end]), dtype=np.uint8)
-        return np.unpackbits(raw, bitorder="little", count=min(CHUNK, self.n - c * CHUNK))
+        return np.frombuffer(self._open(self._data[end - int(self._sizes[plane, c]) : end]), dtype=np.uint8)
+
+    def _look(self, plane: int, i: int) -> tuple[int, int]:
+        """(ones before position i, the bit there; 0 at the end) of a plane: the chunk is
+        opened once, whole bytes are counted as they are."""
+        c = min(i // CHUNK, self.chunks - 1)
+        if c < 0:
+            return 0, 0
+        raw, (whole, rest) = self._raw(plane, c), divmod(i - c * CHUNK, 8)
+        ones = int(self._before[plane, c]) + int(np.bitwise_count(raw[:whole]).sum(dtype=np.int64))
+        last = int(raw[whole]) if whole < len(raw) else 0
+        return ones + (last & (1 << rest) - 1).bit_count(), last >> rest & 1
 
     def _rank(self, plane: int, i: int) -> int:
         """Ones before position i of a plane."""
-        c = i // CHUNK
-        if c == self.chunks:
-            if not c:
-                return 0
-            c -= 1
-        return int(self._before[plane, c]) + int(self._chunk(plane, c)[: i - c * CHUNK].sum())
+        return self._look(plane, i)[0]
 
     def access(self, i: int) -> int:
         value = 0
         for p in range(self.planes):
-            bit = int(self._chunk(p, i // CHUNK)[i % CHUNK])
-            ones = self._rank(p, i)
+            ones, bit = self._look(p, i)
             i = self._zeros[p] + ones if bit else i - ones
             value = value << 1 | bit
         return value
@@ -159,8 +175,8 @@ class Shard:
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """A written table of shards: part, shard (its number in its part), first_doc,
-    doc_ids (as stored), tokens, file. Parts ascend by document id, shards within."""
+    """A written table of shards: part, shard (its number in its part), file. Parts
+    ascend by document id, shards within."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     common.ship(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -168,17 +184,16 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     dealt = docs.withColumn("tie", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     dealt = dealt.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
-    schema = "part int, shard int, doc_ids array<long>, tokens long, file binary"
+    schema = "part int, shard int, file binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, ids, streams, held = 0, 0, [], [], 0
 
         def close():
             tokens = np.frombuffer(b"".join(streams), dtype="<u4")
-            made = build(tokens, np.array([len(s) // 4 for s in streams]))
+            made = build(tokens, np.array([len(s) // 4 for s in streams]), ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([made], pa.binary())],
-                names=["part", "shard", "doc_ids", "tokens", "file"],
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([made], pa.binary())], names=["part", "shard", "file"]
             )
 
         for batch in batches:
@@ -202,14 +217,14 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """part, shard, doc_id, place (in the shard), start_in_shard, n_tokens, ids (bytes)
-    of every document, decoded from the files."""
+    """part, shard, doc_id, start_in_shard, n_tokens, ids_crc32 of every document, all
+    from the files."""
     common.ship(shards.sparkSession)
     schema = "part int, shard int, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, shard, ids, file in zip(*(batch.column(i) for i in range(4))):
+            for part, shard, file in zip(*(batch.column(i) for i in range(3))):
                 s = Shard(file.as_py())
                 tokens = s.decode().astype("<u4")
                 n = s.doc_lengths.astype(np.int64)
@@ -217,16 +232,25 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(tokens[e - k : e]) for e, k in zip(ends, n)]
                 k = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, part.as_py(), dtype=np.int32)), pa.array(np.full(k, shard.as_py(), dtype=np.int32)), ids.values, pa.array(ends - n), pa.array(n), pa.array(crcs, pa.int64())],
+                    [pa.array(np.full(k, part.as_py(), dtype=np.int32)), pa.array(np.full(k, shard.as_py(), dtype=np.int32)), pa.array(s.doc_ids, mask=~s.doc_known), pa.array(ends - n), pa.array(n), pa.array(crcs, pa.int64())],
                     names=["part", "shard", "doc_id", "start_in_shard", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("part", "shard", "doc_ids", "file").mapInArrow(run, schema)
+    return shards.select("part", "shard", "file").mapInArrow(run, schema)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
-    """part, shard, before: tokens of all earlier shards."""
-    small = shards.select("part", "shard", "tokens")
+    """part, shard, before: tokens of all earlier shards, by the files' headers."""
+    common.ship(shards.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [_HEAD.unpack_from(x.as_py())[2] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["part", "shard", "tokens"])
+
+    # the header is in the file's first bytes
+    heads = shards.select("part", "shard", F.substring("file", 1, _HEAD.size).alias("head"))
+    small = heads.mapInArrow(run, "part int, shard int, tokens long")
     parts = offsets(small.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n", "part_before").select("part", "part_before")
     from pyspark.sql import Window
 

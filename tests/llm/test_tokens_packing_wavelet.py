@@ -13,7 +13,7 @@ from basketlab.llm.packing import op7_packing
 from basketlab.llm.tokens import Encoder, vocabulary
 from basketlab.llm.wavelet import Shard, build, op9_wavelet
 
-FRAGMENTS = ["a", "b2", "É", "é́", " ", "  ", "\n", "\t", "\xa0", ".", ",", "!", "<|endoftext|>", "'s", "'", "S", "12", "_", "ſ", "K", "İ", "Σ", "日本", "|", "?", "<|", "\x1c", "　", "x|endoftext|>", "²", "́", "word" * 30]
+FRAGMENTS = ["a", "b2", "É", "é́", " ", "  ", "\n", "\t", "\xa0", ".", ",", "!", "<|endoftext|>", "'s", "'", "S", "12", "_", "ſ", "K", "İ", "Σ", "日本", "|", "?", "<|", "\x1c", "　", "x|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartOfText|>", "<|startoftext|>", "²", "́", "word" * 30]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -27,6 +27,17 @@ def test_ids_equal_the_tokenizers(name):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_any_case(name):
+    whole = Tokenizer.from_file(vocabulary(name))
+    own = Encoder(vocabulary(name), name.startswith("word"))
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    forms = [f(a) for a in added for f in (str, str.upper, str.title, str.swapcase)]
+    texts = [t for f in forms for t in (f, f"a {f} b", f"a{f}b", f"A.{f}, b", f"{f}{f}", f"one\n{f} two")]
+    for t, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_cache_begun_anew(monkeypatch):
     monkeypatch.setattr("basketlab.llm.tokens.CACHE", 5)
     own, whole = Encoder(vocabulary("byte_bpe_50k.json"), False), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
@@ -95,6 +106,12 @@ def test_wavelet_matrix(high):
     assert Shard(build(tokens[:0], np.zeros(0))).decode().tolist() == []
 
 
+def test_shard_holds_ids_of_documents():
+    ids = [None, None, -(2**63), -5, -5, 0, 7, 2**63 - 1]
+    shard = Shard(build(np.arange(8, dtype=np.uint32), np.ones(8), ids))
+    assert [int(i) if known else None for i, known in zip(shard.doc_ids, shard.doc_known)] == ids
+
+
 def brute(docs):
     whole = Tokenizer.from_file(vocabulary(wavelet.VOCABULARY))
     out, start = [], 0
