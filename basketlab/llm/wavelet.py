@@ -72,6 +72,11 @@ def build(tokens: np.ndarray, doc_lengths: np.ndarray, doc_ids: list[int | None]
     return b"".join([_HEAD.pack(MAGIC, planes, n, len(doc_lengths), len(documents)), documents, listed, *body])
 
 
+def tokens_by_head(head: bytes) -> int:
+    """How many tokens a shard holds, from its file's first bytes."""
+    return _HEAD.unpack_from(head)[2]
+
+
 class Shard:
     """Reads a shard's file."""
 
@@ -245,7 +250,7 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [_HEAD.unpack_from(x.as_py())[2] for x in batch.column(2)]
+            tokens = [tokens_by_head(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["part", "shard", "tokens"])
 
     # the header is in the file's first bytes
