@@ -122,13 +122,14 @@ class Encoder:
             p = names[i]
             if len(p) > LONGEST:
                 self.long += len(p)
-            s = p.rstrip(_MARKS)
-            if len(s) < len(p) and s.isalnum():
-                marked.append((i, self.pieces[s], p[len(s) :]))
-            elif p.isalpha() and max(p) < "\u0250":
-                words.append(i)
+            if p.isalpha():
+                (words if p.isascii() or max(p) < "\u0250" else rest).append(i)
             else:
-                rest.append(i)
+                s = p.rstrip(_MARKS)
+                if len(s) < len(p) and s.isalnum():
+                    marked.append((i, self.pieces[s], p[len(s) :]))
+                else:
+                    rest.append(i)
             i += 1
         data = [b""] * (len(names) - known)
         for at, ids in zip(words, self._ids([self.lead + names[i] for i in words], self.merger)):

@@ -58,16 +58,20 @@ def build(tokens: np.ndarray, doc_lengths: np.ndarray, doc_ids: list[int | None]
     directory, body = [], []
     row = tokens.astype(np.uint32 if planes > 16 else np.uint16)
     for p in range(planes - 1, -1, -1):
-        bits = (row >> p) & 1
-        ones = bits.astype(bool)
+        ones = (row & row.dtype.type(1 << p)) != 0
+        bits = np.packbits(ones, bitorder="little")
         before = 0
-        for at in range(0, n, CHUNK):
-            part = ones[at : at + CHUNK]
-            data = pack(np.packbits(part, bitorder="little").tobytes())
+        for at in range(0, len(bits), CHUNK // 8):
+            part = bits[at : at + CHUNK // 8]
+            data = pack(part.tobytes())
             directory.append((before, len(data)))
             body.append(data)
-            before += int(part.sum())
-        row = np.concatenate([row[~ones], row[ones]])
+            before += int(np.bitwise_count(part).sum(dtype=np.int64))
+        if p:  # nothing stands below the last plane
+            below = np.empty_like(row)
+            np.compress(~ones, row, out=below[: n - before])
+            np.compress(ones, row, out=below[n - before :])
+            row = below
     listed = np.array(directory, dtype="<u4").tobytes()
     return b"".join([_HEAD.pack(MAGIC, planes, n, len(doc_lengths), len(documents)), documents, listed, *body])
 
@@ -169,13 +173,13 @@ class Shard:
     def decode(self) -> np.ndarray:
         """All tokens, from the lowest plane up."""
         kind = np.uint32 if self.planes > 16 else np.uint16
-        row = np.zeros(self.n, dtype=kind)
+        row, place = np.zeros(self.n, dtype=kind), np.arange(self.n, dtype=np.int32)
         for p in range(self.planes - 1, -1, -1):
-            bits = np.concatenate([self._chunk(p, c) for c in range(self.chunks)]).view(bool) if self.n else np.zeros(0, bool)
-            upper, zeros = np.empty_like(row), self._zeros[p]
-            upper[~bits] = row[:zeros]
-            upper[bits] = row[zeros:] | kind(1 << (self.planes - 1 - p))
-            row = upper
+            packed = np.concatenate([self._raw(p, c) for c in range(self.chunks)] or [np.zeros(0, np.uint8)])
+            bits = np.unpackbits(packed, bitorder="little", count=self.n).view(bool)
+            row[self._zeros[p] :] |= kind(1 << (self.planes - 1 - p))
+            ones = np.cumsum(bits, dtype=np.int32)
+            row = row.take(np.where(bits, ones + (self._zeros[p] - 1), place - ones))
         return row
 
 
