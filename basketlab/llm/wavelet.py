@@ -173,13 +173,15 @@ class Shard:
     def decode(self) -> np.ndarray:
         """All tokens, from the lowest plane up."""
         kind = np.uint32 if self.planes > 16 else np.uint16
-        row, place = np.zeros(self.n, dtype=kind), np.arange(self.n, dtype=np.int32)
+        row = np.zeros(self.n, dtype=kind)
         for p in range(self.planes - 1, -1, -1):
             packed = np.concatenate([self._raw(p, c) for c in range(self.chunks)] or [np.zeros(0, np.uint8)])
             bits = np.unpackbits(packed, bitorder="little", count=self.n).view(bool)
             row[self._zeros[p] :] |= kind(1 << (self.planes - 1 - p))
-            ones = np.cumsum(bits, dtype=np.int32)
-            row = row.take(np.where(bits, ones + (self._zeros[p] - 1), place - ones))
+            upper = np.empty_like(row)
+            upper[np.flatnonzero(~bits)] = row[: self._zeros[p]]
+            upper[np.flatnonzero(bits)] = row[self._zeros[p] :]
+            row = upper
         return row
 
 
