@@ -13,6 +13,14 @@ from basketlab.operators.portfolio import capped_weights, equal_weights
 from basketlab.params import Params
 
 
+# fixed values: the arms that follow from the objective, and what a fallback says
+CLASSICAL, QUANTUM = "qubo_classical", "qubo_quantum"
+NOT_COVERED = "selection not fully covered by covariance"
+CAP_INFEASIBLE = "cap infeasible"
+NONE_FEASIBLE = "no feasible scheme"
+N_MIXED = 20
+
+
 def candidate_pairs(pool: DataFrame) -> DataFrame:
     """All i < j of the numbered pool with a same-sector mark."""
     sector = pool.select("security", "sector")
@@ -48,7 +56,7 @@ def objective_terms(cov: DataFrame, pool: DataFrame, p: Params, k: int) -> DataF
     )
 
 
-def candidate_baskets(pool: DataFrame, k: int, n_mixed: int = 20) -> DataFrame:
+def candidate_baskets(pool: DataFrame, k: int, n_mixed: int = N_MIXED) -> DataFrame:
     """(basket, security): the k best, the best per sector, and repeatable
     random subsets of size k, all drawn from the bounded pool."""
     names = pool.select("security", "sector", "pos")
@@ -155,14 +163,44 @@ def lambda_sweep(components: DataFrame, grid: list[tuple]) -> DataFrame:
     )
 
 
+def arm_winners(components: DataFrame, p: Params) -> DataFrame:
+    """(arm, basket, bestEnergy, energyStd, numReads): each arm takes the lowest energy of
+    a candidate table of its own: the best names, the sector spread and the first half
+    of the drawn baskets, or the other half. Ties go to the smaller name."""
+    number = F.coalesce(F.regexp_extract("basket", r"^mix(\d+)$", 1).try_cast("int"), F.lit(0))
+    scored = components.withColumn("energy", energy(p.l1, p.l2, p.l3, p.l4)).withColumn(
+        "arm", F.when(number > N_MIXED // 2, QUANTUM).otherwise(CLASSICAL)
+    )
+    return (
+        scored.groupBy("arm")
+        .agg(
+            F.min(F.struct(F.round("energy", 9).alias("e"), F.col("basket").alias("b"))).alias("w"),
+            F.stddev_pop("energy").alias("energyStd"),
+            F.count(F.lit(1)).alias("numReads"),
+        )
+        .select("arm", F.col("w.b").alias("basket"), F.col("w.e").alias("bestEnergy"), "energyStd", "numReads")
+    )
+
+
+def arm_selections(winners: DataFrame, candidates: DataFrame, pool: DataFrame, p: Params) -> DataFrame:
+    """(arm, security, sector, score): the baseline's best names and each winner's."""
+    best = candidates.where("basket = 'top'").select(F.lit(p.baseline_arm).alias("arm"), "security")
+    # one winner an arm
+    won = candidates.join(F.broadcast(winners.select("arm", "basket")), "basket").select("arm", "security")
+    return best.unionByName(won).join(pool.select("security", "sector", "score"), "security")
+
+
 def weight_schemes(selection: DataFrame, factors: DataFrame, p: Params) -> DataFrame:
     """(scheme, security, score, weight): score-capped, equal and inverse
-    volatility weights of one selection (security, score)."""
-    rows = selection.select("security", "score")
+    volatility weights of one selection (security, score), or of one an arm
+    (arm, security, score), whose schemes are then named arm|scheme."""
+    by_arm = "arm" in selection.columns
+    rows = selection.select("security", "score", *(["arm"] if by_arm else []))
     vol = variances(factors).withColumn("inv_vol", ratio(F.lit(1.0), F.sqrt("var")))
 
     def tagged(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("portfolio", F.lit(name))
+        label = F.concat_ws("|", "arm", F.lit(name)) if by_arm else F.lit(name)
+        return df.withColumn("portfolio", label).drop("arm")
 
     by_score = capped_weights(tagged(rows, "score_capped"), p.max_weight)
     equal = equal_weights(tagged(rows, "equal"))
@@ -221,3 +259,77 @@ def choose_weights(report: DataFrame) -> DataFrame:
         F.coalesce("best.o", "scoreObjective").alias("objective"),
         "wCwScore",
     )
+
+
+def choose_by_arm(report: DataFrame, p: Params) -> DataFrame:
+    """One row per arm: the feasible scheme with the lowest objective, else the score
+    weights and why, with what the chosen and the score weights come to."""
+    named = F.split("scheme", r"\|")
+    rows = report.withColumn("arm", named[0]).withColumn("scheme", named[1])
+    key = F.struct(F.round("objective", 9).alias("o"), F.col("scheme").alias("s"))
+    fields = ["wCw", "objective", "maxWeight", "namesAtCap", "effectiveN", "names", "covered"]
+    # three schemes an arm
+    picked = rows.groupBy("arm").agg(
+        F.min(F.when(F.col("feasible"), key)).alias("best"),
+        F.map_from_entries(F.collect_list(F.struct("scheme", F.struct(*fields)))).alias("of"),
+    )
+    scheme = F.coalesce("best.s", F.lit("score_capped"))
+    x, by_score = F.element_at("of", scheme), F.element_at("of", F.lit("score_capped"))
+    note = (
+        F.when(x["names"] > x["covered"], NOT_COVERED)
+        .when(x["names"] * p.max_weight < 1.0 - 1e-12, CAP_INFEASIBLE)
+        .otherwise(NONE_FEASIBLE)
+    )
+    fell_back = F.col("best").isNull()
+    return picked.select(
+        "arm",
+        scheme.alias("scheme"),
+        F.when(fell_back, "score_fallback").otherwise("objective").alias("weighting"),
+        F.when(fell_back, note).alias("weightingNote"),
+        by_score["wCw"].alias("wSigmaWScore"),
+        F.when(~fell_back, x["wCw"]).alias("wSigmaW"),
+        x["maxWeight"].alias("maxWeight"),
+        F.when(~fell_back, x["namesAtCap"]).alias("namesAtCap"),
+        x["effectiveN"].alias("effectiveN"),
+    )
+
+
+def arm_weights(selections: DataFrame, schemes: DataFrame, choice: DataFrame, p: Params) -> DataFrame:
+    """(portfolio, security, sector, score, weight): score weights for the baseline, the
+    chosen scheme's for every other arm."""
+    used = F.when(F.col("arm") == p.baseline_arm, "score_capped").otherwise(F.col("scheme"))
+    # one row an arm
+    used = F.broadcast(choice.select(F.concat_ws("|", "arm", used).alias("scheme"), F.col("arm").alias("portfolio")))
+    weights = schemes.join(used, "scheme").select("portfolio", "security", "weight")
+    info = selections.select(F.col("arm").alias("portfolio"), "security", "sector", "score")
+    return info.join(weights, ["portfolio", "security"])
+
+
+def diagnostics(winners: DataFrame, choice: DataFrame, p: Params, k: int) -> DataFrame:
+    """One typed row per arm: how its names were found and weighted; for the baseline,
+    which neither searches nor optimises, only that."""
+    own = F.col("arm") != p.baseline_arm
+
+    def of(column: Column) -> Column:
+        return F.when(own, column)
+
+    lambdas = F.create_map(*[x for n in ("l1", "l2", "l3", "l4") for x in (F.lit(n), F.lit(float(getattr(p, n))))])
+    weighing = F.create_map(*[x for n in ("l1", "l2") for x in (F.lit(n), F.lit(float(getattr(p, n))))])
+    return choice.join(winners, "arm", "left").select(
+        "arm",
+        F.when(own, "candidates").otherwise("none").alias("solver"),
+        (F.col("arm") == QUANTUM).alias("isQuantum"),
+        F.col("numReads").cast("int").alias("numReads"),
+        F.round("bestEnergy", 6).alias("bestEnergy"),
+        F.round("energyStd", 6).alias("energyStd"),
+        of(lambdas).alias("lambdas"),
+        of(F.lit(k)).alias("targetSize"),
+        of(F.col("weighting")).alias("weighting"),
+        of(F.col("weightingNote")).alias("weightingNote"),
+        of(weighing).alias("weightLambdas"),
+        of(F.round("wSigmaWScore", 8)).alias("wSigmaWScore"),
+        of(F.round("wSigmaW", 8)).alias("wSigmaW"),
+        of(F.round("maxWeight", 5)).alias("maxWeight"),
+        of(F.col("namesAtCap")).cast("int").alias("namesAtCap"),
+        of(F.round("effectiveN", 1)).alias("effectiveN"),
+    )

@@ -10,6 +10,12 @@ from basketlab.operators.forward import ARM_LABELS, arm_ordinal
 from basketlab.params import Params
 
 
+# fixed values: how a fund says it is weighted
+BY_SCORE = "score-weighted"
+BY_OBJECTIVE = "objective-weighted"
+BY_FALLBACK = "score-weighted (fallback)"
+
+
 def holdings_detail(arms: DataFrame, stocks: DataFrame) -> DataFrame:
     """An arm's names with their published rows; `partial` where there is none."""
     published = stocks.withColumn("_hit", F.lit(True)).withColumnRenamed("fundWeight", "_fw")
@@ -63,9 +69,9 @@ def nav_overlay(nav: DataFrame, forward: DataFrame) -> DataFrame:
 
 def fund_records(
     weights: DataFrame, blended: DataFrame, windows: DataFrame, nav: DataFrame,
-    sectors: DataFrame, p: Params, name: str, weighting: str,
+    sectors: DataFrame, p: Params, name: str, weighting: DataFrame,
 ) -> DataFrame:
-    """One nested fund record per portfolio. Every collected list is bounded:
+    """One nested fund record per portfolio (`weighting`: portfolio, weighting). Every collected list is bounded:
     windows by the parameter, NAV by `nav_points`, sectors by their number."""
     key = "portfolio"
     fields = [c for c in windows.columns if c not in (key, "years")]
@@ -97,13 +103,13 @@ def fund_records(
         .join(points, key, "left")
         .join(by_sector, key, "left")
         .withColumn("name", F.lit(name))
-        .withColumn("weighting", F.lit(weighting))
+        .join(weighting, key, "left")
         .withColumn("benchmark", F.lit(p.benchmark))
     )
 
 
-def arm_records(arms: DataFrame, funds: DataFrame) -> DataFrame:
-    """One nested record per arm with its selection, weights and fund."""
+def arm_records(arms: DataFrame, funds: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One nested record per arm with its selection, weights, fund and diagnostics."""
     entry = F.struct(F.col("security"), F.round("weight", 5).alias("weight"))
     label = F.create_map(*[F.lit(v) for kv in ARM_LABELS.items() for v in kv])
     packed = arms.groupBy("arm").agg(
@@ -111,11 +117,12 @@ def arm_records(arms: DataFrame, funds: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("weights"),
     )
     fund = funds.select(F.col("portfolio").alias("arm"), F.struct(*[c for c in funds.columns if c != "portfolio"]).alias("fund"))
-    return packed.join(fund, "arm", "left").select(
+    told = diagnostics.select("arm", F.struct(*[c for c in diagnostics.columns if c != "arm"]).alias("diagnostics"))
+    return packed.join(fund, "arm", "left").join(told, "arm", "left").select(
         F.col("arm").alias("key"),
         F.element_at(label, F.col("arm")).alias("label"),
         (F.col("arm") == "qubo_quantum").alias("isQuantum"),
-        "selection", "weights", "fund",
+        "selection", "weights", "fund", "diagnostics",
     )
 
 

@@ -105,16 +105,14 @@ def facts_flatten(s: Screen) -> DataFrame:
 
 
 def _yield_text(s: Screen) -> DataFrame:
-    """Yield prints as the published CSV shows them: percent text, gaps as text,
-    and December repeated with another value in the next year's file."""
+    """Yield prints as the published CSV shows them: percent text, and December repeated with another value in the next year's file."""
     pct = F.round(F.col("rf_annual") * 100.0, 4)
     base = s.rf.select("date", pct.alias("pct"), F.year("date").alias("batch"))
     again = base.where(F.month("date") == 12).select(
         "date", (F.col("pct") + 0.5).alias("pct"), (F.col("batch") + 1).alias("batch")
     )
-    text = F.when(F.dayofmonth("date") % 5 == 0, "N/A").otherwise(F.col("pct").cast("string"))
     return base.unionByName(again).select(
-        F.date_format("date", "MM/dd/yyyy").alias("Date"), text.alias("3 Mo"), "batch"
+        F.date_format("date", "MM/dd/yyyy").alias("Date"), F.col("pct").cast("string").alias("3 Mo"), "batch"
     )
 
 
@@ -152,16 +150,10 @@ def rf_fallback(s: Screen) -> DataFrame:
 
 @query
 def log_read(s: Screen) -> DataFrame:
-    """Log lines with blank and cut-off ones among them."""
+    """Every mark of the log's lines."""
     path = scratch_path(s.spark, "log")
     line = F.to_json(F.struct("date", "runType", "armReturns"), {"ignoreNullFields": "false"})
-    day = F.dayofmonth(F.col("date").cast("date"))
-    records = forward_log.record(s.marks, "daily", 1).select(
-        F.when(day % 7 == 3, F.substring(line, 1, 25))
-        .when(day % 7 == 4, F.concat(F.lit("\n"), line))
-        .otherwise(line)
-    )
-    records.write.text(path)
+    forward_log.record(s.marks, "daily", 1).select(line).write.text(path)
     return tidy(forward_log.explode_marks(forward_log.read_log(s.spark, path)))
 
 
@@ -955,14 +947,9 @@ def objective_terms(s: Screen) -> DataFrame:
     return tidy(baskets.objective_terms(cov, s.pool, s.p, s.p.basket_size))
 
 
-def _components(s: Screen) -> DataFrame:
-    candidates = baskets.candidate_baskets(s.pool, s.p.basket_size)
-    return baskets.basket_components(candidates, s.pool, s.factors, s.p.basket_size)
-
-
 @query
 def score_candidate_selections(s: Screen) -> DataFrame:
-    return tidy(baskets.score_baskets(_components(s), s.p), "basket", "size", "energy", "energy_std", "is_best")
+    return tidy(baskets.score_baskets(s.components, s.p), "basket", "size", "energy", "energy_std", "is_best")
 
 
 SWEEP = [
@@ -972,7 +959,7 @@ SWEEP = [
 
 @query
 def lambda_sweep(s: Screen) -> DataFrame:
-    return tidy(baskets.lambda_sweep(_components(s), SWEEP))
+    return tidy(baskets.lambda_sweep(s.components, SWEEP))
 
 
 @query
@@ -981,6 +968,26 @@ def choose_weights(s: Screen) -> DataFrame:
     return tidy(chosen.withColumn("wCwScore_bp", F.col("wCwScore") * 1e4).drop("wCwScore"))
 
 
+@query
+def arm_diagnostics(s: Screen) -> DataFrame:
+    """How each arm's names and weights were found."""
+    rows = s.diagnostics
+    for name in ("lambdas", "weightLambdas"):
+        keys = ("l1", "l2", "l3", "l4") if name == "lambdas" else ("l1", "l2")
+        rows = rows.withColumns({f"{name}_{k}": F.col(name)[k] for k in keys}).drop(name)
+    bp = {f"{c}_bp": F.col(c) * 1e4 for c in ("wSigmaWScore", "wSigmaW")}
+    return tidy(rows.withColumns(bp).drop("wSigmaWScore", "wSigmaW"))
+
+
+@query
+def arm_choice(s: Screen) -> DataFrame:
+    """Every arm's candidate and scheme, with each name's weight."""
+    won = s.winners.select(F.col("arm").alias("portfolio"), "basket")
+    used = s.choice.select(F.col("arm").alias("portfolio"), "scheme")
+    rows = s.arms.join(F.broadcast(won), "portfolio", "left").join(F.broadcast(used), "portfolio")
+    return tidy(rows, "portfolio", "basket", "scheme", "security", "sector", "weight")
+
+
 # --- streams ------------------------------------------------------------------------------
 
 @query

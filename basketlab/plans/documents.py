@@ -33,6 +33,12 @@ FUND = (
     "navSeries: ARRAY<STRUCT<date: STRING, fund: DOUBLE, benchmark: DOUBLE>>, "
     "sectorBreakdown: ARRAY<STRUCT<sector: STRING, weight: DOUBLE>>>"
 )
+DIAGNOSTICS = (
+    "STRUCT<solver: STRING, isQuantum: BOOLEAN, numReads: INT, bestEnergy: DOUBLE, "
+    "energyStd: DOUBLE, lambdas: MAP<STRING, DOUBLE>, targetSize: INT, weighting: STRING, "
+    "weightingNote: STRING, weightLambdas: MAP<STRING, DOUBLE>, wSigmaWScore: DOUBLE, "
+    "wSigmaW: DOUBLE, maxWeight: DOUBLE, namesAtCap: INT, effectiveN: DOUBLE>"
+)
 _STATS = "STRUCT<arm: STRING, vsBaseline: STRING, nDays: BIGINT, " + ", ".join(
     f"{c}: DOUBLE"
     for c in (
@@ -46,7 +52,7 @@ RESEARCH = (
     "STRUCT<schemaVersion: INT, asOf: STRING, inceptionDate: STRING, baselineArm: STRING, "
     "armOrder: ARRAY<STRING>, "
     "arms: ARRAY<STRUCT<key: STRING, label: STRING, isQuantum: BOOLEAN, "
-    f"selection: ARRAY<STRING>, weights: MAP<STRING, DOUBLE>, fund: {FUND}>>, "
+    f"selection: ARRAY<STRING>, weights: MAP<STRING, DOUBLE>, fund: {FUND}, diagnostics: {DIAGNOSTICS}>>, "
     "selectionComparison: ARRAY<STRUCT<pair: STRING, jaccard: DOUBLE, overlapCount: BIGINT, "
     "nA: BIGINT, nB: BIGINT, onlyA: ARRAY<STRING>, onlyB: ARRAY<STRING>>>, "
     f"forwardStats: ARRAY<{_STATS}>, "
@@ -71,7 +77,7 @@ REASONS = (
 def research_document(s: Screen) -> DataFrame:
     """The experiment's one-row record with every arm's fund inside."""
     funds = materialize(s.fund_records(), "funds")
-    arm_rows = report.arm_records(s.selections_with_weights, funds)
+    arm_rows = report.arm_records(s.selections_with_weights, funds, s.diagnostics)
     return report.research_block(
         materialize(arm_rows, "arm_rows"),
         forward.jaccard(s.selections),

@@ -174,19 +174,45 @@ class Screen:
         return self.series.where("bench IS NOT NULL")
 
     @cached_property
-    def arms(self) -> DataFrame:
-        """(portfolio, security, score, weight, sector): the baseline takes the
-        best scores, the two others a sector-spread and a drawn basket."""
-        drawn = baskets.candidate_baskets(self.pool, self.p.basket_size, n_mixed=1)
-        arm = (
-            F.when(F.col("basket") == "top", "greedy")
-            .when(F.col("basket") == "sector", "qubo_classical")
-            .otherwise("qubo_quantum")
-        )
-        chosen = drawn.select(arm.alias("portfolio"), "security").join(
-            self.pool.select("security", "sector", "score"), "security"
+    def candidates(self) -> DataFrame:
+        return materialize(baskets.candidate_baskets(self.pool, self.p.basket_size), "candidates")
+
+    @cached_property
+    def components(self) -> DataFrame:
+        rows = baskets.basket_components(self.candidates, self.pool, self.factors, self.p.basket_size)
+        return materialize(rows, "components")
+
+    @cached_property
+    def winners(self) -> DataFrame:
+        return materialize(baskets.arm_winners(self.components, self.p), "winners")
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return materialize(
+            baskets.arm_selections(self.winners, self.candidates, self.pool, self.p), "chosen"
         )
-        return materialize(portfolio.capped_weights(chosen, self.p.max_weight), "arms")
+
+    @cached_property
+    def arm_schemes(self) -> DataFrame:
+        return materialize(baskets.weight_schemes(self.chosen, self.factors, self.p), "arm-schemes")
+
+    @cached_property
+    def choice(self) -> DataFrame:
+        """How each arm is weighted: one row an arm."""
+        rows = baskets.weight_report(self.arm_schemes, self.factors, self.p)
+        return materialize(baskets.choose_by_arm(rows, self.p), "choice")
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return baskets.diagnostics(self.winners, self.choice, self.p, self.p.basket_size)
+
+    @cached_property
+    def arms(self) -> DataFrame:
+        """(portfolio, security, sector, score, weight): the baseline takes the best
+        scores, the two others the lowest objective of their candidates, weighted by
+        the same objective."""
+        rows = baskets.arm_weights(self.chosen, self.arm_schemes, self.choice, self.p)
+        return materialize(rows, "arms")
 
     @cached_property
     def selections(self) -> DataFrame:
@@ -226,7 +252,13 @@ class Screen:
             portfolio.sector_breakdown(self.arms),
             self.p,
             name="Screened fund",
-            weighting="score-weighted",
+            weighting=self.choice.select(
+                F.col("arm").alias("portfolio"),
+                F.when(F.col("arm") == self.p.baseline_arm, report.BY_SCORE)
+                .when(F.col("weighting") == "objective", report.BY_OBJECTIVE)
+                .otherwise(report.BY_FALLBACK)
+                .alias("weighting"),
+            ),
         )
 
     # --- covariance -------------------------------------------------------------------------

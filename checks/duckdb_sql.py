@@ -461,11 +461,6 @@ select 'mix' || cast(rep as varchar), security from (
   select rep, security, row_number() over (partition by rep order by {draw('rep', 'pos', chr(39) + 'basket' + chr(39))}, pos) as k
   from v_pool cross join (select unnest(range(1, 21)) as rep))
 where k <= {P.basket_size}"""
-VIEWS["v_chosen"] = """
-select case basket when 'top' then 'greedy' when 'sector' then 'qubo_classical'
-            else 'qubo_quantum' end as portfolio, c.security, p.sector, p.score
-from v_cand c join v_pool p on c.security = p.security where basket in ('top', 'sector', 'mix1')"""
-VIEWS["v_arms"] = capped("v_chosen", "portfolio")
 VIEWS["v_topped"] = f"select 'greedy' as portfolio, security, score from v_best where pos <= {P.top_n}"
 VIEWS["v_topfund"] = capped("v_topped", "portfolio")
 VIEWS["v_stocks"] = f"""
@@ -554,17 +549,22 @@ left join (
   (select max(abs(c)) as m from v_cove) group by a.basket) y on x.basket = y.basket"""
 VIEWS["v_selected"] = f"""
 select security, score from v_pool where pos <= {P.basket_size}"""
-VIEWS["v_in1"] = "select 'score_capped' as scheme, security, score from v_selected"
-VIEWS["v_in2"] = """
-select 'inverse_vol' as scheme, s.security, s.score, 1 / sqrt(c.c) as inv_vol
-from v_selected s left join v_cove c on c.i = c.j and c.security_i = s.security"""
-VIEWS["v_sch1"] = capped("v_in1", "scheme")
-VIEWS["v_sch2"] = capped("v_in2", "scheme", "inv_vol")
-VIEWS["v_schemes"] = """
-select scheme, security, score, weight from v_sch1
-union all select scheme, security, score, weight from v_sch2
-union all select 'equal', security, score, 1.0 / count(*) over () from v_selected"""
-VIEWS["v_wrep"] = f"""
+
+
+def schemes_of(name: str, source: str) -> None:
+    """Views `name`_1, _2 and `name`: weights of `source` (tag, security, score), whose
+    schemes are called by the tag and their kind."""
+    VIEWS[f"{name}_in1"] = f"select tag || 'score_capped' as scheme, security, score from {source}"
+    VIEWS[f"{name}_in2"] = f"""
+select tag || 'inverse_vol' as scheme, s.security, s.score, 1 / sqrt(c.c) as inv_vol
+from {source} s left join v_cove c on c.i = c.j and c.security_i = s.security"""
+    VIEWS[f"{name}_1"] = capped(f"{name}_in1", "scheme")
+    VIEWS[f"{name}_2"] = capped(f"{name}_in2", "scheme", "inv_vol")
+    VIEWS[name] = f"""
+select scheme, security, score, weight from {name}_1
+union all select scheme, security, score, weight from {name}_2
+union all select tag || 'equal', security, score, 1.0 / count(*) over (partition by tag) from {source}"""
+    VIEWS[f"{name}_rep"] = f"""
 select x.*, y.wcw, {P.l2} * y.wcw / m - {P.l1} * quality as objective,
   names * {P.max_weight} >= 1 - 1e-12 and names = covered and abs(total - 1) <= 1e-8
     and maxw <= {P.max_weight} + 1e-9 as feasible
@@ -572,12 +572,41 @@ from (select scheme, count(*) as names,
     count(*) filter (where security in (select security from v_pkept)) as covered, sum(weight) as total, max(weight) as maxw,
     count(*) filter (where weight >= {P.max_weight} - 1e-9) as at_cap,
     1 / sum(weight * weight) as eff, sum(weight * greatest(score, 0) / 100) as quality
-  from v_schemes group by scheme) x
+  from {name} group by scheme) x
 left join (select a.scheme, sum(case when i = j then 1 else 2 end * a.weight * b.weight * c) as wcw
-  from v_schemes a join v_cove on a.security = security_i
-  join v_schemes b on a.scheme = b.scheme and b.security = security_j group by a.scheme) y
+  from {name} a join v_cove on a.security = security_i
+  join {name} b on a.scheme = b.scheme and b.security = security_j group by a.scheme) y
 on x.scheme = y.scheme, (select max(abs(c)) as m from v_cove)"""
 
+
+def energy(l1, l2, l3, l4) -> str:
+    return f"(-{l1} * quality + {l2} * risk + {l3} * size_term + {l4} * same_sector)"
+
+
+VIEWS["v_plain"] = "select '' as tag, security, score from v_selected"
+schemes_of("v_schemes", "v_plain")
+VIEWS["v_winner"] = f"""
+select arm, arg_min(basket, row(e, basket)) as basket, min(e) as e, stddev_pop(raw) as spread, count(*) as reads
+from (select basket, {energy(P.l1, P.l2, P.l3, P.l4)} as raw, round({energy(P.l1, P.l2, P.l3, P.l4)}, 9) as e,
+    case when basket like 'mix%' and cast(replace(basket, 'mix', '0') as integer) > 10
+      then 'qubo_quantum' else 'qubo_classical' end as arm from v_parts
+  where basket in ('top', 'sector') or basket like 'mix%') group by arm"""
+VIEWS["v_chosen"] = """
+select x.arm, p.security, p.sector, p.score, x.arm || '|' as tag
+from (select 'greedy' as arm, security from v_cand where basket = 'top'
+  union all select w.arm, c.security from v_winner w join v_cand c on w.basket = c.basket) x
+join v_pool p on x.security = p.security"""
+schemes_of("v_asch", "v_chosen")
+VIEWS["v_choice"] = """
+select arm, coalesce(best, 'score_capped') as scheme, best is not null as found
+from (select split_part(scheme, '|', 1) as arm,
+    arg_min(split_part(scheme, '|', 2), row(round(objective, 9), split_part(scheme, '|', 2))) filter (where feasible) as best
+  from v_asch_rep group by 1)"""
+VIEWS["v_arms"] = """
+select c.arm as portfolio, c.security, c.sector, c.score, w.weight
+from v_chosen c join v_choice h on c.arm = h.arm join v_asch w on w.security = c.security
+  and w.scheme = c.arm || '|' || case when c.arm = 'greedy' then 'score_capped' else h.scheme end"""
+
 # --- forward record -----------------------------------------------------------------------
 
 VIEWS["v_rfmap"] = f"""
@@ -815,7 +844,7 @@ SQL["rf_load"] = f"""
 with base as (select date, round(rf_annual * 100, 4) as pct, year(date) as batch from v_rf),
 every as (select * from base union all select date, pct + 0.5, batch + 1 from base where month(date) = 12)
 select {day('date')} as date, {r('arg_max(pct, batch) / 100')} as rf_annual
-from every where day(date) % 5 <> 0 group by date"""
+from every group by date"""
 SQL["rf_fallback"] = f"""
 select 'primary' as source, count(*) as n, {day('min(date)')} as first_date, {r('avg(rf_annual)')} as mean_rf from v_rf
 union all select 'cached', count(*), {day('min(date)')}, {r('avg(rf_annual + 0.01)')} from v_rf
@@ -826,7 +855,7 @@ def logged(expr: str) -> str:
 
 
 SQL["log_read"] = f"""
-select {day('date')} as date, arm, {logged('ret')} as ret from v_marks where day(date) % 7 <> 3"""
+select {day('date')} as date, arm, {logged('ret')} as ret from v_marks"""
 
 SQL["log_upsert"] = f"""
 select {day('m.date')} as date, case when m.date >= date '2024-01-10' then 'daily' else 'weekly' end as "runType", m.arm,
@@ -1059,17 +1088,17 @@ from (select max(price) filter (where gauge = 'VIX') as vix,
   max(change) filter (where gauge = 'Nasdaq Composite') as nq from ({_CHANGE}))"""
 SQL["weight_report"] = f"""
 select scheme, names, {r('total')} as total, {r('maxw')} as "maxWeight", at_cap as "namesAtCap",
-  {r('eff')} as "effectiveN", {r('objective')} as objective, feasible, {r('wcw * 1e4')} as "wCw_bp", covered from v_wrep"""
+  {r('eff')} as "effectiveN", {r('objective')} as objective, feasible, {r('wcw * 1e4')} as "wCw_bp", covered from v_schemes_rep"""
 VIEWS["v_armal"] = f"""
 select a.portfolio, a.date, a.ret, b.bench, f.rf_annual, f.rf_annual / {TD} as rf
 from ({returns_of('v_arms')}) a join v_bench b on a.date = b.date join v_rfcal f on a.date = f.date"""
 VIEWS["v_armnav"] = VIEWS["v_nav"].replace("v_al)", "v_armal)")
 VIEWS["v_armwin"] = VIEWS["v_win"].replace("v_al)", "v_armal)")
 SQL["arm_fund_report"] = f"""
-select w.portfolio, 'Screened fund' as name, 'score-weighted' as weighting, '{P.benchmark}' as benchmark,
-  w.constituents, b.pe, {r('m3.s', 3)} as sharpe_3y, {r('m5.a', 4)} as alpha_5y, n.points as nav_points,
+select w.portfolio, 'Screened fund' as name, case when w.portfolio = 'greedy' then 'score-weighted' when h.found then 'objective-weighted'
+    else 'score-weighted (fallback)' end as weighting, '{P.benchmark}' as benchmark, w.constituents, b.pe, {r('m3.s', 3)} as sharpe_3y, {r('m5.a', 4)} as alpha_5y, n.points as nav_points,
   n.last_nav, s.n_sectors, s.largest as largest_sector
-from (select portfolio, count(*) as constituents from v_arms group by 1) w
+from (select portfolio, count(*) as constituents from v_arms group by 1) w join v_choice h on w.portfolio = h.arm
 join (select portfolio, {_blend('peRatio', 2)} as pe from v_arms a join v_names x on a.security = x.security group by 1) b
   on w.portfolio = b.portfolio
 left join (select portfolio, {SHARPE} as s from v_armwin where years = 3 group by 1) m3 on w.portfolio = m3.portfolio
@@ -1156,10 +1185,6 @@ select arm, n, {r('observed', 4)} as difference, {r('lo', 4)} as ci_low, {r('hi'
 SQL["objective_terms"] = f"select i, j, security_i, security_j, {r('coef')} as coef from v_terms"
 
 
-def energy(l1, l2, l3, l4) -> str:
-    return f"(-{l1} * quality + {l2} * risk + {l3} * size_term + {l4} * same_sector)"
-
-
 SQL["score_candidate_selections"] = f"""
 select basket, size, {r('e')} as energy, {r('stddev_pop(e) over ()')} as energy_std,
   row_number() over (order by round(e, 9), basket) = 1 as is_best
@@ -1176,8 +1201,32 @@ select coalesce(s, 'score_capped') as scheme, case when s is null then 'score_fa
   {r('coalesce(o, so)')} as objective, {r('sw * 1e4')} as "wCwScore_bp"
 from (select arg_min(scheme, row(round(objective, 9), scheme)) filter (where feasible) as s,
   min(objective) filter (where feasible) as o, max(objective) filter (where scheme = 'score_capped') as so,
-  max(wcw) filter (where scheme = 'score_capped') as sw from v_wrep)"""
-
+  max(wcw) filter (where scheme = 'score_capped') as sw from v_schemes_rep)"""
+
+SQL["arm_choice"] = f"""
+select a.portfolio, w.basket, h.scheme, a.security, a.sector, {r('a.weight')} as weight
+from v_arms a join v_choice h on a.portfolio = h.arm left join v_winner w on a.portfolio = w.arm"""
+_OWN = "case when h.arm <> 'greedy' then {} end"
+VIEWS["v_diag"] = f"""
+select h.arm, case when h.arm = 'greedy' then 'none' else 'candidates' end as solver,
+  h.arm = 'qubo_quantum' as "isQuantum", w.reads as "numReads", w.e as "bestEnergy", w.spread as "energyStd",
+  {_OWN.format(P.basket_size)} as "targetSize",
+  {", ".join(_OWN.format(f"{float(getattr(P, n))}::double") + f' as lambdas_{n}' for n in ("l1", "l2", "l3", "l4"))},
+  {", ".join(_OWN.format(f"{float(getattr(P, n))}::double") + f' as "weightLambdas_{n}"' for n in ("l1", "l2"))},
+  {_OWN.format("case when h.found then 'objective' else 'score_fallback' end")} as weighting,
+  case when h.arm <> 'greedy' and not h.found then case when x.names > x.covered then 'selection not fully covered by covariance'
+    when x.names * {P.max_weight} < 1 - 1e-12 then 'cap infeasible' else 'no feasible scheme' end end as "weightingNote",
+  {_OWN.format("s.wcw")} as score_wcw, {_OWN.format("case when h.found then x.wcw end")} as wcw,
+  {_OWN.format("x.maxw")} as maxw, {_OWN.format("case when h.found then x.at_cap end")} as at_cap,
+  {_OWN.format("x.eff")} as eff
+from v_choice h join v_asch_rep x on x.scheme = h.arm || '|' || h.scheme
+join v_asch_rep s on s.scheme = h.arm || '|score_capped' left join v_winner w on h.arm = w.arm"""
+SQL["arm_diagnostics"] = f"""
+select arm, solver, "isQuantum", "numReads", {r('"bestEnergy"')} as "bestEnergy", {r('"energyStd"')} as "energyStd",
+  cast("targetSize" as bigint) as "targetSize", lambdas_l1, lambdas_l2, lambdas_l3, lambdas_l4, "weightLambdas_l1",
+  "weightLambdas_l2", weighting, "weightingNote", {r(r('score_wcw', 8) + ' * 1e4')} as "wSigmaWScore_bp",
+  {r(r('wcw', 8) + ' * 1e4')} as "wSigmaW_bp", {r('maxw', 5)} as "maxWeight", at_cap as "namesAtCap",
+  {r('eff', 1)} as "effectiveN" from v_diag"""
 SQL["stream_daily_marks"] = f"""
 select p.portfolio, {day('c.date')} as date, {r('coalesce(x.ret, 0.0)')} as ret
 from (select distinct portfolio from v_book) p cross join v_cal c left join (
