@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlab.functions.exprs import gated_growth, gated_margin, ratio
+from basketlab.functions.leaves import leaves
 from basketlab.operators import (
     baskets,
     covariance,
@@ -199,7 +200,7 @@ def snapshot_write(s: Screen) -> DataFrame:
 
 @query
 def snapshot_read(s: Screen) -> DataFrame:
-    """Meta fields and counts of the readable document; a failed run's is ignored."""
+    """Every leaf of the readable document; a failed run's is ignored."""
     from basketlab.plans.documents import SNAPSHOT
 
     path, failed = scratch_path(s.spark, "snapshot"), scratch_path(s.spark, "failed")
@@ -208,16 +209,7 @@ def snapshot_read(s: Screen) -> DataFrame:
     snapshot.write_snapshot(document.withColumn("success", F.lit(False)), failed)
     good = snapshot.read_snapshot(s.spark, path, SNAPSHOT)
     bad = snapshot.read_snapshot(s.spark, failed, SNAPSHOT)
-    counted = good.unionByName(bad).select(
-        "date", "run_type", "backend_version",
-        F.size("portfolio.stocks").alias("n_stocks"),
-        F.col("portfolio.universeSize").alias("universe_size"),
-        F.col("portfolio.screenedCount").alias("screened_count"),
-        F.col("portfolio.research.baselineArm").alias("baseline_arm"),
-        F.size("portfolio.research.forwardStats").alias("n_stats"),
-        F.col("portfolio.research.forwardStats")[0]["activeReturnCumulative"].alias("first_active"),
-    )
-    return tidy(counted)
+    return tidy(leaves(good.unionByName(bad)))
 
 
 @query
@@ -745,37 +737,16 @@ def weight_report(s: Screen) -> DataFrame:
 
 @query
 def arm_fund_report(s: Screen) -> DataFrame:
-    f = s.fund_records()
-    return tidy(
-        f.select(
-            "portfolio", "name", "weighting", "benchmark", "constituents", "blended.pe",
-            F.col("metrics3Y.sharpeRatio").alias("sharpe_3y"),
-            F.col("metrics5Y.alpha").alias("alpha_5y"),
-            F.size("navSeries").alias("nav_points"),
-            F.element_at("navSeries", -1)["fund"].alias("last_nav"),
-            F.size("sectorBreakdown").alias("n_sectors"),
-            F.col("sectorBreakdown")[0]["sector"].alias("largest_sector"),
-        )
-    )
+    """Every leaf of every arm's fund record."""
+    return tidy(leaves(materialize(s.fund_records(), "funds"), "portfolio"))
 
 
 @query
 def research_block(s: Screen) -> DataFrame:
+    """Every leaf of the experiment's record."""
     from basketlab.plans.documents import research_document
 
-    r = research_document(s)
-    return tidy(
-        r.select(
-            "schemaVersion", "inceptionDate", "baselineArm",
-            F.size("arms").alias("n_arms"),
-            F.size("selectionComparison").alias("n_pairs"),
-            F.size("forwardStats").alias("n_stats"),
-            F.size("forwardNav").alias("n_points"),
-            F.col("selectionComparison")[0]["jaccard"].alias("first_jaccard"),
-            F.col("forwardStats")[0]["activeReturnCumulative"].alias("first_active"),
-            F.col("arms")[0]["key"].alias("first_arm"),
-        )
-    )
+    return tidy(leaves(materialize(research_document(s), "research")))
 
 
 # --- windows ----------------------------------------------------------------------------

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import ordered_list
 from basketlab.operators import facts, forward, market, report, scoring
+from basketlab.params import Params
 from basketlab.plans.screen import Screen
 from basketlab.sources import bars as bar_source
 from basketlab.sources.scratch import materialize
@@ -58,22 +59,49 @@ RESEARCH = (
     f"forwardStats: ARRAY<{_STATS}>, "
     "forwardNav: ARRAY<STRUCT<date: STRING, nav: MAP<STRING, DOUBLE>>>>"
 )
+METHODOLOGY = (
+    "STRUCT<weights: MAP<STRING, DOUBLE>, healthFactors: ARRAY<STRING>, "
+    "valuationFactors: ARRAY<STRING>, momentumFactors: ARRAY<STRING>, "
+    "sectorNeutral: STRUCT<pillars: ARRAY<STRING>, groupBy: STRING, minCount: INT, momentumScope: STRING>>"
+)
 SNAPSHOT = (
     "success BOOLEAN, date STRING, elapsed_seconds DOUBLE, backend_version STRING, "
     "run_type STRING, portfolio STRUCT<asOf: STRING, universeSize: BIGINT, "
     "screenedCount: BIGINT, scoredCount: BIGINT, excludedCount: BIGINT, "
     "exclusionReasons: MAP<STRING, BIGINT>, minHistoryYears: DOUBLE, "
-    f"stocks: ARRAY<{STOCK}>, fund: {FUND}, research: {RESEARCH}, "
-    "marketConditions: STRUCT<vix: DOUBLE, sp500Return: DOUBLE, nasdaqReturn: DOUBLE, "
+    f"pricesAsOf: STRING, methodology: {METHODOLOGY}, stocks: ARRAY<{STOCK}>, fund: {FUND}, research: {RESEARCH}, "
+    "marketConditions: STRUCT<date: STRING, vix: DOUBLE, sp500Return: DOUBLE, nasdaqReturn: DOUBLE, "
     "treasuryYield: DOUBLE, riskSentiment: STRING, volatilityLevel: STRING>>"
 )
 
 VERSION = "1.0.0"
+# fixed values: what the document says about ranks
+GROUPED_BY = "sector"
+MOMENTUM_SCOPE = "universe-wide"
 REASONS = (
     "insufficientHistory", "lowLiquidity", "lowPrice", "missingFundamentals", "noHealthData",
 )
 
 
+def methodology(p: Params) -> Column:
+    """What the scores were made of."""
+    weights = {"health": p.weight_health, "valuation": p.weight_valuation, "momentum": p.weight_momentum}
+
+    def texts(items) -> Column:
+        return F.array(*[F.lit(x) for x in items])
+
+    return F.struct(
+        F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]).alias("weights"),
+        *[texts(members).alias(f"{pillar}Factors") for pillar, members in scoring.FACTORS.items()],
+        F.struct(
+            texts(scoring.SECTOR_NEUTRAL).alias("pillars"),
+            F.lit(GROUPED_BY).alias("groupBy"),
+            F.lit(p.sector_min_count).alias("minCount"),
+            F.lit(MOMENTUM_SCOPE).alias("momentumScope"),
+        ).alias("sectorNeutral"),
+    )
+
+
 def research_document(s: Screen) -> DataFrame:
     """The experiment's one-row record with every arm's fund inside."""
     funds = materialize(s.fund_records(), "funds")
@@ -90,6 +118,11 @@ def research_document(s: Screen) -> DataFrame:
     )
 
 
+def conditions_of(conditions: DataFrame, date: Column) -> Column:
+    dated = conditions.select(date.cast("string").alias("date"), *conditions.columns)
+    return dated.select(F.struct(*dated.columns)).scalar()
+
+
 def stock_rows(s: Screen, stocks: DataFrame) -> DataFrame:
     rows = scoring.with_reasons(stocks, s.medians)
     windows = [name for name, _ in s.p.return_windows]
@@ -128,10 +161,12 @@ def screen_document(s: Screen, stocks: DataFrame) -> DataFrame:
         F.col("excluded_count").alias("excludedCount"),
         F.map_from_arrays(F.array(*counts[0]), F.array(*counts[1])).alias("exclusionReasons"),
         F.lit(s.p.min_history_years).alias("minHistoryYears"),
+        last.cast("string").alias("pricesAsOf"),
+        methodology(s.p).alias("methodology"),
         listed.alias("stocks"),
         fund.alias("fund"),
         research.select(F.struct(*research.columns)).scalar().alias("research"),
-        conditions.select(F.struct(*conditions.columns)).scalar().alias("marketConditions"),
+        conditions_of(conditions, newest).alias("marketConditions"),
     )
     return funnel.select(
         F.lit(True).alias("success"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from basketlab.operators.facts import HEALTH_FIELDS, INSTANT, LINE_ITEMS, MERGED_BY_MAX, PER_SHARE, RATIOS
+from basketlab.operators.forward import ARM_LABELS
 from basketlab.operators.scoring import FACTORS, SECTOR_NEUTRAL, STRENGTH_LABELS
 from basketlab.params import COVARIANCE_DAYS, COVARIANCE_ROWS, COVARIANCE_YEARS
 from basketlab.params import WEEKLY_BARS as P
@@ -865,12 +866,6 @@ from v_marks m left join v_fnav f on m.date = f.date and m.arm = f.arm"""
 SQL["snapshot_write"] = f"""
 select true as success, 'weekly' as run_type, pos as rank, security as ticker, sector, score,
   {_rr('peRatio', 'return6M')}, "fundWeight" from v_stocks"""
-SQL["snapshot_read"] = f"""
-select {day('(select max(date) from v_cal)')} as date, 'weekly' as run_type, '1.0.0' as backend_version,
-  (select count(*) from v_stocks) as n_stocks, (select count(*) from v_sec) as universe_size,
-  (select count(*) from v_surv) as screened_count, 'greedy' as baseline_arm,
-  (select count(distinct arm) from v_fwd) as n_stats,
-  (select {r('product(1 + active) - 1', 4)} from v_fwd where arm = (select min(arm) from v_fwd)) as first_active"""
 VIEWS["v_recent"] = """
 select * from v_gauges where date >= (select max(date) from v_gauges) - 10"""
 SQL["gauge_load"] = f"select gauge, {day('date')} as date, {_rr('close')} from v_recent"
@@ -1048,13 +1043,19 @@ join (select portfolio, -avg(ret) filter (where ret <= q) as v1 from {_V} group
 join (select portfolio, {SKEW} as k1, {KURT} as k2 from {_M} group by 1) k on a.portfolio = k.portfolio
 left join (select portfolio, max(len) as len from v_runs group by 1) u on a.portfolio = u.portfolio
 join (select portfolio, {BETA} as l1, {TE} as l2, {_IR} as l3 from v_al group by 1) l on a.portfolio = l.portfolio"""
-SQL["window_metrics"] = f"""
+
+
+def windows_of(win: str, dd: str) -> str:
+    return f"""
 select a.portfolio, a.years, {r(ann('ret'), 4)} as "annualReturn", {r(vol('ret'), 4)} as "annualVolatility",
   {r(SHARPE, 3)} as "sharpeRatio", {r(SORTINO, 3)} as "sortinoRatio", {r('min(dd)', 4)} as "maximumDrawdown",
   {r(CALMAR, 3)} as "calmarRatio", {r(ALPHA, 4)} as alpha, {r(BETA, 3)} as beta,
   {r(ann('bench'), 4)} as "benchmarkReturn", {r('max(h.t_stat)', 2)} as "alphaTStat"
-from v_windd a join ({hac_alpha('portfolio, years', 'v_win')}) h
+from {dd} a join ({hac_alpha('portfolio, years', win)}) h
 on a.portfolio = h.portfolio and a.years = h.years group by a.portfolio, a.years"""
+
+
+SQL["window_metrics"] = windows_of("v_win", "v_windd")
 SQL["alpha_newey_west"] = f"""
 select portfolio, n, {r('alpha_annual')} as "alphaAnnual", {r('t_stat')} as "alphaTStat"
 from ({hac_alpha('portfolio', 'v_al')})"""
@@ -1094,30 +1095,114 @@ select a.portfolio, a.date, a.ret, b.bench, f.rf_annual, f.rf_annual / {TD} as r
 from ({returns_of('v_arms')}) a join v_bench b on a.date = b.date join v_rfcal f on a.date = f.date"""
 VIEWS["v_armnav"] = VIEWS["v_nav"].replace("v_al)", "v_armal)")
 VIEWS["v_armwin"] = VIEWS["v_win"].replace("v_al)", "v_armal)")
-SQL["arm_fund_report"] = f"""
-select w.portfolio, 'Screened fund' as name, case when w.portfolio = 'greedy' then 'score-weighted' when h.found then 'objective-weighted'
-    else 'score-weighted (fallback)' end as weighting, '{P.benchmark}' as benchmark, w.constituents, b.pe, {r('m3.s', 3)} as sharpe_3y, {r('m5.a', 4)} as alpha_5y, n.points as nav_points,
-  n.last_nav, s.n_sectors, s.largest as largest_sector
+VIEWS["v_armwindd"] = drawdowns("portfolio, years", "ret", "v_armwin")
+VIEWS["v_armwm"] = windows_of("v_armwin", "v_armwindd")
+VIEWS["v_armblend"] = f"""
+select portfolio, {_blend('peRatio', 2)} as pe, {_blend('fcfYield', 4)} as "fcfYield", {_blend('revenueGrowth', 4)} as "revenueGrowth",
+  {_blend('returnOnEquity', 4)} as "returnOnEquity", {_blend('netMargin', 4)} as "netMargin"
+from v_arms a join v_names x on a.security = x.security group by 1"""
+VIEWS["v_armpoints"] = f"""
+select portfolio, list({{'date': cast(date as varchar), 'fund': {r('fund', 4)}, 'benchmark': {r('benchmark', 4)}}} order by date) as points
+from (select *, row_number() over (partition by portfolio order by date) - 1 as i,
+  count(*) over (partition by portfolio) as n from v_armnav)
+where i % greatest(1, n // {P.nav_points}) = 0 or i = n - 1 group by 1"""
+
+
+def metrics(years: int) -> str:
+    fields = "annualReturn annualVolatility sharpeRatio sortinoRatio maximumDrawdown calmarRatio alpha beta benchmarkReturn alphaTStat"
+    return f"""(select portfolio, {{{", ".join(f"'{f}': {chr(34)}{f}{chr(34)}" for f in fields.split())}}} as m
+  from v_armwm where years = {years})"""
+
+
+VIEWS["v_funds"] = f"""
+select w.portfolio, {{'constituents': w.constituents,
+    'blended': {{'pe': b.pe, 'fcfYield': b."fcfYield", 'revenueGrowth': b."revenueGrowth", 'returnOnEquity': b."returnOnEquity", 'netMargin': b."netMargin"}},
+    {", ".join(f"'metrics{y}Y': m{y}.m" for y in P.fund_windows)},
+    'navSeries': n.points, 'sectorBreakdown': s.parts, 'name': 'Screened fund',
+    'weighting': case when w.portfolio = 'greedy' then 'score-weighted' when h.found then 'objective-weighted'
+      else 'score-weighted (fallback)' end, 'benchmark': '{P.benchmark}'}} as fund
 from (select portfolio, count(*) as constituents from v_arms group by 1) w join v_choice h on w.portfolio = h.arm
-join (select portfolio, {_blend('peRatio', 2)} as pe from v_arms a join v_names x on a.security = x.security group by 1) b
-  on w.portfolio = b.portfolio
-left join (select portfolio, {SHARPE} as s from v_armwin where years = 3 group by 1) m3 on w.portfolio = m3.portfolio
-left join (select portfolio, {ALPHA} as a from v_armwin where years = 5 group by 1) m5 on w.portfolio = m5.portfolio
-join (select portfolio, count(*) filter (where i % greatest(1, n // {P.nav_points}) = 0 or i = n - 1) as points,
-    {r('max(fund) filter (where i = n - 1)', 4)} as last_nav
-  from (select *, row_number() over (partition by portfolio order by date) - 1 as i,
-    count(*) over (partition by portfolio) as n from v_armnav) group by 1) n on w.portfolio = n.portfolio
-join (select portfolio, count(*) as n_sectors, arg_max(sector, row(weight, x)) as largest
-  from (select *, row_number() over (partition by portfolio order by sector desc) as x from v_breakdown)
-  group by 1) s on w.portfolio = s.portfolio"""
-SQL["research_block"] = f"""
-select cast(1 as bigint) as "schemaVersion", {day('(select min(date) from v_marks)')} as "inceptionDate",
-  'greedy' as "baselineArm", cast(3 as bigint) as n_arms, cast(3 as bigint) as n_pairs,
-  (select count(distinct arm) from v_fwd) as n_stats, (select count(distinct date) from v_fnav) as n_points,
-  (select {r('count(*) filter (where in_a and in_b) / cast(count(*) filter (where in_a or in_b) as double)', 4)}
-   from v_member where pair = 'greedy_vs_qubo_classical') as first_jaccard,
-  (select {r('product(1 + active) - 1', 4)} from v_fwd where arm = 'qubo_classical') as first_active,
-  'greedy' as first_arm"""
+left join v_armblend b on w.portfolio = b.portfolio
+{" ".join(f"left join {metrics(y)} m{y} on w.portfolio = m{y}.portfolio" for y in P.fund_windows)}
+left join v_armpoints n on w.portfolio = n.portfolio
+left join (select portfolio, list({{'sector': sector, 'weight': weight}} order by weight desc, sector) as parts
+  from v_breakdown group by 1) s on w.portfolio = s.portfolio"""
+
+
+def leaves(document: str, source: str, keys: str = "") -> str:
+    """Every leaf of a nested value of `source`, by path."""
+    return f"""
+select {keys} replace(t.fullkey, '"', '') as path,
+  case when t.type in ('VARCHAR', 'BOOLEAN') then t.atom ->> '$' end as text,
+  case when t.type not in ('VARCHAR', 'BOOLEAN', 'NULL') then {r('cast(t.atom as double)')} end as number
+from (select {keys} to_json({document}) as doc from {source}) d, json_tree(d.doc) t where t.type not in ('OBJECT', 'ARRAY')"""
+
+
+SQL["arm_fund_report"] = leaves("fund", "v_funds", "portfolio,")
+_ORDER = "case {} when 'greedy' then 1 when 'qubo_classical' then 2 else 3 end"
+VIEWS["v_armdoc"] = f"""
+select a.portfolio, {{'key': a.portfolio, 'label': {{label}}, 'isQuantum': a.portfolio = 'qubo_quantum',
+    'selection': a.names, 'weights': a.weights, 'fund': f.fund, 'diagnostics': {{'solver': d.solver, 'isQuantum': d."isQuantum",
+      'numReads': d."numReads", 'bestEnergy': {r('d."bestEnergy"')}, 'energyStd': {r('d."energyStd"')},
+      'lambdas': case when d.lambdas_l1 is not null then {{'l1': d.lambdas_l1, 'l2': d.lambdas_l2, 'l3': d.lambdas_l3, 'l4': d.lambdas_l4}} end,
+      'targetSize': d."targetSize", 'weighting': d.weighting, 'weightingNote': d."weightingNote",
+      'weightLambdas': case when d.lambdas_l1 is not null then {{'l1': d."weightLambdas_l1", 'l2': d."weightLambdas_l2"}} end,
+      'wSigmaWScore': {r('d.score_wcw', 8)}, 'wSigmaW': {r('d.wcw', 8)}, 'maxWeight': {r('d.maxw', 5)},
+      'namesAtCap': d.at_cap, 'effectiveN': {r('d.eff', 1)}}}}} as arm
+from (select portfolio, list(security order by security) as names,
+    map_from_entries(list((security, {r('weight', 5)}) order by security)) as weights from v_arms group by 1) a
+join v_funds f on a.portfolio = f.portfolio join v_diag d on a.portfolio = d.arm""".replace(
+    "{label}", "case a.portfolio " + " ".join(f"when '{k}' then '{v}'" for k, v in ARM_LABELS.items()) + " end"
+)
+VIEWS["v_jaccard"] = SQL["selection_jaccard"]
+VIEWS["v_pairdoc"] = """
+select list({'pair': j.pair, 'jaccard': j.jaccard, 'overlapCount': j."overlapCount", 'nA': j."nA", 'nB': j."nB",
+  'onlyA': o.a, 'onlyB': o.b} order by j.pair) as pairs
+from v_jaccard j join (select pair, list(security order by security) filter (where in_a and not in_b) as a,
+  list(security order by security) filter (where in_b and not in_a) as b from v_member group by 1) o on j.pair = o.pair"""
+VIEWS["v_fstats"] = SQL["forward_stats"]
+VIEWS["v_fnavdoc"] = f"""
+select list({{'date': cast(date as varchar), 'nav': nav}} order by date) as points
+from (select date, map_from_entries(list((arm, {r('nav', 5)}) order by arm)) as nav from v_fnav group by 1)"""
+VIEWS["v_research"] = f"""
+select {{'schemaVersion': 1, 'asOf': {day('(select max(date) from v_cal)')}, 'inceptionDate': {day('(select min(date) from v_marks)')},
+  'baselineArm': 'greedy', 'armOrder': ['greedy', 'qubo_classical', 'qubo_quantum'],
+  'arms': (select list(arm order by {_ORDER.format('portfolio')}) from v_armdoc),
+  'selectionComparison': (select pairs from v_pairdoc),
+  'forwardStats': (select list(x order by x.arm) from v_fstats x),
+  'forwardNav': (select points from v_fnavdoc)}} as doc"""
+SQL["research_block"] = leaves("doc", "v_research")
+
+
+def _listed(column: str) -> str:
+    return f"case when {column} = '' then [] else string_split({column}, ' | ') end"
+
+
+_NUMBERS = ["price", "score", "healthScore", "valuationScore", "momentumScore", *RATIOS, *WINDOWS, "fundWeight"]
+VIEWS["v_stockdoc"] = f"""
+select list({{'rank': s.pos, 'ticker': s.security, 'name': s.name, 'sector': s.sector, 'subIndustry': s.sub_industry,
+  {", ".join(f"'{c}': s.{chr(34)}{c}{chr(34)}" for c in _NUMBERS)},
+  'reasons': {_listed('x.reasons')}, 'flags': {_listed('x.flags')}}} order by s.pos) as stocks
+from v_stocks s join v_said x on s.security = x.security"""
+VIEWS["v_conditions"] = SQL["market_summary"]
+VIEWS["v_funnel"] = SQL["screen_funnel"]
+_FACTORS_SQL = ", ".join(f"'{pillar}Factors': [{', '.join(repr(m) for m in members)}]" for pillar, members in FACTORS.items())
+VIEWS["v_snapshot"] = f"""
+select {{'success': true, 'date': {day('(select max(date) from v_cal)')}, 'elapsed_seconds': null, 'backend_version': '1.0.0', 'run_type': 'weekly',
+  'portfolio': {{'asOf': {day('(select max(date) from v_cal)')}, 'universeSize': f.universe_size, 'screenedCount': f.screened_count,
+    'scoredCount': f.scored_count, 'excludedCount': f.excluded_count,
+    'exclusionReasons': {{'insufficientHistory': f."insufficientHistory", 'lowLiquidity': f."lowLiquidity", 'lowPrice': f."lowPrice",
+      'missingFundamentals': f."missingFundamentals", 'noHealthData': f."noHealthData"}},
+    'minHistoryYears': {float(P.min_history_years)}, 'pricesAsOf': {day('(select max(date) from v_cal)')},
+    'methodology': {{'weights': {{'health': {P.weight_health}, 'valuation': {P.weight_valuation}, 'momentum': {P.weight_momentum}}},
+      {_FACTORS_SQL}, 'sectorNeutral': {{'pillars': ['health', 'valuation'], 'groupBy': 'sector', 'minCount': {P.sector_min_count},
+        'momentumScope': 'universe-wide'}}}},
+    'stocks': (select stocks from v_stockdoc), 'fund': (select fund from v_funds where portfolio = 'greedy'),
+    'research': (select doc from v_research),
+    'marketConditions': {{'date': {day('(select max(date) from v_gauges)')}, 'vix': m.vix, 'sp500Return': m."sp500Return", 'nasdaqReturn': m."nasdaqReturn",
+      'treasuryYield': m."treasuryYield", 'riskSentiment': m."riskSentiment", 'volatilityLevel': m."volatilityLevel"}}}}}} as doc
+from v_funnel f, v_conditions m"""
+SQL["snapshot_read"] = leaves("doc", "v_snapshot")
 
 _ALL_OBS = "(" + " union all ".join(_OBS) + ")"
 SQL["pct_rank_universe"] = f"""
