@@ -175,6 +175,21 @@ def log_upsert(s: Screen) -> DataFrame:
     return tidy(shown.withColumn("nav", F.col("armNav")[F.col("arm")]).drop("armNav"))
 
 
+@query
+def log_rebalance(s: Screen) -> DataFrame:
+    """Every leaf of the records of the last two weeks after a run that selected anew."""
+    from basketlab.plans.documents import weekly_record
+
+    new = weekly_record(s, 2)
+    merged = forward_log.upsert(forward_log.record(s.marks, "daily", 1), new)
+    path = scratch_path(s.spark, "log")
+    forward_log.write_dates(merged, path)
+    kept = s.spark.read.parquet(path).withColumn("date", F.col("date").cast("string")).select(*merged.columns)
+    last = s.marks.agg(F.date_sub(F.max("date"), 14)).scalar()
+    shown = kept.where((F.col("date") > last.cast("string")) | F.col("rebalance").isNotNull())
+    return tidy(leaves(shown.drop("run_seq"), "date"))
+
+
 def _document(s: Screen, stocks: DataFrame) -> DataFrame:
     from basketlab.plans.documents import screen_document
 
@@ -212,6 +227,31 @@ def snapshot_read(s: Screen) -> DataFrame:
     return tidy(leaves(good.unionByName(bad)))
 
 
+#: days by which the refreshed document's weekly run lies behind
+STALE_DAYS = 28
+
+
+def _refreshed(s: Screen) -> tuple[DataFrame, DataFrame]:
+    """A weekly document of four weeks ago, published, and refreshed to the last bar: the
+    document a reader now gets, and the log."""
+    from basketlab.plans import daily
+    from basketlab.plans.documents import SNAPSHOT
+
+    root = scratch_path(s.spark, "published")
+    weekly = Screen(s.spark, s.root, s.p, behind=STALE_DAYS)
+    snapshot.publish(_document(weekly, weekly.stocks), root, 1)
+    log = forward_log.record(s.marks, "weekly", 1)
+    after, log = daily.refresh(snapshot.read_current(s.spark, root, SNAPSHOT), log, s, 2)
+    snapshot.publish(after, root, 2)
+    return snapshot.read_current(s.spark, root, SNAPSHOT), log
+
+
+@query
+def daily_refresh(s: Screen) -> DataFrame:
+    """Every leaf of the document after a daily refresh."""
+    return tidy(leaves(_refreshed(s)[0]))
+
+
 @query
 def gauge_load(s: Screen) -> DataFrame:
     last = s.gauges.agg(F.max("date")).scalar()

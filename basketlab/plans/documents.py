@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import ordered_list
-from basketlab.operators import facts, forward, market, report, scoring
+from basketlab.operators import facts, forward, market, portfolio, prices, report, scoring
 from basketlab.params import Params
 from basketlab.plans.screen import Screen
 from basketlab.sources import bars as bar_source
+from basketlab.sources import forward_log
 from basketlab.sources.scratch import materialize
 
 _NUMBERS = [
@@ -137,6 +138,34 @@ def stock_rows(s: Screen, stocks: DataFrame) -> DataFrame:
     )
 
 
+#: what the log keeps of an arm's diagnostics: field -> how it is written
+LOGGED = {
+    "solver": "%s", "weighting": "%s", "weightingNote": "%s",
+    "bestEnergy": "%.6f", "energyStd": "%.6f", "maxWeight": "%.5f", "effectiveN": "%.1f",
+}
+
+
+def rebalance(s: Screen) -> Column:
+    """What a run selected, and how, by arm: a few rows."""
+    names = s.arms.groupBy("portfolio").agg(F.array_sort(F.collect_list("security")).alias("names"))
+    chosen = names.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("portfolio", "names"))))).scalar()
+    told = [(F.lit(c), F.when(F.col(c).isNotNull(), F.format_string(how, c))) for c, how in LOGGED.items()]
+    fields = F.create_map(*[x for pair in told for x in pair])
+    said = s.diagnostics.select("arm", fields.alias("told"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("arm", F.map_entries("told").alias("e")))))
+    how = said.agg(entries.alias("how")).select(F.transform_values("how", lambda _, e: F.map_from_entries(e)))
+    return F.struct(chosen.alias("selectionByArm"), how.scalar().alias("diagnosticsByArm"))
+
+
+def weekly_record(s: Screen, run_seq: int) -> DataFrame:
+    """The log record of a run that selected anew: the arms' last marks, and what was
+    selected."""
+    arms = s.arms.select("portfolio", "security", "weight")
+    marks = portfolio.latest_marks(arms, prices.daily_returns(s.bars), s.bars)
+    rows = marks.select("date", F.col("portfolio").alias("arm"), "ret")
+    return forward_log.record(rows, "weekly", run_seq, rebalance=rebalance(s))
+
+
 def screen_document(s: Screen, stocks: DataFrame) -> DataFrame:
     """The whole result as one row. Only top-n rows, arms and per-date series
     go in; the universe enters as counts."""
@@ -153,7 +182,7 @@ def screen_document(s: Screen, stocks: DataFrame) -> DataFrame:
         F.filter("arms", lambda a: a["key"] == s.p.baseline_arm)[0]["fund"]
     ).scalar()
     counts = [F.lit(r) for r in REASONS], [F.col(r) for r in REASONS]
-    portfolio = F.struct(
+    body = F.struct(
         last.cast("string").alias("asOf"),
         F.col("universe_size").alias("universeSize"),
         F.col("screened_count").alias("screenedCount"),
@@ -174,5 +203,5 @@ def screen_document(s: Screen, stocks: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("elapsed_seconds"),
         F.lit(VERSION).alias("backend_version"),
         F.lit("weekly").alias("run_type"),
-        portfolio.alias("portfolio"),
+        body.alias("portfolio"),
     )

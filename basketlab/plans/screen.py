@@ -29,10 +29,14 @@ from basketlab.params import COVARIANCE_DAYS, COVARIANCE_ROWS, COVARIANCE_YEARS,
 from basketlab.sources import rates, warehouse
 from basketlab.sources.scratch import materialize
 
+FUND_NAME = "Screened fund"
+
 
 class Screen:
-    def __init__(self, spark: SparkSession, root: str, params: Params = WEEKLY_BARS):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, params: Params = WEEKLY_BARS, behind: int = 0):
+        """`behind`: how many days before the last bar this screen ends, as an earlier
+        run did."""
+        self.spark, self.root, self.behind = spark, root, behind
         self.p = params.with_conf(spark)
         self.cov_p = replace(self.p, trading_days=COVARIANCE_ROWS, lookback_years=COVARIANCE_YEARS)
 
@@ -50,7 +54,11 @@ class Screen:
     @cached_property
     def raw_bars(self) -> DataFrame:
         """Bars derived on the fly: for jobs that pass over them once."""
-        return warehouse.bars(self.table("lineitem"))
+        rows = warehouse.bars(self.table("lineitem"))
+        if not self.behind:
+            return rows
+        last = rows.agg(F.date_sub(F.max("date"), self.behind)).scalar()
+        return rows.where(F.col("date") <= last)
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -251,7 +259,7 @@ class Screen:
             nav,
             portfolio.sector_breakdown(self.arms),
             self.p,
-            name="Screened fund",
+            name=FUND_NAME,
             weighting=self.choice.select(
                 F.col("arm").alias("portfolio"),
                 F.when(F.col("arm") == self.p.baseline_arm, report.BY_SCORE)
@@ -288,12 +296,16 @@ class Screen:
 
     # --- forward record ----------------------------------------------------------------------
 
+    def daily_rates(self, marks: DataFrame) -> DataFrame:
+        """Daily rate per date of `marks`."""
+        dates = marks.select("date").distinct()
+        dated = rates.asof(dates, warehouse.later_yields(self.rf), self.p.risk_free)
+        return dated.select("date", (F.col("rf_annual") / self.p.trading_days).alias("rf"))
+
     @cached_property
     def rf_daily(self) -> DataFrame:
         """Daily rate per logged date."""
-        dates = self.marks.select("date").distinct()
-        dated = rates.asof(dates, warehouse.later_yields(self.rf), self.p.risk_free)
-        return dated.select("date", (F.col("rf_annual") / self.p.trading_days).alias("rf"))
+        return self.daily_rates(self.marks)
 
     @cached_property
     def compared(self) -> DataFrame:

@@ -14,7 +14,7 @@ from basketlab.operators.forward import ARM_LABELS
 from basketlab.operators.scoring import FACTORS, SECTOR_NEUTRAL, STRENGTH_LABELS
 from basketlab.params import COVARIANCE_DAYS, COVARIANCE_ROWS, COVARIANCE_YEARS
 from basketlab.params import WEEKLY_BARS as P
-from basketlab.plans.catalog import SWEEP, WHOLE
+from basketlab.plans.catalog import STALE_DAYS, SWEEP, WHOLE
 
 TD = P.trading_days
 VIEWS: dict[str, str] = {}
@@ -1204,6 +1204,7 @@ select {{'success': true, 'date': {day('(select max(date) from v_cal)')}, 'elaps
 from v_funnel f, v_conditions m"""
 SQL["snapshot_read"] = leaves("doc", "v_snapshot")
 
+
 _ALL_OBS = "(" + " union all ".join(_OBS) + ")"
 SQL["pct_rank_universe"] = f"""
 select o.security, o.factor, {r('o.value')} as value, {r('k.pctl_universe')} as pctl
@@ -1325,5 +1326,82 @@ select {day('date')} as date, case when date >= date '2024-01-05' then 'daily' e
 from v_marks"""
 
 
+# --- a weekly document of four weeks ago, refreshed -----------------------------------------
+
+def copied(prefix: str, new: dict[str, str], only: list[str] | None = None) -> None:
+    """Copies of all views that rest on those of `new` (or of `only` some), under names
+    with a prefix, with the views of `new` in their place."""
+    names = set(only or ())
+    while only is None:
+        more = {v for v, body in VIEWS.items() if v not in new and any(re.search(rf"\b{n}\b", body) for n in names | set(new))}
+        if more == names:
+            break
+        names = more
+    swap = new | {n: prefix + n for n in names}
+    pattern = re.compile(r"\b(" + "|".join(swap) + r")\b")
+    for n in names:
+        VIEWS[prefix + n] = pattern.sub(lambda m: swap[m.group(1)], VIEWS[n])
+
+
+_FIRST_VIEWS = dict(VIEWS)
+copied("w_", {"v_bars": "w_bars"})
+VIEWS["w_bars"] = f"select * from v_bars where date <= (select max(date) from v_bars) - {STALE_DAYS}"
+VIEWS["d_frozen"] = f"select portfolio, security, sector, {r('weight', 5)} as weight from w_v_arms"
+VIEWS["d_own"] = "select * from d_frozen where portfolio = 'greedy'"
+copied(
+    "d_", {"v_arms": "d_own", "v_names": "w_v_names", "v_choice": "w_v_choice"},
+    "v_armal v_armnav v_armwin v_armwindd v_armwm v_armblend v_armpoints v_breakdown v_funds".split(),
+)
+VIEWS["d_marks"] = f"""
+select date, arm, {logged('ret')} as ret from v_marks
+union all select (select max(date) from v_cal), portfolio, {logged('sum(weight * coalesce(ret, 0)) / sum(weight)')}
+from d_frozen a left join (select security as s, ret from v_ret where date = (select max(date) from v_cal)) q on a.security = q.s
+group by portfolio"""
+copied(
+    "d_", {"v_marks": "d_marks"},
+    [v for v in _FIRST_VIEWS if v in ("v_fstats", "v_fnavdoc", "v_fnav", "v_rfmap", "v_rffill", "v_aligned_marks", "v_fwd")
+     or re.search(r"\bv_fwd\b", _FIRST_VIEWS[v]) or v.startswith("v_boot")],
+)
+VIEWS["d_trail"] = _trailing(True)
+VIEWS["d_stockdoc"] = f"""
+select list({{'rank': s.pos, 'ticker': s.security, 'name': s.name, 'sector': s.sector, 'subIndustry': s.sub_industry,
+  {", ".join(f"'{c}': {'t' if c in ('price', *WINDOWS) else 's'}.{chr(34)}{c}{chr(34)}" for c in _NUMBERS)},
+  'reasons': {_listed('x.reasons')}, 'flags': {_listed('x.flags')}}} order by s.pos) as stocks
+from w_v_stocks s join w_v_said x on s.security = x.security join d_trail t on s.security = t.security"""
+_DAILY = VIEWS["w_v_research"]
+for _part in ("fstats", "fnavdoc"):
+    _DAILY = re.sub(rf"\b(w_)?v_{_part}\b", f"d_v_{_part}", _DAILY)
+VIEWS["d_research"] = _DAILY
+_DAILY = VIEWS["w_v_snapshot"].replace("'run_type': 'weekly'", "'run_type': 'daily'").replace("w_v_stockdoc", "d_stockdoc")
+_DAILY = _DAILY.replace("w_v_funds", "d_v_funds").replace("w_v_research", "d_research")
+_NEWEST = day("(select max(date) from v_gauges)")
+_DAILY = re.sub(r"'(pricesAsOf|success': true, 'date)': cast\(\(select max\(date\) from w_v_cal\) as varchar\)", rf"'\1': {_NEWEST}", _DAILY)
+VIEWS["d_snapshot"] = _DAILY
+_SAID = ", ".join(
+    f"'{c}': case when {e} is not null then {w} end"
+    for c, e, w in [
+        ("solver", "d.solver", "d.solver"), ("weighting", "d.weighting", "d.weighting"), ("weightingNote", 'd."weightingNote"', 'd."weightingNote"'),
+        ("bestEnergy", 'd."bestEnergy"', "printf('%.6f', round(d.\"bestEnergy\", 6))"),
+        ("energyStd", 'd."energyStd"', "printf('%.6f', round(d.\"energyStd\", 6))"),
+        ("maxWeight", "d.maxw", "printf('%.5f', round(d.maxw, 5))"), ("effectiveN", "d.eff", "printf('%.1f', round(d.eff, 1))"),
+    ]
+)
+VIEWS["v_lastmark"] = f"""
+select a.portfolio, {logged('sum(a.weight * coalesce(q.ret, 0)) / sum(a.weight)')} as ret
+from v_arms a left join (select * from v_ret where date = (select max(date) from v_cal)) q on a.security = q.security group by 1"""
+VIEWS["v_records"] = f"""
+select cast(date as varchar) as date, {{'runType': 'daily', 'armReturns': map_from_entries(list((arm, {logged('ret')}) order by arm)),
+  'armNav': map(), 'rebalance': null}} as doc
+from v_marks where date > (select max(date) from v_marks) - 14 group by date
+union all
+select {day('(select max(date) from v_cal)')}, {{'runType': 'weekly',
+  'armReturns': (select map_from_entries(list((portfolio, ret) order by portfolio)) from v_lastmark), 'armNav': map(),
+  'rebalance': {{'selectionByArm': (select map_from_entries(list((portfolio, names) order by portfolio)) from
+      (select portfolio, list(security order by security) as names from v_arms group by 1)),
+    'diagnosticsByArm': (select map_from_entries(list((d.arm, {{{_SAID}}}) order by d.arm)) from v_diag d)}}}}"""
+SQL["log_rebalance"] = leaves("doc", "(select date, to_json(doc) as doc from v_records)", "date,")
+SQL["daily_refresh"] = leaves("doc", "d_snapshot")
+
+
 def oracles() -> dict[str, str]:
     return {name: resolve(body.strip()) for name, body in SQL.items()}
