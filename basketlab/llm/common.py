@@ -34,6 +34,14 @@ def ship(spark: SparkSession) -> None:
         context._basketlab_shipped = True
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` hasn't got, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def append(df: DataFrame, text: str, added: T.StructType, make: Callable, keep_text: bool = True) -> DataFrame:
     """`df` with columns computed from its text column, one pass, no shuffle.
 
@@ -61,7 +69,7 @@ def append(df: DataFrame, text: str, added: T.StructType, make: Callable, keep_t
                 arrays += [pa.array(v, type=target.field(f.name).type) for f, v in zip(added, new)]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns + list(added.names))
 
-    return df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias(free_name(df, "text_"))).mapInArrow(run, schema)
 
 
 def explode_rows(df: DataFrame, text: str, keep: list[str], added: T.StructType, make: Callable) -> DataFrame:
@@ -82,7 +90,7 @@ def explode_rows(df: DataFrame, text: str, keep: list[str], added: T.StructType,
                 arrays += [pa.array(v, type=target.field(f.name).type) for f, v in zip(added, new)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(df, "text_"))).mapInArrow(run, schema)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train, per_class: int, max_chars: int, seed: int) -> tuple[list[tuple[str, int]], dict[int, int]]:

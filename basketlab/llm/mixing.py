@@ -125,11 +125,10 @@ def mix(df: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int =
 
 def keep_mixed(df: DataFrame, percent: int, seed: int = SEED) -> DataFrame:
     """The rows of `df` (columns of documents) that one epoch takes, whole."""
-    if "__row" in df.columns:
-        raise ValueError("the column __row is reserved")
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    taken = mix(rows, percent, 1, seed, ["__row"]).select("__row")
-    return rows.join(taken, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    row = common.free_name(df, "row")
+    rows = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(rows, percent, 1, seed, [row]).select(row)
+    return rows.join(taken, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,8 +256,7 @@ def redacted(df: DataFrame, text: str = "text", length: str = "n_chars") -> Data
     """`df` with the secrets of its text column replaced; texts without any stay as
     they are, a null text stays null. A column `length` holds the new length where
     the text was changed."""
-    if "__clean" in df.columns:
-        raise ValueError("the column __clean is reserved")
+    clean = common.free_name(df, "clean")
 
     def make():
         def work(texts):
@@ -265,9 +264,9 @@ def redacted(df: DataFrame, text: str = "text", length: str = "n_chars") -> Data
 
         return work
 
-    changed = F.col("__clean").isNotNull()
-    found = common.append(df, text, T.StructType([T.StructField("__clean", T.StringType())]), make)
-    out = found.withColumn(text, F.coalesce("__clean", f"`{text}`"))
+    changed = F.col(clean).isNotNull()
+    found = common.append(df, text, T.StructType([T.StructField(clean, T.StringType())]), make)
+    out = found.withColumn(text, F.coalesce(clean, f"`{text}`"))
     if length in df.columns:
         out = out.withColumn(length, F.when(changed, F.length(text).cast(df.schema[length].dataType)).otherwise(F.col(f"`{length}`")))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

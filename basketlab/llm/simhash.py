@@ -40,7 +40,6 @@ HOT = 128
 BLOCK = 1024
 SEED = 42
 # of the stage that keeps one text of each group
-WIDE = 6
 BANDS = 16
 ROWS = 5
 WIDE_HOT = 32
@@ -185,21 +184,6 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def marked_print(words: list[bytes], width: int) -> np.ndarray:
-    """A fingerprint of `WIDE` 64-bit words of the set of shingles, and the set's size.
-    An estimate to compare texts by; `keep_one` decides by the sets themselves."""
-    h = np.unique(hashes(words, width))
-    return np.array([*(majority(_mixed(h, n)) for n in range(WIDE)), len(h)], dtype=np.uint64).view(np.int64)
-
-
-def limit(similarity: float) -> int:
-    """Differing bits of fingerprints that are expected at this similarity of shingle
-    sets, and one and a half standard deviations."""
-    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * WIDE
-    return int(n * apart + 1.5 * np.sqrt(n * apart * (1 - apart)))
-
-
 def band_keys(h: np.ndarray) -> np.ndarray:
     """The search keys of a set of shingles: the smallest values under `BANDS` x `ROWS`
     hash functions, `ROWS` of them in a key. Two sets alike to s have an equal key with
@@ -330,9 +314,7 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str =
     matters: of pairs at 0.8 it meets 998 in 1000, at 0.85 all but 1 in 10,000, whether
     single words are changed all over the text or a block is cut off, added or replaced.
     """
-    inner = {"__keys", "__print", "__row"}
-    if inner & set(df.columns):
-        raise ValueError(f"columns {sorted(inner)} are reserved")
+    keys_, print_, row_ = (common.free_name(df, n) for n in ("keys", "print", "row"))
 
     def make():
         def work(texts):
@@ -344,24 +326,24 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str =
     def make_sets():
         return lambda texts: ([np.unique(hashes(words_of(t), width)).view(np.int64) for t in texts],)
 
-    added = T.StructType([T.StructField("__keys", T.ArrayType(T.LongType())), T.StructField("__print", T.ArrayType(T.LongType()))])
-    marked = common.append(df, text, added, make).withColumn("__row", F.monotonically_increasing_id())
+    added = T.StructType([T.StructField(keys_, T.ArrayType(T.LongType())), T.StructField(print_, T.ArrayType(T.LongType()))])
+    marked = common.append(df, text, added, make).withColumn(row_, F.monotonically_increasing_id())
     marked = materialize(marked, "marked")  # the row numbers must not change
-    rows = marked.select(F.col(f"`{key}`").alias("id"), F.col("__keys").alias("keys"), F.col("__print").alias("print"), F.col("__row").alias("row"))
+    rows = marked.select(F.col(f"`{key}`").alias("id"), F.col(keys_).alias("keys"), F.col(print_).alias("print"), F.col(row_).alias("row"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = rows.groupBy("keys", "print").agg(F.min(order).alias("first"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "prints")
 
     def sets(of: DataFrame) -> DataFrame:
-        asked = classes.join(of, "c", "left_semi").select("c", F.col("first.row").alias("__row"))
-        texts = marked.select("__row", F.col(f"`{text}`").alias("t")).join(asked, "__row").select("c", "t")
+        asked = classes.join(of, "c", "left_semi").select("c", F.col("first.row").alias(row_))
+        texts = marked.select(row_, F.col(f"`{text}`").alias("t")).join(asked, row_).select("c", "t")
         return common.append(texts, "t", T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))]), make_sets, False)
 
     links = wide_links(classes.select("c", "keys", F.col("print")[2].alias("n")), sets, similarity)
     reach = components(links).withColumnRenamed("node", "c")
     named = classes.select("c", "first").join(reach, "c", "left")
     stays = named.groupBy(F.coalesce("label", "c").alias("label")).agg(F.min("first").alias("first"))
-    return marked.join(stays.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return marked.join(stays.select(F.col("first.row").alias(row_)), row_, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

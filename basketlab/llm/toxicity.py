@@ -4,10 +4,12 @@ A word is the bag of its hashed character n-grams and itself, a window of `WINDO
 words the average of its words, and a two-class softmax reads the average. Embeddings
 and softmax are trained jointly in numpy, so a misspelling never seen in training
 shares the n-gram vectors of the words it resembles. A text's score is that of its
-most toxic window; every window of the whole text is scored.
+most toxic window; the windows that begin at every word of the whole text are scored, so
+what stands before an insult doesn't cut it in two.
 
-Training first gives each window its text's label; then of a toxic text only the
-strongest window counts, of a clean text all. Since the softmax is linear, a step over all windows is a few grouped sums,
+Training tiles a text by windows, by another offset each step. First each window gets its
+text's label; then of a toxic text only the strongest window counts, of a clean text all.
+Since the softmax is linear, a step over all windows is a few grouped sums,
 and a trained model scores a window from one number per n-gram.
 
 Scale: training rows are drawn by hashed id, at most `PER_CLASS` of each label and
@@ -46,6 +48,7 @@ MAX_CHARS = 100_000
 CACHE = 400_000
 THRESHOLD = 0.5
 SEED = 11
+_MEAN = np.full(WINDOW, 1 / WINDOW)
 _EDGES = ".,;:!?\"'()[]{}<>|*-_"
 
 
@@ -77,20 +80,16 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     weight = weight / weight.sum()
 
     vocabulary: dict[str, int] = {}
-    ids, texts, starts = [], [], []  # of each window its text and first word
-    total = 0
-    for i, (text, _) in enumerate(rows):
-        words = text.split()
-        ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int32))
-        at = np.arange(0, len(words), WINDOW)
-        starts.append(at + total)
-        texts.append(np.full(len(at), i))
-        total += len(words)
+    ids = []
+    for text, _ in rows:
+        ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.split()], dtype=np.int32))
+    sizes = np.array([len(x) for x in ids])
+    ids = np.concatenate(ids)
+    total = len(ids)
     if not total:
         return Model(np.zeros(BUCKETS), float(np.log(counts[1] / counts[0])))
-    ids, starts, texts = np.concatenate(ids), np.concatenate(starts), np.concatenate(texts)
-    lengths = np.diff(np.append(starts, total))
-    window = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
+    of_text = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    place = (np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     grams, bag_len = array("i"), np.empty(len(vocabulary), dtype=np.int64)
     for i, word in enumerate(vocabulary):  # no list per word: they would take most of the memory
         bag = subwords(word)
@@ -101,11 +100,6 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     bag_at = np.concatenate([[0], np.cumsum(bag_len)[:-1]])
     of_word = np.repeat(np.arange(len(bag_len), dtype=np.int32), bag_len)
 
-    first = np.flatnonzero(np.append(True, texts[1:] != texts[:-1]))
-    shown = texts[first]  # texts that have a window
-    per_text = np.diff(np.append(first, len(texts)))
-    spread = (weight / np.maximum(1, np.bincount(texts, minlength=len(rows))))[texts]
-
     rng = np.random.default_rng(SEED)
     E = np.zeros((BUCKETS, DIM), dtype=np.float32)  # an n-gram never trained says nothing
     U = rng.normal(0, 0.1, (DIM, 2))
@@ -114,10 +108,17 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     for step in range(1, STEPS + 1):
         u = U[:, 1] - U[:, 0]
         gram = E @ u
+        # windows of this step: their first words, texts and lengths
+        starts = np.flatnonzero((place % WINDOW == step % WINDOW) | (place == 0))
+        texts, lengths = of_text[starts], np.diff(np.append(starts, total))
+        window = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
+        first = np.flatnonzero(np.append(True, texts[1:] != texts[:-1]))
+        shown = texts[first]  # texts that have a window
+        per_text = np.diff(np.append(first, len(texts)))
         word = np.add.reduceat(gram[grams], bag_at) / bag_len
         z = np.add.reduceat(word[ids], starts) / lengths + (bias[1] - bias[0])
         if step <= WARM:
-            g = spread * (_sigmoid(z) - labels[texts])
+            g = np.repeat(weight[shown] / per_text, per_text) * (_sigmoid(z) - labels[texts])
         else:
             top = np.maximum.reduceat(z, first)
             best = np.flatnonzero(z == np.repeat(top, per_text))
@@ -156,9 +157,9 @@ def score_text(text: str, values: _Words) -> float:
     if not words:
         return float(_sigmoid(values.model.bias))
     v = np.fromiter(map(values.__getitem__, words), dtype=np.float64, count=len(words))
-    at = np.arange(0, len(words), WINDOW)
-    sums = np.add.reduceat(v, at) / np.minimum(WINDOW, len(words) - at)
-    return float(_sigmoid(sums.max() + values.model.bias))
+    # windows begin at every word; a shorter text is one window
+    means = np.convolve(v, _MEAN, "valid") if len(v) >= WINDOW else v.mean(keepdims=True)
+    return float(_sigmoid(means.max() + values.model.bias))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
@@ -184,9 +185,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
 def keep_clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`df` without the rows whose score reaches `THRESHOLD`."""
-    if "__toxic" in df.columns:
-        raise ValueError("the column __toxic is reserved")
-    return score(df, model, text, "__toxic").where(F.col("__toxic") < THRESHOLD).drop("__toxic")
+    mark = common.free_name(df, "toxic")
+    return score(df, model, text, mark).where(F.col(mark) < THRESHOLD).drop(mark)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

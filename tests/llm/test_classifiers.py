@@ -35,6 +35,46 @@ def test_unseen_misspellings_are_caught():
     assert toxicity.score_text(long, values) < 0.5 <= toxicity.score_text(long + " zimbawked quxgruntt " + long, values)
 
 
+def plain_score(text, model):
+    """Window by window, word by word, n-gram by n-gram."""
+    words = text.split()
+    means = []
+    for at in range(max(1, len(words) - toxicity.WINDOW + 1)):
+        window = words[at : at + toxicity.WINDOW]
+        if window:
+            values = [sum(model.logit[g] for g in toxicity.subwords(w)) / len(toxicity.subwords(w)) for w in window]
+            means.append(sum(values) / len(values))
+    return 1 / (1 + np.exp(-(max(means, default=0.0) + model.bias)))
+
+
+def test_score_equals_loop_and_bears_words_in_front():
+    model = toxicity.fit(texts(300, ["zimbawker", "quxgrunt"]), {0: 200, 1: 100})
+    values = toxicity._Words(model)
+    for text, _ in [*texts(60, ["zimbawked", "quxgruntt"]), ("", 0), ("one", 0), ("one two three", 0), (" \n ", 0)]:
+        score = toxicity.score_text(text, values)
+        assert score == pytest.approx(plain_score(text, model), abs=1e-9)
+        if len(text.split()) >= toxicity.WINDOW:
+            # windows of the text itself stay, so a word in front can only add one
+            assert toxicity.score_text(f"{PLAIN[0]} {text}", values) >= score - 1e-9
+
+
+def test_a_word_in_front_hardly_moves_given_scores(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    values = toxicity._Words(model)
+    held = [r.text or "" for r in docs.where(toxicity.held_out()).select("text").collect()]
+    moved = [abs(toxicity.score_text("the " + t, values) - toxicity.score_text(t, values)) for t in held]
+    assert len(held) > 100 and max(moved) < 0.05
+
+
+def test_toxic_accuracy_on_given_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in op1_toxicity(spark, folder).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    assert len(rows) > 50 and np.mean([r.predicted == labels[r.doc_id] for r in rows]) > 0.9
+
+
 def test_score_is_in_range_and_empty_texts_are_clean(spark, hostile):
     rows = op1_toxicity(spark, hostile).collect()
     assert len(rows) == 14 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)

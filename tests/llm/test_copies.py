@@ -155,10 +155,6 @@ def test_keep_one_by_similarity(spark, monkeypatch, hot, block):
     assert sorted(kept) == sorted(first.values())
 
 
-def test_limit():
-    assert simhash.limit(0.999) < simhash.limit(0.9) < simhash.limit(0.8) < simhash.limit(0.5) < 192
-
-
 def brute_links(ids, x, ok):
     n = len(ids)
     u = np.zeros_like(x)

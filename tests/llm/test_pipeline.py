@@ -1,13 +1,20 @@
 """The pipeline on odd rows, and its parts against brute force."""
 
+import hashlib
+import zlib
+
 import corpus_pipeline
 import numpy as np
 from llm_rows import CLEAN, DOCS, EXTRA, SF, hostile, nothing, write  # noqa: F401
 
-from basketlab.llm import simhash, toxicity
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from basketlab.llm import mixing, secrets, simhash, toxicity
 from basketlab.llm.packing import lengths
 from basketlab.llm.queries import QUERIES
-from basketlab.llm.tokens import Encoder, vocabulary
+from basketlab.llm.tokens import vocabulary
+from basketlab.sources.scratch import materialize
 
 
 def test_stages_keep_columns(spark, hostile, nothing):
@@ -20,27 +27,94 @@ def test_stages_keep_columns(spark, hostile, nothing):
         assert corpus_pipeline.run(spark, folder).columns[0:1] and corpus_pipeline.run(spark, folder).count() >= 0
 
 
-def test_run_equals_brute_force(spark):
-    docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+def alike(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def least_of_groups(texts):
+    """The smallest id of each group of texts whose 5-word sets link at 0.8."""
+    sets = {i: set(simhash.hashes(simhash.words_of(t or ""), 5).tolist()) for i, t in texts.items()}
+    least = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if j < i and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and alike(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((least[i], least[j]))
+                least = {k: a if v == b else v for k, v in least.items()}
+    return set(least.values())
+
+
+def bought(rows, plan):
+    """Ids that one epoch of the plan's budgets takes: (doc_id, leaf, tokens, digest)."""
+    out = set()
+    for leaf, (budget, tokens) in plan.items():
+        mine = [r for r in rows if r[1] == leaf]
+        if tokens and budget >= tokens:
+            out |= {r[0] for r in mine}
+            continue
+        spent = 0
+        for doc, _, n, digest in sorted(mine, key=lambda r: (hashlib.md5(f"{mixing.SEED}|1|{r[0]}|{r[3]}".encode()).hexdigest(), r[0])):
+            if spent >= budget:
+                break
+            out.add(doc)
+            spent += n
+    return out
+
+
+def test_stages_equal_brute_force(spark):
+    """Each stage on its own input, whole."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     values = toxicity._Words(model)
-    clean = {d["doc_id"]: d["text"] for d in docs if toxicity.score_text(d["text"] or "", values) < toxicity.THRESHOLD}
-    prints = {i: simhash.marked_print(simhash.words_of(t or ""), 5) for i, t in clean.items()}
-    rows = corpus_pipeline.run(spark, SF).collect()
-    found = {r.doc_id for r in rows}
-    assert found <= set(clean) and 0.5 * len(docs) < len(found)
-    kept = sorted(found)
-    for n, i in enumerate(kept):
-        for j in kept[:n]:
-            a, b = prints[i], prints[j]
-            apart = np.bitwise_count((a ^ b).view(np.uint64)[:-1]).sum()
-            assert apart > simhash.limit(0.8) or min(a[-1], b[-1]) < 0.8 * max(a[-1], b[-1])
-    from basketlab.llm import secrets
-
-    encoder = Encoder(vocabulary("byte_bpe_50k.json"), False)
-    for i in kept[:40]:
-        n = len(encoder.encode([secrets.redact(clean[i] or "")])[0]) // 4 + 1
-        assert sorted((r.length for r in rows if r.doc_id == i), reverse=True) == lengths(n)
+    given = {r.doc_id: r.text for r in docs.collect()}
+
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts == {i: t for i, t in given.items() if toxicity.score_text(t or "", values) < toxicity.THRESHOLD}
+    assert 0.8 * len(given) < len(texts) < len(given)
+
+    single = corpus_pipeline.drop_copies(spark, clean, SF)
+    kept = {r.doc_id: r.text for r in single.collect()}
+    assert set(kept) == least_of_groups(texts) and len(kept) < len(texts)
+
+    safe = corpus_pipeline.replace_secrets(spark, single, SF)
+    redacted = {r.doc_id: r.text for r in safe.collect()}
+    assert redacted == {i: None if t is None else secrets.redact(t) for i, t in kept.items()}
+
+    mixed = corpus_pipeline.mix_sources(spark, safe, SF)
+    narrow = mixing.narrow(safe, [])
+    plan = mixing.budgets(narrow.groupBy(*mixing.LEVELS).agg(F.sum("tokens").alias("tokens")), corpus_pipeline.MIX_PERCENT, 1)
+    leaves = {tuple(r[c] for c in mixing.LEVELS): (r.budget, r.tokens) for r in plan.collect()}
+    rows = [(r.doc_id, tuple(r[c] for c in mixing.LEVELS), r.tokens, r.digest) for r in narrow.collect()]
+    assert {r.doc_id for r in mixed.collect()} == bought(rows, leaves)
+    total, spent = sum(r[2] for r in rows), sum(b for b, _ in leaves.values())
+    # budgets are whole numbers, rounded down
+    assert 0 <= total * corpus_pipeline.MIX_PERCENT // 100 - spent <= len(leaves)
+
+    whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    pieces = {}
+    for r in corpus_pipeline.pack_pieces(spark, mixed, SF).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for r in mixed.collect():
+        ids = np.array(whole.encode(r.text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        ends = np.cumsum(lengths(len(ids)))
+        assert sorted(pieces.pop(r.doc_id)) == [(int(e - n), n, zlib.crc32(ids[e - n : e])) for e, n in zip(ends, lengths(len(ids)))]
+    assert not pieces
+
+
+def test_run_chains_the_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, SF), "stage")
+    pick = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select(pick).collect())) == sorted(map(tuple, docs.select(pick).collect()))
+
+
+def test_helper_columns_give_way_to_the_tables_own(spark, hostile):
+    names = ["row", "_row", "keys", "print", "clean", "toxic", "TEXT_"]
+    docs = spark.read.parquet(f"{hostile}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, hostile), name)
+        assert all(r[n] == n for r in docs.collect() for n in names), name
 
 
 def test_copies_and_toxic_texts_go_and_clean_ones_stay(spark, tmp_path):
