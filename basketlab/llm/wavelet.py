@@ -76,11 +76,6 @@ def build(tokens: np.ndarray, doc_lengths: np.ndarray, doc_ids: list[int | None]
     return b"".join([_HEAD.pack(MAGIC, planes, n, len(doc_lengths), len(documents)), documents, listed, *body])
 
 
-def tokens_by_head(head: bytes) -> int:
-    """How many tokens a shard holds, from its file's first bytes."""
-    return _HEAD.unpack_from(head)[2]
-
-
 class Shard:
     """Reads a shard's file."""
 
@@ -252,16 +247,10 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 def shard_starts(shards: DataFrame) -> DataFrame:
     """part, shard, before: tokens of all earlier shards, by the files' headers."""
-    common.ship(shards.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [tokens_by_head(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["part", "shard", "tokens"])
-
-    # the header is in the file's first bytes
-    heads = shards.select("part", "shard", F.substring("file", 1, _HEAD.size).alias("head"))
-    small = heads.mapInArrow(run, "part int, shard int, tokens long")
+    # after the magic and the number of planes: four bytes, the lowest first
+    digits = F.hex(F.substring("file", 6, 4))
+    tokens = F.conv(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long")
+    small = materialize(shards.select("part", "shard", tokens.alias("tokens")), "totals")
     parts = offsets(small.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n", "part_before").select("part", "part_before")
     from pyspark.sql import Window
 
