@@ -117,13 +117,16 @@ def _yield_text(s: Screen) -> DataFrame:
     )
 
 
-@query
-def rf_load(s: Screen) -> DataFrame:
+def _landed_yields(s: Screen) -> DataFrame:
     path = scratch_path(s.spark, "yields")
     _yield_text(s).write.partitionBy("batch").option("header", True).csv(path)
     rows = rates.read_yield_csv(s.spark, f"{path}/*/")
-    in_batch = F.regexp_extract("file", r"batch=(\d+)", 1)
-    return tidy(rates.parse_yields(rows.withColumn("file", in_batch)))
+    return rows.withColumn("file", F.regexp_extract("file", r"batch=(\d+)", 1))
+
+
+@query
+def rf_load(s: Screen) -> DataFrame:
+    return tidy(rates.parse_yields(_landed_yields(s)))
 
 
 @query
@@ -149,13 +152,27 @@ def rf_fallback(s: Screen) -> DataFrame:
     return tidy(out)
 
 
-@query
-def log_read(s: Screen) -> DataFrame:
-    """Every mark of the log's lines."""
+def _landed_log(s: Screen) -> str:
     path = scratch_path(s.spark, "log")
     line = F.to_json(F.struct("date", "runType", "armReturns"), {"ignoreNullFields": "false"})
     forward_log.record(s.marks, "daily", 1).select(line).write.text(path)
-    return tidy(forward_log.explode_marks(forward_log.read_log(s.spark, path)))
+    return path
+
+
+@query
+def log_read(s: Screen) -> DataFrame:
+    """Every mark of the log's lines."""
+    return tidy(forward_log.explode_marks(forward_log.read_log(s.spark, _landed_log(s))))
+
+
+@query
+def rejects(s: Screen) -> DataFrame:
+    """How many landed rows of the log and of the yields were kept, and how many not and
+    why."""
+    log = forward_log.rejected(forward_log.read_lines(s.spark, _landed_log(s)))
+    prints = rates.read_prints(_landed_yields(s)).groupBy(F.coalesce("cause", F.lit("kept")).alias("cause"))
+    counted = prints.agg(F.count(F.lit(1)).alias("n"))
+    return tidy(log.withColumn("source", F.lit("log")).unionByName(counted.withColumn("source", F.lit("yields"))))
 
 
 @query

@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 from basketlab.functions.exprs import finite
 from basketlab.sources.schemas import LOG_RECORD
 
+_CORRUPT = "_corrupt"
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Blank and malformed lines are skipped."""
-    return (
-        spark.read.schema(LOG_RECORD)
-        .option("mode", "DROPMALFORMED")
-        .json(path)
-        .where("date IS NOT NULL")
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the log, its record's fields and, where it isn't a record, why:
+    cause is blank, malformed or undated, else null."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    schema = f"{LOG_RECORD}, {_CORRUPT} STRING"
+    parsed = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    cause = (
+        F.when(F.trim("line") == "", "blank")
+        .when(F.col(f"r.{_CORRUPT}").isNotNull(), "malformed")
+        .when(F.col("r.date").isNull(), "undated")
     )
+    return lines.withColumn("r", parsed).select("line", "r.*", cause.alias("cause")).drop(_CORRUPT)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records; lines that are none are left to `rejected`."""
+    return read_lines(spark, path).where("cause IS NULL").drop("line", "cause")
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """(cause, n) of `read_lines`: how many lines are records ('kept') and how many not."""
+    return lines.groupBy(F.coalesce("cause", F.lit("kept")).alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def explode_marks(log: DataFrame) -> DataFrame:

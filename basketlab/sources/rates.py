@@ -20,15 +20,21 @@ def read_yield_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_prints(rows: DataFrame, order: str = "file") -> DataFrame:
+    """(date, rf_annual, src, cause): percent text as decimal yield, and of a row that is
+    no print why: undated or unpriced (gaps as text), else null."""
+    date = F.coalesce(F.col("Date").try_cast("date"), F.try_to_date("Date", "MM/dd/yyyy"))
+    value = F.col("3 Mo").try_cast("double") / 100.0
+    parsed = rows.select(date.alias("date"), value.alias("rf_annual"), F.col(order).alias("src"))
+    cause = F.when(F.col("date").isNull(), "undated").when(
+        F.col("rf_annual").isNull() | F.isnan("rf_annual"), "unpriced"
+    )
+    return parsed.withColumn("cause", cause)
+
+
 def parse_yields(rows: DataFrame, order: str = "file") -> DataFrame:
     """Percent text -> decimal yield, one row per date, the last file winning."""
-    parsed = rows.select(
-        F.coalesce(
-            F.col("Date").try_cast("date"), F.try_to_date("Date", "MM/dd/yyyy")
-        ).alias("date"),
-        (F.col("3 Mo").try_cast("double") / 100.0).alias("rf_annual"),
-        F.col(order).alias("src"),
-    ).where("date IS NOT NULL AND rf_annual IS NOT NULL AND NOT isnan(rf_annual)")
+    parsed = read_prints(rows, order).where("cause IS NULL")
     return parsed.groupBy("date").agg(F.max_by("rf_annual", "src").alias("rf_annual"))
 
 

@@ -858,6 +858,9 @@ def logged(expr: str) -> str:
 SQL["log_read"] = f"""
 select {day('date')} as date, arm, {logged('ret')} as ret from v_marks"""
 
+SQL["rejects"] = """
+select 'log' as source, 'kept' as cause, count(distinct date) as n from v_marks
+union all select 'yields', 'kept', count(*) + count(*) filter (where month(date) = 12) from v_rf"""
 SQL["log_upsert"] = f"""
 select {day('m.date')} as date, case when m.date >= date '2024-01-10' then 'daily' else 'weekly' end as "runType", m.arm,
   case when m.date < date '2024-01-10' then {logged('m.ret')} when day(m.date) % 9 <> 0 then {logged('m.ret * 1.5')} end as ret,
