@@ -7,10 +7,17 @@ and its bytes must parse before it is reported.
 - `der_key`: DER whose nested lengths fill the data exactly and whose members are those
   of a private key (PKCS#8, PKCS#1, SEC 1, DSA), armoured (also with escaped line
   ends), in base64 of either alphabet or in hexadecimal, or armour encoded once more;
+- `encrypted_key`: an encrypted PKCS#8 key (a password scheme's algorithm, then the data),
+  or armour whose header names a cipher and a start value of which the data's length is
+  a multiple;
 - `openssh_key`: the OpenSSH private key container, field by field to its end;
 - `signed_token`: three base64url parts, the first a JSON object that names an
   algorithm, the second a JSON object, the third empty only if the algorithm is none.
 
+Base64 without armour may be wrapped over lines of any length, the first with 16 letters
+or more (OpenSSH: 20): the lengths in the bytes say where the key ends, and it must end with a line.
+Armour without its closing line is read so too, and its span begins with its opening line.
+
 Spans are kind, start, end in code points, end exclusive. One pass, no shuffle.
 
 Defined cases: null text is empty and has no spans; spans of different kinds may
@@ -32,7 +39,7 @@ from pyspark.sql import types as T
 
 from basketlab.llm import common
 
-KINDS = ("assign", "access", "hex", "der_key", "openssh_key", "signed_token")
+KINDS = ("assign", "access", "hex", "der_key", "openssh_key", "signed_token", "encrypted_key")
 BASE = KINDS[:3]
 
 # fixed values: patterns and least lengths of the base kinds
@@ -47,7 +54,16 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 # parts of a run that other letters precede or follow
 _PARTS = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"), re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{39,}={0,2}"))
 _HEXES = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([^-]*)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----((?:[^-]++|-(?!----))*+)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})[ \t]*$", re.MULTILINE)
+# the first line of a wrapped key: a DER sequence or the OpenSSH container, in base64
+_FIRST = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-I][A-Za-z0-9+/_-]{14,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]*)")
+_LINE = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*([A-Za-z0-9+/_-]+)")
+_PADDING = re.compile(r"={0,2}")
+_OPENING = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}-----(?:\s|\\+[nr])*$")
+_MAGIC = b"openssh-key-v1\0"
+# object identifiers of password-based encryption: PKCS#5 and PKCS#12
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _DOTTED = re.compile(r"[A-Za-z0-9_.-]{20,}")
 _HEAD = re.compile(r"(?<![A-Za-z0-9])e[wy][A-Za-z0-9_-]{6,}")  # a brace and what may follow it
 _ESCAPED = re.compile(r"\\+[nr]|\r")
@@ -94,11 +110,22 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """Encrypted PKCS#8: a password-based algorithm with its parameters, then the data."""
+    outer = _elements(data, 0, len(data))
+    members = _elements(data, *outer[0][1:]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+    if not members or [m[0] for m in members] != [0x30, 0x04] or members[1][2] == members[1][1]:
+        return False
+    algorithm = _elements(data, *members[0][1:])
+    if not algorithm or [a[0] for a in algorithm] != [0x06, 0x30] or not data[algorithm[0][1] : algorithm[0][2]].startswith(_PASSWORD_BASED):
+        return False
+    return bool(_elements(data, *algorithm[1][1:]))
+
+
 def is_openssh_key(data: bytes) -> bool:
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if not data.startswith(_MAGIC):
         return False
-    at = len(magic)
+    at = len(_MAGIC)
 
     def field():
         nonlocal at
@@ -137,20 +164,72 @@ def _armoured(text: str) -> list[tuple[str, int, int]]:
     found = []
     for m in _ARMOUR.finditer(text):
         body = _ESCAPED.sub("\n", m[2].replace("\r\n", "\n").replace("\\r\\n", "\n")).replace("\\/", "/")
-        body = body.split("\n\n", 1)[-1] if ":" in body else body
-        kind = _key_kind(_decoded("".join(body.split())))
+        head, body = body.split("\n\n", 1) if ":" in body and "\n\n" in body else ("", body)
+        data, cipher = _decoded("".join(body.split())), _CIPHER.search(head)
+        if cipher and data and len(data) % (len(cipher[1]) // 2) == 0 and m[1].endswith("PRIVATE KEY"):
+            found.append(("encrypted_key", *m.span()))
+            continue
+        kind = _key_kind(data)
         if kind:
             found.append((kind, *m.span()))
     return found
 
 
+def _reach(data: bytes) -> int:
+    """How many bytes the key that begins with `data` has at least; all it has, once
+    `data` holds so many."""
+    if not data.startswith(_MAGIC):
+        width = data[1] & 0x7F if data[1] & 0x80 else 0
+        return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+    at = len(_MAGIC)
+    for n in (3, 1):  # fields before the number of keys; keys and the private part
+        if n == 1:
+            if at + 4 > len(data):
+                return at + 4
+            n, at = 1 + int.from_bytes(data[at : at + 4], "big"), at + 4
+        for _ in range(n):
+            if at + 4 > len(data):
+                return at + 4
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            if at > len(data):
+                return at
+    return at
+
+
+def _wrapped(text: str) -> list[tuple[str, int, int]]:
+    """Spans of keys in base64 wrapped over two lines or more."""
+    found, done = [], -1
+    for m in _FIRST.finditer(text):
+        if m.start() < done:
+            continue
+        run, at, next_line = m[0], m.end(), True
+        while next_line:
+            data = _decoded(run[: len(run) & ~3])
+            need = -(-_reach(data) * 4 // 3)
+            if need <= len(run) or need > len(text) - m.start():
+                break
+            lines, have = [run], len(run)
+            while have < need and (next_line := _LINE.match(text, at)):
+                lines.append(next_line[1])
+                have, at = have + len(next_line[1]), next_line.end()
+            run = "".join(lines)
+        if at > m.end() and len(run) == need and (kind := _key_kind(_decoded(run))):
+            opening = _OPENING.search(text[max(0, m.start() - 100) : m.start()])
+            start = m.start() - len(opening[0]) if opening else m.start()
+            done = _PADDING.match(text, at).end()
+            found.append((kind, start, done))
+    return found
+
+
 def _key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
     if b"-----BEGIN " in data:  # armour that was encoded once more
         inside = _armoured(data.decode("latin-1"))
         return inside[0][0] if inside else None
-    return "der_key" if is_der_key(data) else "openssh_key" if is_openssh_key(data) else None
+    if is_der_key(data):
+        return "der_key"
+    return "openssh_key" if is_openssh_key(data) else "encrypted_key" if is_encrypted_key(data) else None
 
 
 def _base64_keys(text: str) -> list[tuple[str, int, int]]:
@@ -209,7 +288,8 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    if max(map(len, text.split()), default=0) >= 32:  # no candidate holds white space
+    longest = max(map(len, text.split()), default=0)
+    if longest >= 32:  # no candidate holds white space
         for run in _RUN.finditer(text):
             at, part = run.start(), run[0]
             found += [("hex", at + m.start(), at + m.end()) for m in HEX.finditer(part) if m.end() - m.start() >= LEAST["hex"]]
@@ -220,8 +300,10 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         found += _base64_keys(text)
     if "." in text and ("ey" in text or "ew" in text):
         found += _tokens(text)
-    if "-----BEGIN " in text:
-        found += _armoured(text)
+    armoured = _armoured(text) if "-----BEGIN " in text else []
+    found += armoured
+    if longest >= 16 and ("\n" in text or "\\n" in text):
+        found += [s for s in _wrapped(text) if not any(a <= s[1] and s[2] <= b for _, a, b in armoured)]
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
