@@ -10,7 +10,13 @@ How many parts a query asks is measured: queries of the sample that the classifi
 not trained on are searched by brute force in the rest, and the smallest number with
 recall `AIM` or more is taken. A query that would meet fewer than k others asks further parts.
 
-Scale: only the sample is on the driver. Equal vectors are searched once and carry
+Parts grow in number with the table, not in size: one that holds over `SPLIT` times
+`PER_PART` vectors is cut again in the same way, by a classifier of its own, trained in a
+task on a sample of the part, and so on. A query asks several parts of each part it
+asks; the levels share the aimed recall.
+
+Scale: only the first sample is on the driver, and sizes of the first parts; all others
+stay in tables. Equal vectors are searched once and carry
 their smallest k + 1 ids, enough for any ranking. Parts and their queries are cut into
 blocks, so a hot part is many tasks, each of which returns at most k + 1 rows per
 query, and none that the sample shows to be too far.
@@ -23,6 +29,8 @@ its id differs; fewer candidates than k are all returned; an empty table gives n
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,8 +43,11 @@ from basketlab.sources.scratch import materialize
 K = 20
 SAMPLE = 6000
 TEST = 1000  # of the sample: queries of the measurement
-PER_PART = 1500  # vectors a part is meant to have, while parts are fewer than PARTS
-PARTS = 64
+PER_PART = 1500  # vectors a part is meant to have
+SPLIT = 4  # a part of more times PER_PART is cut again
+PARTS = 64  # of one cut, at most
+FEW = 4  # and at least, if each then has LEAST vectors
+LEAST = 40
 GRAPH = 10
 HIDDEN = 64
 EPOCHS = 40
@@ -126,7 +137,7 @@ class Router:
                     p -= 0.003 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def learn(found: np.ndarray, parts: int, k: int = K) -> tuple[Router, int]:
+def learn(found: np.ndarray, parts: int, k: int = K, aim: float = AIM) -> tuple[Router, int]:
     """The router and how many parts a query asks."""
     rng = np.random.default_rng(SEED)
     if parts == 1 or len(found) < 4 * GRAPH:
@@ -148,49 +159,145 @@ def learn(found: np.ndarray, parts: int, k: int = K) -> tuple[Router, int]:
     place[np.arange(len(held))[:, None], order] = np.arange(parts)[None, :]
     needed = place[np.arange(len(held))[:, None], home[best]]  # at which place each neighbour's part is asked
     recall = [(needed < t).mean() for t in range(1, parts + 1)]
-    return router, int(np.argmax(np.array(recall) >= AIM)) + 1 if max(recall) >= AIM else parts
+    return router, int(np.argmax(np.array(recall) >= aim)) + 1 if max(recall) >= aim else parts
+
+
+def parts_of(total: int, per_part: int) -> int:
+    """How many parts a table or a part of so many vectors is cut into."""
+    return int(min(PARTS, max(total // per_part, min(FEW, total // LEAST), 1)))
+
+
+def levels_of(total: int, per_part: int) -> int:
+    """How often parts are cut until they are small."""
+    levels, size = 1, total / parts_of(total, per_part)
+    while size > SPLIT * per_part:
+        levels, size = levels + 1, size / PARTS
+    return levels
 
 
 def index(classes: DataFrame, router: Router) -> DataFrame:
-    """c, least, vec, part of every different vector."""
+    """c, least, vec, part of every different vector; parts are numbered from 1."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                part = router.probabilities(matrix(batch.column(2))).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=["c", "least", "vec", "part"])
+                part = router.probabilities(matrix(batch.column(2))).argmax(axis=1) + 1
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int64())], names=["c", "least", "vec", "part"])
 
-    return classes.select("c", "least", F.col("vec").cast("array<double>")).mapInArrow(run, "c long, least long, vec array<double>, part int")
+    return classes.select("c", "least", F.col("vec").cast("array<double>")).mapInArrow(run, "c long, least long, vec array<double>, part long")
 
 
-def route(asked: DataFrame, router: Router, probes: int, sizes: np.ndarray, k: int, known: np.ndarray) -> DataFrame:
-    """c, vec, part, bound: each query once per part it asks. `bound` is the score of
-    the (k + 1)-th best of `known` (some of the vectors) in those parts, so that whatever
-    scores less can't be in the result; a query with fewer of them has none."""
+def asks(router: Router, probes: int, sizes: np.ndarray, last: np.ndarray, known: np.ndarray, x: np.ndarray, k: int):
+    """(rows, parts, bounds): each row of x once per part it asks. A bound is the score
+    of the (k + 1)-th best of `known` (some of the vectors) in those parts, so that
+    whatever scores less can't be in the result; a query with fewer of them has none.
+    Only parts that are cut no further (`last`) count for it."""
+    order = np.argsort(-router.probabilities(x), axis=1, kind="stable")
+    met = np.cumsum(sizes[order], axis=1)
+    enough = (met < k + 1).sum(axis=1) + 1  # parts until k others are met
+    count = np.minimum(np.maximum(enough, probes), order.shape[1])
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    asked, bound = place < count[:, None], np.full(len(x), -np.inf)
     home = router.probabilities(known).argmax(axis=1)
+    known, home = known[last[home]], home[last[home]]
+    for at in range(0, len(x) if len(known) > k else 0, 256):
+        s = np.where(asked[at : at + 256][:, home], x[at : at + 256] @ known.T, -np.inf)
+        best = np.partition(s, len(known) - k - 1, axis=1)[:, len(known) - k - 1]
+        bound[at : at + 256] = best - 1e-9 * (1 + np.abs(best))
+    rows = np.repeat(np.arange(len(order)), count)
+    parts = np.concatenate([o[:n] for o, n in zip(order, count)])
+    return rows, parts, bound[rows]
+
+
+def route(asked: DataFrame, router: Router, probes: int, sizes: np.ndarray, last: np.ndarray, k: int, known: np.ndarray) -> DataFrame:
+    """c, vec, part, bound: each query once per part it asks."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(-router.probabilities(matrix(batch.column(1))), axis=1, kind="stable")
-            met = np.cumsum(sizes[order], axis=1)
-            enough = (met < k + 1).sum(axis=1) + 1  # parts until k others are met
-            count = np.minimum(np.maximum(enough, probes), order.shape[1])
-            asks = np.zeros((len(order), order.shape[1]), dtype=bool)
-            for i, n in enumerate(count):
-                asks[i, order[i, :n]] = True
-            x, bound = matrix(batch.column(1)), np.full(len(order), -np.inf)
-            for at in range(0, len(x) if len(known) > k else 0, 256):
-                s = np.where(asks[at : at + 256][:, home], x[at : at + 256] @ known.T, -np.inf)
-                best = np.partition(s, len(known) - k - 1, axis=1)[:, len(known) - k - 1]
-                bound[at : at + 256] = best - 1e-9 * (1 + np.abs(best))
-            rows = np.repeat(np.arange(len(order)), count)
-            parts = np.concatenate([o[:n] for o, n in zip(order, count)])
+            rows, parts, bound = asks(router, probes, sizes, last, known, matrix(batch.column(1)), k)
             took = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(parts, pa.int32()), pa.array(bound[rows])], names=["c", "vec", "part", "bound"])
+            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(parts + 1, pa.int64()), pa.array(bound)], names=["c", "vec", "part", "bound"])
+
+    return asked.select("c", F.col("vec").cast("array<double>")).mapInArrow(run, "c long, vec array<double>, part long, bound double")
+
+
+# --- parts that are cut again: the children of part p are p * PARTS + 1, 2, ... --------
+
+def _packed(router: Router, probes: int, known: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, *router.p, scale=router.scale, probes=probes, known=known)
+    return out.getvalue()
+
 
-    return asked.select("c", F.col("vec").cast("array<double>")).mapInArrow(run, "c long, vec array<double>, part int, bound double")
+def _unpacked(data: bytes) -> tuple[Router, int, np.ndarray]:
+    kept = np.load(io.BytesIO(data))
+    router = Router.__new__(Router)
+    router.p, router.scale = [kept[f"arr_{i}"] for i in range(4)], float(kept["scale"])
+    return router, int(kept["probes"]), kept["known"]
+
+
+def _fit(per_part: int, k: int, aim: float):
+    def run(rows: pa.Table) -> pa.Table:
+        x, n = matrix(rows.column("vec")), rows.column("n")[0].as_py()
+        router, probes = learn(x, parts_of(n, per_part), k, aim)
+        return pa.table({"part": rows.column("part").slice(0, 1), "router": pa.array([_packed(router, probes, x)], pa.binary())})
+
+    return run
+
+
+def _descend(rows: pa.Table, routers: pa.Table) -> pa.Table:
+    router, _, _ = _unpacked(routers.column("router")[0].as_py()) if rows.num_rows else (None, 0, None)
+    child = router.probabilities(matrix(rows.column("vec"))).argmax(axis=1) if rows.num_rows else np.zeros(0, np.int64)
+    part = rows.column("part").to_numpy().astype(np.int64) * PARTS + 1 + child
+    return pa.table({"c": rows.column("c"), "least": rows.column("least"), "vec": rows.column("vec"), "part": pa.array(part, pa.int64())})
+
+
+def _ask_again(limit: int, k: int):
+    def run(rows: pa.Table, routers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"c": rows.column("c"), "vec": rows.column("vec"), "part": rows.column("part"), "bound": pa.array([], pa.float64())})
+        router, probes, known = _unpacked(routers.column("router")[0].as_py())
+        sizes, part = np.zeros(len(router.p[3]), dtype=np.int64), rows.column("part")[0].as_py()
+        for child in routers.column("children")[0].as_py():
+            sizes[child["part"] - part * PARTS - 1] = child["n"]
+        at, parts, bound = asks(router, probes, sizes, sizes <= limit, known, matrix(rows.column("vec")), k)
+        took = rows.take(pa.array(at))
+        return pa.table({"c": took.column("c"), "vec": took.column("vec"), "part": pa.array(part * PARTS + 1 + parts, pa.int64()), "bound": pa.array(bound)})
+
+    return run
+
+
+def _by_block(rows: DataFrame, routers: DataFrame, run, schema: str) -> DataFrame:
+    """`run` on blocks of a part's rows, each with the part's row of `routers`."""
+    blocks = rows.groupBy("part").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("long").alias("blocks"))
+    blocks = materialize(blocks.join(routers.select("part"), "part"), "blocks")
+    dealt = rows.join(blocks, "part").withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks"))).drop("blocks")
+    copies = routers.join(blocks, "part").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    return dealt.groupBy("part", "b").cogroup(copies.groupBy("part", "b")).applyInArrow(run, schema)
+
+
+def deepen(placed: DataFrame, asked: DataFrame, per_part: int, k: int, aim: float, final: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """`placed` and `asked` after one more cut of all parts that are too large, and
+    whether there were any."""
+    limit = SPLIT * per_part
+    large = materialize(placed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large")
+    if large.isEmpty():
+        return placed, asked, False
+    space = 1 << 32
+    drawn = placed.join(large, "part").where(F.pmod(F.xxhash64("vec", F.lit(SEED + 1)), F.lit(space)) * F.col("n") < F.lit(SAMPLE * space))
+    routers = materialize(drawn.select("part", "n", "vec").groupBy("part").applyInArrow(_fit(per_part, k, aim), "part long, router binary"), "routers")
+    moved = _by_block(placed.join(routers.select("part"), "part", "left_semi"), routers, _descend, "c long, least long, vec array<double>, part long")
+    moved = materialize(moved, "moved")
+    parent = F.floor((F.col("part") - 1) / PARTS).cast("long")
+    sizes = moved.groupBy("part").agg(F.count("*").alias("n"))
+    children = sizes.groupBy(parent.alias("part")).agg(F.collect_list(F.struct(F.col("part"), F.col("n"))).alias("children"))
+    again = _by_block(asked.join(routers.select("part"), "part", "left_semi").drop("bound"), routers.join(children, "part"), _ask_again((1 << 62) if final else limit, k), "c long, vec array<double>, part long, bound double")
+    rest = routers.select("part")
+    placed = materialize(placed.join(rest, "part", "left_anti").unionByName(moved), "index")
+    return placed, materialize(asked.join(rest, "part", "left_anti").unionByName(again), "asked"), True
 
 
 def _rerank(k: int):
@@ -214,7 +321,7 @@ def _rerank(k: int):
     return run
 
 
-def search(df: DataFrame, key: str, vector: str, queries, k: int = K) -> DataFrame:
+def search(df: DataFrame, key: str, vector: str, queries, k: int = K, per_part: int = PER_PART) -> DataFrame:
     """query_id, rank, id, score: for each row with the condition `queries` (on id) its
     k nearest other ids found, by inner product of the original vectors in doubles."""
     rows = materialize(usable(df, key, vector).where("ok and id is not null").select("id", "vec"), "embedded")
@@ -225,29 +332,28 @@ def search(df: DataFrame, key: str, vector: str, queries, k: int = K) -> DataFra
     total = classes.count()
     if not total:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
-    parts = int(min(PARTS, max(1, total // PER_PART)))
+    levels = levels_of(total, per_part)
+    aim = AIM ** (1 / levels)
     known = sample(classes, SAMPLE, SEED)
-    router, probes = learn(known, parts, k)
+    router, probes = learn(known, parts_of(total, per_part), k, aim)
     placed = materialize(index(classes, router), "index")
-    n_parts = len(router.p[3])
-    found = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
-    sizes = np.array([found.get(p, 0) for p in range(n_parts)])
+    found = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # PARTS rows at most
+    sizes = np.array([found.get(p + 1, 0) for p in range(len(router.p[3]))])
+    last = sizes <= SPLIT * per_part if levels > 1 else np.ones(len(sizes), dtype=bool)
     query_rows = materialize(rows.where(queries).join(classes.select("vec", "c"), "vec").select("id", "c", "vec"), "queries")
-    asked = route(query_rows.groupBy("c").agg(F.any_value("vec").alias("vec")), router, probes, sizes, k, known)
+    asked = route(query_rows.groupBy("c").agg(F.any_value("vec").alias("vec")), router, probes, sizes, last, k, known)
     asked = materialize(asked, "asked")
-    q_sizes = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
-
-    def blocks(of: dict, column):
-        out = F.lit(1)
-        for p, n in of.items():
-            if n > BLOCK:
-                out = F.when(column == p, -(-n // BLOCK)).otherwise(out)
-        return out.cast("long")
-
-    deal = lambda of: F.pmod(F.xxhash64("c"), blocks(of, F.col("part"))).cast("long")
-    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), blocks(of, F.col("part")) - 1))
-    left = placed.select("part", deal(found).alias("yb"), every(q_sizes).alias("qb"), F.lit(False).alias("asks"), "c", "least", "vec", F.lit(None).cast("double").alias("bound"))
-    right = asked.select("part", every(found).alias("yb"), deal(q_sizes).alias("qb"), F.lit(True).alias("asks"), "c", F.lit(None).cast("long").alias("least"), "vec", "bound")
+    for level in range(2, levels + 1):
+        placed, asked, more = deepen(placed, asked, per_part, k, aim, level == levels)
+        if not more:
+            break
+    counts = placed.groupBy("part").agg(F.count("*").alias("n")).join(asked.groupBy("part").agg(F.count("*").alias("q")), "part")
+    block = lambda c: F.ceil(F.col(c) / BLOCK).cast("long").alias(f"{c}_blocks")
+    counts = materialize(counts.select("part", block("n"), block("q")), "sizes")  # a row a part
+    deal = lambda c: F.pmod(F.xxhash64("c"), F.col(c)).cast("long")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = placed.join(counts, "part").select("part", deal("n_blocks").alias("yb"), every("q_blocks").alias("qb"), F.lit(False).alias("asks"), "c", "least", "vec", F.lit(None).cast("double").alias("bound"))
+    right = asked.join(counts, "part").select("part", every("n_blocks").alias("yb"), deal("q_blocks").alias("qb"), F.lit(True).alias("asks"), "c", F.lit(None).cast("long").alias("least"), "vec", "bound")
     near = left.unionByName(right).groupBy("part", "yb", "qb").applyInArrow(_rerank(k + 1), "q long, c long, score double")
     near = near.join(classes.select("c", "least", "ids"), "c")
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1)
