@@ -3,9 +3,12 @@
 A window `partitionBy(group).orderBy(value)` puts a whole group into one task.
 Here the values are counted first (ties collapse before the shuffle), split
 into buckets that are a pure function of the value, and ranked inside each
-bucket; only bucket totals, whose number is bounded by the bucket grid, are
-ever ordered per group. A re-run task recomputes the same buckets, so a lost
-executor cannot change a rank.
+bucket. A bucket is a prefix of the value's 64 order-preserving bits: 20 bits
+first (256 buckets an octave); a bucket of more than `FULL` values is split by
+15 more bits, and one of those by another 15, after which 14 bits are left. So
+every window is bounded: 2^20 buckets of a group, 2^15 parts of a bucket, and
+`FULL` values, however narrow a factor's range is. A re-run task recomputes
+the same buckets, so a lost executor cannot change a rank.
 """
 
 from __future__ import annotations
@@ -15,49 +18,65 @@ from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import col
 
-BUCKETS_PER_OCTAVE = 256
+SHIFTS = (44, 29, 14)  # bits below the prefix, by level
+FULL = 1 << SHIFTS[-1]
 
 
-def order_bucket(value) -> Column:
-    """Monotone bucket number of a finite double."""
+def order_bits(value) -> Column:
+    """The bits of a double as a number in the values' order; both zeros are 0."""
     v = col(value)
-    magnitude = F.floor((F.log2(F.abs(v)) + 1100.0) * BUCKETS_PER_OCTAVE) + 1
-    return (
-        F.when(v > 0, magnitude).when(v < 0, -magnitude).otherwise(F.lit(0)).cast("long")
-    )
+    a = F.abs(v)
+    low, high = F.lit(-1022.0), F.lit(1023.0)
+    guess = F.floor(F.least(F.greatest(F.log2(a), low), high)).cast("double")
+    # the logarithm may be off by one next to a power of two
+    lower = F.greatest(low, guess - F.when(a < F.pow(F.lit(2.0), guess), 1.0).otherwise(0.0))
+    exponent = F.least(high, lower + F.when(a >= 2.0 * F.pow(F.lit(2.0), lower), 1.0).otherwise(0.0))
+    mantissa = F.least(a / F.pow(F.lit(2.0), exponent), F.lit(2.0))
+    bits = (exponent + 1022.0).cast("long") * F.lit(1 << 52) + (mantissa * F.lit(2.0**52)).cast("long")
+    return F.when(v > 0, bits).when(v < 0, -bits).otherwise(F.lit(0).cast("long"))
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, full: int = FULL) -> DataFrame:
     """One row per (keys, value): `ties`, `below` (how many are smaller), `n`."""
-    counts = (
+    rows = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("ties"))
-        .withColumn("bucket", order_bucket(value))
-    )
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+        .withColumn("_bits", order_bits(value))
+        .withColumn("below", F.lit(0).cast("long"))
     )
-    starts = (
-        counts.groupBy(*keys, "bucket")
-        .agg(F.sum("ties").alias("bucket_n"))
-        .select(
-            *keys,
-            "bucket",
-            F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("bucket_start"),
-            F.sum("bucket_n").over(Window.partitionBy(*keys)).alias("n"),
+    path: list[str] = []
+    for level, shift in enumerate(SHIFTS):
+        bucket = F.shiftright("_bits", shift)
+        # only values of buckets that are too full have a bucket on a later level
+        rows = rows.withColumn(f"_b{level}", F.when(F.col("_full"), bucket) if level else bucket)
+        parent, path = [*keys, *path], [*path, f"_b{level}"]
+        place = [*keys, *path]
+        before = Window.partitionBy(*parent).orderBy(path[-1]).rowsBetween(
+            Window.unboundedPreceding, -1
         )
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return (
-        counts.withColumn("inside", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-        .join(starts, [*keys, "bucket"])
-        .select(
-            *keys, value, "ties", (F.col("bucket_start") + F.col("inside")).alias("below"), "n"
+        starts = (
+            rows.where(F.col(path[-1]).isNotNull())
+            .groupBy(*place)
+            .agg(F.sum("ties").alias("_sum"), (F.count(F.lit(1)) > full).alias("_full"))
+            .select(
+                *place,
+                "_full",
+                F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"),
+                *([] if level else [F.sum("_sum").over(Window.partitionBy(*keys)).alias("n")]),
+            )
         )
+        rows = (
+            rows.drop("_full")
+            .join(starts, place, "left" if level else "inner")
+            .withColumn("below", F.col("below") + F.coalesce("_start", F.lit(0)))
+            .drop("_start")
+        )
+    inside = Window.partitionBy(*keys, *path).orderBy(value).rowsBetween(
+        Window.unboundedPreceding, -1
     )
+    smaller = F.coalesce(F.sum("ties").over(inside), F.lit(0))
+    return rows.select(*keys, value, "ties", (F.col("below") + smaller).alias("below"), "n")
 
 
 def average_rank_pct() -> Column:

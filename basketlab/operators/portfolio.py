@@ -10,22 +10,29 @@ from pyspark.sql import functions as F
 from basketlab.functions.exprs import ratio
 from basketlab.operators.prices import calendar_array
 from basketlab.params import Params
+from basketlab.sources.scratch import materialize
 
 KEY = ["portfolio"]
 
 
-def capped_weights(holdings: DataFrame, cap: float, score: str = "score") -> DataFrame:
-    """Weights in proportion to max(score, 0), none above `cap`, summing to 1.
+def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """`rows` with their portfolio's row of `totals`.
 
-    The excess over the cap spreads in proportion over the rest until nobody is
-    above it, which is the point where w = min(cap, lam * score). At most
-    1/cap names can sit at the cap, so lam needs only the 1/cap + 1 largest
+    Totals are written first: the optimizer broadcasts them by their measured
+    size, and beyond its limit a join of two shuffles is left, whose hot
+    portfolios adaptive execution splits (it can't below an aggregate).
+    """
+    return rows.join(materialize(totals, "totals"), KEY)
+
+
+def cap_levels(rows: DataFrame, cap: float) -> DataFrame:
+    """(portfolio, _total, _positive, _lam) from rows with a score `_s` of 0 or more.
+
+    At most 1/cap names can sit at the cap, so lam needs only the 1/cap + 1 largest
     scores of a portfolio plus its total: the top rows are cut before the
     shuffle and no portfolio is ever gathered whole.
     """
     most = math.floor(1.0 / cap + 1e-9)
-    s = F.greatest(F.col(score), F.lit(0.0))
-    rows = holdings.withColumn("_s", F.coalesce(s, F.lit(0.0)))
     totals = rows.groupBy(*KEY).agg(
         F.sum("_s").alias("_total"), F.count(F.when(F.col("_s") > 0, 1)).alias("_positive")
     )
@@ -46,13 +53,23 @@ def capped_weights(holdings: DataFrame, cap: float, score: str = "score") -> Dat
         .groupBy(*KEY)
         .agg(F.min_by("_lam", "_k").alias("_lam"))
     )
-    per_portfolio = totals.join(top, KEY, "left")
+    return totals.join(top, KEY, "left")
+
+
+def capped_weights(holdings: DataFrame, cap: float, score: str = "score") -> DataFrame:
+    """Weights in proportion to max(score, 0), none above `cap`, summing to 1.
+
+    The excess over the cap spreads in proportion over the rest until nobody is
+    above it, which is the point where w = min(cap, lam * score).
+    """
+    s = F.greatest(F.col(score), F.lit(0.0))
+    rows = holdings.withColumn("_s", F.coalesce(s, F.lit(0.0)))
     raw = (
         F.when(F.col("_s") <= 0, 0.0)
         .when(F.col("_positive") * F.lit(cap) <= 1.0 + 1e-12, F.lit(cap))
         .otherwise(F.least(F.lit(cap), F.col("_lam") * F.col("_s")))
     )
-    weighted = rows.join(per_portfolio, KEY).withColumn("_raw", raw)
+    weighted = with_totals(rows, cap_levels(rows, cap)).withColumn("_raw", raw)
     # the capped weights already sum to 1 unless too few names can carry them
     scale = F.when(
         F.col("_positive") * F.lit(cap) <= 1.0 + 1e-12,
@@ -65,7 +82,7 @@ def capped_weights(holdings: DataFrame, cap: float, score: str = "score") -> Dat
 
 def equal_weights(holdings: DataFrame) -> DataFrame:
     counts = holdings.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    return holdings.join(counts, KEY).withColumn("weight", 1.0 / F.col("_n")).drop("_n")
+    return with_totals(holdings, counts).withColumn("weight", 1.0 / F.col("_n")).drop("_n")
 
 
 def held_weights(weights: DataFrame, priced: DataFrame) -> DataFrame:
@@ -73,7 +90,7 @@ def held_weights(weights: DataFrame, priced: DataFrame) -> DataFrame:
     held = weights.join(priced.select("security"), "security", "left_semi")
     totals = held.groupBy(*KEY).agg(F.sum("weight").alias("_w"))
     return (
-        held.join(totals, KEY)
+        with_totals(held, totals)
         .withColumn("weight", ratio("weight", F.when(F.col("_w") != 0, F.col("_w")).otherwise(1.0)))
         .drop("_w")
     )

@@ -8,6 +8,7 @@ their size; all else runs with the action on the result.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import cached_property
 
@@ -278,7 +279,11 @@ class Screen:
     @cached_property
     def panel_rows(self) -> DataFrame:
         """Unfilled returns of the pool on dates complete for the names covered."""
-        mine = self.long_bars.join(self.pool.select("security"), "security", "left_semi")
+        with ThreadPoolExecutor(1) as side:  # the pool doesn't come from these bars
+            bars = side.submit(lambda: self.long_bars)
+            pool = self.pool
+            bars.result()
+        mine = self.long_bars.join(pool.select("security"), "security", "left_semi")
         rets = prices.clean_returns(mine, self.long_bars)
         return materialize(
             covariance.estimation_rows(rets, prices.calendar(self.long_bars), self.cov_p), "panel"

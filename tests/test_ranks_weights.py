@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from basketlab.functions.ranking import average_rank_pct, exact_median, value_ranks
+from basketlab.functions.ranking import FULL, SHIFTS, average_rank_pct, exact_median, order_bits, value_ranks
 from basketlab.operators import portfolio, scoring
 from basketlab.params import Params
 
@@ -24,6 +24,44 @@ def test_ranks_match_pandas_with_a_hot_value(spark):
     assert np.allclose(got.p, got.want)
 
 
+def test_order_bits_are_the_bits_of_the_double(spark):
+    rng = np.random.default_rng(1)
+    edges = 2.0 ** np.arange(-1074, 1024)
+    v = np.concatenate([edges, np.nextafter(edges, 0), np.nextafter(edges, np.inf), rng.normal(0, 9, 500), [0.0, 5e-324, 1.7976931348623157e308, np.inf]])
+    v = np.concatenate([v, -v])
+    bits = np.abs(v).view(np.int64) * np.where(v < 0, -1, 1)
+    rows = spark.createDataFrame([(float(x),) for x in v], "v DOUBLE").select("v", order_bits("v").alias("b")).collect()
+    assert [r.b for r in rows] == bits.tolist()
+
+
+def narrow(n=100_000):
+    """Many values inside 1/256 of an octave, half of them in a far narrower range."""
+    steps = np.arange(n, dtype=np.int64)
+    bits = np.float64(1.5).view(np.int64) + np.where(steps % 2, steps, steps << 24)
+    return pd.DataFrame({"g": "a", "v": np.concatenate([bits.view(np.float64), np.repeat(bits[:50].view(np.float64), 40)])})
+
+
+def test_a_narrow_factor_is_split_until_no_bucket_is_too_full(spark):
+    pdf = narrow()
+    assert np.ptp(np.log2(pdf.v)) < 1 / 256
+    df = spark.createDataFrame(pdf)
+    want = pdf.v.rank(method="min") - 1
+    got = df.distinct().join(value_ranks(df, ["g"], "v"), ["g", "v"]).toPandas().set_index("v").sort_index()
+    assert (got.n == len(pdf)).all()
+    assert got.below.tolist() == sorted(set(want.astype(int)))
+    assert len(df.select(F.shiftright(order_bits("v"), SHIFTS[0])).distinct().collect()) <= 2
+    sizes = df.distinct().groupBy(F.shiftright(order_bits("v"), SHIFTS[2])).count().agg(F.max("count")).first()[0]
+    assert sizes <= FULL
+
+
+@pytest.mark.parametrize("full", [0, 3])
+def test_ranks_are_the_same_however_deep_the_split(spark, full):
+    pdf = values(n=900)
+    df = spark.createDataFrame(pdf)
+    rows = lambda f: sorted(tuple(r) for r in value_ranks(df, ["g"], "v", f).collect())
+    assert rows(full) == rows(FULL)
+
+
 def test_median_matches_pandas(spark):
     pdf = values(n=601)
     got = exact_median(spark.createDataFrame(pdf), ["g"], "v", "m").toPandas().set_index("g").m
@@ -115,7 +153,42 @@ def test_capped_weights_match_the_loop(spark, cap):
 def test_group_limit_comes_before_the_shuffle(spark):
     df = spark.range(1000).select(
         (F.col("id") % 3).alias("portfolio"), F.col("id").cast("string").alias("security"),
-        F.hash("id").cast("double").alias("score"),
+        F.abs(F.hash("id").cast("double")).alias("_s"),
     )
-    plan = portfolio.capped_weights(df, 0.04)._jdf.queryExecution().executedPlan().toString()
+    plan = portfolio.cap_levels(df, 0.04)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("weigh", [
+    lambda df: portfolio.capped_weights(df.withColumnRenamed("x", "score"), 0.04),
+    lambda df: portfolio.held_weights(df.withColumnRenamed("x", "weight"), df.select("security")),
+])
+@pytest.mark.parametrize("broadcast,node", [("10MB", "BroadcastHashJoin"), ("-1", "SortMergeJoin(skew=true)")])
+def test_a_hot_portfolio_is_no_single_task(spark, weigh, broadcast, node):
+    """Totals of few portfolios are broadcast by their measured size; beyond that the
+    join splits the hot one."""
+    rows = spark.range(0, 120_000, numPartitions=12).select(
+        F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") % 40).alias("portfolio"),
+        F.col("id").cast("string").alias("security"),
+        F.pmod(F.hash("id"), F.lit(1000)).cast("double").alias("x"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": broadcast,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": broadcast,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = weigh(rows)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    final = plan.split("== Initial Plan ==")[0]
+    assert node in final, final[:3000]
