@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.functions.exprs import col
+from basketlab.sources.scratch import materialize
 
 SHIFTS = (44, 29, 14)  # bits below the prefix, by level
 FULL = 1 << SHIFTS[-1]
@@ -36,17 +37,26 @@ def order_bits(value) -> Column:
     return F.when(v > 0, bits).when(v < 0, -bits).otherwise(F.lit(0).cast("long"))
 
 
+def levels(counts: DataFrame, keys: list[str], full: int) -> int:
+    """How many of `SHIFTS` are needed until no bucket has more than `full` values."""
+    for level, shift in enumerate(SHIFTS[:-1], 1):
+        sizes = counts.groupBy(*keys, F.shiftright("_bits", shift)).agg(F.count(F.lit(1)).alias("_n"))
+        if sizes.where(F.col("_n") > full).isEmpty():
+            return level
+    return len(SHIFTS)
+
+
 def value_ranks(df: DataFrame, keys: list[str], value: str, full: int = FULL) -> DataFrame:
-    """One row per (keys, value): `ties`, `below` (how many are smaller), `n`."""
-    rows = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
-        .withColumn("_bits", order_bits(value))
-        .withColumn("below", F.lit(0).cast("long"))
+    """One row per (keys, value): `ties`, `below` (how many are smaller), `n`.
+
+    The counted values are written, as every level reads them."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("ties")
     )
+    counts = materialize(counts.withColumn("_bits", order_bits(value)), "values")
+    rows = counts.withColumn("below", F.lit(0).cast("long"))
     path: list[str] = []
-    for level, shift in enumerate(SHIFTS):
+    for level, shift in enumerate(SHIFTS[: levels(counts, keys, full)]):
         bucket = F.shiftright("_bits", shift)
         # only values of buckets that are too full have a bucket on a later level
         rows = rows.withColumn(f"_b{level}", F.when(F.col("_full"), bucket) if level else bucket)
