@@ -304,25 +304,19 @@ def health_data_filter(s: Screen) -> DataFrame:
 
 @query
 def positive_pe(s: Screen) -> DataFrame:
-    """Price over signed earnings; losses are where the filing year is odd."""
-    sign = F.when(F.col("security").cast("bigint") % 4 == 0, -1.0).otherwise(1.0)
-    signed = s.ratios.withColumn("peRatio", F.col("peRatio") * sign)
-    return tidy(signed, "security", scoring.positive_pe().alias("pe_ranked"))
+    return tidy(s.ratios, "security", scoring.positive_pe().alias("pe_ranked"))
 
 
 @query
 def margin_gate(s: Screen) -> DataFrame:
     wide = facts.years_wide(facts.annual_series(s.facts))
-    return tidy(
-        wide, "entity", "end",
-        gated_margin(F.col("net_income") - 4000.0, F.col("revenue") - 30000.0).alias("margin"),
-    )
+    return tidy(wide, "entity", "end", gated_margin("net_income", "revenue").alias("margin"))
 
 
 @query
 def growth_gate(s: Screen) -> DataFrame:
     grown = facts.revenue_cagr(facts.years_wide(facts.annual_series(s.facts)))
-    return tidy(grown, "entity", gated_growth(F.col("revenueGrowth") * 50.0).alias("growth"))
+    return tidy(grown, "entity", gated_growth("revenueGrowth").alias("growth"))
 
 
 @query

@@ -4,8 +4,13 @@ A return needs the previous trading date, which may have come in any earlier
 batch or may still come late. So bars are kept by month and batch, and the marks of
 every date a batch touches, and of the date after, are computed again from what is
 stored and replace those dates. A batch reads only the folders of the months of
-those dates and of the one before; the dates themselves are a small table of their
-own. A batch that is run twice changes nothing.
+those dates and of the one before. A month of more than `FOLDERS` batches is written
+again as one folder, so what a batch reads doesn't grow with the number of batches.
+
+Bars of batch n are of order 2n; a month's bars up to batch n, written as one, are of
+order 2n + 1 and win over them, so it doesn't matter whether the older folders are gone
+already. The dates known after batch n are one file, version n, made from the version
+before; older ones are removed. A batch that is run twice changes nothing.
 """
 
 from __future__ import annotations
@@ -19,18 +24,72 @@ from basketlab.sources.schemas import BARS
 from basketlab.sources.scratch import scratch_path
 
 MARKS = "portfolio STRING, ret DOUBLE, date DATE"
+FOLDERS = 8
 
 
-def stored_bars(spark: SparkSession, store: str, dates: list) -> DataFrame:
-    """One bar per (security, date) of the given dates, the latest batch winning.
-    Only the folders of their months are listed and read."""
-    paths = sorted({f"{store}/month={d:%Y-%m}" for d in dates})
+def numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers n of the folders `prefix=n` in `folder`, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{prefix}="))
+
+
+def exists(spark: SparkSession, file: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def latest_bars(spark: SparkSession, store: str, months: list[str]) -> DataFrame:
+    """One bar per (security, date) of the given months, the latest batch winning.
+    Only the folders of these months are listed and read."""
+    paths = [f"{store}/month={m}" for m in months]
     rows = spark.read.schema(f"{BARS}, month STRING, batch BIGINT").option("basePath", store).parquet(*paths)
-    return rows.where(F.col("date").between(dates[0], dates[-1])).groupBy("security", "date").agg(
+    return rows.groupBy("security", "date").agg(
         F.max_by("close", "batch").alias("close"), F.max_by("volume", "batch").alias("volume")
     )
 
 
+def stored_bars(spark: SparkSession, store: str, dates: list) -> DataFrame:
+    """`latest_bars` of the months of `dates`, from the first of them to the last."""
+    months = sorted({f"{d:%Y-%m}" for d in dates})
+    return latest_bars(spark, store, months).where(F.col("date").between(dates[0], dates[-1]))
+
+
+def compact(spark: SparkSession, store: str, month: str) -> None:
+    """One folder instead of a month's many."""
+    folder = f"{store}/month={month}"
+    orders = numbered(spark, folder, "batch")
+    if len(orders) <= FOLDERS:
+        return
+    merged = orders[-1] | 1
+    whole = f"{folder}/batch={merged}"
+    if merged != orders[-1] or not exists(spark, f"{whole}/_SUCCESS"):
+        remove(spark, whole)  # what a failed attempt left; the older folders are all there
+        latest_bars(spark, store, [month]).coalesce(1).write.parquet(whole)
+    for order in orders:
+        if order != merged:
+            remove(spark, f"{folder}/batch={order}")
+
+
+def known_dates(batch: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """The dates of all batches up to this one: a row a trading date, one file."""
+    spark, folder = batch.sparkSession, f"{store}/dates"
+    earlier = [n for n in numbered(spark, folder, "version") if n < batch_id]
+    rows = batch.select("date")
+    if earlier:
+        rows = rows.unionByName(spark.read.schema("date DATE").parquet(f"{folder}/version={earlier[-1]}"))
+    rows.distinct().coalesce(1).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+    for n in earlier[:-1]:
+        remove(spark, f"{folder}/version={n}")
+    return spark.read.schema("date DATE").parquet(f"{folder}/version={batch_id}")
+
+
 def mark_dates(weights: DataFrame, bars: DataFrame, dates: list) -> DataFrame:
     """Marks of frozen weights on each of `dates`; missing returns are 0, also where a
     portfolio has none at all."""
@@ -62,19 +121,18 @@ def upsert_batch(weights: DataFrame, store: str, out: str):
         (
             batch.withColumn("month", F.date_format("date", "yyyy-MM"))
             .repartition("month")
-            .withColumn("batch", F.lit(batch_id).cast("bigint"))
+            .withColumn("batch", F.lit(2 * batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("month", "batch")
             .parquet(f"{store}/bars")
         )
-        batch.select("date").distinct().coalesce(1).write.mode("overwrite").parquet(f"{store}/dates/batch={batch_id}")
-        known = spark.read.schema("date DATE, batch BIGINT").parquet(f"{store}/dates")
-        touched = (
-            known.where(F.col("batch") == batch_id)
-            .agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-            .first()
-        )
+        known = known_dates(batch, store, batch_id)
+        touched = batch.agg(
+            F.min("date").alias("lo"),
+            F.max("date").alias("hi"),
+            F.collect_set(F.date_format("date", "yyyy-MM")).alias("months"),
+        ).first()
         # the touched range and its neighbours: as many dates as the batch spans
         edge = known.agg(
             F.max(F.when(F.col("date") < touched.lo, F.col("date"))).alias("before"),
@@ -90,6 +148,8 @@ def upsert_batch(weights: DataFrame, store: str, out: str):
             .partitionBy("date")
             .parquet(out)
         )
+        for month in sorted(touched.months):
+            compact(spark, f"{store}/bars", month)
 
     return run
 

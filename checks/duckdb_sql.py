@@ -881,12 +881,12 @@ select security, n_obs, {_rr('avg_volume', 'last_price')} from v_screened where
 SQL["screen_reason"] = "select security, reason from v_screened"
 SQL["health_data_filter"] = f"select security, {_rr(*HEALTH_FIELDS)} from v_ratios where {_HEALTH} is not null"
 SQL["positive_pe"] = f"""
-select security, case when cast(security as bigint) % 4 <> 0 and "peRatio" > 0
+select security, case when "peRatio" > 0
   then {r('"peRatio"')} end as pe_ranked from v_ratios"""
 SQL["margin_gate"] = f"""
-select entity, {day('"end"')} as "end", {r(gate('net_income - 4000', '(revenue - 30000)'))} as margin from v_wide"""
+select entity, {day('"end"')} as "end", {r(gate('net_income', 'revenue'))} as margin from v_wide"""
 SQL["growth_gate"] = f"""
-select entity, case when growth * 50 <= 10 then {r('growth * 50')} end as growth from v_cagr"""
+select entity, case when growth <= 10 then {r('growth')} end as growth from v_cagr"""
 SQL["clean_returns"] = f"select security, {day('date')} as date, {_rr('ret')} from v_cret"
 SQL["finite_rows"] = f"select {day('date')} as date, security, {_rr('ret')} from v_prows"
 SQL["coverage_filter"] = f"""

@@ -3,8 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from basketlab.functions.exprs import gated_growth, gated_margin
 from basketlab.operators import facts as f
+from basketlab.operators.scoring import positive_pe
 from basketlab.sources.filings import flatten_filings, read_filings
 
 SCHEMA = (
@@ -100,6 +103,14 @@ def test_growth_needs_three_points_and_plausible_values(spark):
     assert growth(spark, rows) is None
 
 
+def test_gates_drop_what_is_not_plausible(spark):
+    rows = [(12.0, 1.0, 10.0), (-3.0, 1.005, 10.01), (0.0, 1.01, None), (None, -2.0, -0.5)]
+    df = spark.createDataFrame(rows, "peRatio DOUBLE, income DOUBLE, growth DOUBLE")
+    got = df.select(positive_pe(), gated_margin("income", F.lit(1.0)), gated_growth("growth")).collect()
+    assert [tuple(r) for r in got] == [(12.0, 1.0, 10.0), (None, 1.005, None), (None, None, None), (None, -2.0, -0.5)]
+    assert df.select(gated_margin("income", F.lit(0.0)).alias("m")).where("m IS NOT NULL").isEmpty()
+
+
 def test_matched_cash_flow_and_tag_switch(spark):
     old, new = "PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsToAcquireProductiveAssets"
     cfo = "NetCashProvidedByUsedInOperatingActivities"

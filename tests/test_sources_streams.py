@@ -90,6 +90,30 @@ def test_a_later_batch_reads_only_months_it_touches(spark, tmp_path):
     assert marks["p", days[5]] == pytest.approx(15 / 14 - 1)
 
 
+def test_what_a_batch_reads_does_not_grow_with_batches(spark, tmp_path):
+    from datetime import date
+
+    days = [date(2024, 1, 2 + i) for i in range(12)]
+    rows = [("a", d, 10.0 + i * i, 1.0) for i, d in enumerate(days)]
+    bars = spark.createDataFrame(rows, "security string, date date, close double, volume double")
+    weights = spark.createDataFrame([("p", "a", 1.0)], "portfolio string, security string, weight double")
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    run = mark_stream.upsert_batch(weights, store, out)
+    for n, d in enumerate(days):
+        run(bars.where(F.col("date") == F.lit(d)), n)
+    run(bars.where(F.col("date") == F.lit(days[-1])), len(days) - 1)  # again
+    late = bars.where(F.col("date") == F.lit(days[3])).withColumn("close", F.lit(50.0))
+    run(late, len(days))  # corrects a date that was written as one with others
+    folders = mark_stream.numbered(spark, f"{store}/bars/month=2024-01", "batch")
+    assert len(folders) <= mark_stream.FOLDERS and any(n % 2 for n in folders)
+    assert mark_stream.numbered(spark, f"{store}/dates", "version") == [11, 12]
+    close = {d: 50.0 if d == days[3] else 10.0 + i * i for i, d in enumerate(days)}
+    got = {r.date: r.close for r in mark_stream.stored_bars(spark, f"{store}/bars", days).collect()}
+    assert got == close
+    marks = {r.date: r.ret for r in spark.read.schema(mark_stream.MARKS).parquet(out).collect()}
+    assert marks == {days[0]: 0.0} | {b: pytest.approx(close[b] / close[a] - 1) for a, b in zip(days, days[1:])}
+
+
 def test_log_upsert_keeps_the_latest_run_whatever_the_order(spark, tmp_path):
     path = str(tmp_path / "log")
     spark.createDataFrame([], log_stream.RECORD).write.partitionBy("date").parquet(path)
