@@ -22,8 +22,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def session_folder(spark: SparkSession) -> str:
+    """This session's part of the scratch folder; the file system removes it when the
+    driver's process ends."""
+    folder = getattr(spark, "_basketlab_folder", None)
+    root = scratch_root(spark).rstrip("/")
+    if folder is None or not folder.startswith(f"{root}/"):
+        folder = f"{root}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark._basketlab_folder = folder
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
