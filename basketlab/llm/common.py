@@ -93,8 +93,8 @@ def explode_rows(df: DataFrame, text: str, keep: list[str], added: T.StructType,
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(df, "text_"))).mapInArrow(run, schema)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train, per_class: int, max_chars: int, seed: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Training rows on the driver, and how many labelled rows each class has.
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, train, per_class: int, max_chars: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Training rows (__id, __y, __t), and how many labelled rows each class has.
 
     Bounded whatever the tables' size: at most `per_class` rows of each label, the
     ones whose hashed id is smallest, none longer than `max_chars` characters. Of an
@@ -119,5 +119,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train,
         .groupBy("__id")
         .agg(F.min("__t").alias("__t"))
     )
-    found = texts.join(F.broadcast(drawn), "__id").select("__id", "__y", "__t")
+    return texts.join(F.broadcast(drawn), "__id").select("__id", "__y", "__t"), counts
+
+
+def labelled_sample(*args, **named) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """What `labelled_rows` gives, on the driver."""
+    found, counts = labelled_rows(*args, **named)
     return [(r["__t"], r["__y"]) for r in sorted(found.collect(), key=lambda r: (r["__id"], r["__t"]))], counts

@@ -13,8 +13,9 @@ Since the softmax is linear, a step over all windows is a few grouped sums,
 and a trained model scores a window from one number per n-gram.
 
 Scale: training rows are drawn by hashed id, at most `PER_CLASS` of each label and
-none over `MAX_CHARS` characters, so the driver's share is bounded; class weights
-restore the labels' true shares. Scoring is one pass without a shuffle. Per task a
+none over `MAX_CHARS` characters, and one task fits the model on them, so its share is
+bounded and the driver holds the model alone; class weights restore the labels' true
+shares. Scoring is one pass without a shuffle. Per task a
 cache of word values holds at most `CACHE` words and is then begun anew.
 
 Defined cases: a null or empty text has no window and gets the softmax bias alone; a
@@ -27,9 +28,11 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,8 +182,18 @@ def held_out():
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    rows, counts = common.labelled_sample(documents, labels, "toxic", ~held_out(), PER_CLASS, MAX_CHARS, SEED)
-    return fit(rows, counts)
+    rows, counts = common.labelled_rows(documents, labels, "toxic", ~held_out(), PER_CLASS, MAX_CHARS, SEED)
+    common.ship(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))), key=lambda r: (r[0], r[2]))
+        model = fit([(t, y) for _, y, t in drawn], counts)
+        yield pa.RecordBatch.from_pydict({"logit": [model.logit.tobytes()], "bias": [model.bias]})
+
+    found = rows.repartition(1).mapInArrow(run, "logit binary, bias double").collect()
+    if not found:  # without rows there may be no task
+        return fit([], counts)
+    return Model(np.frombuffer(found[0].logit), found[0].bias)
 
 
 def keep_clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

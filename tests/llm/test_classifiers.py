@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llm_rows import SF, hostile, nothing  # noqa: F401
 
-from basketlab.llm import quality, toxicity
+from basketlab.llm import common, quality, toxicity
 from basketlab.llm.quality import op5_quality
 from basketlab.llm.toxicity import op1_toxicity
 
@@ -128,3 +128,20 @@ def test_held_out_accuracy_on_given_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = [r for r in op5_quality(spark, SF).collect() if r.held_out and r.doc_id in labels]
     assert rows and np.mean([r.predicted == labels[r.doc_id] for r in rows]) > 0.9
+
+
+def test_a_task_fits_and_the_driver_gets_the_model_alone(spark, monkeypatch, nothing):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    rows, counts = common.labelled_sample(docs, labels, "toxic", ~toxicity.held_out(), toxicity.PER_CLASS, toxicity.MAX_CHARS, toxicity.SEED)
+    here, fit = [], toxicity.fit
+    expected = fit(rows, counts)
+
+    def noted(*args):
+        here.append(args)  # of the process that fits
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit", noted)
+    model = toxicity.train(docs, labels)
+    assert not here and model.bias == expected.bias and np.array_equal(model.logit, expected.logit) and model.logit.any()
+    empty = toxicity.train(*(spark.read.parquet(f"{nothing}/{n}.parquet") for n in ("documents", "labels")))
+    assert not empty.logit.any() and empty.bias == -40
