@@ -242,21 +242,35 @@ def _set_block(similarity: float):
     return run
 
 
+def print_pairs(classes: DataFrame) -> DataFrame:
+    """a, an, b, bn: pairs of classes (c, fp, n) that the search by fingerprints meets: the
+    classes of one fingerprint with its first, and the first ones of linked fingerprints."""
+    firsts = materialize(classes.groupBy("fp").agg(F.min(F.struct("c", "n")).alias("first")), "fps")
+    own = classes.join(firsts, "fp").where(F.col("c") != F.col("first.c")).select(F.col("first.c").alias("a"), F.col("first.n").alias("an"), F.col("c").alias("b"), F.col("n").alias("bn"))
+    sides = [firsts.select(F.col("fp").alias(f"fp_{k}"), F.col("first.c").alias(k), F.col("first.n").alias(f"{k}n")) for k in ("a", "b")]
+    linked = links(firsts.select("fp")).toDF("fp_a", "fp_b").join(sides[0], "fp_a").join(sides[1], "fp_b")
+    return own.unionByName(linked.select("a", "an", "b", "bn"))
+
+
 def wide_links(classes: DataFrame, sets, similarity: float) -> DataFrame:
-    """a, b (class numbers): links that connect the classes which share a key and whose
-    sets of shingles are alike to `similarity` or more, counted on the sets.
+    """a, b (class numbers): links that connect the classes which have linked fingerprints
+    or share a key, and whose sets of shingles are alike to `similarity` or more, counted
+    on the sets.
 
-    classes: c, keys, n (the set's size). `sets` gives c, shingles for a table of c.
+    classes: c, keys, fp, n (the set's size). `sets` gives c, shingles for a table of c.
     """
     common.ship(classes.sparkSession)
     bucket = Window.partitionBy("seg", "key")
     rows = classes.select("c", "n", F.posexplode("keys").alias("seg", "key"))
     rows = materialize(rows.withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size"), "buckets")
-    shingles = materialize(sets(rows.select("c").distinct()), "sets")
 
     def sizes_agree(a: str, b: str):
         return F.least(a, b) / F.greatest(a, b) >= similarity
 
+    met = materialize(print_pairs(classes.select("c", "fp", "n")).where(sizes_agree("an", "bn")), "met")
+    asked = rows.select("c").unionByName(met.select(F.explode(F.array("a", "b")).alias("c")))
+    shingles = materialize(sets(asked.distinct()), "sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
@@ -265,11 +279,14 @@ def wide_links(classes: DataFrame, sets, similarity: float) -> DataFrame:
 
     near = tried = None
     open_ = rows.withColumn("label", F.col("c"))
-    # first, neighbours in each bucket: as many pairs as rows, and dense groups hang together
-    for order in (["n", "c"], [F.xxhash64("c"), "c"]):
-        window = bucket.orderBy(*order)
-        pairs = open_.withColumn("b", F.lag("c").over(window)).withColumn("bn", F.lag("n").over(window)).withColumn("bl", F.lag("label").over(window))
-        pairs = pairs.where((F.col("label") != F.col("bl")) & sizes_agree("n", "bn"))
+    # first what the fingerprints meet, then neighbours in each bucket: as many pairs as
+    # rows, and dense groups hang together
+    for order in (None, ["n", "c"], [F.xxhash64("c"), "c"]):
+        pairs = met.withColumnRenamed("a", "c")
+        if order:
+            window = bucket.orderBy(*order)
+            pairs = open_.withColumn("b", F.lag("c").over(window)).withColumn("bn", F.lag("n").over(window)).withColumn("bl", F.lag("label").over(window))
+            pairs = pairs.where((F.col("label") != F.col("bl")) & sizes_agree("n", "bn"))
         pairs = pairs.select(F.least("c", "b").alias("a"), F.greatest("c", "b").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "neighbours")
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -309,29 +326,33 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str =
 
     Texts link if their sets of `width`-word shingles are alike to `similarity` or more
     (common shingles by all shingles of both), counted on the sets of hashes. Pairs to
-    count are those with an equal key of `BANDS`: each key is made of the smallest
+    count are first those whose fingerprints (of the sets) `links` connects. Texts alike
+    to 0.8 differ in about 10 of 64 bits, beyond any ball that can be looked up; so pairs
+    with an equal key of `BANDS` are counted too: each key is made of the smallest
     values of the set under `ROWS` hash functions, so that only the sets' similarity
     matters: of pairs at 0.8 it meets 998 in 1000, at 0.85 all but 1 in 10,000, whether
     single words are changed all over the text or a block is cut off, added or replaced.
     """
-    keys_, print_, row_ = (common.free_name(df, n) for n in ("keys", "print", "row"))
+    keys_, print_, fp_, row_ = (common.free_name(df, n) for n in ("keys", "print", "fp", "row"))
 
     def make():
         def work(texts):
             sets = [np.unique(hashes(words_of(t), width)) for t in texts]
-            return [band_keys(h) for h in sets], [set_print(h) for h in sets]
+            prints = np.array([majority(h) for h in sets], dtype=np.uint64).view(np.int64)
+            return [band_keys(h) for h in sets], [set_print(h) for h in sets], prints
 
         return work
 
     def make_sets():
         return lambda texts: ([np.unique(hashes(words_of(t), width)).view(np.int64) for t in texts],)
 
-    added = T.StructType([T.StructField(keys_, T.ArrayType(T.LongType())), T.StructField(print_, T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    added = T.StructType([T.StructField(keys_, longs), T.StructField(print_, longs), T.StructField(fp_, T.LongType())])
     marked = common.append(df, text, added, make).withColumn(row_, F.monotonically_increasing_id())
     marked = materialize(marked, "marked")  # the row numbers must not change
-    rows = marked.select(F.col(f"`{key}`").alias("id"), F.col(keys_).alias("keys"), F.col(print_).alias("print"), F.col(row_).alias("row"))
+    rows = marked.select(F.col(f"`{key}`").alias("id"), F.col(keys_).alias("keys"), F.col(print_).alias("print"), F.col(fp_).alias("fp"), F.col(row_).alias("row"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    classes = rows.groupBy("keys", "print").agg(F.min(order).alias("first"))
+    classes = rows.groupBy("keys", "print", "fp").agg(F.min(order).alias("first"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "prints")
 
     def sets(of: DataFrame) -> DataFrame:
@@ -339,7 +360,7 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, key: str =
         texts = marked.select(row_, F.col(f"`{text}`").alias("t")).join(asked, row_).select("c", "t")
         return common.append(texts, "t", T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))]), make_sets, False)
 
-    links = wide_links(classes.select("c", "keys", F.col("print")[2].alias("n")), sets, similarity)
+    links = wide_links(classes.select("c", "keys", "fp", F.col("print")[2].alias("n")), sets, similarity)
     reach = components(links).withColumnRenamed("node", "c")
     named = classes.select("c", "first").join(reach, "c", "left")
     stays = named.groupBy(F.coalesce("label", "c").alias("label")).agg(F.min("first").alias("first"))

@@ -80,6 +80,25 @@ def test_blocks_cut_off_added_or_replaced_are_met(spark):
     assert missed <= 3  # of 300; 2 in 1000 are expected
 
 
+def test_fingerprints_find_copies_without_any_key(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "band_keys", lambda h: np.empty(0, dtype=np.int64))
+    rng = random.Random(21)
+    rows = []
+    for g in range(30):
+        base = fresh(rng, 1500)
+        rows += [(g, " ".join(base)), (100 + g, " ".join(base[:700] + ["changed"] + base[701:]))]
+    few = [i for i, t in rows if i < 100 and bin(simhash.majority(np.unique(simhash.hashes(simhash.words_of(t), 5))) ^ simhash.majority(np.unique(simhash.hashes(simhash.words_of(dict(rows)[i + 100]), 5)))).count("1") <= simhash.MAX_BITS]
+    assert len(few) > 20
+    assert kept(spark, rows) == sorted([*range(30), *(100 + g for g in range(30) if g not in few)])
+
+
+def test_near_fingerprints_of_unlike_sets_are_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "majority", lambda h: 5)  # all fingerprints are equal
+    rng = random.Random(22)
+    rows = [(i, " ".join(fresh(rng, 30))) for i in range(20)]
+    assert kept(spark, rows + [(50, rows[7][1] + " end")]) == list(range(20))
+
+
 def test_overlaps_equal_sets():
     rng = np.random.default_rng(2)
     sets = [[np.unique(rng.integers(-9000, 9000, size=rng.integers(1, 4000))) for _ in range(n)] for n in (7, 5)]
