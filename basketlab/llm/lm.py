@@ -9,7 +9,7 @@ of a public byte-level vocabulary. Of the next id the attention model gives
 where D and the last factor come from counts of neighbouring ids over the words of all
 training documents (smoothed, so everything has a chance), classes are groups of ids with
 like neighbours, and attention (one head over at most `WINDOW` ids) and U are trained on
-drawn documents. The probabilities of all ids add up to 1. A word's chance is the product
+all of them. The probabilities of all ids add up to 1. A word's chance is the product
 over its ids, mixed with the word's share of all training tokens: the corpus knows common
 words better than their spelling does.
 
@@ -20,10 +20,10 @@ where the text has them, so every id is scored once. A batch of windows is one m
 batched attention; what depends on an id or a place alone is multiplied out beforehand.
 
 Scale: one pass counts words, combined per task; neighbours are counted on the table of
-distinct words (between words: by the shares of last and first ids). Documents drawn for
-training are a fixed share (one in `SHARE`, whole, by hash), so they grow with the
-corpus; trainers, one for each `TRAINER` windows, train copies of the model side by side,
-which are averaged on Spark, `ROUNDS` times. The driver holds one model, counts of
+distinct words (between words: by the shares of last and first ids). Every training
+document is trained on once, whole, in one of `ROUNDS` rounds; a round's trainers, one for
+about `TRAINER` windows, train copies of the model side by side, which are averaged on
+Spark. The driver holds one model, counts of
 neighbouring ids (at most `SUBWORDS` squared) and the counts of at most `COMMON` words,
 which are broadcast; all other words get their counts by a join, so no list of all words
 is held anywhere, and no word of the join is common enough to be a hot key.
@@ -63,7 +63,6 @@ DIM = 24
 WINDOW = 24
 STEP = 16  # ids that a window scores, its last ones
 LEAD = WINDOW - STEP  # ids before them
-SHARE = 48
 TRAINER = 30_000
 ROUNDS = 2
 BATCH = 128
@@ -145,6 +144,7 @@ class Counted:
     group: np.ndarray  # class of each id
     by_class: np.ndarray  # D[last, class]
     within: np.ndarray | None  # log P(id | last, class) at [last, id]
+    ids: float = 0.0  # how many ids were counted
 
 
 def _classes(pairs: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def counted(pairs: np.ndarray) -> Counted:
         by_class = np.log((totals + SMOOTH * share) / (totals.sum(axis=1, keepdims=True) + SMOOTH))
         within = np.log((pairs + SMOOTH * chance) / (totals[:, group] + SMOOTH))
     by_class[:, ~used] = -1e4  # classes without ids
-    return Counted(group, by_class.astype(np.float32), within.astype(np.float32))
+    return Counted(group, by_class.astype(np.float32), within.astype(np.float32), float(pairs.sum()))
 
 
 # what is trained: embeddings of ids (and padding) and places, queries, keys, values, output
@@ -199,45 +199,53 @@ def fresh() -> np.ndarray:
     return (rng.normal(size=len(spread)) * spread).astype(np.float32)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
-
-
 def loss(weights: np.ndarray, c: Counted, ids: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean negative log chance of the targets' classes over windows, and its gradient.
     ids: (windows, WINDOW); targets: (windows, STEP), `PAD` where there is none."""
     E, P, Wq, Wk, Wv, U = parts(weights)
     kind, scale = weights.dtype, DIM**-0.5
-    x = E[ids] + P
+    one = np.ones(max(CLASSES, WINDOW), dtype=kind)  # products with it sum rows
+    x = E.take(ids, axis=0)
+    x += P
     ahead = x[:, LEAD:]
-    q, k, v = ahead @ Wq * kind.type(scale), x @ Wk, x @ Wv
-    seen = _SEEN & (ids != PAD)[:, None, :]
-    seen[ids[:, LEAD:] == PAD] = _SEEN[0]  # places after the end, which score nothing
-    s = np.where(seen, q @ k.transpose(0, 2, 1), kind.type(-1e9))
-    a = np.exp(s - s.max(axis=-1, keepdims=True))
-    a /= a.sum(axis=-1, keepdims=True)
+
+    def times(left, right):  # one product for all windows
+        return (left.reshape(-1, left.shape[-1]) @ right).reshape(*left.shape[:-1], -1)
+
+    q, k, v = times(ahead, Wq * kind.type(scale)), times(x, Wk), times(x, Wv)
+    a = q @ k.transpose(0, 2, 1)
+    np.clip(a, -_LIMIT, _LIMIT, out=a)
+    np.exp(a, out=a)
+    a *= _SEEN
+    # of places that score something, only those of a text's first window see padding
+    a[np.flatnonzero(ids[:, 0] == PAD), :, :LEAD] = 0
+    a /= (a @ one[:WINDOW])[:, :, None]
     o = a @ v
-    logs = _log_softmax(c.by_class[ids[:, LEAD:].clip(max=END)].astype(kind) + o @ U)
+    z = np.clip(times(o, U), -_LIMIT, _LIMIT)
+    z += c.by_class.take(ids[:, LEAD:].clip(max=END), axis=0)
     real = targets != PAD
     wanted = c.group[np.where(real, targets, 0)]
     m, h = np.nonzero(real)
     count = max(1, len(m))
-    value = -logs[m, h, wanted[m, h]].sum() / count
-    dz = np.exp(logs)
+    dz = np.exp(z)
+    sums = dz @ one[:CLASSES]
+    value = (np.log(sums[m, h]) - z[m, h, wanted[m, h]]).sum() / count
+    dz /= sums[:, :, None]
     dz[m, h, wanted[m, h]] -= 1
     dz *= (real / count).astype(kind)[:, :, None]
-    do = dz @ U.T
-    da = do @ v.transpose(0, 2, 1)
+    do = times(dz, U.T)
     dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= ((do * o) @ one[:DIM])[:, :, None]
+    ds *= a
     dq, dk = ds @ k * kind.type(scale), ds.transpose(0, 2, 1) @ q
 
     def over(left, right):
         return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
 
-    dx = dk @ Wk.T + dv @ Wv.T
-    dx[:, LEAD:] += dq @ Wq.T
+    dx = times(dk, Wk.T)
+    dx += times(dv, Wv.T)
+    dx[:, LEAD:] += times(dq, Wq.T)
     cells = (ids.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
     dE = np.bincount(cells, weights=dx.reshape(-1), minlength=_SIZES[0]).astype(kind)
     grads = [dE, dx.sum(axis=0), over(ahead, dq), over(x, dk), over(x, dv), over(o, dz)]
@@ -402,24 +410,27 @@ def neighbours(counts: DataFrame, path: str) -> Counted:
     return counted(pairs)
 
 
-def drawn_windows(learned: DataFrame, path: str) -> DataFrame:
-    """ids, targets (unsigned 16-bit) of the windows of the drawn documents, and an order
-    that mixes them; a written table."""
-    common.ship(learned.sparkSession)
-    some = learned.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(SHARE)) == 0)
+def mixed_batches(batches: Iterator[pa.RecordBatch], known: Words, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, targets) of all windows of all texts, `BATCH` at a time, each window once; the
+    windows of texts that follow each other, at least `TRAINER` of them, are mixed."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = Words(path), TaskContext.get().partitionId() << 33
-        for _, texts in _slices(batches, 1):
-            ids, targets = windows(*known.subwords(*known.numbers(texts)))
-            ids, targets = ids.astype("<u2"), targets.astype("<u2")
-            numbers = np.arange(number, number + len(ids))
-            number += len(ids)
-            arrays = [pa.array(numbers), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (ids, targets))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["number", "ids", "targets"])
+    def steps():
+        ids, targets = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        held.clear()
+        order = rng.permutation(len(ids))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            yield ids[part].astype(np.int64), targets[part].astype(np.int64)
 
-    made = some.select("doc_id", "text").mapInArrow(run, "number long, ids binary, targets binary")
-    return materialize(made.select(F.xxhash64("number").alias("mixed"), "ids", "targets"), "windows")
+    for _, texts in _slices(batches, 1):
+        if len(known.names) > CACHE:
+            known.forget()
+        held.append(tuple(x.astype(np.uint16) for x in windows(*known.subwords(*known.numbers(texts)))))
+        if sum(len(ids) for ids, _ in held) >= TRAINER:
+            yield from steps()
+    if held:
+        yield from steps()
 
 
 def _mean(rows) -> tuple[int, np.ndarray] | None:
@@ -458,35 +469,35 @@ def _averaged(rows: DataFrame) -> np.ndarray | None:
     return None if mean is None else mean[1]
 
 
-def fit(drawn: DataFrame, c: Counted) -> np.ndarray:
-    """Weights trained on windows: side by side on Spark, averaged `ROUNDS` times."""
-    context = drawn.sparkSession.sparkContext
-    trainers = max(1, -(-drawn.count() // TRAINER))
+def fit(learned: DataFrame, c: Counted, path: str) -> np.ndarray:
+    """Weights trained on all windows of `learned` (doc_id, text as binary), each once: the
+    documents are dealt to `ROUNDS` rounds by hash; those of a round are trained on side by
+    side on Spark, and the models averaged."""
+    common.ship(learned.sparkSession)
+    context = learned.sparkSession.sparkContext
+    trainers = max(1, math.ceil(c.ids / STEP / TRAINER / ROUNDS))
     weights = fresh()
+    mixed = F.xxhash64("doc_id", "text", F.lit(SEED))
     for round_ in range(ROUNDS):
         # training needs no chances within classes
         shared, rate = context.broadcast((weights, Counted(c.group, c.by_class, None))), RATE / (1 + 2 * round_)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = 0
+            seen, trainer = 0, TaskContext.get().partitionId()
 
             def steps():
                 nonlocal seen
-                for batch in batches:
-                    for at in range(0, batch.num_rows, BATCH):
-                        part = batch.slice(at, BATCH)
-                        seen += part.num_rows
-                        yield tuple(
-                            np.frombuffer(b"".join(part.column(i).to_pylist()), dtype="<u2").reshape(part.num_rows, -1).astype(np.int64) for i in (0, 1)
-                        )
+                for ids, targets in mixed_batches(batches, Words(path), np.random.default_rng([SEED, round_, trainer])):
+                    seen += len(ids)
+                    yield ids, targets
 
             trained = train_on(*shared.value, steps(), rate)
             if seen:
-                yield pa.RecordBatch.from_pydict({"trainer": [TaskContext.get().partitionId()], "n": [seen], "weights": [trained.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"trainer": [trainer], "n": [seen], "weights": [trained.tobytes()]})
 
-        order = F.xxhash64("mixed", F.lit(round_))
-        dealt = drawn.withColumn("order", order).repartition(trainers, "order").sortWithinPartitions("order")
-        made = materialize(dealt.select("ids", "targets").mapInArrow(run, "trainer long, n long, weights binary"), "trained")
+        dealt = learned.select("doc_id", "text", mixed.alias("mixed")).where(F.pmod("mixed", F.lit(ROUNDS)) == round_)
+        dealt = dealt.repartition(trainers, "mixed").sortWithinPartitions("mixed")
+        made = materialize(dealt.select("doc_id", "text").mapInArrow(run, "trainer long, n long, weights binary"), "trained")
         shared.destroy()
         mean = _averaged(made)
         weights = weights if mean is None else mean
@@ -521,7 +532,7 @@ def learn(documents: DataFrame, path: str) -> tuple[Model, DataFrame]:
     learned = _texts(documents.where(~held_out()))
     counts = count(learned)
     c = neighbours(counts, path)
-    weights = fit(drawn_windows(learned, path), c)
+    weights = fit(learned, c, path)
     return Model(weights, c, common_words(counts)), counts
 
 

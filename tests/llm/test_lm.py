@@ -159,3 +159,30 @@ def test_model_beats_neighbours_and_words_on_held_out_documents(spark):
     made = known.subwords(*known.numbers([(r.text or "").encode() for r in docs.where(lm.held_out()).collect()]))
     learned, alone = (lm.Scorer(w, model.counted).logs(*made).mean() for w in (model.weights, plain))
     assert learned > alone + 0.05
+
+
+def test_every_window_of_every_training_document_is_trained_on_once(spark, monkeypatch):
+    averaged, rounds = lm._averaged, []
+
+    def noted(rows):
+        rounds.append(sum(r.n for r in rows.select("n").collect()))
+        return averaged(rows)
+
+    monkeypatch.setattr(lm, "_averaged", noted)
+    monkeypatch.setattr(lm, "TRAINER", 700)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lm.learn(docs, PATH)
+    known = lm.Words(PATH)
+    texts_ = [(r.text or "").encode() for r in docs.where(~lm.held_out()).collect()]
+    made = len(lm.windows(*known.subwords(*known.numbers(texts_)))[0])
+    assert len(rounds) == lm.ROUNDS and all(rounds) and sum(rounds) == made
+
+
+def test_mixed_batches_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER", 50)
+    texts_ = [f"word{i} " * (i % 40) for i in range(700)]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array(range(700)), lm.pa.array([t.encode() for t in texts_], lm.pa.binary())], names=["doc_id", "text"])
+    known = lm.Words(PATH)
+    got = [np.concatenate(x, axis=1) for x in lm.mixed_batches(iter([batch]), known, np.random.default_rng(1))]
+    want = np.concatenate(lm.windows(*known.subwords(*known.numbers([t.encode() for t in texts_]))), axis=1)
+    assert sorted(map(bytes, np.concatenate(got).astype("<u2"))) == sorted(map(bytes, want.astype("<u2")))
