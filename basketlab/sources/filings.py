@@ -51,6 +51,8 @@ def nest_facts(facts: DataFrame, by: list[str]) -> DataFrame:
         "form",
     )
     keys = ["entity", *by]
+    # one shuffle of the facts serves every level below
+    facts = facts.select(*keys, "taxonomy", "concept", "unit", "start", "end", "val", "filed", "form", "seq").repartition(*keys)
     in_order = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("seq"), item.alias("it")))), lambda e: e["it"]
     )

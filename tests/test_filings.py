@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketlab.functions.exprs import gated_growth, gated_margin
 from basketlab.operators import facts as f
 from basketlab.operators.scoring import positive_pe
-from basketlab.sources.filings import flatten_filings, read_filings
+from basketlab.sources.filings import flatten_filings, nest_facts, read_filings
 
 SCHEMA = (
     "entity STRING, taxonomy STRING, concept STRING, unit STRING, start DATE, `end` DATE, "
@@ -171,3 +171,10 @@ def test_nested_document(spark, tmp_path):
         ("EntityCommonStockSharesOutstanding", 0, 3.0), ("Revenues", 0, 5.0), ("Revenues", 1, 6.0),
     ]
     assert rows[2].start is None and rows[2].filed is None
+
+
+def test_nesting_shuffles_the_facts_once(screen):
+    nested = nest_facts(screen.facts, ["filing"])
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert nested.count() == screen.facts.select("entity", "filing").distinct().count()
