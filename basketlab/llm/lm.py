@@ -37,12 +37,13 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import itertools
 import math
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache, partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ CHUNK = 512  # windows scored at once
 _NONE: list = []
 
 
-class Words(dict):
+class Words(defaultdict):
     """Number of each word met, and its subword ids; begun anew by `forget`."""
 
     def __init__(self, path: str):
@@ -88,28 +89,26 @@ class Words(dict):
         ranks = {k: v for k, v in ranks.items() if v < END}
         # words are parted at blanks, and into parts of at most 32 characters, so that a
         # very long word costs no more than its length
-        self.encode = tiktoken.Encoding("subwords", pat_str=r" [^ ]{1,31}|[^ ]{1,32}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        coding = tiktoken.Encoding("subwords", pat_str=r" [^ ]{1,31}|[^ ]{1,32}", mergeable_ranks=ranks, special_tokens={})
+        self.encode = partial(coding.encode_to_numpy, disallowed_special=())
         self.begins = np.zeros(SUBWORDS, dtype=bool)  # ids that begin a word
         self.begins[[v for k, v in ranks.items() if k[:1] == b" "]] = True
         self.forget()
 
     def forget(self) -> None:
         self.clear()
+        self.default_factory = itertools.count().__next__
         self.names: list[bytes] = []
         # ids of all words one after another; where each word's begin, and how many it has
         self.ids, self.starts, self.sizes = Grown(np.uint16), Grown(np.int64), Grown(np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        return number
-
     def _spell(self) -> None:
         """Ids of the words met since it was last called."""
-        new = self.names[self.sizes.n :]
+        new = list(islice(reversed(self), len(self) - len(self.names)))[::-1]
         if not new:
             return
-        flat = np.frombuffer(array("H", self.encode(" " + b" ".join(new).decode())), dtype=np.uint16)
+        self.names += new
+        flat = self.encode(" " + b" ".join(new).decode()).astype(np.uint16)
         starts = np.flatnonzero(self.begins[flat])
         self.starts.extend(self.ids.n + starts)
         self.sizes.extend(np.diff(np.append(starts, len(flat))))
@@ -133,6 +132,12 @@ class Words(dict):
         return ids, np.add.reduceat(size, np.cumsum(lengths + 1) - (lengths + 1))
 
 
+@cache
+def kept_words(path: str) -> Words:
+    """The words that a worker has met, kept from task to task."""
+    return Words(path)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else _NONE
 
@@ -189,8 +194,8 @@ _LIMIT = 40.0  # of logits, so that no exponential overflows
 
 
 def parts(weights: np.ndarray) -> list[np.ndarray]:
-    cuts = np.cumsum(_SIZES)[:-1]
-    return [p.reshape(s) for p, s in zip(np.split(weights, cuts), SHAPES)]
+    cuts = itertools.accumulate(_SIZES)
+    return [weights[end - n : end].reshape(s) for end, n, s in zip(cuts, _SIZES, SHAPES)]
 
 
 def fresh() -> np.ndarray:
@@ -199,68 +204,111 @@ def fresh() -> np.ndarray:
     return (rng.normal(size=len(spread)) * spread).astype(np.float32)
 
 
-def loss(weights: np.ndarray, c: Counted, ids: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+class Room(dict):
+    """Arrays by name that are written anew at every step, as fresh memory is slow."""
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        found = self.get(name)
+        if found is None or found.shape != shape or found.dtype != kind:
+            found = self[name] = np.empty(shape, dtype=kind)
+        return found
+
+
+def loss(weights: np.ndarray, c: Counted, ids: np.ndarray, targets: np.ndarray, room: Room | None = None) -> tuple[float, np.ndarray]:
     """Mean negative log chance of the targets' classes over windows, and its gradient.
     ids: (windows, WINDOW); targets: (windows, STEP), `PAD` where there is none."""
     E, P, Wq, Wk, Wv, U = parts(weights)
-    kind, scale = weights.dtype, DIM**-0.5
-    one = np.ones(max(CLASSES, WINDOW), dtype=kind)  # products with it sum rows
-    x = E.take(ids, axis=0)
-    x += P
-    ahead = x[:, LEAD:]
+    kind, scale, n = weights.dtype, weights.dtype.type(DIM**-0.5), len(ids)
+    room = Room() if room is None else room
 
-    def times(left, right):  # one product for all windows
-        return (left.reshape(-1, left.shape[-1]) @ right).reshape(*left.shape[:-1], -1)
+    def make(name: str, *shape: int) -> np.ndarray:
+        return room(name, kind, *shape)
 
-    q, k, v = times(ahead, Wq * kind.type(scale)), times(x, Wk), times(x, Wv)
-    a = q @ k.transpose(0, 2, 1)
+    one = np.ones(max(CLASSES, WINDOW), dtype=kind)  # products with it sum rows
+    # what follows of x = E + P: q k' = x (Wq Wk') x' and o U = (attention x) (Wv U), so that x
+    # stands for keys and values
+    A, B = Wq @ Wk.T * scale, Wv @ U
+    # rows that are seen, then those that ask; a batch has few different ids, each is multiplied once
+    asking, seen = SUBWORDS + 1, slice(0, WINDOW)
+    asks, gives = slice(WINDOW, WINDOW + STEP), slice(WINDOW + STEP, None)
+    rows = np.concatenate([ids, ids[:, LEAD:] + asking], axis=1).astype(np.uint16)
+    order = np.argsort(rows.ravel(), kind="stable")
+    begins = rows.ravel()[order]
+    begins = np.flatnonzero(np.append(True, begins[1:] != begins[:-1]))
+    met = rows.ravel()[order[begins]].astype(np.int64)
+    cut = np.searchsorted(met, asking)
+    met_seen, met_asks = met[:cut], met[cut:] - asking
+    table = make("table", 2 * asking, DIM)
+    table[met_seen], table[asking + met_asks] = E[met_seen], E[met_asks] @ A
+    held = np.take(table, rows, axis=0, out=make("held", n, WINDOW + STEP, DIM), mode="clip")
+    both = make("both", n, WINDOW + 2 * STEP, DIM)  # x, what asks, and what outputs give back
+    np.add(held, np.concatenate([P, P[LEAD:] @ A]), out=both[:, : WINDOW + STEP])
+    x, q = both[:, seen], both[:, asks]
+    maps = make("maps", n, 2 * STEP, WINDOW)  # gradients of the logits, and the attention
+    ds, a = maps[:, :STEP], maps[:, STEP:]
+    np.matmul(q, x.transpose(0, 2, 1), out=a)
     np.clip(a, -_LIMIT, _LIMIT, out=a)
     np.exp(a, out=a)
-    a *= _SEEN
+    a *= _SEEN.astype(kind)
     # of places that score something, only those of a text's first window see padding
     a[np.flatnonzero(ids[:, 0] == PAD), :, :LEAD] = 0
-    a /= (a @ one[:WINDOW])[:, :, None]
-    o = a @ v
-    z = np.clip(times(o, U), -_LIMIT, _LIMIT)
-    z += c.by_class.take(ids[:, LEAD:].clip(max=END), axis=0)
-    real = targets != PAD
-    wanted = c.group[np.where(real, targets, 0)]
-    m, h = np.nonzero(real)
-    count = max(1, len(m))
-    dz = np.exp(z)
+    whole = (a @ one[:WINDOW])[:, :, None]
+    o = np.matmul(a, x, out=make("o", n, STEP, DIM))
+    o /= whole
+    z = np.matmul(o.reshape(-1, DIM), B, out=make("z", n * STEP, CLASSES))
+    if np.abs(o).max() * np.abs(B).sum(axis=0).max() > _LIMIT:  # a bound
+        np.clip(z, -_LIMIT, _LIMIT, out=z)
+    z += np.take(c.by_class, ids[:, LEAD:].ravel(), axis=0, out=room("last", c.by_class.dtype, n * STEP, CLASSES), mode="clip")
+    y = targets.ravel()
+    real = y != PAD
+    wanted = np.arange(len(y)) * CLASSES + c.group.take(y, mode="clip")
+    count = max(1, int(real.sum()))
+    chosen = z.ravel()[wanted]
+    dz = np.exp(z, out=z)
     sums = dz @ one[:CLASSES]
-    value = (np.log(sums[m, h]) - z[m, h, wanted[m, h]]).sum() / count
-    dz /= sums[:, :, None]
-    dz[m, h, wanted[m, h]] -= 1
-    dz *= (real / count).astype(kind)[:, :, None]
-    do = times(dz, U.T)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= ((do * o) @ one[:DIM])[:, :, None]
+    value = ((np.log(sums) - chosen) * real).sum() / count
+    share = (real / count).astype(kind)
+    dz *= (share / sums)[:, None]
+    dz.reshape(-1)[wanted] -= share
+    dB = o.reshape(-1, DIM).T @ dz
+    do = np.matmul(dz, B.T, out=make("do", n * STEP, DIM)).reshape(o.shape)
+    do = np.divide(do, whole, out=both[:, gives])  # as the attention isn't divided by its sums
+    np.matmul(do, x.transpose(0, 2, 1), out=ds)
+    ds -= (np.multiply(do, o, out=o) @ one[:DIM])[:, :, None]
     ds *= a
-    dq, dk = ds @ k * kind.type(scale), ds.transpose(0, 2, 1) @ q
-
-    def over(left, right):
-        return left.reshape(-1, left.shape[-1]).T @ right.reshape(-1, right.shape[-1])
-
-    dx = times(dk, Wk.T)
-    dx += times(dv, Wv.T)
-    dx[:, LEAD:] += times(dq, Wq.T)
-    cells = (ids.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    dE = np.bincount(cells, weights=dx.reshape(-1), minlength=_SIZES[0]).astype(kind)
-    grads = [dE, dx.sum(axis=0), over(ahead, dq), over(x, dk), over(x, dv), over(o, dz)]
+    d = make("d", n, WINDOW + STEP, DIM)
+    np.matmul(maps.transpose(0, 2, 1), both[:, WINDOW:], out=d[:, seen])
+    np.matmul(ds, x, out=d[:, asks])
+    by_row = np.take(d.reshape(-1, DIM), order, axis=0, out=held.reshape(-1, DIM), mode="clip")
+    by_row, by_place = np.add.reduceat(by_row, begins, axis=0), d.sum(axis=0)
+    dE, dP = np.zeros_like(E), by_place[seen]
+    dE[met_seen] = by_row[:cut]
+    dE[met_asks] += by_row[cut:] @ A.T
+    dP[LEAD:] += by_place[asks] @ A.T
+    dA = E[met_asks].T @ by_row[cut:] + P[LEAD:].T @ by_place[asks]
+    grads = [dE, dP, dA @ Wk * scale, dA.T @ Wq * scale, dB @ U.T, Wv.T @ dB]
     return float(value), np.concatenate([g.ravel() for g in grads])
 
 
 def train_on(weights: np.ndarray, c: Counted, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> np.ndarray:
     """Weights after one Adam step a batch."""
     weights = weights.copy()
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
+    m, v, by, room = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), Room()
     for step, (ids, targets) in enumerate(batches, 1):
-        _, g = loss(weights, c, ids, targets)
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        _, g = loss(weights, c, ids, targets, room)
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=by)
+        v *= 0.99
+        g *= g
+        g *= 0.01
+        v += g
+        # m / (1 - 0.9**step) over sqrt(v / (1 - 0.99**step)) + 1e-8
+        few = math.sqrt(1 - 0.99**step)
+        np.sqrt(v, out=by)
+        by += 1e-8 * few
+        np.divide(m, by, out=by)
+        by *= rate * few / (1 - 0.9**step)
+        weights -= by
     return weights
 
 
@@ -289,38 +337,41 @@ class Scorer:
         E, P, Wq, Wk, Wv, U = parts(weights)
         scale = np.float32(DIM**-0.5)
         one = np.ones((len(E), 1), dtype=np.float32)  # a value that sums the attention
-        self.q, self.k, self.v = E @ Wq * scale, E @ Wk, np.concatenate([E @ Wv, one], axis=1)
-        self.place_q, self.place_k, self.place_v = P[LEAD:] @ Wq * scale, P @ Wk, np.pad(P @ Wv, ((0, 0), (0, 1)))
-        self.seen = _SEEN.astype(np.float32)
+        A = Wq @ Wk.T * scale  # as in `loss`
+        self.q, self.x = E @ A, np.concatenate([E, one], axis=1)
+        self.place_q, self.place_x = P[LEAD:] @ A, np.pad(P, ((0, 0), (0, 1)))
+        self.seen, self.room = _SEEN.astype(np.float32), Room()
         # an output is an average of values, so this bounds what it adds to a logit
         most = np.abs(E @ Wv @ U).max() + np.abs(P @ Wv @ U).max() + 1e-9
-        self.U, self.c, self.ones = U * np.float32(min(1, _LIMIT / most)), c, np.ones(CLASSES, dtype=np.float32)
+        self.B, self.c, self.ones = Wv @ U * np.float32(min(1, _LIMIT / most)), c, np.ones(CLASSES, dtype=np.float32)
 
     def window_logs(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log chance of each target (0 where there is none)."""
-        q = self.q.take(ids[:, LEAD:], axis=0)
+        n, last = len(ids), ids[:, LEAD:].ravel()
+
+        def make(name: str, *shape: int) -> np.ndarray:
+            return self.room(name, self.q.dtype, *shape)
+
+        q = np.take(self.q, ids[:, LEAD:], axis=0, out=make("q", n, STEP, DIM), mode="clip")
         q += self.place_q
-        k = self.k.take(ids, axis=0)
-        k += self.place_k
-        v = self.v.take(ids, axis=0)
-        v += self.place_v
-        s = q @ k.transpose(0, 2, 1)
+        x = np.take(self.x, ids, axis=0, out=make("x", n, WINDOW, DIM + 1), mode="clip")
+        x += self.place_x
+        s = np.matmul(q, x[:, :, :DIM].transpose(0, 2, 1), out=make("s", n, STEP, WINDOW))
         np.clip(s, -_LIMIT, _LIMIT, out=s)
         np.exp(s, out=s)
         s *= self.seen
         # of places that score something, only those of a text's first window see padding
-        begin = np.flatnonzero(ids[:, 0] == PAD)
-        s[begin, :, :LEAD] = 0
-        o = (s @ v).reshape(-1, DIM + 1)
-        z = (o[:, :DIM] / o[:, DIM:]) @ self.U
-        last = ids[:, LEAD:].reshape(-1).clip(max=END)
-        z += self.c.by_class.take(last, axis=0)
-        y = targets.reshape(-1)
+        s[np.flatnonzero(ids[:, 0] == PAD), :, :LEAD] = 0
+        o = np.matmul(s, x, out=make("o", n, STEP, DIM + 1)).reshape(-1, DIM + 1)
+        z = np.matmul(o[:, :DIM] / o[:, DIM:], self.B, out=make("z", n * STEP, CLASSES))
+        z += np.take(self.c.by_class, last, axis=0, out=make("last", n * STEP, CLASSES), mode="clip")
+        y = targets.ravel()
         real = y != PAD
-        y = np.where(real, y, 0)
-        chosen = z[np.arange(len(y)), self.c.group[y]]
+        chosen = z.ravel()[np.arange(len(y)) * CLASSES + self.c.group.take(y, mode="clip")]
         np.exp(z, out=z)
-        chosen += self.c.within[last, y] - np.log(z @ self.ones)
+        # padding counts as the last id, whose chance isn't used
+        chosen += self.c.within.ravel()[np.minimum(last, END).astype(np.int64) * SUBWORDS + np.minimum(y, END)]
+        chosen -= np.log(z @ self.ones)
         return np.where(real, chosen, 0).reshape(targets.shape)
 
     def logs(self, every: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -487,7 +538,7 @@ def fit(learned: DataFrame, c: Counted, path: str) -> np.ndarray:
 
             def steps():
                 nonlocal seen
-                for ids, targets in mixed_batches(batches, Words(path), np.random.default_rng([SEED, round_, trainer])):
+                for ids, targets in mixed_batches(batches, kept_words(path), np.random.default_rng([SEED, round_, trainer])):
                     seen += len(ids)
                     yield ids, targets
 
@@ -550,7 +601,7 @@ def scored(documents: DataFrame, model: Model, counts: DataFrame, path: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer, known, row = Scorer(model.weights, model.counted), Words(path), TaskContext.get().partitionId() << 33
+        scorer, known, row = Scorer(model.weights, model.counted), kept_words(path), TaskContext.get().partitionId() << 33
         held = Grown(np.float64)  # counts of the known words, 0 for those that aren't common
         for part, texts in _slices(batches, 1):
             if len(known.names) > CACHE:
@@ -573,10 +624,10 @@ def scored(documents: DataFrame, model: Model, counts: DataFrame, path: str) ->
             mixed[met] = np.logaddexp(mixed[met], np.log(n[met] * (MIXED / n_all)))
             name = np.full(len(word), -1)
             name[word] = numbers
-            rare = [[] for _ in texts]
             at = np.flatnonzero(~met)
-            for i, number, log in zip(of[at].tolist(), name[at].tolist(), logs[at].tolist()):
-                rare[i].append((known.names[number] if number >= 0 else b"", log))
+            begins = np.searchsorted(of[at], np.arange(len(texts) + 1))
+            unknown = [known.names[i] if i >= 0 else b"" for i in name[at].tolist()]
+            rare = pa.StructArray.from_arrays([pa.array(unknown, pa.binary()), pa.array(logs[at])], fields=list(rare_type.value_type))
             arrays = [
                 part.column(0),
                 pa.array(np.arange(row, row + len(texts))),
@@ -584,7 +635,7 @@ def scored(documents: DataFrame, model: Model, counts: DataFrame, path: str) ->
                 pa.array(np.bincount(of[met], minlength=len(texts)), pa.int64()),
                 pa.array(np.bincount(of, weights=np.log10(n + 1), minlength=len(texts))),
                 pa.array(np.bincount(of, weights=mixed, minlength=len(texts)) / math.log(10)),
-                pa.array(rare, rare_type),
+                pa.ListArray.from_arrays(pa.array(begins, pa.int32()), rare),
             ]
             row += len(texts)
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_tokens", "known", "logs", "score", "rare"])

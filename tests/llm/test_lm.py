@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -186,3 +187,33 @@ def test_mixed_batches_hold_each_window_once(monkeypatch):
     got = [np.concatenate(x, axis=1) for x in lm.mixed_batches(iter([batch]), known, np.random.default_rng(1))]
     want = np.concatenate(lm.windows(*known.subwords(*known.numbers([t.encode() for t in texts_]))), axis=1)
     assert sorted(map(bytes, np.concatenate(got).astype("<u2"))) == sorted(map(bytes, want.astype("<u2")))
+
+
+def test_steps_write_into_the_same_arrays(model):
+    """Steps of other sizes between don't matter, and little is allocated anew."""
+    weights, c = model
+    many, few = ([x.astype(np.int64) for x in lm.windows(*joined(texts(random.Random(s), n)))] for s, n in ((8, [300] * 60), (9, [5, 90])))
+    room = lm.Room()
+    for ids, targets in (many, few, many):
+        value, gradient = lm.loss(weights, c, ids, targets, room)
+        fresh, expected = lm.loss(weights, c, ids, targets)
+        assert value == pytest.approx(fresh, rel=1e-6)
+        np.testing.assert_allclose(gradient, expected, rtol=1e-4, atol=1e-8)
+    tracemalloc.start()
+    lm.loss(weights, c, *many, room)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in room.values()) / 3
+
+
+def test_a_worker_spells_a_word_once(monkeypatch):
+    known = lm.kept_words(PATH)
+    known.forget()
+    texts_ = [b"once more the same words", b"the same words"]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([1, 2]), lm.pa.array(texts_, lm.pa.binary())], names=["doc_id", "text"])
+    first = [x.copy() for x in next(lm.mixed_batches(iter([batch]), lm.kept_words(PATH), np.random.default_rng(1)))]
+    monkeypatch.setattr(known, "encode", None)  # not called again by the next task
+    again = next(lm.mixed_batches(iter([batch]), lm.kept_words(PATH), np.random.default_rng(1)))
+    assert known.names == b"once more the same words".split()
+    assert all((a == b).all() for a, b in zip(first, again))
+    known.forget()
