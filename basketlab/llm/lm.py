@@ -17,7 +17,9 @@ words better than their spelling does.
 
 Windows overlap: each scores its last `STEP` ids, with at least `LEAD` ids before each
 where the text has them, so every id is scored once. A batch of windows is one masked
-batched attention; what depends on an id or a place alone is multiplied out beforehand.
+batched attention; what depends on an id or a place alone is multiplied out beforehand,
+in training once a step. Arrays of a step are used again by the next, words that a worker
+has spelled by its next task.
 
 Scale: one pass counts words, combined per task; neighbours are counted on the table of
 distinct words (between words: by the shares of last and first ids). Every training
@@ -107,12 +109,12 @@ class Words(defaultdict):
         new = list(islice(reversed(self), len(self) - len(self.names)))[::-1]
         if not new:
             return
-        self.names += new
         flat = self.encode(" " + b" ".join(new).decode()).astype(np.uint16)
         starts = np.flatnonzero(self.begins[flat])
         self.starts.extend(self.ids.n + starts)
         self.sizes.extend(np.diff(np.append(starts, len(flat))))
         self.ids.extend(flat)
+        self.names += new
 
     def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of some texts, and how many each text has."""
