@@ -130,12 +130,14 @@ def links(fps: DataFrame) -> DataFrame:
     common.ship(fps.sparkSession)
     tables, lookups = _tables(fps), _lookups(fps)
     sizes = materialize(tables.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot")
-    plain = lookups.withColumnRenamed("fp", "a").join(tables.join(sizes, ["seg", "key"], "left_anti").withColumnRenamed("fp", "b"), ["seg", "key"])
+    # an exploded table is taken for as small as the one it comes from: it must not be sent to the driver
+    asking = lookups.withColumnRenamed("fp", "a").hint("merge")
+    plain = asking.join(tables.join(sizes, ["seg", "key"], "left_anti").withColumnRenamed("fp", "b"), ["seg", "key"])
     plain = plain.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
     if not sizes.take(1):
         return plain
     # hot buckets: both sides cut into blocks by a hash, every pair of blocks a group of its own
-    asked = lookups.join(sizes, ["seg", "key"])
+    asked = materialize(lookups.join(sizes, ["seg", "key"], "left_semi"), "asked")
     counts = asked.groupBy("seg", "key").agg(F.count("*").alias("m"))
 
     def blocks(n):
@@ -147,8 +149,8 @@ def links(fps: DataFrame) -> DataFrame:
     def every(n):
         return F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
 
-    sized = sizes.join(counts, ["seg", "key"])
-    left = lookups.join(sized, ["seg", "key"]).select("seg", "key", dealt("m").alias("lb"), every("n").alias("rb"), F.lit(0).alias("side"), "fp")
+    sized = materialize(sizes.join(counts, ["seg", "key"]), "sized")
+    left = asked.join(sized, ["seg", "key"]).select("seg", "key", dealt("m").alias("lb"), every("n").alias("rb"), F.lit(0).alias("side"), "fp")
     right = tables.join(sized, ["seg", "key"]).select("seg", "key", every("m").alias("lb"), dealt("n").alias("rb"), F.lit(1).alias("side"), "fp")
     hot = left.unionByName(right).groupBy("seg", "key", "lb", "rb").applyInPandas(_block_links, "a long, b long")
     return plain.unionByName(hot)

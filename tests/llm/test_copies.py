@@ -87,6 +87,40 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, hot, block):
     assert {n: got.get(n, n) for n in signed} == want
 
 
+def broadcast_nodes(frame):
+    """Names of the plan's nodes whose rows go to the driver to be broadcast."""
+
+    def walk(node, inside):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from walk(node.initialPlan(), inside)
+        if inside:
+            yield name
+        children = node.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i), inside or name == "BroadcastExchange")
+
+    return set(walk(frame._jdf.queryExecution().executedPlan(), False))
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The tables that simhash writes between its steps."""
+    frames, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: write(frames.append(df) or df, name))
+    return frames
+
+
+@pytest.mark.parametrize("hot", [128, 4])
+def test_looked_up_keys_are_not_broadcast(spark, monkeypatch, written, hot):
+    # 17 keys a segment on average, taken for as small as the fingerprints they come from
+    monkeypatch.setattr(simhash, "HOT", hot)
+    fps = simhash.materialize(spark.range(300).select((F.col("id") * 2**30).alias("fp")), "fps")
+    links = simhash.links(fps)
+    assert written[1].isEmpty() == (hot == 128)
+    assert not any("Generate" in broadcast_nodes(df) for df in [*written, links])
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(100, 180)] + [(1, x) for x in range(2, 40)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(90)]
