@@ -270,7 +270,7 @@ def wide_links(classes: DataFrame, sets, similarity: float) -> DataFrame:
         return F.least(a, b) / F.greatest(a, b) >= similarity
 
     met = materialize(print_pairs(classes.select("c", "fp", "n")).where(sizes_agree("an", "bn")), "met")
-    asked = rows.select("c").unionByName(met.select(F.explode(F.array("a", "b")).alias("c")))
+    asked = rows.select("c").union(met.select("a")).union(met.select("b"))
     shingles = materialize(sets(asked.distinct()), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -155,6 +155,13 @@ def test_simhash_query(spark, hostile, nothing):
     assert op10_simhash_near_dedup(spark, nothing).count() == 0
 
 
+def test_keep_one_broadcasts_nothing_exploded(spark, written):
+    rows = [(i, " ".join(f"w{i // 2 * 100 + j}" for j in range(60)) + " more" * (i % 2)) for i in range(40)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+    assert not any("Generate" in broadcast_nodes(df) for df in [*written, kept])
+
+
 def test_keep_one_of_odd_rows(spark, hostile, nothing):
     docs = spark.read.parquet(f"{hostile}/documents.parquet")
     kept = simhash.keep_one(docs)
